@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import packing, token_blocks
-from .common import table
+from . import chat, packing, quality, sharding, simhash, token_blocks
+from .common import table, written
 
 BYTE_BPE = "byte_bpe_50k.json"
 
@@ -18,18 +19,82 @@ def tokenizer_path(name: str = BYTE_BPE) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
+
+
 def op2_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = token_blocks.write_tokens(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=0)
     return token_blocks.read_tokens(spark, path)
 
 
+PROBE = "<|im_end|><|im_start|>assistant ok"
+
+
+def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    probe = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PROBE).alias("text"),
+    )
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
+    formatted = written(chat.format_conversations(turns), "formatted")
+    plain = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    parts = chat.parsed(formatted).select("conv_id", F.size("turns").alias("n"), "chars", F.struct("part", plain.alias("plain"), "loss_text").alias("p"))
+    whole = parts.groupBy("conv_id").agg(F.sum("n").alias("n_turns"), F.sum("chars").alias("formatted_chars"), F.array_sort(F.collect_list("p")).alias("p"))
+    loss = F.array_join("p.loss_text", "")
+    digests = whole.select(
+        "conv_id", "n_turns", F.sha2(F.array_join("p.plain", "").cast("binary"), 256).alias("turns_sha256"),
+        F.char_length(loss).cast("long").alias("loss_chars"), F.sha2(loss.cast("binary"), 256).alias("loss_sha256"), "formatted_chars",
+    )
+    valid = chat.verdicts(formatted)
+    return digests.join(valid, digests["conv_id"].eqNullSafe(valid["conv_id"])).drop(valid["conv_id"])
+
+
+OP3_SQL = f"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '{PROBE}'
+  UNION ALL SELECT -1, 1, 'assistant', '{PROBE}'
+), each AS (
+  SELECT conv_id, turn, role, text, CASE WHEN role = 'assistant' THEN text ELSE '' END AS loss,
+    CASE role WHEN 'system' THEN 's' WHEN 'user' THEN 'u' WHEN 'assistant' THEN 'a' ELSE 'x' END AS mark,
+    length('<|im_start|>') + length(role) + 1 + length(replace(text, '<|', '<||')) + length('<|im_end|>') + 1 AS chars
+  FROM turns
+)
+SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(sum(length(loss)) AS BIGINT) AS loss_chars,
+  sha256(string_agg(loss, '' ORDER BY turn NULLS FIRST, role, text)) AS loss_sha256,
+  CAST(sum(chars) AS BIGINT) AS formatted_chars,
+  regexp_full_match(string_agg(mark, '' ORDER BY turn NULLS FIRST, role, text), 's?(ua)+') AS valid
+FROM each GROUP BY conv_id
+"""
+
+SHARDS = 8
+
+
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(table(spark, sf_dir, "documents"), [1.0] * SHARDS)
+
+
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=1, with_ids=False)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
     "op2_token_blocks": op2_token_blocks,
+    "op3_chat": op3_chat,
+    "op7_sharding": op7_sharding,
+    "op8_simhash": op8_simhash,
     "op10_packing": op10_packing,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op3_chat": OP3_SQL,
+}
