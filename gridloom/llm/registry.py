@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, packing, quality, sharding, simhash, token_blocks
+from . import chat, decontam, licenses, line_dedup, packing, quality, sharding, simhash, token_blocks
 from .common import table, written
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -71,6 +71,77 @@ SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns,
 FROM each GROUP BY conv_id
 """
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+_TEMPLATE_ROWS = ", ".join(f"({i}, '{label}', '{words}')" for i, (label, words) in enumerate(licenses.TEMPLATES))
+_PHRASE_ROWS = ", ".join(f"('{label}', '{phrase}', {len(phrase.split())})" for phrase, label in licenses.PHRASES.items())
+_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+OP4_SQL = f"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all({_LOWER}, '{_WORD}') AS w FROM documents
+), each AS (
+  SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS pos FROM words
+), runs AS (
+  SELECT doc_id, pos, word AS r1, word || ' ' || lead(word, 1) OVER d AS r2,
+    word || ' ' || lead(word, 1) OVER d || ' ' || lead(word, 2) OVER d || ' ' || lead(word, 3) OVER d AS r4
+  FROM each WINDOW d AS (PARTITION BY doc_id ORDER BY pos)
+), phrases(label, phrase, size) AS (VALUES {_PHRASE_ROWS}
+), places AS (
+  SELECT doc_id, pos, label FROM runs JOIN phrases ON phrase = CASE size WHEN 2 THEN r2 WHEN 4 THEN r4 END
+), templates(template, label, words) AS (VALUES {_TEMPLATE_ROWS}
+), template_words AS (
+  SELECT DISTINCT template, label, unnest(string_split(words, ' ')) AS word FROM templates
+), sizes AS (
+  SELECT template, count(*) AS size FROM template_words GROUP BY template
+), lines AS (
+  SELECT doc_id, unnest(string_split({_LOWER}, chr(10))) AS block, generate_subscripts(string_split({_LOWER}, chr(10)), 1) AS line FROM documents
+), line_words AS (
+  SELECT DISTINCT doc_id, line, unnest(regexp_extract_all(block, '{_WORD}')) AS word FROM lines
+), shared AS (
+  SELECT doc_id, line, t.template, any_value(t.label) AS label, count(*) AS n FROM line_words JOIN template_words t USING (word) GROUP BY doc_id, line, t.template
+), matches AS (
+  SELECT doc_id, label, n / size AS containment FROM shared JOIN sizes USING (template) WHERE n >= ceil({licenses.CONTAINMENT} * size - 1e-9)
+), base AS (
+  SELECT doc_id, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM places GROUP BY doc_id
+), all_labels AS (
+  SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM places UNION SELECT doc_id, label FROM matches) l GROUP BY doc_id
+), best AS (
+  SELECT doc_id, max(containment) AS score FROM matches GROUP BY doc_id
+)
+SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word,
+  CAST(last_word AS BIGINT) AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CAST(coalesce(score, 0) AS DOUBLE) AS score
+FROM words w LEFT JOIN base ON base.doc_id = w.doc_id LEFT JOIN all_labels a ON a.doc_id = w.doc_id LEFT JOIN best ON best.doc_id = w.doc_id
+"""
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_removed", "text")
+
+
+OP5_SQL = """
+WITH lines AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents
+), windows AS (
+  SELECT doc_id, pos, line, lead(line, 1) OVER d AS line2, lead(line, 2) OVER d AS line3 FROM lines WINDOW d AS (PARTITION BY doc_id ORDER BY pos)
+), numbered AS (
+  SELECT doc_id, pos, row_number() OVER (PARTITION BY line, line2, line3 ORDER BY doc_id, pos) AS n FROM windows WHERE line3 IS NOT NULL
+), covered AS (
+  SELECT DISTINCT doc_id, pos + range AS pos FROM numbered, range(3) WHERE n > 1
+), kept AS (
+  SELECT l.doc_id, string_agg(line, chr(10) ORDER BY l.pos) AS text FROM lines l LEFT JOIN covered c ON c.doc_id = l.doc_id AND c.pos = l.pos
+  WHERE c.pos IS NULL GROUP BY l.doc_id
+), counts AS (
+  SELECT doc_id, count(*) AS n FROM covered GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(CASE WHEN d.text IS NULL THEN 0 ELSE len(string_split(d.text, chr(10))) END AS INTEGER) AS n_lines,
+  CAST(coalesce(n, 0) AS INTEGER) AS n_removed, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text
+FROM documents d LEFT JOIN kept k ON k.doc_id = d.doc_id LEFT JOIN counts c ON c.doc_id = d.doc_id
+"""
+
 SHARDS = 8
 
 
@@ -82,6 +153,34 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "n_shared", "n_item", "containment")
+
+
+def _shingle_sql(name: str, key: str, source: str) -> str:
+    return f"""{name}_words AS (
+  SELECT {key}, regexp_extract_all({_LOWER}, '{_WORD}') AS w FROM {source}
+), {name}_each AS (
+  SELECT {key}, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM {name}_words
+), {name}_runs AS (
+  SELECT {key}, word || ' ' || lead(word, 1) OVER d || ' ' || lead(word, 2) OVER d || ' ' || lead(word, 3) OVER d || ' ' || lead(word, 4) OVER d AS shingle
+  FROM {name}_each WINDOW d AS (PARTITION BY {key} ORDER BY pos)
+), {name} AS (
+  SELECT DISTINCT {key}, shingle FROM {name}_runs WHERE shingle IS NOT NULL
+)"""
+
+
+OP9_SQL = f"""
+WITH {_shingle_sql("docs", "doc_id", "documents")}, {_shingle_sql("items", "item_id", "benchmark")}, sizes AS (
+  SELECT item_id, count(*) AS n_item FROM items GROUP BY item_id
+), shared AS (
+  SELECT doc_id, item_id, count(*) AS n_shared FROM docs JOIN items USING (shingle) GROUP BY doc_id, item_id
+)
+SELECT doc_id, item_id, n_shared, n_item, n_shared / n_item AS containment FROM shared JOIN sizes USING (item_id) WHERE n_shared * 5 >= n_item * 4
+"""
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=1, with_ids=False)
 
@@ -90,11 +189,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_token_blocks": op2_token_blocks,
     "op3_chat": op3_chat,
+    "op4_licenses": op4_licenses,
+    "op5_line_dedup": op5_line_dedup,
     "op7_sharding": op7_sharding,
     "op8_simhash": op8_simhash,
+    "op9_decontamination": op9_decontamination,
     "op10_packing": op10_packing,
 }
 
 SQL: dict[str, str] = {
     "op3_chat": OP3_SQL,
+    "op4_licenses": OP4_SQL,
+    "op5_line_dedup": OP5_SQL,
+    "op9_decontamination": OP9_SQL,
 }
