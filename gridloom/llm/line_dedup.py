@@ -60,3 +60,10 @@ def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     kept = [text.alias(c) if c == text_column else F.col(f"`{c}`") for c in docs.columns]
     n_lines = F.coalesce(F.when(F.col(f"`{text_column}`").isNotNull(), F.size(lines)), F.lit(0))
     return found.select(*kept, n_lines.alias("n_lines"), F.coalesce(F.when(F.col("_covered").isNotNull(), F.size("_covered")), F.lit(0)).alias("n_removed"))
+
+
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """The documents with their columns, without repeated lines; those left with none go."""
+    found = dedup_lines(docs)
+    gone = (F.col("n_removed") > 0) & (F.col("n_removed") == F.col("n_lines"))
+    return found.where(~gone).select(*docs.columns)

@@ -147,3 +147,12 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     alone = classes.join(roots, classes["print"] == roots["node"], "left_anti").select("print", F.col("least").alias("component_id"))
     found = each.join(named.union(alone), "print")
     return found.select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """One document of each component, the one with the least id, with its columns.
+
+    Of rows that share that id one stays.
+    """
+    first = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
+    return docs.join(first, docs["doc_id"].eqNullSafe(first["_id"]), "left_semi").dropDuplicates(["doc_id"])
