@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, licenses, line_dedup, packing, quality, sharding, simhash, token_blocks
+from . import chat, decontam, licenses, line_dedup, packing, quality, sharding, simhash, suffix_dedup, token_blocks
 from .common import table, written
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -142,6 +142,10 @@ SELECT d.doc_id, CAST(CASE WHEN d.text IS NULL THEN 0 ELSE len(string_split(d.te
 FROM documents d LEFT JOIN kept k ON k.doc_id = d.doc_id LEFT JOIN counts c ON c.doc_id = d.doc_id
 """
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup_substrings(table(spark, sf_dir, "documents"))
+
+
 SHARDS = 8
 
 
@@ -191,6 +195,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_chat": op3_chat,
     "op4_licenses": op4_licenses,
     "op5_line_dedup": op5_line_dedup,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_sharding": op7_sharding,
     "op8_simhash": op8_simhash,
     "op9_decontamination": op9_decontamination,
