@@ -66,3 +66,11 @@ def columns(docs: DataFrame, **named: str) -> DataFrame:
     Extra columns of the input, whatever their names, never meet internal ones.
     """
     return docs.select(*[F.col(f"`{source}`").alias(name) for name, source in named.items()])
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """`name`, with underscores ahead of it until no column of `df` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name

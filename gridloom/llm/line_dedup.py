@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns
+from .common import columns, fresh
 
 WINDOW_LINES = 3
 
@@ -47,23 +47,30 @@ def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     Lines are cut at \\n.  Texts of fewer than three lines and null texts (no lines)
     stay as they are; a text that loses all its lines is empty.  Rows equal in id and
     text are one document and stay alike; of equal texts under different ids the least
-    id keeps its lines.  The input must not have columns n_lines and n_removed of its
-    own; other extra columns are carried along.
+    id keeps its lines.  Extra columns are carried along, but n_lines and n_removed of
+    the input give way to the operator's.
     """
-    text_hash = F.xxhash64(F.col(f"`{text_column}`"))
-    covered = covered_lines(columns(docs, doc_id=id_column, text=text_column).withColumn("text_hash", F.xxhash64("text")))
-    covered = covered.select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash"), F.col("covered").alias("_covered"))
-    found = docs.join(covered, F.col(f"`{id_column}`").eqNullSafe(F.col("_doc")) & (text_hash == F.col("_hash")), "left")
-    lines = F.split(F.col(f"`{text_column}`"), "\n", -1)
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "_covered")
-    text = F.when(F.col("_covered").isNull(), F.col(f"`{text_column}`")).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
-    kept = [text.alias(c) if c == text_column else F.col(f"`{c}`") for c in docs.columns]
-    n_lines = F.coalesce(F.when(F.col(f"`{text_column}`").isNotNull(), F.size(lines)), F.lit(0))
-    return found.select(*kept, n_lines.alias("n_lines"), F.coalesce(F.when(F.col("_covered").isNotNull(), F.size("_covered")), F.lit(0)).alias("n_removed"))
+    found, n_lines, n_removed = _deduped(docs, id_column, text_column)
+    own = [F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "n_removed")]
+    return found.select(*own, F.col(n_lines).alias("n_lines"), F.col(n_removed).alias("n_removed"))
+
+
+def _deduped(docs: DataFrame, id_column: str, text_column: str) -> tuple[DataFrame, str, str]:
+    """`docs` with the new text and, under two names that it doesn't have, the counts."""
+    key, mark, covered, n_lines, n_removed = (fresh(docs, x) for x in ("_doc", "_hash", "_covered", "_n_lines", "_n_removed"))
+    text = F.col(f"`{text_column}`")
+    gone = covered_lines(columns(docs, doc_id=id_column, text=text_column).withColumn("text_hash", F.xxhash64("text"))).toDF(key, mark, covered)
+    found = docs.join(gone, F.col(f"`{id_column}`").eqNullSafe(F.col(key)) & (F.xxhash64(text) == F.col(mark)), "left")
+    lines = F.split(text, "\n", -1)
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), covered)
+    left = F.when(F.col(covered).isNull(), text).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
+    kept = [left.alias(c) if c == text_column else F.col(f"`{c}`") for c in docs.columns]
+    count = F.coalesce(F.when(text.isNotNull(), F.size(lines)), F.lit(0))
+    return found.select(*kept, count.alias(n_lines), F.coalesce(F.when(F.col(covered).isNotNull(), F.size(covered)), F.lit(0)).alias(n_removed)), n_lines, n_removed
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """The documents with their columns, without repeated lines; those left with none go."""
-    found = dedup_lines(docs)
-    gone = (F.col("n_removed") > 0) & (F.col("n_removed") == F.col("n_lines"))
-    return found.where(~gone).select(*docs.columns)
+    found, n_lines, n_removed = _deduped(docs, "doc_id", "text")
+    gone = (F.col(n_removed) > 0) & (F.col(n_removed) == F.col(n_lines))
+    return found.where(~gone).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -13,8 +13,8 @@ is a running total over (part, source) rows.
 
 Without targets the shares are those of the corpus and every window has them.  With
 targets, they hold until a queue is empty; then the other queues' targets are scaled
-to fill the windows, and so on: a few phases, each a whole number of windows but the
-last.  Sources below MIN_SHARE of the ids follow one another in one queue.
+to fill the windows, and so on: a few phases, as many as there are queues or so.
+Sources below MIN_SHARE of the ids follow one another in one queue.
 """
 
 from __future__ import annotations
@@ -36,6 +36,8 @@ from .tokens import encoder
 LENGTH = 2048
 #: Least share of a queue of its own; fewer than 512 queues follow from it.
 MIN_SHARE = Fraction(1, 512)
+#: Ids of a window that a queue has at least where several fill it.
+LEAST_IDS = 4
 
 ENCODED = "part int, source string, doc_id long, before long, n_tokens long, ids binary"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -44,30 +46,42 @@ Phase = tuple[int, list[int]]  # first id of the phase among all; ids of each qu
 
 
 def phases(sizes: list[int], targets: list[Fraction] | None, length: int = LENGTH) -> list[Phase]:
-    """How many ids of each queue go to each phase; sums to `sizes` over phases."""
-    if targets is None:
-        return [(0, list(sizes))]
+    """How many ids of each queue go to each phase; sums to `sizes` over phases.
+
+    Queues that share a phase have LEAST_IDS ids of a window each, which keeps the closed
+    form from taking ids back.  A queue with less, or with less left than a window
+    needs of it, is served alone.  Queues without a target wait for those with one.
+    """
     left, at, out = list(sizes), 0, []
+
+    def serve(take: dict[int, int]) -> None:
+        nonlocal at
+        out.append((at, [take.get(j, 0) for j in range(len(left))]))
+        at += sum(take.values())
+        for j, n in take.items():
+            left[j] -= n
+
     while any(left):
-        live = [j for j, n in enumerate(left) if n]
-        total = sum(targets[j] for j in live)
-        share = {j: targets[j] / total if total else Fraction(left[j], sum(left)) for j in live}
-        ends = [left[j] / share[j] for j in live if share[j]]
-        windows = int(min(ends)) // length
-        if len(ends) < len(live):  # queues without a target wait until the others are empty
-            live = [j for j in live if share[j]]
-        take = [0] * len(left)
-        if windows:
-            served = Fraction(0)
-            for j in live:  # the closed form again, over one long window
-                before, served = served, served + share[j] * windows * length
-                take[j] = min(left[j], int(served) - int(before))
-        if sum(take) != windows * length or not windows:
-            take = list(left)  # less than a window of the scarcest queue: the rest in its own proportions
-        out.append((at, take))
-        at += sum(take)
-        left = [a - b for a, b in zip(left, take, strict=True)]
-    return out
+        wanted = {j: targets[j] if targets else Fraction(n) for j, n in enumerate(left) if n}
+        if not any(wanted.values()):
+            wanted = {j: Fraction(left[j]) for j in wanted}
+        total = sum(wanted.values())
+        share = {j: w / total for j, w in wanted.items() if w}
+        scarce = min(share, key=lambda j: left[j] / share[j])
+        windows = int(left[scarce] / share[scarce]) // length
+        if small := [j for j, s in share.items() if s * length < LEAST_IDS and s < 1]:
+            serve({small[0]: left[small[0]]})
+        elif all(s * sum(left[k] for k in share) == left[j] for j, s in share.items()):
+            serve({j: left[j] for j in share})  # in proportion to the end
+        elif not windows:
+            serve({scarce: left[scarce]})
+        else:
+            take, served = {}, Fraction(0)
+            for j, s in share.items():  # the closed form over these windows
+                before, served = served, served + s * windows * length
+                take[j] = int(served) - int(before)
+            serve(take)
+    return out or [(0, left)]
 
 
 class Plan:
@@ -164,7 +178,8 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int = 1,
     totals = table.groupBy("part", "source").agg(F.sum("n_tokens").alias("n"))
     total = totals.agg(F.sum("n")).first()[0] or 0
     sums = totals.groupBy("source").agg(F.sum("n").alias("n"))
-    least = -(-total * MIN_SHARE.numerator // MIN_SHARE.denominator)
+    share = max(MIN_SHARE, Fraction(LEAST_IDS, length))
+    least = -(-total * share.numerator // share.denominator)
     own = {r.source: r.n for r in sums.where(F.col("n") >= least).orderBy("source").collect()}  # under 512 rows
     queues, sizes = {s: j for j, s in enumerate(own)}, list(own.values())
     if sum(sizes) < total:
@@ -176,8 +191,10 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int = 1,
     wanted = None
     if targets is not None:
         by_queue = [Fraction(0)] * len(sizes)
-        for source, share in targets.items():
-            by_queue[queues.get(source, rest)] += Fraction(share)
+        for source, weight in targets.items():
+            by_queue[queues.get(source, rest)] += Fraction(weight)
+        if any(0 < w * length < LEAST_IDS * sum(by_queue) for w in by_queue):
+            raise ValueError(f"a target must give {LEAST_IDS} ids of a window at least")
         wanted = by_queue
     plan = Plan(phases(sizes, wanted, length), length)
     queue = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in queues.items() for x in kv]), F.col("source")), F.lit(rest)) if queues else F.lit(rest)

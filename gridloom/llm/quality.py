@@ -26,14 +26,17 @@ _WHITE = " \t\n\v\f\r"
 
 #: The forest: trees, rows a tree, and the documents (those with the least hashes) it is grown on.
 TREES, TREE_ROWS, SAMPLE_ROWS = 100, 256, 25_600
-#: The threshold is the least at which no more than this share of labelled good documents goes.
-MAX_GOOD_LOSS = 0.002
+#: No threshold takes more than this share of the labelled good documents.
+MAX_GOOD_LOSS = 0.005
 #: Scores are compared in steps of 1 / SCORE_STEPS.
 SCORE_STEPS = 1000
 
 STATISTICS = "doc_id long, text_hash long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_stutters long"
-#: What the forest sees.
-FEATURES = ("word_length", "symbols_per_word", "duplicate_line_share", "repeated_word_share", "stutter_share")
+#: What the forest sees: by how much a statistic exceeds what ordinary text has.  Below the
+#: allowance all documents are alike, so that common, harmless variation isn't isolated.
+FEATURES = ("symbols_per_word", "symbol_share", "stutter_share", "duplicate_line_share", "short_words", "long_words")
+ALLOWED_SYMBOLS_PER_WORD, ALLOWED_SYMBOL_SHARE, ALLOWED_STUTTERS, ALLOWED_DUPLICATE_LINES = 0.1, 0.02, 0.1, 0.5
+MIN_WORD_LENGTH, MAX_WORD_LENGTH = 3.0, 10.0
 
 
 def _repeat_words(words: Sequence[bytes], hashes: np.ndarray) -> int:
@@ -95,7 +98,16 @@ def base_failed():
 
 def features(stats: DataFrame) -> DataFrame:
     share = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0)).cast("double")
-    made = [share("word_chars", "n_words"), share("n_symbols", "n_words"), share("n_dup_lines", "n_lines"), share("n_repeat_words", "n_words"), share("n_stutters", "n_words")]
+    over = lambda x, allowed: F.greatest(x - F.lit(allowed), F.lit(0.0))
+    length = share("word_chars", "n_words")
+    made = [
+        over(share("n_symbols", "n_words"), ALLOWED_SYMBOLS_PER_WORD),
+        over(share("n_symbols", "word_chars"), ALLOWED_SYMBOL_SHARE),
+        over(share("n_stutters", "n_words"), ALLOWED_STUTTERS),
+        over(share("n_dup_lines", "n_lines"), ALLOWED_DUPLICATE_LINES),
+        F.greatest(F.lit(MIN_WORD_LENGTH) - length, F.lit(0.0)),
+        over(length, MAX_WORD_LENGTH),
+    ]
     return stats.withColumns(dict(zip(FEATURES, made, strict=True)))
 
 
@@ -170,22 +182,26 @@ def scored(stats: DataFrame, forest: Forest) -> DataFrame:
 
 
 def threshold(scored_rows: DataFrame, labels: DataFrame, max_good_loss: float = MAX_GOOD_LOSS) -> int:
-    """The least step at which at most `max_good_loss` of the labelled good rows go.
+    """The step from which documents go: it best separates labelled good and bad documents.
 
-    Counts all labelled documents that pass the fixed rules, by step and label: at
-    most 2 * (SCORE_STEPS + 1) rows come to the driver.  A document with several
-    labels is bad if one says so.  Without good labels nothing is rejected.
+    That is, the share of bad ones that go less the share of good ones is largest, of
+    steps at which at most `max_good_loss` of the good ones go; of equal steps the
+    middle one.  Counts cover all labelled documents that pass the fixed rules, by step
+    and label: at most 2 * (SCORE_STEPS + 1) rows come to the driver.  A document with
+    several labels is bad if one says so.  Without labels of both kinds nothing goes.
     """
     marks = labels.groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    rows = scored_rows.where(~base_failed()).join(marks, "doc_id").where("quality > 0")
-    counts = {r.score_step: r.n for r in rows.groupBy("score_step").agg(F.count("*").alias("n")).collect()}
-    lost, step, allowed = 0, SCORE_STEPS + 1, int(max_good_loss * sum(counts.values()))
-    if not counts:
-        return step
-    while step > 0 and lost + counts.get(step - 1, 0) <= allowed:
-        step -= 1
-        lost += counts.get(step, 0)
-    return step
+    rows = scored_rows.where(~base_failed()).join(marks, "doc_id").where("quality is not null")
+    counts = np.zeros((2, SCORE_STEPS + 2))
+    for r in rows.groupBy("score_step", (F.col("quality") > 0).cast("int").alias("good")).agg(F.count("*").alias("n")).collect():
+        counts[r.good, r.score_step] = r.n
+    bad, good = counts.sum(axis=1)
+    if not bad or not good:
+        return SCORE_STEPS + 1
+    gone = np.cumsum(counts[:, ::-1], axis=1)[:, ::-1]
+    gain = np.where(gone[1] <= max_good_loss * good, gone[0] / bad - gone[1] / good, -1)
+    best = np.flatnonzero(gain == gain.max())
+    return int(best[(len(best) - 1) // 2])
 
 
 def judge(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import columns, written
+from .common import columns, fresh, written
 
 #: Hex digits of the hash that split a shard into ordered buckets for numbering.
 BUCKET_DIGITS = 3
@@ -70,6 +70,6 @@ def assign(docs: DataFrame, weights: Sequence[float], added_weight: float = 1.0,
 
 
 def write_shards(docs: DataFrame, weights: Sequence[float], path: str, id_column: str = "doc_id") -> None:
-    """Write the records themselves, a folder for each shard, with all their columns."""
-    key = F.col(f"`{id_column}`").cast("string")
-    docs.withColumn("_shard", shard_of(key, weights)).write.partitionBy("_shard").parquet(path)
+    """Write the records themselves, a folder `shard=N` for each shard, with all their columns."""
+    key, name = F.col(f"`{id_column}`").cast("string"), fresh(docs, "shard")
+    docs.withColumn(name, shard_of(key, weights)).write.partitionBy(name).parquet(path)

@@ -77,6 +77,8 @@ class Encoder:
         self.n_units += len(got)
 
     def _plain(self, texts: list[str]) -> list[np.ndarray]:
+        if not texts:
+            return []
         if len(self.index) > self.cache_units:
             self._reset()
         units = [_UNITS.findall(x) for x in texts]
@@ -84,9 +86,9 @@ class Encoder:
         self._learn()
         first, n = self.start[number], self.start[number + 1] - self.start[number]
         ends = np.cumsum(n)
-        ids = self.flat[np.repeat(first - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
-        cuts = np.concatenate([[0], ends])[np.cumsum([len(x) for x in units])]
-        return np.split(ids, cuts[:-1]) if len(cuts) else []
+        ids = self.flat[np.repeat(first - (ends - n), n) + np.arange(n.sum())]
+        cuts = np.concatenate([[0], ends])[np.cumsum(list(map(len, units)))]
+        return np.split(ids, cuts[:-1])
 
     def encode(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
         """A uint32 array of ids for each text; a null text is an empty one."""
