@@ -39,3 +39,10 @@ def round_trip_error(fact: Factorization, vector: DataFrame) -> float:
     gap = F.abs(F.col("x") - F.col("back"))
     gap = F.when(F.isnan(gap) | gap.isNull() | (gap == float("inf")), 1e30).otherwise(gap)
     return round_trip(fact, vector).agg(F.max(gap)).first()[0] or 0.0
+
+
+def sanity_error(fact: Factorization, vector: DataFrame) -> float:
+    """The largest difference between a vector and the product of its solution."""
+    back = fact.multiply(fact.solve(vector)).withColumnRenamed("x", "y")
+    gap = F.abs(F.col("x") - F.col("y"))
+    return vector.join(back, "id").agg(F.max(F.when(F.isnan(gap) | gap.isNull(), 1e30).otherwise(gap))).first()[0] or 0.0

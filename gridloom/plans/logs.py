@@ -32,7 +32,7 @@ def lines(spark: SparkSession, path: str, pattern: str = "*.out") -> DataFrame:
     A log is read whole, which keeps the order of its lines; it is as long as one run
     of a benchmark prints.
     """
-    whole = spark.read.option("wholetext", True).option("pathGlobFilter", pattern).text(path)
+    whole = spark.read.option("pathGlobFilter", pattern).text(path, wholetext=True)
     return numbered(whole.select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file"), "value"))
 
 

@@ -14,7 +14,7 @@ def sample_stream(spark: SparkSession, path: str, pattern: str = "*.out") -> Dat
     Files must be complete when they appear (written elsewhere, then moved).  Markers
     hold inside a file only, so no state is kept between files.
     """
-    files = spark.readStream.option("wholetext", True).option("pathGlobFilter", pattern).text(path)
+    files = spark.readStream.option("pathGlobFilter", pattern).text(path, wholetext=True)
     split = files.select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file"), F.split("value", "\r?\n").alias("all"))
     workers = F.try_element_at(F.filter("all", lambda v: v.rlike(logs.WORKERS)), F.lit(-1))
     filled = F.aggregate(
