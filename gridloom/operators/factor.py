@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import use_package, written
 from . import kernels
-from .blocks import block_levels, block_of, classify, needs, permutation, permuted
+from .blocks import block_levels, block_of, classify, first_row, needs, permutation, permuted
 from .matrix import SparseMatrix
 
 LU = "row long, col long, val double, a0 double, block int, is_sep boolean, before double, skipped int"
@@ -50,15 +50,15 @@ def _interior(table: pa.Table) -> pa.Table:
 
 
 def _sweep(table: pa.Table, ghosts: pa.Table) -> pa.Table:
+    """Separator rows of a block from their original values and the pivot rows they need."""
     if not table.num_rows:
-        return pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int32(), pa.bool_(), pa.float64(), pa.int32())], names=_NAMES)
+        kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int32(), pa.bool_(), pa.float64(), pa.int32())
+        return pa.table([pa.array([], t) for t in kinds], names=_NAMES)
     table = table.sort_by([("row", "ascending"), ("col", "ascending")])
-    row, col, val, a0, is_sep, old_skips = _columns(table, "row", "col", "val", "a0", "is_sep", "skipped")
-    inner = kernels.rows_of(row[~is_sep], col[~is_sep], val[~is_sep])
-    outer = kernels.rows_of(row[is_sep], col[is_sep], a0[is_sep])
-    skipped = kernels.eliminate(outer, inner | kernels.rows_of(*_columns(ghosts, "g_row", "g_col", "g_val")))
-    skipped |= {int(r): int(s) for r, s in zip(row[~is_sep], old_skips[~is_sep], strict=True) if s}
-    return _lu_table(inner | outer, table, skipped, val)
+    row, col, val, a0 = _columns(table, "row", "col", "val", "a0")
+    rows = kernels.rows_of(row, col, a0)
+    skipped = kernels.eliminate(rows, kernels.rows_of(*_columns(ghosts, "g_row", "g_col", "g_val")))
+    return _lu_table(rows, table, skipped, val)
 
 
 @dataclass(frozen=True)
@@ -156,24 +156,29 @@ def factorize(matrix: SparseMatrix, num_blocks: int = 1, tol: float = 1e-12, cla
     matrix = SparseMatrix(entries, n)
     perm = written(permutation(classify(matrix, num_blocks, classify_mode), n, num_blocks), "perm")
     placed = permuted(matrix, perm).select("row", "col", F.col("val").alias("a0"), "block", "is_sep")
-    lu = written(placed.groupBy("block").applyInArrow(_interior, LU), "interior")
-    need = written(needs(lu, n, num_blocks).select(F.col("block").alias("g_block"), F.col("col").alias("g_row")), "need")
-    sweeps, change = 0, None
-    separators = need.limit(1).count()
+    started = written(placed.groupBy("block").applyInArrow(_interior, LU), "interior")
+    inner, outer = started.where(~F.col("is_sep")), started.where("is_sep")
+    as_ghosts = lambda lu: lu.where("col >= row").select(F.col("row").alias("g_row"), F.col("col").alias("g_col"), F.col("val").alias("g_val"))
+    # what separators eliminate with: interior rows don't change, so their copies are made once
+    wanted = written(outer.where("col < row").select(F.col("block").alias("g_block"), F.col("col").alias("g_row")).distinct(), "need")
+    remote = wanted.where(F.col("g_row") < first_row("g_block", n, num_blocks))
+    still = written(as_ghosts(inner).join(wanted, "g_row").select("g_block", "g_row", "g_col", "g_val"), "pivots")
+    separators, sweeps = outer.limit(1).count(), 0
     while True:
         sweeps += 1
         if separators:
-            upper = lu.where("col >= row").select(F.col("row").alias("g_row"), F.col("col").alias("g_col"), F.col("val").alias("g_val"))
-            ghosts = upper.join(need, "g_row").select("g_block", "g_row", "g_col", "g_val")
-            lu = written(lu.groupBy("block").cogroup(ghosts.groupBy("g_block")).applyInArrow(_sweep, LU), "sweep")
-        one = lu.agg(F.max(F.abs(F.col("val") - F.col("before"))), F.max((F.isnan("val") | (F.abs("val") == float("inf"))).cast("int")), F.sum("skipped")).first()
-        change, bad, skipped = one
-        if bad:
-            raise FloatingPointError("the factors hold values that aren't finite")
+            moving = as_ghosts(outer).join(remote, "g_row").select("g_block", "g_row", "g_col", "g_val")
+            ghosts = still.unionByName(moving)
+            outer = written(outer.groupBy("block").cogroup(ghosts.groupBy("g_block")).applyInArrow(_sweep, LU), "sweep")
+        change = outer.agg(F.max(F.abs(F.col("val") - F.col("before")))).first()[0]
         if not separators or not change or change < tol:
             break
         if sweeps > num_blocks + 1:
             raise RuntimeError(f"sweeps still change values by {change} after {sweeps}")
+    lu = inner.unionByName(outer)
+    bad, skipped = lu.agg(F.max((F.isnan("val") | (F.abs("val") == float("inf"))).cast("int")), F.sum("skipped")).first()
+    if bad:
+        raise FloatingPointError("the factors hold values that aren't finite")
     return Factorization(n, num_blocks, lu, perm, sweeps, int(skipped or 0), missing_diag)
 
 
