@@ -72,14 +72,20 @@ def needs(entries: DataFrame, n: int, num_blocks: int, upper: bool = False) -> D
     return entries.where(beyond).select("block", "col").distinct()
 
 
-def block_levels(need: DataFrame, n: int, num_blocks: int) -> list[list[int]]:
-    """Blocks in rounds: each only needs blocks of rounds before.  At most P^2 pairs are collected."""
-    pairs = need.select("block", block_of("col", n, num_blocks).alias("on")).distinct().collect()
-    level = [0] * num_blocks
-    downwards = any(p["on"] > p["block"] for p in pairs)
+def levels(need: DataFrame, count: int) -> list[list[int]]:
+    """Numbers 0 to count - 1 in rounds: each only needs (half, n_half) some of rounds before.
+
+    Distinct pairs of numbers are collected: at most the square of `count`.
+    """
     on: dict[int, list[int]] = {}
-    for p in pairs:
-        on.setdefault(p["block"], []).append(p["on"])
-    for b in range(num_blocks - 1, -1, -1) if downwards else range(num_blocks):
-        level[b] = 1 + max((level[x] for x in on.get(b, [])), default=-1)
-    return [[b for b in range(num_blocks) if level[b] == k] for k in range(max(level) + 1)]
+    for p in need.select("half", "n_half").distinct().collect():
+        on.setdefault(p["half"], []).append(p["n_half"])
+    rounds, done, left = [], set(), set(range(count))
+    while left:
+        ready = sorted(h for h in left if done.issuperset(on.get(h, ())))
+        if not ready:
+            raise ValueError("blocks need each other in a circle")
+        rounds.append(ready)
+        done.update(ready)
+        left.difference_update(ready)
+    return rounds

@@ -15,12 +15,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.shared import use_package, written
 from . import kernels
-from .blocks import block_levels, block_of, classify, first_row, needs, permutation, permuted
+from .blocks import classify, first_row, levels, permutation, permuted
 from .matrix import SparseMatrix
 
 LU = "row long, col long, val double, a0 double, block int, is_sep boolean, before double, skipped int"
@@ -61,18 +61,31 @@ def _sweep(table: pa.Table, ghosts: pa.Table) -> pa.Table:
     return _lu_table(rows, table, skipped, val)
 
 
+def _half(block: str, is_sep: str) -> Column:
+    """Interior rows of block b are half 2b, its separators half 2b + 1."""
+    return F.col(block) * 2 + F.col(is_sep).cast("int")
+
+
 @dataclass(frozen=True)
 class Factorization:
-    """LU in one table of permuted ids: left of the diagonal L (its diagonal is 1), the rest U."""
+    """LU in permuted ids: left of the diagonal L (its diagonal is 1), the rest U.
+
+    `inner` holds interior rows, `outer` separator rows; `lu` is both.
+    """
 
     n: int
     num_blocks: int
-    lu: DataFrame
+    inner: DataFrame
+    outer: DataFrame
     perm: DataFrame
     sweeps: int
     skipped: int
     missing_diag: str = "raise"
 
+    @property
+    def lu(self) -> DataFrame:
+        return self.inner.unionByName(self.outer)
+
     def unpermuted(self) -> DataFrame:
         """(row, col, val) in original ids."""
         new = self.perm.select("old_id", "new_id")
@@ -82,7 +95,7 @@ class Factorization:
     def _moved(self, vector: DataFrame) -> DataFrame:
         """A vector (id, x) by new ids, with blocks; places that it lacks are 0."""
         whole = self.perm.join(vector, F.col("old_id") == F.col("id"), "left")
-        return whole.select(F.col("new_id").alias("id"), F.coalesce("x", F.lit(0.0)).alias("x"), "block")
+        return whole.select(F.col("new_id").alias("id"), F.coalesce("x", F.lit(0.0)).alias("x"), "block", "is_sep")
 
     def _back(self, vector: DataFrame) -> DataFrame:
         return vector.join(self.perm.select("old_id", F.col("new_id").alias("id")), "id").select(F.col("old_id").alias("id"), "x")
@@ -98,34 +111,45 @@ class Factorization:
         return self._back(y)
 
     def _substitute(self, vector: DataFrame, upper: bool) -> DataFrame:
-        """One triangular solve: blocks in rounds, each after those that it needs."""
-        part = self.lu.where("col >= row" if upper else "col < row").select("row", "col", "val", "block")
-        need = written(needs(part, self.n, self.num_blocks, upper), "need")
+        """One triangular solve, in rounds of half blocks: interior rows or separators of a block.
+
+        Interior rows of all blocks are one round; separators follow each other as far as
+        they refer to each other.  A round reads its own rows and the values they need.
+        """
+        halves, half = self.perm.select(F.col("new_id").alias("n_id"), _half("block", "is_sep").alias("n_half")), _half("block", "is_sep")
+        inside = F.col("col") >= F.col("row") if upper else F.col("col") < F.col("row")
+        parts = [lu.where(inside).select("row", "col", "val", half.alias("half")) for lu in (self.inner, self.outer)]
+        refers = parts[0].unionByName(parts[1]).select("half", "col").distinct().join(halves, F.col("col") == F.col("n_id"))
+        need = written(refers.where("half <> n_half").select("half", "col", "n_half"), "need")
         missing = self.missing_diag
 
         def solve(entries: pa.Table, values: pa.Table) -> pa.Table:
-            own, ids, x, block = _columns(values, "own", "v_id", "v_x", "v_block")
+            own, ids, x = _columns(values, "own", "v_id", "v_x")
             known = dict(zip(ids.tolist(), x.tolist(), strict=True))
             rows = ids[own].tolist()
             triangle = kernels.rows_of(*_columns(entries, "row", "col", "val"))
             found = kernels.backward(triangle, known, rows, missing) if upper else kernels.forward(triangle, known, rows)
-            return pa.table({"id": pa.array(list(found), pa.int64()), "x": pa.array(list(found.values()), pa.float64()), "block": pa.array([block[own][0]] * len(rows) if rows else [], pa.int32())})
+            return pa.table({"id": pa.array(list(found), pa.int64()), "x": pa.array(list(found.values()), pa.float64())})
 
+        vector = written(vector.select("id", "x", half.alias("half")), "vector")
         done: DataFrame | None = None
-        for blocks in block_levels(need, self.n, self.num_blocks):
-            mine = vector.where(F.col("block").isin(blocks)).select(F.lit(True).alias("own"), F.col("id").alias("v_id"), F.col("x").alias("v_x"), F.col("block").alias("v_block"))
+        for round_ in levels(need, 2 * self.num_blocks):
+            mine = vector.where(F.col("half").isin(round_)).select(F.lit(True).alias("own"), F.col("id").alias("v_id"), F.col("x").alias("v_x"), F.col("half").alias("v_half"))
             if done is not None:
-                others = need.where(F.col("block").isin(blocks)).withColumnRenamed("block", "n_block").join(done.select("id", "x"), F.col("col") == F.col("id"))
-                mine = mine.unionByName(others.select(F.lit(False).alias("own"), F.col("id").alias("v_id"), F.col("x").alias("v_x"), F.col("n_block").alias("v_block")))
-            entries = part.where(F.col("block").isin(blocks))
-            got = entries.groupBy("block").cogroup(mine.groupBy("v_block")).applyInArrow(solve, "id long, x double, block int")
+                others = need.where(F.col("half").isin(round_)).select(F.col("half").alias("v_half"), "col").join(done, F.col("col") == F.col("id"))
+                mine = mine.unionByName(others.select(F.lit(False).alias("own"), F.col("id").alias("v_id"), F.col("x").alias("v_x"), "v_half"))
+            kinds = {h % 2 for h in round_}
+            entries = parts[min(kinds)] if len(kinds) == 1 else parts[0].unionByName(parts[1])
+            got = entries.where(F.col("half").isin(round_)).groupBy("half").cogroup(mine.groupBy("v_half")).applyInArrow(solve, "id long, x double")
             got = written(got, "solved")
             done = got if done is None else done.unionByName(got)
         return done
 
     def solve(self, vector: DataFrame) -> DataFrame:
         """x with L U x = b.  A missing or zero pivot is an error, or 1 with missing_diag="one"."""
-        return self._back(self._substitute(self._substitute(self._moved(vector), False), True).select("id", "x"))
+        first = self._substitute(self._moved(vector), False)
+        placed = first.join(self.perm.select(F.col("new_id").alias("id"), "block", "is_sep"), "id")
+        return self._back(self._substitute(placed, True))
 
     def pivots(self) -> DataFrame:
         return self.lu.where("row = col").select(F.col("row").alias("id"), F.col("val").alias("pivot"))
@@ -179,7 +203,4 @@ def factorize(matrix: SparseMatrix, num_blocks: int = 1, tol: float = 1e-12, cla
     bad, skipped = lu.agg(F.max((F.isnan("val") | (F.abs("val") == float("inf"))).cast("int")), F.sum("skipped")).first()
     if bad:
         raise FloatingPointError("the factors hold values that aren't finite")
-    return Factorization(n, num_blocks, lu, perm, sweeps, int(skipped or 0), missing_diag)
-
-
-__all__ = ["Factorization", "block_of", "factorize"]
+    return Factorization(n, num_blocks, inner, outer, perm, sweeps, int(skipped or 0), missing_diag)
