@@ -4,22 +4,14 @@ from __future__ import annotations
 
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import block_of, first_row
 from ..sources.shared import use_package
 from .matrix import SparseMatrix
 
 
-def block_of(row: str, n: int, num_blocks: int) -> Column:
-    """The block of a row: block b has rows floor(b n / P) to floor((b + 1) n / P) - 1."""
-    return F.expr(f"cast((({row} + 1) * {num_blocks}L - 1) div {n}L as int)")
-
-
-def first_row(block: str, n: int, num_blocks: int) -> Column:
-    return F.expr(f"({block} * {n}L) div {num_blocks}L")
-
-
 def classify(matrix: SparseMatrix, num_blocks: int, mode: str = "direct") -> DataFrame:
     """(row, block, is_sep) of every row: separators have a column before their block.
 

@@ -22,6 +22,9 @@ PERF = r"^PERF,phase=(\w+),(.*)$"
 FAILED = r"^(CORRECTNESS|PERF RUN) (FAILED|TIMED OUT) for (\S+)"
 PASSED = r"^(TEST PASSED|OVERALL: PASSED)"
 OFFSET = r"_m(\d+)\.mtx$"
+STRICT = r"PERF,phase=(\w+),N=(\d+)(?:,nnz=(\d+))?,P=(\d+),time=([\d.eE+-]+)"
+RANKS = r"Workers \(MPI Ranks\):\s*(\d+)"
+MADE, VECTOR = r"RUNTIME_RECONSTRUCT_(\d+)_([0-9.]+)=([0-9.]+)", r"RUNTIME_VECTOR_(\d+)_([0-9.]+)=([0-9.]+)"
 PHASES = ("factorize", "multiply", "solve")
 UNKNOWN = "<unknown>"
 
@@ -167,9 +170,8 @@ def strict_summary(log_lines: DataFrame) -> DataFrame:
 
     Only lines in the exact order phase, N, nnz (may lack), P, time behind a matrix marker count.
     """
-    pattern = r"PERF,phase=(\w+),N=(\d+)(?:,nnz=(\d+))?,P=(\d+),time=([\d.eE+-]+)"
-    part = lambda i: F.regexp_extract("value", pattern, i)
-    rows = marked(log_lines).where(F.col("value").rlike(pattern) & (F.col("matrix") != UNKNOWN))
+    part = lambda i: F.regexp_extract("value", STRICT, i)
+    rows = marked(log_lines).where(F.col("value").rlike(STRICT) & (F.col("matrix") != UNKNOWN))
     rows = rows.select("file", "line_no", "matrix", part(1).alias("phase"), part(2).cast("long").alias("n"), F.nullif(part(3), F.lit("")).cast("long").alias("nnz"), part(4).cast("int").alias("ranks"), part(5).cast("double").alias("time_s"))
     place = F.struct("file", "line_no")
     ordered = F.array_sort(F.collect_list(F.struct("file", "line_no", "time_s")))
@@ -185,13 +187,12 @@ def runtimes(log_lines: DataFrame) -> DataFrame:
     "RUNTIME_VECTOR_100_0.1=0.5"; a vector line counts if the last timing line before
     it is a reconstruction of the same size and density.
     """
-    made, vector = r"RUNTIME_RECONSTRUCT_(\d+)_([0-9.]+)=([0-9.]+)", r"RUNTIME_VECTOR_(\d+)_([0-9.]+)=([0-9.]+)"
     order = Window.partitionBy("file").orderBy("line_no")
     so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = log_lines.withColumn("workers", F.last(_found(r"Workers \(MPI Ranks\):\s*(\d+)", 1), ignorenulls=True).over(so_far).cast("int"))
-    is_made = F.col("value").rlike(made)
-    timed = rows.where((is_made | F.col("value").rlike(vector)) & F.col("workers").isNotNull())
-    part = lambda i: F.when(is_made, F.regexp_extract("value", made, i)).otherwise(F.regexp_extract("value", vector, i))
+    rows = log_lines.withColumn("workers", F.last(_found(RANKS, 1), ignorenulls=True).over(so_far).cast("int"))
+    is_made = F.col("value").rlike(MADE)
+    timed = rows.where((is_made | F.col("value").rlike(VECTOR)) & F.col("workers").isNotNull())
+    part = lambda i: F.when(is_made, F.regexp_extract("value", MADE, i)).otherwise(F.regexp_extract("value", VECTOR, i))
     timed = timed.select("file", "line_no", "workers", is_made.alias("is_made"), part(1).cast("int").alias("size"), part(2).cast("double").alias("density"), part(3).cast("double").alias("time"))
     last = F.lag(F.struct("is_made", "size", "density", "time")).over(order)
     pairs = timed.withColumn("last", last).where("not is_made and last.is_made and last.size = size and last.density = density")
