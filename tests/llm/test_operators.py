@@ -6,7 +6,6 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
-import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import functions as F
