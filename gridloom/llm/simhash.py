@@ -152,7 +152,11 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
 def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each component, the one with the least id, with its columns.
 
-    Of rows that share that id one stays.
+    Of rows that share that id one stays; only tables with such rows pay for the second
+    shuffle that this takes.
     """
-    first = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(first, docs["doc_id"].eqNullSafe(first["_id"]), "left_semi").dropDuplicates(["doc_id"])
+    found = written(near_duplicates(docs), "near-duplicates")
+    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"))
+    again = first.groupBy("_id").count().where("count > 1").limit(1).count()
+    kept = docs.join(first, docs["doc_id"].eqNullSafe(first["_id"]), "left_semi")
+    return kept.dropDuplicates(["doc_id"]) if again else kept
