@@ -38,9 +38,9 @@ from .common import columns, use_package, written
 LENGTH = 400
 K = 32
 #: Bytes of a text looked at together, and bytes of classes sorted together.
-CHUNK_BYTES, BLOCK_BYTES = 2_000_000, 2_000_000
+CHUNK_BYTES, BLOCK_BYTES = 1_000_000, 1_000_000
 #: Classes of one minimizer that may meet in a block.
-BLOCK_CLASSES = 20_000
+BLOCK_CLASSES = 8_000
 
 _ODD = 0x9E3779B97F4A7C15
 _INVERSE = pow(_ODD, -1, 1 << 64)
@@ -130,17 +130,17 @@ def suffix_order(text: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     induced = used & ~small
 
     direct = np.flatnonzero(used & small)
-    ends = np.flatnonzero(text == 0)
-    stop = ends[np.searchsorted(ends, direct)]
-    raw = (text - 1).astype(np.uint8).tobytes()
-    strings = [raw[a:b] for a, b in zip(direct.tolist(), stop.tolist(), strict=True)]
-    direct = direct[sorted(range(len(strings)), key=strings.__getitem__)]
-    del strings
-
     first = text[direct]
     by_first = np.argsort(first, kind="stable")
     direct = direct[by_first]
     cuts = np.searchsorted(first[by_first], np.arange(258))
+    ends = np.flatnonzero(text == 0)
+    stop = ends[np.searchsorted(ends, direct)]
+    raw = (text - 1).astype(np.uint8).tobytes()
+    for low, high in zip(cuts[1:-1].tolist(), cuts[2:].tolist(), strict=True):  # strings of one bucket at a time
+        if high - low > 1:
+            strings = [raw[a:b] for a, b in zip(direct[low:high].tolist(), stop[low:high].tolist(), strict=True)]
+            direct[low:high] = direct[low:high][sorted(range(high - low), key=strings.__getitem__)]
     inbox: list[list[np.ndarray]] = [[] for _ in range(257)]
     order = []
     for c in range(257):
