@@ -26,8 +26,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns, use_package, written
+from .common import columns, fresh, use_package, written
 from .components import components
+from .near_copies import near_copies, text_hash
 
 SHINGLE_WORDS = 4
 SEED = 42
@@ -150,13 +151,18 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each component, the one with the least id, with its columns.
+    """One document of each component of near copies (five words, similarity 0.8), with its columns.
 
-    Of rows that share that id one stays; only tables with such rows pay for the second
-    shuffle that this takes.
+    The one with the least id stays, null last; of rows that share that id but not the
+    text the one with the least text hash, of equal rows one.  Rows that only share an
+    id, or have none, are different documents.
     """
-    found = written(near_duplicates(docs), "near-duplicates")
-    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"))
-    again = first.groupBy("_id").count().where("count > 1").limit(1).count()
-    kept = docs.join(first, docs["doc_id"].eqNullSafe(first["_id"]), "left_semi")
-    return kept.dropDuplicates(["doc_id"]) if again else kept
+    hash_ = fresh(docs, "_hash")
+    found = written(near_copies(docs), "near-copies")
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first"))
+    first = written(first.select(F.col("first.doc_id").alias("_first_id"), F.col("first.text_hash").alias("_first_hash")), "first")
+    same = F.col("doc_id").eqNullSafe(F.col("_first_id"))
+    again = found.join(first, same & (F.col("text_hash") == F.col("_first_hash"))).groupBy("_first_id", "_first_hash").count().where("count > 1").limit(1).count()
+    hashed = docs.withColumn(hash_, text_hash())
+    kept = hashed.join(first, hashed["doc_id"].eqNullSafe(first["_first_id"]) & (hashed[hash_] == first["_first_hash"]), "left_semi")
+    return (kept.dropDuplicates(["doc_id", hash_]) if again else kept).drop(hash_)
