@@ -63,3 +63,15 @@ def test_large_group_and_odd_ones(spark):
 def test_shingles_hash_whole_words():
     assert len(near_copies.shingles("a b c d e f")) == 2 and len(near_copies.shingles(None)) == 0
     assert near_copies.shingles("A b\tc").tolist() == near_copies.shingles("a b c").tolist()
+
+
+def test_documents_without_ids_or_with_one_id(spark):
+    r = np.random.default_rng(13)
+    texts = [" ".join(f"w{x}" for x in r.integers(0, 5000, 100)) for _ in range(20)]
+    rows = [(None, t, "x") for t in texts[:8]] + [(5, t, "x") for t in texts[8:16]] + [(100 + i, t, "x") for i, t in enumerate(texts[16:])]
+    again = [(None, texts[0], "x"), (5, texts[8], "x"), (None, texts[9], "x"), (7, texts[1], "x"), (5, changed(texts[16].split(), 1, r), "x"), (None, changed(texts[2].split(), 1, r), "x")]
+    got = simhash.keep_one(spark.createDataFrame(rows + again, SCHEMA).repartition(3))
+    assert got.columns == ["doc_id", "text", "_hash"]
+    kept = [(x.doc_id, x.text) for x in got.collect()]
+    assert len(kept) == 20 and {i for i, t in kept if t == texts[1]} == {7} and {i for i, t in kept if t == texts[9]} == {5}
+    assert (5, again[4][1]) in kept and len({t for _, t in kept}) == 20 and {x for _, x in kept if x in (texts[2], again[5][1])}
