@@ -14,11 +14,17 @@ is a running total over (part, source) rows.
 Without targets the shares are those of the corpus and every window has them.  With
 targets, they hold until a queue is empty; then the other queues' targets are scaled
 to fill the windows, and so on: a few phases, as many as there are queues or so.
-Sources below MIN_SHARE of the ids follow one another in one queue.
+
+Sources below MIN_SHARE of the ids (but with a target) share one queue, and are mixed in
+it: those of 2^k to 2^(k+1) - 1 ids make level k, where the same closed form over longer
+windows gives each LEAST_IDS to twice as many ids in turn; the levels are held in
+proportion in every `length` ids of the queue by halving.  So a source of share s is met
+about every LEAST_IDS / s ids, whatever the number of sources.
 """
 
 from __future__ import annotations
 
+import functools
 import zlib
 from collections.abc import Iterator
 from fractions import Fraction
@@ -84,6 +90,53 @@ def phases(sizes: list[int], targets: list[Fraction] | None, length: int = LENGT
     return out or [(0, left)]
 
 
+def spread(lower: int, upper: int, total: int, length: int, low: int, high: int) -> Iterator[tuple[int, int, int]]:
+    """Ids low to high of a queue as (first id, ids, place among all) by the closed form.
+
+    The queue has the ids lower to upper of `total` where queues follow one another, and
+    LEAST_IDS of a window of `length` or all windows.
+    """
+    served = lambda x: x * upper // total - x * lower // total
+    edge = lambda w: min(w * length, total)
+    window = low * total // (upper - lower) // length
+    while window and served(edge(window)) > low:
+        window -= 1
+    while low < high:
+        x, y = edge(window), edge(window + 1)
+        from_, to = served(x), served(y)
+        if to > low:
+            n = min(high, to) - low
+            yield low, n, x + y * lower // total - x * lower // total + low - from_
+            low += n
+        window += 1
+
+
+@functools.lru_cache(1 << 14)
+def halved(x: int, sizes: tuple[int, ...]) -> tuple[int, ...]:
+    """How many of the first x ids each level has: never fewer for more ids, all of `sizes` at their sum."""
+    if len(sizes) == 1:
+        return (x,)
+    half = len(sizes) // 2
+    left = x * sum(sizes[:half]) // sum(sizes)
+    return halved(left, sizes[:half]) + halved(x - left, sizes[half:])
+
+
+def blended(level: int, sizes: tuple[int, ...], length: int, low: int, high: int) -> Iterator[tuple[int, int, int]]:
+    """Ids low to high of a level as (first id, ids, place in the shared queue)."""
+    total = sum(sizes)
+    edge = lambda w: min(w * length, total)
+    window = low * total // sizes[level] // length
+    while window and halved(edge(window), sizes)[level] > low:
+        window -= 1
+    while low < high:
+        x, y = halved(edge(window), sizes), halved(edge(window + 1), sizes)
+        if y[level] > low:
+            n = min(high, y[level]) - low
+            yield low, n, edge(window) + sum(y[:level]) - sum(x[:level]) + low - x[level]
+            low += n
+        window += 1
+
+
 class Plan:
     """Where the ids of a queue go."""
 
@@ -180,35 +233,54 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int = 1,
     sums = totals.groupBy("source").agg(F.sum("n").alias("n"))
     share = max(MIN_SHARE, Fraction(LEAST_IDS, length))
     least = -(-total * share.numerator // share.denominator)
-    own = {r.source: r.n for r in sums.where(F.col("n") >= least).orderBy("source").collect()}  # under 512 rows
+    large = F.col("n") >= least
+    own = {r.source: r.n for r in sums.where(large | F.col("source").isin(list(targets)) if targets else large).orderBy("source").collect()}  # under 512 rows, and the targets
     queues, sizes = {s: j for j, s in enumerate(own)}, list(own.values())
-    if sum(sizes) < total:
-        sizes.append(total - sum(sizes))
-    rest = len(sizes) - 1 if len(sizes) > len(own) else 0
-    if len(sizes) > len(own) and sizes[-1] < least and own:  # the small ones follow the smallest queue
-        rest = min(range(len(own)), key=lambda j: sizes[j])
-        sizes[rest] += sizes.pop()
+    small = sums.where(~F.col("source").isin(list(queues))) if queues else sums
+    small = small.withColumn("level", F.char_length(F.bin("n")))
+    levels = {r.level: r.n for r in small.groupBy("level").agg(F.sum("n").alias("n")).orderBy("level").collect()}  # a row for each power of two at most
+    rest, shared = len(sizes), sum(levels.values())
+    if shared and shared < least and own and targets is None:  # the smallest queue is mixed with the small ones
+        smallest = min(own, key=lambda s: own[s])
+        rest = queues[smallest]
+        levels[0] = own[smallest]
+        small = small.union(sums.where(F.col("source") == smallest).withColumn("level", F.lit(0)))
+        sizes[rest] += shared
+    elif shared:
+        sizes.append(shared)
     wanted = None
     if targets is not None:
-        by_queue = [Fraction(0)] * len(sizes)
-        for source, weight in targets.items():
-            by_queue[queues.get(source, rest)] += Fraction(weight)
-        if any(0 < w * length < LEAST_IDS * sum(by_queue) for w in by_queue):
+        weights = {s: Fraction(w) for s, w in targets.items()}
+        if any(0 < w * length < LEAST_IDS * sum(weights.values()) for w in weights.values()):
             raise ValueError(f"a target must give {LEAST_IDS} ids of a window at least")
-        wanted = by_queue
+        wanted = [weights.get(s, Fraction(0)) for s in own] + [Fraction(0)] * (len(sizes) - len(own))
     plan = Plan(phases(sizes, wanted, length), length)
-    queue = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in queues.items() for x in kv]), F.col("source")), F.lit(rest)) if queues else F.lit(rest)
-    # in the shared queue, the source that has it for itself comes first
-    own_first = F.col("source").isin(list(queues)) if queues else F.lit(False)
-    order = Window.partitionBy("queue").orderBy(F.when(own_first, 0).otherwise(1), "source", "part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = totals.withColumn("queue", queue).withColumn("base", F.coalesce(F.sum("n").over(order), F.lit(0)))
+    of_level, level_sizes = {k: i for i, k in enumerate(levels)}, tuple(levels.values())
+    # ids of a level that give each of its sources LEAST_IDS, as the least source of level k has 2^(k-1)
+    turns = {k: -(-LEAST_IDS * n // (1 << k - 1)) if k else n for k, n in levels.items()}
+    in_level = Window.partitionBy("level").orderBy("source").rowsBetween(Window.unboundedPreceding, 0)
+    small = small.select("source", "level", F.sum("n").over(in_level).alias("upper"), F.col("n").alias("size"))
+    queue = F.element_at(F.create_map(*[F.lit(x) for kv in queues.items() for x in kv]), F.col("source")) if queues else F.lit(None)
+    order = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = totals.withColumn("base", F.coalesce(F.sum("n").over(order), F.lit(0))).withColumn("queue", F.coalesce(queue.cast("int"), F.lit(rest)))
+    bases = bases.join(small, "source", "left") if levels else bases.select("*", F.lit(None).cast("int").alias("level"), F.lit(None).cast("long").alias("upper"), F.lit(None).cast("long").alias("size"))
+
+    def places(queue: int, level: int | None, upper: int, size: int, low: int, high: int) -> Iterator[tuple[int, int, int, int]]:
+        """Ids low to high of a source as (first id, ids, sequence, offset)."""
+        if level is None:
+            yield from plan.pieces(queue, low, high)
+            return
+        for first, n, at in spread(upper - size, upper, levels[level], turns[level], low, high):
+            for second, m, place in blended(of_level[level], level_sizes, length, at, at + n):
+                for third, k, sequence, offset in plan.pieces(queue, place, place + m):
+                    yield first + (second - at) + (third - place), k, sequence, offset
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[] for _ in range(7 + with_ids)]
-            for q, low, doc_id, n, raw in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+            for q, level, upper, in_source, low, doc_id, n, raw in zip(*(x.to_pylist() for x in batch.columns), strict=True):
                 ids = _ids(raw)
-                for first, size, sequence, offset in plan.pieces(q, low, low + n):
+                for first, size, sequence, offset in places(q, level, upper, in_source, low, low + n):
                     start = first - low
                     piece = ids[start : start + size]
                     row = (doc_id, start, size, zlib.crc32(piece.tobytes()), n, sequence, offset, piece)
@@ -223,8 +295,8 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int = 1,
         kinds = [pa.int64()] * 7 + [pa.list_(pa.int32())] * with_ids
         return pa.record_batch([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], [*(x.split()[0] for x in PIECES.split(", ")), "ids"][: len(out)])
 
-    placed = table.join(bases.select("part", "source", "queue", "base"), ["part", "source"])
-    placed = placed.select("queue", (F.col("base") + F.col("before")).alias("low"), "doc_id", "n_tokens", "ids")
+    placed = table.join(bases.select("part", "source", "queue", "level", "upper", "size", "base"), ["part", "source"])
+    placed = placed.select("queue", "level", "upper", "size", (F.col("base") + F.col("before")).alias("low"), "doc_id", "n_tokens", "ids")
     return placed.mapInArrow(cut, PIECES + ", ids array<int>" * with_ids)
 
 
