@@ -118,13 +118,13 @@ def issues(log_lines: DataFrame) -> DataFrame:
     return failures.unionByName(states).unionByName(duplicates).unionByName(unlike)
 
 
-def speedup(summary_rows: DataFrame, baseline: int = 1, phases: Sequence[str] = PHASES) -> DataFrame:
+def speedup(summary_rows: DataFrame, baseline: int = 1, phases: Sequence[str] | None = PHASES) -> DataFrame:
     """summary with base_workers, base_time_s, speedup and efficiency.
 
     The baseline is `baseline` workers where the matrix has it in any phase, else its
-    least; a phase without a time there has no speedup.
+    least; a phase without a time there has no speedup.  Without `phases` all count.
     """
-    rows = summary_rows.where(F.col("phase").isin(*phases))
+    rows = summary_rows if phases is None else summary_rows.where(F.col("phase").isin(*phases))
     base = rows.groupBy("matrix").agg(F.when(F.max(F.col("workers") == baseline), F.lit(baseline)).otherwise(F.min("workers")).alias("base_workers"))
     times = rows.select("matrix", "phase", F.col("workers").alias("base_workers"), F.col("median_time_s").alias("base_time_s"))
     joined = rows.join(base, "matrix").join(times, ["matrix", "phase", "base_workers"], "left")
