@@ -1,24 +1,31 @@
-"""Byte strings of LENGTH or more that repeat in a corpus, by two-stage suffix sorting.
+"""Byte strings that repeat in a corpus, by two-stage suffix sorting.
 
 A byte goes if a string of LENGTH bytes that covers it also starts anywhere else.
-
-The corpus is cut so that equal strings meet in one block.  A window is LENGTH bytes
-at any place of a text; its minimizer is the K-byte string in it with the least hash
-(the leftmost of equals), so equal windows have equal minimizers.  Consecutive windows
-with one minimizer form a piece, about LENGTH / 2 windows.  Pieces with the same bytes
-are one class, which counts as often as they occur; copies of texts fall together
-here.  Classes whose minimizer occurs once in the corpus hold no repeated window.
-The others are brought together by minimizer, and blocks of them are suffix-sorted:
+Beside that, passages are reported: the string from a place to the end of the 50th
+word that it touches (PASSAGE_WORDS; WINDOW bytes at least, LENGTH at most) is one if
+its bytes also start anywhere else.
+
+The corpus is cut so that equal strings meet.  A window is WINDOW bytes at any place
+of a text; its minimizer is the K-byte string in it with the least hash (the leftmost
+of equals), so equal windows have equal minimizers.  Consecutive windows with one
+minimizer form a piece, with the bytes that follow up to LENGTH from its last window.
+Pieces with the same bytes are one class, which counts as often as they occur; copies
+of texts fall together here.  Classes whose minimizer occurs once in the corpus hold
+no repeated string.  The others are brought together by minimizer and suffix-sorted:
 
 1. Suffixes smaller than their successors (in order of bytes) are sorted directly.
 2. Buckets of first bytes are scanned in ascending order; every suffix met induces
    its predecessor, if that is larger than it, at the next place of its own bucket.
-3. Neighbours in the order with a common prefix of LENGTH bytes are repeats.
-
-Suffixes are compared as far as their piece goes, LENGTH bytes at least for a window.
-Minimizers with more than BLOCK_CLASSES classes (a passage in that many different
-surroundings) aren't gathered: their windows are counted by a 128-bit hash instead,
-in a grouped count with partial aggregation.
+3. The common prefixes of neighbours in the order are computed, byte by byte; a place
+   repeats if one of them is as long as its string.
+
+A minimizer with more than GROUP_CLASSES classes (a passage in that many different
+surroundings) is split before it is sorted.  Windows are equal only if the minimizer
+stands at the same distance in them, so classes are cut at ranges of that distance,
+and the cuts are brought together by the bytes that all windows of a range share:
+cuts inside the passage become one class, those at its edges have different keys.  What
+is still too frequent is cut again, down to single strings, which are equal or not.
+So no task gathers a passage's surroundings, and every repeat comes out of the sort.
 """
 
 from __future__ import annotations
@@ -36,16 +43,23 @@ from pyspark.sql import functions as F
 from .common import columns, use_package, written
 
 LENGTH = 400
-K = 32
+PASSAGE_WORDS = 50
+#: Bytes that strings must share to be brought together, and of a minimizer.
+WINDOW, K = 256, 32
 #: Bytes of a text looked at together, and bytes of classes sorted together.
 CHUNK_BYTES, BLOCK_BYTES = 1_000_000, 1_000_000
-#: Classes of one minimizer that may meet in a block.
-BLOCK_CLASSES = 8_000
+#: Classes of one key that meet in a sort; more are split by ranges of so many distances.
+GROUP_CLASSES = 512
+SPLITS = (16, 1)
 
 _ODD = 0x9E3779B97F4A7C15
 _INVERSE = pow(_ODD, -1, 1 << 64)
 _BYTE_CODES = np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64)
-PIECES = "doc_id long, text_hash long, start int, n_windows int, minimizer long, h1 long, h2 long"
+_WHITE = np.zeros(256, bool)
+_WHITE[[9, 10, 11, 12, 13, 32]] = True
+#: `at` is the minimizer's place in the piece; (minimizer, h) names its class.
+PIECES = "doc_id long, text_hash long, start int, n_windows int, at int, minimizer long, h long"
+CLASSES = "key long, h long, n long, n_classes long, n_windows int, at int, bytes binary"
 
 
 def _rolling(codes: np.ndarray, size: int) -> np.ndarray:
@@ -61,19 +75,24 @@ def _rolling(codes: np.ndarray, size: int) -> np.ndarray:
     return found * np.uint64(0xD6E8FEB86659FD93)
 
 
-def _pieces(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First window, number of windows and minimizer's hash of each piece of a stretch of text."""
+def _pieces(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First window, number of windows, minimizer's place and hash of each piece of a stretch of text."""
     hashes = _rolling(np.frombuffer(raw, np.uint8), K)
     place = np.uint64((1 << 24) - 1)
     keys = (hashes & ~place) | np.arange(len(hashes), dtype=np.uint64)
-    span = LENGTH - K + 1
+    span = WINDOW - K + 1
     n = len(keys) - span + 1
     padded = np.concatenate([keys, np.full(-len(keys) % span, ~np.uint64(0))]).reshape(-1, span)
     ahead = np.minimum.accumulate(padded, axis=1).ravel()
     behind = np.minimum.accumulate(padded[:, ::-1], axis=1)[:, ::-1].ravel()
     least = np.minimum(behind[:n], ahead[span - 1 : span - 1 + n])
     first = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
-    return first, np.diff(np.append(first, n)), hashes[(least[first] & place).astype(np.int64)]
+    at = (least[first] & place).astype(np.int64)
+    return first, np.diff(np.append(first, n)), at, hashes[at]
+
+
+def _class_hash(part: bytes, n_windows: int, at: int) -> int:
+    return xxhash.xxh3_64_intdigest(part, n_windows << 12 | at)
 
 
 def pieces(rows: DataFrame) -> DataFrame:
@@ -86,13 +105,15 @@ def pieces(rows: DataFrame) -> DataFrame:
             waiting = 0
             for doc_id, text_hash, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 raw = (text.as_py() or "").encode()
-                for low in range(0, len(raw) - LENGTH + 1, CHUNK_BYTES):
-                    part = raw[low : low + CHUNK_BYTES + LENGTH - 1]
-                    first, n, minimizer = _pieces(part)
-                    ends = (first + n + LENGTH - 1).tolist()
-                    digests = np.frombuffer(b"".join([xxhash.xxh3_128_digest(part[a:b]) for a, b in zip(first.tolist(), ends, strict=True)]), "<i8").reshape(-1, 2)
+                for low in range(0, len(raw) - WINDOW + 1, CHUNK_BYTES):
+                    first, n, at, minimizer = _pieces(raw[low : low + CHUNK_BYTES + WINDOW - 1])
+                    at = at - first
+                    start = first + low
+                    ends = (start + n + LENGTH - 1).tolist()
+                    own = zip(start.tolist(), ends, n.tolist(), at.tolist(), strict=True)
+                    h = np.array([_class_hash(raw[a:b], k, m) for a, b, k, m in own], np.uint64)
                     k = len(first)
-                    for values, x in zip(out, ([doc_id] * k, [text_hash] * k, first + low, n, minimizer.view(np.int64), digests[:, 0], digests[:, 1]), strict=True):
+                    for values, x in zip(out, ([doc_id] * k, [text_hash] * k, start, n, at, minimizer.view(np.int64), h.view(np.int64)), strict=True):
                         values.append(x)
                     waiting += k
                 if waiting > 50_000:
@@ -102,7 +123,7 @@ def pieces(rows: DataFrame) -> DataFrame:
 
     def block(out: list[list]) -> pa.RecordBatch:
         ids = [pa.array([x for part in c for x in part], pa.int64()) for c in out[:2]]
-        kinds = (np.int32, np.int32, np.int64, np.int64, np.int64)
+        kinds = (np.int32, np.int32, np.int32, np.int64, np.int64)
         rest = [pa.array(np.concatenate([np.zeros(0, k), *c]).astype(k)) for c, k in zip(out[2:], kinds, strict=True)]
         return pa.record_batch([*ids, *rest], names)
 
@@ -173,32 +194,92 @@ def suffix_order(text: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return found[wanted[found]]
 
 
-def repeated_windows(parts: list[bytes], counts: list[int], length: int = LENGTH) -> list[np.ndarray]:
-    """For each class (its bytes, how often it occurs): which of its windows repeat."""
+def common_prefixes(raw: bytes, stop: np.ndarray, order: np.ndarray, least: int, most: int) -> np.ndarray:
+    """Common prefix, in bytes, of each place in `order` with the place before it there.
+
+    Strings go to `stop` (of their first place) and are at least `least` long; prefixes
+    shorter than `least` come out as 0, longer ones than `most` as `most`.  Places that
+    follow each other in the text often follow each other's neighbours too: such a stretch
+    is compared once, as a whole.
+    """
+    found = np.zeros(len(order), np.int64)
+    if len(order) < 2:
+        return found
+    data = np.frombuffer(raw, np.uint8)
+    maybe = np.arange(1, len(order))
+    for k in {0, max(0, least - 8)} if least >= 8 else ():  # most neighbours differ in their first or last eight bytes
+        eight = np.lib.stride_tricks.as_strided(data[k:], (len(data) - k - 7, 8), (1, 1)).copy().view(np.uint64)[:, 0]
+        maybe = maybe[eight[order[maybe - 1]] == eight[order[maybe]]]
+    by_place = maybe[np.argsort(order[maybe])]
+    if not len(by_place):
+        return found
+    here, other = order[by_place], order[by_place - 1]
+    new = np.flatnonzero(np.concatenate([[True], (np.diff(here) != 1) | (np.diff(other) != 1)]))
+    room = np.minimum(stop[here] - here, stop[other] - other)
+    lengths = np.zeros(len(here), np.int64)
+    for low, high in zip(new.tolist(), [*new[1:].tolist(), len(here)], strict=True):
+        while low < high:
+            a, b, size = int(here[low]), int(other[low]), min(int(room[low]), high - low - 1 + most)
+            same = size
+            if raw[a : a + size] != raw[b : b + size]:
+                same = int(np.argmax(data[a : a + size] != data[b : b + size]))
+            n = min(high - low, max(1, same - least + 1))  # from the first place on as long as prefixes are long enough
+            lengths[low : low + n] = same - np.arange(n)
+            low += n
+    found[by_place] = np.where(lengths >= least, np.minimum(lengths, most), 0)
+    return found
+
+
+def passage_lengths(part: bytes, n_windows: int, clipped: bool) -> np.ndarray:
+    """Bytes of the passage that starts at each of the first places: to the end of its 50th word.
+
+    `clipped`: the text ends where the part ends, and so does its last word.
+    """
+    white = _WHITE[np.frombuffer(part, np.uint8)]
+    ends = np.flatnonzero(~white[:-1] & white[1:]) + 1
+    if clipped and len(part) and not white[-1]:
+        ends = np.append(ends, len(part))
+    place = np.arange(n_windows)
+    at = np.searchsorted(ends, place, "right") + PASSAGE_WORDS - 1
+    size = np.append(ends, len(part) + LENGTH)[np.minimum(at, len(ends))] - place
+    return np.clip(size, WINDOW, LENGTH)
+
+
+def repeats(parts: list[bytes], counts: list[int], n_windows: list[int]) -> list[tuple[bytes, bytes]]:
+    """For each class (its bytes, occurrences, windows): runs of repeated strings and of passages."""
     sizes = np.array([len(x) + 1 for x in parts])
     ends = np.cumsum(sizes)
-    text = np.frombuffer(b"\0".join([*parts, b""]), np.uint8).astype(np.int16) + 1
+    starts = ends - sizes
+    raw = b"\0".join([*parts, b""])
+    text = np.frombuffer(raw, np.uint8).astype(np.int16) + 1
     text[ends - 1] = 0
-    n_windows = sizes - length
     edges = np.zeros(len(text) + 1, np.int32)
-    edges[ends - sizes] += 1
-    np.add.at(edges, ends - sizes + n_windows, -1)
-    wanted = np.cumsum(edges[:-1]) > 0
-    order = suffix_order(text, wanted)
-    prefix = _rolling((text - (text > 0)).astype(np.uint8), length)[order]
-    new = np.concatenate([[True], prefix[1:] != prefix[:-1]]) if len(order) else np.zeros(0, bool)
-    weight = np.repeat(np.array(counts), sizes)[order]
-    group = np.cumsum(new) - 1
-    total = np.bincount(group, weights=weight) if len(order) else np.zeros(0)
-    again = np.zeros(len(text), bool)
-    again[order] = total[group] > 1
-    return [again[e - s : e - s + n] for e, s, n in zip(ends.tolist(), sizes.tolist(), n_windows.tolist(), strict=True)]
-
-
-def _runs(flags: np.ndarray) -> bytes:
-    """First and last marked place of each run, as uint32 pairs."""
-    edges = np.flatnonzero(np.diff(np.concatenate([[0], flags.view(np.int8), [0]])))
-    return (edges.reshape(-1, 2) - [0, 1]).astype("<u4").tobytes()
+    edges[starts] += 1
+    np.add.at(edges, starts + n_windows, -1)
+    order = suffix_order(text, np.cumsum(edges[:-1]) > 0)
+    stop = np.repeat(ends - 1, sizes)
+    prefix = common_prefixes(raw, stop, order, WINDOW, LENGTH)
+    longest = np.zeros(len(text), np.int64)
+    longest[order] = np.maximum(prefix, np.append(prefix[1:], 0))
+    found = []
+    for part, low, n, times in zip(parts, starts.tolist(), n_windows, counts, strict=True):
+        most = longest[low : low + n]
+        room = len(part) - np.arange(n)
+        if times > 1:
+            most = np.minimum(room, LENGTH)
+        if not most.any():
+            found.append((b"", b""))
+            continue
+        size = passage_lengths(part, n, len(part) < n - 1 + LENGTH)
+        found.append((_runs(most >= LENGTH, np.full(n, LENGTH)), _runs((most >= size) & (size <= room), size)))
+    return found
+
+
+def _runs(flags: np.ndarray, size: np.ndarray) -> bytes:
+    """First byte and end of each run of marked places, as uint32 pairs; ends never fall."""
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], flags.view(np.int8), [0]]))).reshape(-1, 2)
+    last = edges[:, 1] - 1
+    return np.stack([edges[:, 0], last + size[last]], axis=1).astype("<u4").tobytes()
 
 
 def _zipped(rows: DataFrame) -> DataFrame:
@@ -220,38 +301,37 @@ def _with_list(rows: DataFrame, lists: DataFrame, how: str) -> DataFrame:
 
 
 def _class_bytes(rows: DataFrame, classes: DataFrame) -> DataFrame:
-    """minimizer, h1, h2, n (occurrences), bytes of each class, cut from one of its texts."""
-    lists = classes.groupBy("rep.doc_id", "rep.text_hash").agg(F.collect_list(F.struct("minimizer", "h1", "h2", "n", "rep.start", "rep.n_windows")).alias("list"))
-    names = ["minimizer", "h1", "h2", "n"]
+    """A row of CLASSES for each class (minimizer, h, n, n_classes, rep), cut from one of its texts."""
+    lists = classes.groupBy("rep.doc_id", "rep.text_hash").agg(F.collect_list(F.struct("minimizer", "h", "n", "n_classes", "rep.n_windows", "rep.at", "rep.start")).alias("list"))
+    names = [x.split()[0] for x in CLASSES.split(", ")]
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpacker = zstandard.ZstdDecompressor()
         for batch in batches:
-            out: list[list] = [[] for _ in range(5)]
             for zipped, items in zip(batch.column(0), batch.column(1), strict=True):
                 raw = unpacker.decompress(zipped.as_py())
-                for x in items.as_py():
-                    for values, name in zip(out, names, strict=False):
-                        values.append(x[name])
-                    out[4].append(raw[x["start"] : x["start"] + x["n_windows"] + LENGTH - 1])
-            yield pa.record_batch([pa.array(v, pa.binary() if i == 4 else pa.int64()) for i, v in enumerate(out)], [*names, "bytes"])
+                parts = items.values.flatten()
+                start, n = parts[6].to_numpy(), parts[4].to_numpy()
+                cut = [raw[a:b] for a, b in zip(start.tolist(), (start + n + LENGTH - 1).tolist(), strict=True)]
+                yield pa.record_batch([x.cast(t) for x, t in zip([*parts[:6], pa.array(cut, pa.binary())], kinds, strict=True)], names)
 
-    return _with_list(rows, lists, "inner").select("zipped", "list").mapInArrow(run, "minimizer long, h1 long, h2 long, n long, bytes binary")
+    return _with_list(rows, lists, "inner").select("zipped", "list").mapInArrow(run, CLASSES)
 
 
 def _sorted_blocks(classes: DataFrame) -> DataFrame:
-    """minimizer, h1, h2, runs of repeated windows, of classes brought together by minimizer."""
-    names = ["minimizer", "h1", "h2", "runs"]
+    """key, h, runs, passages of the classes (CLASSES) that repeat, brought together by key."""
+    names = ["key", "h", "runs", "passages"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         size = 0
 
         def block() -> pa.RecordBatch:
-            found = repeated_windows([r[4] for r in rows], [r[3] for r in rows]) if rows else []
-            some = [(r[0], r[1], r[2], _runs(f)) for r, f in zip(rows, found, strict=True) if f.any()]
+            found = repeats([r[4] for r in rows], [r[2] for r in rows], [r[3] for r in rows]) if rows else []
+            some = [(r[0], r[1], *f) for r, f in zip(rows, found, strict=True) if any(f)]
             cols = list(zip(*some, strict=True)) if some else [[]] * 4
-            return pa.record_batch([pa.array(list(c), pa.binary() if i == 3 else pa.int64()) for i, c in enumerate(cols)], names)
+            return pa.record_batch([pa.array(list(c), pa.binary() if i > 1 else pa.int64()) for i, c in enumerate(cols)], names)
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -262,83 +342,121 @@ def _sorted_blocks(classes: DataFrame) -> DataFrame:
                 size += len(row[4])
         yield block()
 
-    return classes.repartition("minimizer").sortWithinPartitions("minimizer", "h1", "h2").mapInArrow(run, "minimizer long, h1 long, h2 long, runs binary")
+    dealt = classes.select("key", "h", "n", "n_windows", "bytes").repartition("key").sortWithinPartitions("key", "h")
+    return dealt.mapInArrow(run, "key long, h long, runs binary, passages binary")
 
 
-def _counted(classes: DataFrame) -> DataFrame:
-    """The same for classes of minimizers that are too frequent for a block."""
+def _split(classes: DataFrame, size: int) -> DataFrame:
+    """Cuts of classes at ranges of `size` distances to the minimizer: p_key and p_h (the class), shift, CLASSES.
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Windows of a cut share the bytes from its last window to the end of its first; that is
+    the key.  Cuts of one window are whole strings, one of LENGTH and its passage, and each
+    its own key.
+    """
+    names = ["p_key", "p_h", "shift", *(x.split()[0] for x in CLASSES.split(", ") if "n_classes" not in x)]
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+
+    def cuts(n_windows: int, at: int, part: bytes) -> Iterator[tuple]:
+        sizes = passage_lengths(part, n_windows, len(part) < n_windows - 1 + LENGTH) if size == 1 else None
+        for low in range((at - n_windows + 1) // size * size, at + 1, size):
+            first, last = max(0, at - low - size + 1), min(n_windows - 1, at - low)
+            if first > last:
+                continue
+            n, to = last - first + 1, at - first
+            if sizes is None:
+                own = part[first : last + LENGTH]
+                core = part[at - low : at - low - size + 1 + WINDOW]
+                yield first, xxhash.xxh3_64_intdigest(core, low), _class_hash(own, n, to), n, to, own
+                continue
+            for end in {LENGTH, int(sizes[first])}:
+                if len(own := part[first : first + end]) == end:
+                    h = _class_hash(own, n, to)
+                    yield first, h, h, n, to, own
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for m, h1, h2, n, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(raw[i : i + LENGTH]) for i in range(len(raw) - LENGTH + 1)), "<i8").reshape(-1, 2)
-                k = len(digests)
-                yield pa.record_batch([pa.array([x] * k, pa.int64()) for x in (m, h1, h2, n)] + [pa.array(np.arange(k, dtype=np.int32)), pa.array(digests[:, 0].copy()), pa.array(digests[:, 1].copy())], ["minimizer", "h1", "h2", "n", "at", "w1", "w2"])
+            rows = []
+            for key, h, count, n_windows, at, part in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                rows += [(key, h, first, _signed(k), _signed(x), count, n, to, own) for first, k, x, n, to, own in cuts(n_windows, at, part)]
+                if len(rows) > 5_000:
+                    yield block(rows)
+                    rows = []
+            yield block(rows)
 
-    each = classes.mapInArrow(windows, "minimizer long, h1 long, h2 long, n long, at int, w1 long, w2 long")
-    again = each.groupBy("w1", "w2").agg(F.sum("n").alias("total")).where("total > 1")
-    marked = each.join(again, ["w1", "w2"]).groupBy("minimizer", "h1", "h2").agg(F.array_sort(F.collect_list("at")).alias("at"))
+    def block(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names)
+
+    fields = "p_key long, p_h long, shift int, " + CLASSES.replace("n_classes long, ", "")
+    return classes.select("key", "h", "n", "n_windows", "at", "bytes").mapInArrow(run, fields)
 
-    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = []
-            for at in batch.column(3).to_pylist():
-                flags = np.zeros(at[-1] + 1, bool)
-                flags[at] = True
-                found.append(_runs(flags))
-            yield pa.record_batch([*batch.columns[:3], pa.array(found, pa.binary())], ["minimizer", "h1", "h2", "runs"])
 
-    return marked.mapInArrow(runs, "minimizer long, h1 long, h2 long, runs binary")
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def _repeating(classes: DataFrame, group_classes: int, splits: tuple[int, ...] = SPLITS) -> DataFrame:
+    """key, h, shift, runs, passages of written CLASSES; runs count from `shift`, and a class may have several rows."""
+    fits = (F.col("n_classes") <= group_classes) if splits else F.lit(True)
+    found = _sorted_blocks(classes.where(fits)).select("key", "h", F.lit(0).alias("shift"), "runs", "passages")
+    hot = classes.where(~fits)
+    if not splits or not hot.limit(1).count():
+        return found
+    parts = written(_split(hot, splits[0]), "cuts")
+    one = parts.groupBy("key", "h").agg(F.sum("n").alias("n"), F.first(F.struct("n_windows", "at", "bytes")).alias("one"))
+    groups = parts.groupBy("key").agg(F.count_distinct("h").alias("n_classes"), F.sum("n").alias("total")).where("total > 1").drop("total")
+    again = written(one.join(groups, "key").select("key", "h", "n", "n_classes", "one.n_windows", "one.at", "one.bytes"), "classes")
+    inner = written(_repeating(again, group_classes, splits[1:]), "inner").withColumnRenamed("shift", "more")
+    back = parts.select("p_key", "p_h", "shift", "key", "h").join(inner, ["key", "h"])
+    return found.unionByName(back.select(F.col("p_key").alias("key"), F.col("p_h").alias("h"), (F.col("shift") + F.col("more")).alias("shift"), "runs", "passages"))
 
 
 def spans(pairs: list[tuple[int, bytes]]) -> np.ndarray:
-    """Byte spans (first, end) that repeated windows cover, merged; pairs: a piece's place, its runs."""
-    if not pairs:
-        return np.zeros((0, 2), np.int64)
-    runs = np.concatenate([np.frombuffer(r, "<u4").reshape(-1, 2).astype(np.int64) + at for at, r in pairs])
+    """Byte spans (first, end) that runs cover, merged; pairs: the place that runs count from, the runs."""
+    runs = np.concatenate([np.zeros((0, 2), np.int64), *(np.frombuffer(r, "<u4").reshape(-1, 2).astype(np.int64) + at for at, r in pairs)])
+    if not len(runs):
+        return runs
     runs = runs[np.argsort(runs[:, 0], kind="stable")]
-    first, end = runs[:, 0], np.maximum.accumulate(runs[:, 1] + LENGTH)
+    first, end = runs[:, 0], np.maximum.accumulate(runs[:, 1])
     new = np.concatenate([[True], first[1:] > end[:-1]])
     return np.stack([first[new], end[np.append(np.flatnonzero(new)[1:] - 1, len(end) - 1)]], axis=1)
 
 
-RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passages long, passage_bytes long, spans array<array<long>>, passages array<array<long>>, kept binary"
 
 
-def dedup_substrings(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", with_text: bool = False, block_classes: int = BLOCK_CLASSES) -> DataFrame:
-    """A row of RESULT for every document; with_text adds spans and the kept bytes.
+def dedup_substrings(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", group_classes: int = GROUP_CLASSES) -> DataFrame:
+    """A row of RESULT for every document.
 
-    Null and empty texts and those of fewer than LENGTH bytes keep all.  Equal rows
-    count as two occurrences and come out alike.  The kept bytes needn't be UTF-8.
+    spans are the removed bytes (first, end) and kept the others, which needn't be UTF-8;
+    passages are spans of passages, removed or not, that the document shares with
+    another place.  Null and empty texts and those of fewer than WINDOW bytes keep all.
+    Equal rows count as two occurrences and come out alike.
     """
     use_package(docs.sparkSession)
     rows = columns(docs, doc_id=id_column, text=text_column).select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     found = written(pieces(rows), "pieces")
-    by_class = found.groupBy("minimizer", "h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "text_hash", "start", "n_windows")).alias("rep"))
-    frequency = found.groupBy("minimizer").agg(F.count("*").alias("total")).where("total > 1")
-    candidates = by_class.join(frequency, "minimizer")
-    many = by_class.groupBy("minimizer").agg(F.count("*").alias("n_classes")).where(F.col("n_classes") > block_classes).select("minimizer")
-    classes = written(_class_bytes(rows, candidates), "classes")
-    hot = written(many, "hot")
-    runs = _sorted_blocks(classes.join(hot, "minimizer", "left_anti")).union(_counted(classes.join(hot, "minimizer", "left_semi")))
-    runs = written(runs, "runs")
-    marked = found.join(runs, ["minimizer", "h1", "h2"]).groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "runs")).alias("list"))
+    by_class = found.groupBy("minimizer", "h").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "text_hash", "start", "n_windows", "at")).alias("rep"))
+    groups = by_class.groupBy("minimizer").agg(F.sum("n").alias("total"), F.count("*").alias("n_classes")).where("total > 1").drop("total")
+    classes = written(_class_bytes(rows, by_class.join(groups, "minimizer")), "classes")
+    runs = written(_repeating(classes, group_classes), "runs").withColumnRenamed("key", "minimizer")
+    at = F.struct((F.col("start") + F.col("shift")).alias("at"), "runs", "passages")
+    marked = found.join(runs, ["minimizer", "h"]).groupBy("doc_id", "text_hash").agg(F.collect_list(at).alias("list"))
     names = [x.split()[0] for x in RESULT.split(", ")]
+    lists = pa.list_(pa.list_(pa.int64()))
+    kinds = [pa.int64()] * 4 + [pa.string(), pa.int64(), pa.int64(), lists, lists, pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpacker = zstandard.ZstdDecompressor()
         for batch in batches:
-            out: list[list] = [[] for _ in range(5 + 2 * with_text)]
+            out: list[list] = [[] for _ in names]
             for doc_id, zipped, items in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
-                raw = unpacker.decompress(zipped.as_py())
-                gone = spans([(x["start"], x["runs"]) for x in items.as_py() or []])
+                raw, marks = unpacker.decompress(zipped.as_py()), items.as_py() or []
+                gone, shared = (spans([(x["at"], x[c]) for x in marks]) for c in ("runs", "passages"))
                 edges = [0, *gone.ravel().tolist(), len(raw)]
                 kept = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
-                row = (doc_id, len(raw), len(raw) - len(kept), len(gone), hashlib.sha256(kept).hexdigest(), gone.tolist(), kept)
-                for values, x in zip(out, row):
+                row = (doc_id, len(raw), len(raw) - len(kept), len(gone), hashlib.sha256(kept).hexdigest(), len(shared), int((shared[:, 1] - shared[:, 0]).sum()), gone.tolist(), shared.tolist(), kept)
+                for values, x in zip(out, row, strict=True):
                     values.append(x)
-            kinds = [pa.int64()] * 4 + [pa.string(), pa.list_(pa.list_(pa.int64())), pa.binary()]
-            yield pa.record_batch([pa.array(v, k) for v, k in zip(out, kinds)], [*names, "spans", "kept"][: len(out)])
+            yield pa.record_batch([pa.array(v, k) for v, k in zip(out, kinds, strict=True)], names)
 
-    fields = RESULT + ", spans array<array<long>>, kept binary" * with_text
-    return _with_list(rows, marked, "left").select("doc_id", "zipped", "list").mapInArrow(run, fields)
+    return _with_list(rows, marked, "left").select("doc_id", "zipped", "list").mapInArrow(run, RESULT)

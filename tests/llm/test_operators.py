@@ -252,57 +252,6 @@ def test_line_dedup(odd, none):
     assert line_dedup.dedup_lines(none).count() == 0
 
 
-# ---- 6 --------------------------------------------------------------------------------
-
-
-def plain_repeats(rows, length):
-    count = Counter(t[i : i + length] for _, t in rows for i in range(len(t) - length + 1))
-    for i, t in rows:
-        mark = np.zeros(len(t) + 1, int)
-        for k in range(len(t) - length + 1):
-            if count[t[k : k + length]] > 1:
-                mark[k] += 1
-                mark[k + length] -= 1
-        gone = np.cumsum(mark[:-1]) > 0
-        kept = bytes(b for b, g in zip(t, gone) if not g)
-        yield i, len(t), int(gone.sum()), int((gone & ~np.concatenate([[False], gone[:-1]])).sum()) if len(t) else 0, hashlib.sha256(kept).hexdigest()
-
-
-@pytest.mark.parametrize("block_classes", [suffix_dedup.BLOCK_CLASSES, 1])
-def test_suffix_dedup(odd, none, block_classes):
-    got = suffix_dedup.dedup_substrings(odd, block_classes=block_classes).collect()
-    assert bag(map(tuple, got)) == bag(plain_repeats([(i, t.encode()) for i, t in texts()], 400))
-    assert suffix_dedup.dedup_substrings(none).count() == 0
-
-
-@pytest.mark.parametrize("seed", range(40))
-def test_two_stage_sort(seed):
-    r = np.random.default_rng(seed)
-    length, letters = int(r.integers(1, 9)), [b"a", b"ab", b"\x00\xffab", b"cba"][seed % 4]
-    parts = [bytes(r.choice(list(letters), int(r.integers(length, 60))).tolist()) for _ in range(int(r.integers(1, 7)))]
-    counts = r.integers(1, 3, len(parts)).tolist()
-    total = Counter()
-    for p, n in zip(parts, counts):
-        for i in range(len(p) - length + 1):
-            total[p[i : i + length]] += n
-    want = [[total[p[i : i + length]] > 1 for i in range(len(p) - length + 1)] for p in parts]
-    assert [x.tolist() for x in suffix_dedup.repeated_windows(parts, counts, length)] == want
-    text = np.frombuffer(b"\0".join([*parts, b""]), np.uint8).astype(np.int16) + 1
-    text[np.cumsum([len(p) + 1 for p in parts]) - 1] = 0
-    order = suffix_dedup.suffix_order(text, text > 0)
-    ends = np.flatnonzero(text == 0)
-    suffixes = [(text[i : ends[np.searchsorted(ends, i)]]).tolist() for i in order]
-    assert suffixes == sorted(suffixes) and len(order) == (text > 0).sum()
-
-
-def test_chunks_of_a_long_text(spark, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "CHUNK_BYTES", 500)
-    text = "".join(map(chr, np.random.default_rng(3).integers(97, 123, 3000)))
-    docs = [(0, text), (1, text[700:2100])]
-    first = [suffix_dedup._pieces(t.encode()[low : low + 500 + 399]) for _, t in docs for low in range(0, len(t) - 399, 500)]
-    assert sum(int(n.sum()) for _, n, _ in first) == sum(len(t) - 399 for _, t in docs)
-
-
 # ---- 7 --------------------------------------------------------------------------------
 
 
