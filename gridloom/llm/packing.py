@@ -1,33 +1,27 @@
 """Mixture-controlled packing of token ids into sequences of a fixed length.
 
-Every source is a queue of its documents' ids.  Deficit round-robin serves each
-window of `length` ids: a queue's credit grows by its share of a window, it is
-served whole ids, and what is left of the credit (less than one id) is carried to
-the next window.  The credit after any number of windows has a closed form: with
-queues in a fixed order and cumulative shares C_j, the first j queues have been
-served floor(x C_j) of the first x ids, so queue j has been served
-floor(x C_j) - floor(x C_(j-1)).  Every window is filled to its last id, no window
-depends on the one before, and so deficits cross windows and partitions without
-any task waiting for another: a document only needs its place in its queue, which
-is a running total over (part, source) rows.
-
-Without targets the shares are those of the corpus and every window has them.  With
-targets, they hold until a queue is empty; then the other queues' targets are scaled
-to fill the windows, and so on: a few phases, as many as there are queues or so.
-
-Sources below MIN_SHARE of the ids (but with a target) share one queue, and are mixed in
-it: those of 2^k to 2^(k+1) - 1 ids make level k, where the same closed form over longer
-windows gives each LEAST_IDS to twice as many ids in turn; the levels are held in
-proportion in every `length` ids of the queue by halving.  So a source of share s is met
-about every LEAST_IDS / s ids, whatever the number of sources.
+Every source is a queue of its documents, in order of id; a document of more than
+UNIT_IDS ids is dealt in units of that many.  Deficit round-robin serves the queues in
+rounds: each round adds a queue's share of a window (its quantum) to its credit, and
+the queue is served its next units while the credit lasts; what a unit takes beyond
+the credit, or leaves of it, is carried to the next round.  The units of all rounds in
+order, and inside a round of all sources, are one stream, and each window is LENGTH ids
+of it: every window is full, and a document is cut where its units or a window end.
+When a queue is empty the others keep their quanta, and so their proportions.
+
+No task serves all rounds.  The credit that a queue has been given by a round is the
+round's number times the quantum, so a unit's round follows from its place in its
+queue alone: it is the first at whose start the credit covers all units before it and
+a fixed part of the unit (a part of its source's own, by hash, so that sources smaller
+than a quantum don't all wait for the same round).  Places in queues are running totals
+over (part, source) rows; places in the stream are running totals of rounds, by ranges
+of rounds and over them.  So deficits cross windows and partitions.
 """
 
 from __future__ import annotations
 
-import functools
 import zlib
 from collections.abc import Iterator
-from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -40,139 +34,16 @@ from .token_blocks import in_order
 from .tokens import encoder
 
 LENGTH = 2048
-#: Least share of a queue of its own; fewer than 512 queues follow from it.
-MIN_SHARE = Fraction(1, 512)
-#: Ids of a window that a queue has at least where several fill it.
-LEAST_IDS = 4
-
-ENCODED = "part int, source string, doc_id long, before long, n_tokens long, ids binary"
+#: Ids of a document that are served together at most.
+UNIT_IDS = 512
+#: Weights are whole numbers of these steps, so that their sum is the same in any order.
+WEIGHT_STEPS = 1 << 20
+#: Rounds that are numbered together.
+RANGE_ROUNDS = 4096
+
+ENCODED = "part int, row long, source string, doc_id long, before long, n_tokens long, ids binary"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
-Phase = tuple[int, list[int]]  # first id of the phase among all; ids of each queue in it
-
-
-def phases(sizes: list[int], targets: list[Fraction] | None, length: int = LENGTH) -> list[Phase]:
-    """How many ids of each queue go to each phase; sums to `sizes` over phases.
-
-    Queues that share a phase have LEAST_IDS ids of a window each, which keeps the closed
-    form from taking ids back.  A queue with less, or with less left than a window
-    needs of it, is served alone.  Queues without a target wait for those with one.
-    """
-    left, at, out = list(sizes), 0, []
-
-    def serve(take: dict[int, int]) -> None:
-        nonlocal at
-        out.append((at, [take.get(j, 0) for j in range(len(left))]))
-        at += sum(take.values())
-        for j, n in take.items():
-            left[j] -= n
-
-    while any(left):
-        wanted = {j: targets[j] if targets else Fraction(n) for j, n in enumerate(left) if n}
-        if not any(wanted.values()):
-            wanted = {j: Fraction(left[j]) for j in wanted}
-        total = sum(wanted.values())
-        share = {j: w / total for j, w in wanted.items() if w}
-        scarce = min(share, key=lambda j: left[j] / share[j])
-        windows = int(left[scarce] / share[scarce]) // length
-        if small := [j for j, s in share.items() if s * length < LEAST_IDS and s < 1]:
-            serve({small[0]: left[small[0]]})
-        elif all(s * sum(left[k] for k in share) == left[j] for j, s in share.items()):
-            serve({j: left[j] for j in share})  # in proportion to the end
-        elif not windows:
-            serve({scarce: left[scarce]})
-        else:
-            take, served = {}, Fraction(0)
-            for j, s in share.items():  # the closed form over these windows
-                before, served = served, served + s * windows * length
-                take[j] = int(served) - int(before)
-            serve(take)
-    return out or [(0, left)]
-
-
-def spread(lower: int, upper: int, total: int, length: int, low: int, high: int) -> Iterator[tuple[int, int, int]]:
-    """Ids low to high of a queue as (first id, ids, place among all) by the closed form.
-
-    The queue has the ids lower to upper of `total` where queues follow one another, and
-    LEAST_IDS of a window of `length` or all windows.
-    """
-    served = lambda x: x * upper // total - x * lower // total
-    edge = lambda w: min(w * length, total)
-    window = low * total // (upper - lower) // length
-    while window and served(edge(window)) > low:
-        window -= 1
-    while low < high:
-        x, y = edge(window), edge(window + 1)
-        from_, to = served(x), served(y)
-        if to > low:
-            n = min(high, to) - low
-            yield low, n, x + y * lower // total - x * lower // total + low - from_
-            low += n
-        window += 1
-
-
-@functools.lru_cache(1 << 14)
-def halved(x: int, sizes: tuple[int, ...]) -> tuple[int, ...]:
-    """How many of the first x ids each level has: never fewer for more ids, all of `sizes` at their sum."""
-    if len(sizes) == 1:
-        return (x,)
-    half = len(sizes) // 2
-    left = x * sum(sizes[:half]) // sum(sizes)
-    return halved(left, sizes[:half]) + halved(x - left, sizes[half:])
-
-
-def blended(level: int, sizes: tuple[int, ...], length: int, low: int, high: int) -> Iterator[tuple[int, int, int]]:
-    """Ids low to high of a level as (first id, ids, place in the shared queue)."""
-    total = sum(sizes)
-    edge = lambda w: min(w * length, total)
-    window = low * total // sizes[level] // length
-    while window and halved(edge(window), sizes)[level] > low:
-        window -= 1
-    while low < high:
-        x, y = halved(edge(window), sizes), halved(edge(window + 1), sizes)
-        if y[level] > low:
-            n = min(high, y[level]) - low
-            yield low, n, edge(window) + sum(y[:level]) - sum(x[:level]) + low - x[level]
-            low += n
-        window += 1
-
-
-class Plan:
-    """Where the ids of a queue go."""
-
-    def __init__(self, plan: list[Phase], length: int) -> None:
-        self.length, self.parts = length, []
-        queues = len(plan[0][1]) if plan else 0
-        used = [0] * queues
-        for at, take in plan:
-            total, below = sum(take), np.cumsum([0, *take]).tolist()
-            self.parts.append((at, total, below, list(used)))
-            used = [a + b for a, b in zip(used, take, strict=True)]
-
-    def pieces(self, queue: int, low: int, high: int) -> Iterator[tuple[int, int, int, int]]:
-        """Ids low to high of a queue as (first id, ids, sequence, offset)."""
-        for at, total, below, used in self.parts:
-            lower, upper, first = below[queue], below[queue + 1], used[queue]
-            size = upper - lower
-            a, b = max(low - first, 0), min(high - first, size)
-            if a >= b:
-                continue
-            served = lambda x: x * upper // total - x * lower // total  # noqa: B023, E731
-            window = (at + a * total // size) // self.length
-            edge = lambda w: min(max(w * self.length - at, 0), total)  # noqa: B023, E731
-            while window and served(edge(window)) > a:
-                window -= 1
-            while a < b:
-                x, y = edge(window), edge(window + 1)
-                from_, to = served(x), served(y)
-                if to > a:
-                    n = min(b, to) - a
-                    base = x * lower // total
-                    ahead = y * lower // total - base
-                    yield a + first, n, window, at + x - window * self.length + ahead + a - from_
-                    a += n
-                window += 1
-
 
 def encoded(docs: DataFrame, tokenizer: str, end_id: int, id_column: str, text_column: str, source_column: str) -> DataFrame:
     """Ids of every document, and how many of its source come before it in its part."""
@@ -180,6 +51,7 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int, id_column: str, text_c
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, encode = TaskContext.get().partitionId(), encoder(tokenizer).encode
         so_far: dict[str, int] = {}
+        done = part << 40
         for batch in batches:
             names, sources, ids, before = [], [], [], []
             size = 0
@@ -193,14 +65,16 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int, id_column: str, text_c
                 ids.append(got)
                 size += len(got)
                 if size > 1 << 20:
-                    yield block(part, sources, names, before, ids)
+                    yield block(part, done, sources, names, before, ids)
+                    done += len(ids)
                     names, sources, ids, before, size = [], [], [], [], 0
             if ids:
-                yield block(part, sources, names, before, ids)
+                yield block(part, done, sources, names, before, ids)
+                done += len(ids)
 
-    def block(part: int, sources: list, names: list, before: list, ids: list) -> pa.RecordBatch:
-        cols = [pa.array([part] * len(ids), pa.int32()), pa.array(sources, pa.string()), pa.array(names, pa.int64()), pa.array(before, pa.int64()), pa.array([len(x) for x in ids], pa.int64()), pa.array([_bytes(x) for x in ids], pa.binary())]
-        return pa.record_batch(cols, ["part", "source", "doc_id", "before", "n_tokens", "ids"])
+    def block(part: int, row: int, sources: list, names: list, before: list, ids: list) -> pa.RecordBatch:
+        cols = [pa.array([part] * len(ids), pa.int32()), pa.array(range(row, row + len(ids)), pa.int64()), pa.array(sources, pa.string()), pa.array(names, pa.int64()), pa.array(before, pa.int64()), pa.array([len(x) for x in ids], pa.int64()), pa.array([_bytes(x) for x in ids], pa.binary())]
+        return pa.record_batch(cols, ["part", "row", "source", "doc_id", "before", "n_tokens", "ids"])
 
     rows = columns(docs, doc_id=id_column, source=source_column, text=text_column)
     rows = in_order(rows.withColumn("source", F.coalesce("source", F.lit("")))).select("doc_id", "source", "text")
@@ -217,71 +91,90 @@ def _ids(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, "<u4" if raw[0] else "<u2", -1, 1).astype("<u4")
 
 
-def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int = 1, targets: dict[str, float] | None = None, with_ids: bool = True, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source") -> DataFrame:
+def quanta(totals: DataFrame, length: int, targets: dict[str, float] | None, temper: float) -> DataFrame:
+    """source, n (its ids), quantum (ids a round) and first (the round that serves it first).
+
+    Shares are `targets`, relative to each other; sources without one follow when those
+    are empty.  Without targets the share of a source of n ids is n ** temper of the sum.
+    """
+    sums = totals.groupBy("source").agg(F.sum("n").alias("n"))
+    steps = lambda x: F.greatest(F.round(x * WEIGHT_STEPS), F.lit(1.0)).cast("decimal(38,0)")
+    named = F.lit(None).cast("decimal(38,0)")
+    if targets is not None:
+        if not targets or min(targets.values()) < 0 or not any(targets.values()):
+            raise ValueError("targets must be weights of 0 or more, and one above 0")
+        pairs = [F.lit(x) for kv in targets.items() for x in (kv[0], float(kv[1]))]
+        named = F.element_at(F.create_map(*pairs), F.col("source"))
+        named = F.when(named > 0, steps(named))
+    rows = sums.withColumn("named", named).withColumn("weight", F.coalesce("named", steps(F.pow("n", F.lit(1.0 if targets is not None else float(temper))))))
+    rows = rows.withColumn("late", F.lit(targets is not None) & F.col("named").isNull())
+    whole = rows.groupBy("late").agg(F.sum("weight").cast("double").alias("all"), F.max(F.col("n") / F.col("weight").cast("double")).alias("longest"))
+    whole = whole.select("late", "all", (F.floor(F.col("longest") * F.col("all") / length) + 1).alias("rounds"))
+    each = rows.join(whole.drop("rounds"), "late")
+    waits = whole.where(~F.col("late")).select(F.lit(True).alias("late"), "rounds")  # a row, or none
+    each = each.join(waits, "late", "left")
+    return each.select("source", "n", (F.col("weight").cast("double") / F.col("all") * length).alias("quantum"), F.coalesce("rounds", F.lit(0)).alias("first"))
+
+
+def served(table: DataFrame, length: int, targets: dict[str, float] | None, temper: float, unit_ids: int) -> DataFrame:
+    """row, units: an array of (start, size, place) for each document, the place being that in the stream."""
+    totals = table.groupBy("part", "source").agg(F.sum("n_tokens").alias("n"))
+    order = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = totals.withColumn("base", F.coalesce(F.sum("n").over(order), F.lit(0))).drop("n")
+    bases = bases.join(quanta(totals, length, targets, temper), "source")
+    docs = table.select("part", "source", "row", "before", "n_tokens").join(bases, ["part", "source"])
+    starts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_tokens") - 1, F.lit(unit_ids).cast("long"))).alias("start")
+    units = docs.select("row", "source", "quantum", "first", "n_tokens", (F.col("base") + F.col("before")).alias("low"), starts)
+    part_of_unit = F.pmod(F.xxhash64("source"), F.lit(1 << 20)) / float(1 << 20)
+    units = units.withColumn("size", F.least(F.lit(unit_ids).cast("long"), F.col("n_tokens") - F.col("start")))
+    round_ = F.floor((F.col("low") + F.col("start") + part_of_unit * F.col("size")) / F.col("quantum")) + F.col("first")
+    units = units.select("row", "source", "start", "size", (F.col("low") + F.col("start")).alias("at"), round_.alias("round"), F.floor(round_ / RANGE_ROUNDS).alias("range"))
+    units = written(units, "units")
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = units.groupBy("range").agg(F.sum("size").alias("n")).select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("range_base"))
+    inside = Window.partitionBy("range").orderBy("round", "source", "at").rowsBetween(Window.unboundedPreceding, -1)
+    placed = units.withColumn("inner", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(ranges, "range")
+    one = F.struct("start", "size", (F.col("range_base") + F.col("inner")).alias("place"))
+    return placed.groupBy("row").agg(F.array_sort(F.collect_list(one)).alias("units"))
+
+
+def cuts(units: list[dict], length: int) -> Iterator[tuple[int, int, int, int]]:
+    """(start, size, sequence, offset) of the pieces of a document; neighbours in one window are one piece."""
+    merged: list[list[int]] = []
+    for u in units:
+        if merged and merged[-1][2] + merged[-1][1] == u["place"]:
+            merged[-1][1] += u["size"]
+        else:
+            merged.append([u["start"], u["size"], u["place"]])
+    for start, size, place in merged:
+        while size:
+            n = min(size, length - place % length)
+            yield start, n, place // length, place % length
+            start, size, place = start + n, size - n, place + n
+
+
+def pack(
+    docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int = 1, targets: dict[str, float] | None = None, temper: float = 1.0,
+    unit_ids: int = UNIT_IDS, with_ids: bool = True, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source",
+) -> DataFrame:
     """Pieces of documents and their places in sequences; `sequences` joins them.
 
     One row for each piece: doc_id, start (ids of its document before it), length,
     ids_crc32, doc_tokens, sequence_id, offset and, if asked, ids.  All sequences are
-    full but the last.  A null text is an empty one (its end id alone), a null
-    source and an empty one are the same source, equal rows are packed each.
+    full but the last.  `targets` and `temper` are those of `quanta`.  A null text is an
+    empty one (its end id alone), a null source and an empty one are the same source,
+    equal rows are packed each; targets of absent sources count for nothing.
     """
-    spark = docs.sparkSession
-    use_package(spark)
+    use_package(docs.sparkSession)
     table = encoded(docs, tokenizer, end_id, id_column, text_column, source_column)
-    totals = table.groupBy("part", "source").agg(F.sum("n_tokens").alias("n"))
-    total = totals.agg(F.sum("n")).first()[0] or 0
-    sums = totals.groupBy("source").agg(F.sum("n").alias("n"))
-    share = max(MIN_SHARE, Fraction(LEAST_IDS, length))
-    least = -(-total * share.numerator // share.denominator)
-    large = F.col("n") >= least
-    own = {r.source: r.n for r in sums.where(large | F.col("source").isin(list(targets)) if targets else large).orderBy("source").collect()}  # under 512 rows, and the targets
-    queues, sizes = {s: j for j, s in enumerate(own)}, list(own.values())
-    small = sums.where(~F.col("source").isin(list(queues))) if queues else sums
-    small = small.withColumn("level", F.char_length(F.bin("n")))
-    levels = {r.level: r.n for r in small.groupBy("level").agg(F.sum("n").alias("n")).orderBy("level").collect()}  # a row for each power of two at most
-    rest, shared = len(sizes), sum(levels.values())
-    if shared and shared < least and own and targets is None:  # the smallest queue is mixed with the small ones
-        smallest = min(own, key=lambda s: own[s])
-        rest = queues[smallest]
-        levels[0] = own[smallest]
-        small = small.union(sums.where(F.col("source") == smallest).withColumn("level", F.lit(0)))
-        sizes[rest] += shared
-    elif shared:
-        sizes.append(shared)
-    wanted = None
-    if targets is not None:
-        weights = {s: Fraction(w) for s, w in targets.items()}
-        if any(0 < w * length < LEAST_IDS * sum(weights.values()) for w in weights.values()):
-            raise ValueError(f"a target must give {LEAST_IDS} ids of a window at least")
-        wanted = [weights.get(s, Fraction(0)) for s in own] + [Fraction(0)] * (len(sizes) - len(own))
-    plan = Plan(phases(sizes, wanted, length), length)
-    of_level, level_sizes = {k: i for i, k in enumerate(levels)}, tuple(levels.values())
-    # ids of a level that give each of its sources LEAST_IDS, as the least source of level k has 2^(k-1)
-    turns = {k: -(-LEAST_IDS * n // (1 << k - 1)) if k else n for k, n in levels.items()}
-    in_level = Window.partitionBy("level").orderBy("source").rowsBetween(Window.unboundedPreceding, 0)
-    small = small.select("source", "level", F.sum("n").over(in_level).alias("upper"), F.col("n").alias("size"))
-    queue = F.element_at(F.create_map(*[F.lit(x) for kv in queues.items() for x in kv]), F.col("source")) if queues else F.lit(None)
-    order = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = totals.withColumn("base", F.coalesce(F.sum("n").over(order), F.lit(0))).withColumn("queue", F.coalesce(queue.cast("int"), F.lit(rest)))
-    bases = bases.join(small, "source", "left") if levels else bases.select("*", F.lit(None).cast("int").alias("level"), F.lit(None).cast("long").alias("upper"), F.lit(None).cast("long").alias("size"))
-
-    def places(queue: int, level: int | None, upper: int, size: int, low: int, high: int) -> Iterator[tuple[int, int, int, int]]:
-        """Ids low to high of a source as (first id, ids, sequence, offset)."""
-        if level is None:
-            yield from plan.pieces(queue, low, high)
-            return
-        for first, n, at in spread(upper - size, upper, levels[level], turns[level], low, high):
-            for second, m, place in blended(of_level[level], level_sizes, length, at, at + n):
-                for third, k, sequence, offset in plan.pieces(queue, place, place + m):
-                    yield first + (second - at) + (third - place), k, sequence, offset
+    units = served(table, length, targets, temper, unit_ids)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[] for _ in range(7 + with_ids)]
-            for q, level, upper, in_source, low, doc_id, n, raw in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+            for doc_id, n, raw, parts in zip(*(x.to_pylist() for x in batch.columns), strict=True):
                 ids = _ids(raw)
-                for first, size, sequence, offset in places(q, level, upper, in_source, low, low + n):
-                    start = first - low
+                for start, size, sequence, offset in cuts(parts, length):
                     piece = ids[start : start + size]
                     row = (doc_id, start, size, zlib.crc32(piece.tobytes()), n, sequence, offset, piece)
                     for values, x in zip(out, row):
@@ -295,8 +188,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int = 1,
         kinds = [pa.int64()] * 7 + [pa.list_(pa.int32())] * with_ids
         return pa.record_batch([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], [*(x.split()[0] for x in PIECES.split(", ")), "ids"][: len(out)])
 
-    placed = table.join(bases.select("part", "source", "queue", "level", "upper", "size", "base"), ["part", "source"])
-    placed = placed.select("queue", "level", "upper", "size", (F.col("base") + F.col("before")).alias("low"), "doc_id", "n_tokens", "ids")
+    placed = table.select("row", "doc_id", "n_tokens", "ids").join(units, "row").select("doc_id", "n_tokens", "ids", "units")
     return placed.mapInArrow(cut, PIECES + ", ids array<int>" * with_ids)
 
 

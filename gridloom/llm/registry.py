@@ -185,8 +185,12 @@ SELECT doc_id, item_id, n_shared, n_item, n_shared / n_item AS containment FROM
 """
 
 
+#: The target mixture: a source of n ids has the share n ** MIXTURE of the sum, so that small sources count for more.
+MIXTURE = 0.8
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=1, with_ids=False)
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=1, temper=MIXTURE, with_ids=False)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
