@@ -2,12 +2,18 @@
 
 Texts are compared by their distinct five-word shingles.  An item of m shingles is in
 a document if at least CONTAINMENT of them are.  Items are dealt by size into
-partitions [2^p, 2^(p+1)); an item's MinHash sketch is its k_p least shingle hashes,
-where k_p = u - need(u) + 1 for the partition's largest size u.  Of those k_p (no
-fewer than m - need(m) + 1) shingles, a document with enough of the item's shingles
-must hold one, however long it is: the search misses nothing, unlike banding, whose
-recall falls with the ratio of sizes.  Documents that hold a sketch hash are
-candidates; their shingles are compared with the items' as text.
+partitions [2^p, 2^(p+1)).  An item's MinHash signature is the k_p shingles of least
+rank; k_p = u - need(u) + 1 for the partition's largest size u.  A document that holds
+the item lacks m - need(m) of its shingles at most, so it holds k_p - (m - need(m)) of
+the signature: that many is the partition's threshold for an item of m, however long the
+document is.  (Signatures of documents of a fixed length can't find short items in long
+ones: an item of 20 shingles in a document of 20,000 has a Jaccard similarity of 0.0008,
+and 256 minima agree in none in 4 of 5 cases.)
+
+A shingle's rank is its hash, as a number in (0, 1], times the number of items that hold
+it, so that signatures avoid the stems that many items share.  A document's shingles are
+looked up in a Bloom filter of signatures; only what it passes is joined, by hash and item.
+Pairs that reach the threshold are verified by their shingles as text.
 """
 
 from __future__ import annotations
@@ -25,8 +31,9 @@ from .common import columns, use_package, written
 SHINGLE_WORDS = 5
 #: Containment as a fraction, so that thresholds are whole numbers.
 NUMERATOR, DENOMINATOR = 4, 5
-#: Item shingles up to this many are sent to every task; more are joined by hash.
-BROADCAST_SHINGLES = 1_000_000
+#: Bloom filters, which tasks get: bits for each hash, probes, and least and most bits (2 ** n).  Above
+#: these most bits (16 MB) filters pass more, but nothing else changes.
+HASH_BITS, PROBES, LEAST_BITS, MOST_BITS = 16, 4, 16, 27
 
 _BLANK = bytes(c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256))
 
@@ -49,37 +56,55 @@ def shingle_hashes(text_words: list[bytes]) -> np.ndarray:
     return mixed
 
 
-def _shingles(rows: DataFrame, keep: tuple[np.ndarray, np.ndarray] | None) -> DataFrame:
+class Bloom:
+    """A set of 64-bit hashes of bounded size: may take others for members, never misses one."""
+
+    def __init__(self, hashes: DataFrame) -> None:
+        """Of a column `hash`; at most 2 ** MOST_BITS / 64 rows of 16 bytes come to the driver."""
+        size = HASH_BITS * hashes.count()
+        self.bits = min(MOST_BITS, max(LEAST_BITS, int(size).bit_length()))
+        mask = F.lit((1 << self.bits) - 1)
+        each = hashes.select(F.explode(F.array(*[F.shiftrightunsigned("hash", 12 * i).bitwiseAND(mask) for i in range(PROBES)])).alias("b"))
+        words = each.groupBy(F.shiftright("b", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("bits")).toPandas()
+        table = np.zeros(1 << (self.bits - 6), np.int64)
+        table[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
+        self.table = np.unpackbits(table.view(np.uint8), bitorder="little").view(bool) if self.bits <= 20 else table.view(np.uint8)
+
+    def among(self, hashes: np.ndarray) -> np.ndarray:
+        """Which of the hashes may be members."""
+        found = np.ones(len(hashes), bool)
+        mask = np.uint64((1 << self.bits) - 1)
+        for i in range(PROBES):
+            at = np.flatnonzero(found)
+            b = (hashes[at] >> np.uint64(12 * i)) & mask
+            if self.table.dtype == bool:
+                found[at] = self.table[b]
+            else:
+                found[at] = (self.table[b >> np.uint64(3)] >> (b & np.uint64(7)).astype(np.uint8)) & 1 > 0
+        return found
+
+
+def _shingles(rows: DataFrame, filters: tuple[Bloom, Bloom] | None) -> DataFrame:
     """key columns, hash and shingle of each distinct shingle of (doc_id, text_hash, text).
 
-    With `keep` (sorted sketch hashes, sorted hashes of all item shingles), only those of
-    candidates, and only shingles that an item may have.
+    With `filters` (of signatures and of all item shingles), only those of documents that
+    pass the first, and only shingles that pass the second.
     """
     use_package(rows.sparkSession)
     names = ["doc_id", "text_hash", "hash", "shingle"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        low = None
-        if keep is not None:  # a bit for the low bits of each sketch hash: most shingles stop there
-            low = np.zeros(1 << 18, bool)
-            low[keep[0] & np.uint64((1 << 18) - 1)] = True
-
-        def within(values: np.ndarray, among: np.ndarray) -> np.ndarray:
-            at = np.searchsorted(among, values)
-            return (at < len(among)) & (among[np.minimum(at, len(among) - 1)] == values)
-
         for batch in batches:
             out: list[list] = [[], [], [], []]
             for doc_id, text_hash, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 own = words(text.as_py())
                 hashes = shingle_hashes(own)
                 places = np.arange(len(hashes))
-                if keep is not None:
-                    maybe = hashes[low[hashes & np.uint64((1 << 18) - 1)]]
-                    if not len(maybe) or not within(maybe, keep[0]).any():
+                if filters is not None:
+                    if not filters[0].among(hashes).any():
                         continue
-                    places = np.flatnonzero(within(hashes, keep[1]))
-                for shingle, h in {b" ".join(own[i : i + SHINGLE_WORDS]): hashes[i] for i in places}.items():
+                    places = np.flatnonzero(filters[1].among(hashes))
+                for shingle, h in {b" ".join(own[i : i + SHINGLE_WORDS]): hashes[i] for i in places.tolist()}.items():
                     for values, x in zip(out, (doc_id, text_hash, h, shingle.decode()), strict=True):
                         values.append(x)
                 if len(out[0]) > 200_000:
@@ -94,7 +119,21 @@ def _shingles(rows: DataFrame, keep: tuple[np.ndarray, np.ndarray] | None) -> Da
     return rows.mapInArrow(run, "doc_id long, text_hash long, hash long, shingle string")
 
 
-def find_items(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text_column: str = "text", broadcast_shingles: int = BROADCAST_SHINGLES) -> DataFrame:
+def signatures(known: DataFrame) -> DataFrame:
+    """item, hash, n_item and least (how many of its signature a document must hold) of `known` (item, hash, shingle)."""
+    need = lambda n: F.ceil(n * NUMERATOR / DENOMINATOR)
+    held = known.groupBy("hash", "shingle").agg(F.count("*").alias("items"))
+    rank = (F.pmod("hash", F.lit(1 << 52)) + 1) / float(1 << 52) * F.col("items")
+    each = known.join(held, ["hash", "shingle"]).withColumn("rank", rank)
+    sizes = known.groupBy("item").agg(F.count("*").alias("n_item"))
+    largest = F.pow(F.lit(2), F.length(F.bin("n_item"))).cast("long") - 1
+    k = F.least(F.col("n_item"), largest - need(largest) + 1)
+    sized = sizes.select("item", "n_item", k.alias("k"), (k - (F.col("n_item") - need(F.col("n_item")))).alias("least"))
+    place = F.row_number().over(Window.partitionBy("item").orderBy("rank", "hash", "shingle"))
+    return each.withColumn("place", place).join(sized, "item").where("place <= k").select("item", "hash", "n_item", "least")
+
+
+def find_items(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text_column: str = "text") -> DataFrame:
     """doc_id, text_hash, item_id, n_shared, n_item, containment of every contained item.
 
     Null texts and those of fewer than five words have no shingles: such items are not
@@ -102,26 +141,19 @@ def find_items(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", tex
     the shingles of all; equal documents come out once for each (id, text).
     """
     item_rows = columns(items, doc_id=item_column, text=item_text_column).withColumn("text_hash", F.lit(0).cast("long")).select("doc_id", "text_hash", "text")
-    known = written(_shingles(item_rows, None).select(F.col("doc_id").alias("item_id"), "hash", "shingle").distinct(), "items")
-    sizes = known.groupBy("item_id").agg(F.count("*").alias("n_item"))
-    largest = F.pow(F.lit(2), F.length(F.bin("n_item"))).cast("long") - 1
-    sketch_size = largest - F.ceil(largest * NUMERATOR / DENOMINATOR) + 1
-    place = F.row_number().over(Window.partitionBy("item_id").orderBy("hash", "shingle"))
-    with_size = known.withColumn("place", place).join(sizes.withColumnsRenamed({"item_id": "_item"}).withColumn("k", sketch_size), F.col("item_id").eqNullSafe(F.col("_item")))
-    sketches = with_size.where("place <= k")
+    # null is an id of its own; `item` never is null
+    ids = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
+    known = written(_shingles(item_rows, None).select(ids.alias("item"), F.col("doc_id").alias("item_id"), "hash", "shingle").distinct(), "items")
+    signed = written(signatures(known.drop("item_id")), "signatures")
+    filters = Bloom(signed.select("hash").distinct()), Bloom(known.select("hash").distinct())
     rows = columns(docs, doc_id=id_column, text=text_column).select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    if known.count() <= broadcast_shingles:
-        as_hashes = lambda df: np.unique(np.array([r[0] for r in df.select("hash").distinct().collect()], np.int64).view(np.uint64))
-        keep = as_hashes(sketches), as_hashes(known)
-        held = _shingles(rows, keep) if len(keep[0]) else _shingles(rows.limit(0), None)
-    else:
-        every = written(_shingles(rows, None), "shingles")
-        candidates = every.join(sketches.select("hash").distinct(), "hash").select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash")).distinct()
-        held = every.join(candidates, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("text_hash") == F.col("_hash")), "left_semi")
-    shared = held.select("doc_id", "text_hash", "shingle").join(known.select("shingle", "item_id"), "shingle")
-    counts = shared.groupBy("doc_id", "text_hash", "item_id").agg(F.count_distinct("shingle").alias("n_shared"))
-    sized = counts.join(sizes.withColumnsRenamed({"item_id": "_item"}), F.col("item_id").eqNullSafe(F.col("_item")))
-    enough = sized.where(F.col("n_shared") * DENOMINATOR >= F.col("n_item") * NUMERATOR)
+    own = F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "text_hash")
+    held = written(_shingles(rows, filters).distinct().withColumn("doc", own), "held")
+    met = held.select("doc", "hash").distinct().join(signed, "hash").groupBy("doc", "item", "n_item", "least").agg(F.count_distinct("hash").alias("n"))
+    pairs = met.where("n >= least").select("doc", "item", "n_item")
+    shared = held.join(pairs, "doc").join(known.select("item", "item_id", "shingle"), ["item", "shingle"])
+    counts = shared.groupBy("doc_id", "text_hash", "item_id", "n_item").agg(F.count("*").alias("n_shared"))
+    enough = counts.where(F.col("n_shared") * DENOMINATOR >= F.col("n_item") * NUMERATOR)
     return enough.select("doc_id", "text_hash", "item_id", "n_shared", "n_item", (F.col("n_shared") / F.col("n_item")).alias("containment"))
 
 

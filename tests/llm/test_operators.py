@@ -163,23 +163,6 @@ def test_packing(odd, encode, targets, length):
     assert all(len(r.ids) == length for r in whole)
 
 
-def test_packing_holds_proportions(spark):
-    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
-    rows = packing.pack(docs, registry.tokenizer_path(), with_ids=False).join(docs.select("doc_id", "source"), "doc_id").toPandas()
-    each = rows.groupby(["sequence_id", "source"]).length.sum().unstack().iloc[:-1]
-    assert each.max().sub(each.min()).max() <= 2
-    assert packing.pack(docs.limit(0), registry.tokenizer_path()).count() == 0
-
-
-def test_phases_serve_everything():
-    from fractions import Fraction
-
-    for sizes, targets in (([5000, 300, 900], [Fraction(1, 3)] * 3), ([10, 0, 7], [Fraction(1), Fraction(0), Fraction(0)]), ([9000, 9000], [Fraction(9, 10), Fraction(1, 10)])):
-        plan = packing.phases(sizes, targets, 64)
-        assert [sum(t[j] for _, t in plan) for j in range(len(sizes))] == sizes
-    assert packing.phases([9000, 9000], [Fraction(9, 10), Fraction(1, 10)], 64)[0][1] == [8985, 999]
-
-
 # ---- 3 --------------------------------------------------------------------------------
 
 
@@ -341,8 +324,10 @@ def test_components_of_chains(spark):
 # ---- 9 --------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("limit", [decontam.BROADCAST_SHINGLES, 0])
-def test_decontamination(spark, odd, none, limit):
+@pytest.mark.parametrize("bits", [decontam.MOST_BITS, 8])
+def test_decontamination(spark, odd, none, bits, monkeypatch):
+    monkeypatch.setattr(decontam, "MOST_BITS", bits)
+    monkeypatch.setattr(decontam, "LEAST_BITS", min(bits, decontam.LEAST_BITS))
     prose = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(odd_rows()[0][1]))
     items = [(1, " ".join(prose[50:70])), (2, " ".join(prose[80:96] + ["zz"] * 4 + prose[96:120])), (3, "one two"), (4, None), (5, "no such words are here at all"), (None, " ".join(prose[20:30])), (6, " ".join(prose[:300] + [f"q{i}" for i in range(300)]))]
     shingles = lambda t: {tuple(w[i : i + 5]) for w in [re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t or ""))] for i in range(len(w) - 4)}
@@ -353,8 +338,23 @@ def test_decontamination(spark, odd, none, limit):
             if own and 5 * len(own & shingles(t)) >= 4 * len(own):
                 want.add((i, k, len(own & shingles(t)), len(own)))
     frame = spark.createDataFrame([(*x, "z") for x in items], "item_id long, text string, shingle string")
-    got = decontam.find_items(odd, frame, broadcast_shingles=limit).select("doc_id", "item_id", "n_shared", "n_item").collect()
+    got = decontam.find_items(odd, frame).select("doc_id", "item_id", "n_shared", "n_item").collect()
     assert {tuple(r) for r in got} == want and len(want) > 4
     clean = decontam.drop_contaminated(odd, frame)
     assert clean.columns == odd.columns and clean.count() == sum(i not in {w[0] for w in want} for i, *_ in odd_rows())
-    assert decontam.find_items(none, frame, broadcast_shingles=limit).count() == 0 == decontam.find_items(odd, frame.limit(0), broadcast_shingles=limit).count()
+    assert decontam.find_items(none, frame).count() == 0 == decontam.find_items(odd, frame.limit(0)).count()
+
+
+def test_stems_that_items_and_documents_share(spark):
+    """300 items and 300 documents with a stem of nine words: pairs are those of the items' own words."""
+    stem = "which of the following statements is true about the"
+    items = [(i, f"{stem} " + " ".join(f"i{i}w{k}" for k in range(16))) for i in range(300)]
+    docs = [(i, f"d{i} {stem} " + (items[i][1] if i % 10 == 0 else " ".join(f"d{i}w{k}" for k in range(30)))) for i in range(300)]
+    frame = spark.createDataFrame(items, "item_id long, text string")
+    found = decontam.find_items(spark.createDataFrame(docs, "doc_id long, text string"), frame)
+    assert {(r.doc_id, r.item_id, r.n_shared) for r in found.collect()} == {(i, i, 21) for i in range(0, 300, 10)}
+    known = frame.select(F.col("item_id").cast("string").alias("item"), "text").rdd.flatMap(lambda r: [(r.item, int(h) - (1 << 63), " ".join(r.text.split()[k : k + 5])) for k, h in enumerate(decontam.shingle_hashes(r.text.encode().split()))])
+    signed = decontam.signatures(known.toDF("item string, hash long, shingle string"))
+    assert signed.groupBy("hash").count().agg(F.max("count")).first()[0] == 1  # no signature has the stem
+    sizes = signed.groupBy("item").agg(F.count("*").alias("k"), F.first("n_item").alias("m"), F.first("least").alias("t")).select("k", "m", "t").distinct().collect()
+    assert [(r.k, r.m, r.t) for r in sizes] == [(7, 21, 3)]
