@@ -11,14 +11,14 @@ whose result is written to the shared folder.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.shared import use_package, written
+from ..sources.shared import new_path, remove, use_package, written
 from . import kernels
 from .blocks import classify, first_row, levels, permutation, permuted
 from .matrix import SparseMatrix
@@ -66,11 +66,16 @@ def _half(block: str, is_sep: str) -> Column:
     return F.col(block) * 2 + F.col(is_sep).cast("int")
 
 
+#: Entries of a block where the number of blocks is left open.
+BLOCK_ENTRIES = 1_000_000
+
+
 @dataclass(frozen=True)
 class Factorization:
     """LU in permuted ids: left of the diagonal L (its diagonal is 1), the rest U.
 
-    `inner` holds interior rows, `outer` separator rows; `lu` is both.
+    `inner` holds interior rows, `outer` separator rows; `lu` is both.  All tables, also
+    those that solves make once and use again, are in `folder` until `free`.
     """
 
     n: int
@@ -80,7 +85,9 @@ class Factorization:
     perm: DataFrame
     sweeps: int
     skipped: int
+    folder: str
     missing_diag: str = "raise"
+    _plans: dict[bool, tuple[DataFrame, DataFrame, list[list[int]]]] = field(default_factory=dict, repr=False, compare=False)
 
     @property
     def lu(self) -> DataFrame:
@@ -110,38 +117,44 @@ class Factorization:
         y = t.join(low, F.col("id") == F.col("row"), "left").select("id", (F.col("x") + F.coalesce("s", F.lit(0.0))).alias("x"))
         return self._back(y)
 
+    def _plan(self, upper: bool) -> tuple[DataFrame, DataFrame, list[list[int]]]:
+        """The triangle's entries by half block, what halves need of others, and the rounds; made once."""
+        if upper not in self._plans:
+            half = _half("block", "is_sep")
+            halves = self.perm.select(F.col("new_id").alias("n_id"), half.alias("n_half"))
+            inside = F.col("col") >= F.col("row") if upper else F.col("col") < F.col("row")
+            triangle = written(self.lu.where(inside).select("row", "col", "val", half.alias("half")), "triangle", self.folder)
+            refers = triangle.select("half", "col").distinct().join(halves, F.col("col") == F.col("n_id"))
+            need = written(refers.where("half <> n_half").select("half", "col", "n_half"), "need", self.folder)
+            self._plans[upper] = triangle, need, levels(need, 2 * self.num_blocks)
+        return self._plans[upper]
+
     def _substitute(self, vector: DataFrame, upper: bool) -> DataFrame:
         """One triangular solve, in rounds of half blocks: interior rows or separators of a block.
 
         Interior rows of all blocks are one round; separators follow each other as far as
         they refer to each other.  A round reads its own rows and the values they need.
         """
-        halves, half = self.perm.select(F.col("new_id").alias("n_id"), _half("block", "is_sep").alias("n_half")), _half("block", "is_sep")
-        inside = F.col("col") >= F.col("row") if upper else F.col("col") < F.col("row")
-        parts = [lu.where(inside).select("row", "col", "val", half.alias("half")) for lu in (self.inner, self.outer)]
-        refers = parts[0].unionByName(parts[1]).select("half", "col").distinct().join(halves, F.col("col") == F.col("n_id"))
-        need = written(refers.where("half <> n_half").select("half", "col", "n_half"), "need")
+        triangle, need, rounds = self._plan(upper)
         missing = self.missing_diag
 
         def solve(entries: pa.Table, values: pa.Table) -> pa.Table:
             own, ids, x = _columns(values, "own", "v_id", "v_x")
             known = dict(zip(ids.tolist(), x.tolist(), strict=True))
             rows = ids[own].tolist()
-            triangle = kernels.rows_of(*_columns(entries, "row", "col", "val"))
-            found = kernels.backward(triangle, known, rows, missing) if upper else kernels.forward(triangle, known, rows)
+            own_rows = kernels.rows_of(*_columns(entries, "row", "col", "val"))
+            found = kernels.backward(own_rows, known, rows, missing) if upper else kernels.forward(own_rows, known, rows)
             return pa.table({"id": pa.array(list(found), pa.int64()), "x": pa.array(list(found.values()), pa.float64())})
 
-        vector = written(vector.select("id", "x", half.alias("half")), "vector")
+        vector = written(vector.select("id", "x", _half("block", "is_sep").alias("half")), "vector", self.folder)
         done: DataFrame | None = None
-        for round_ in levels(need, 2 * self.num_blocks):
+        for round_ in rounds:
             mine = vector.where(F.col("half").isin(round_)).select(F.lit(True).alias("own"), F.col("id").alias("v_id"), F.col("x").alias("v_x"), F.col("half").alias("v_half"))
             if done is not None:
                 others = need.where(F.col("half").isin(round_)).select(F.col("half").alias("v_half"), "col").join(done, F.col("col") == F.col("id"))
                 mine = mine.unionByName(others.select(F.lit(False).alias("own"), F.col("id").alias("v_id"), F.col("x").alias("v_x"), "v_half"))
-            kinds = {h % 2 for h in round_}
-            entries = parts[min(kinds)] if len(kinds) == 1 else parts[0].unionByName(parts[1])
-            got = entries.where(F.col("half").isin(round_)).groupBy("half").cogroup(mine.groupBy("v_half")).applyInArrow(solve, "id long, x double")
-            got = written(got, "solved")
+            got = triangle.where(F.col("half").isin(round_)).groupBy("half").cogroup(mine.groupBy("v_half")).applyInArrow(solve, "id long, x double")
+            got = written(got, "solved", self.folder)
             done = got if done is None else done.unionByName(got)
         return done
 
@@ -158,42 +171,47 @@ class Factorization:
         """L without its diagonal, and U."""
         return self.lu.where("col < row").select("row", "col", "val"), self.lu.where("col >= row").select("row", "col", "val")
 
-    def unpersist(self) -> None:
-        """Nothing is held in memory: tables in the shared folder go with it."""
+    def free(self) -> None:
+        """Delete all tables of the factorization; results of solve and multiply that aren't written go with them."""
+        remove(self.perm.sparkSession, self.folder)
+
+
+def blocks_for(matrix: SparseMatrix, entries: int = BLOCK_ENTRIES) -> int:
+    """So many blocks that each has about `entries` entries, which one task handles."""
+    return max(1, min(matrix.n, -(-matrix.entries.count() // entries)))
 
 
-def factorize(matrix: SparseMatrix, num_blocks: int = 1, tol: float = 1e-12, classify_mode: str = "direct", missing_diag: str = "raise") -> Factorization:
+def factorize(matrix: SparseMatrix, num_blocks: int | None = 1, tol: float = 1e-12, classify_mode: str = "direct", missing_diag: str = "raise") -> Factorization:
     """ILU(0) of the matrix reordered for `num_blocks` blocks.
 
-    Empty blocks (more blocks than rows) are allowed.  Values that aren't finite in the
+    None makes as many blocks as `blocks_for` says.  Empty blocks (more blocks than rows) are allowed.  Values that aren't finite in the
     result are an error.  `skipped` of the handle counts updates by tiny pivots.
     """
     spark, n = matrix.entries.sparkSession, matrix.n
     use_package(spark)
-    if num_blocks < 1 or n < 1:
+    if (num_blocks is not None and num_blocks < 1) or n < 1:
         raise ValueError("a factorization needs a row and a block at least")
-    if missing_diag == "raise":
-        with_diagonal = matrix.entries.where("row = col").count()
-        if with_diagonal < n:
-            raise ValueError(f"{n - with_diagonal} rows have no diagonal entry")
-    entries = written(matrix.entries, "entries")
-    matrix = SparseMatrix(entries, n)
-    perm = written(permutation(classify(matrix, num_blocks, classify_mode), n, num_blocks), "perm")
+    folder = new_path(spark, "factor")
+    matrix = SparseMatrix(written(matrix.entries, "entries", folder), n)
+    if missing_diag == "raise" and (with_diagonal := matrix.entries.where("row = col").count()) < n:
+        raise ValueError(f"{n - with_diagonal} rows have no diagonal entry")
+    num_blocks = num_blocks or blocks_for(matrix)
+    perm = written(permutation(classify(matrix, num_blocks, classify_mode), n, num_blocks), "perm", folder)
     placed = permuted(matrix, perm).select("row", "col", F.col("val").alias("a0"), "block", "is_sep")
-    started = written(placed.groupBy("block").applyInArrow(_interior, LU), "interior")
+    started = written(placed.groupBy("block").applyInArrow(_interior, LU), "interior", folder)
     inner, outer = started.where(~F.col("is_sep")), started.where("is_sep")
     as_ghosts = lambda lu: lu.where("col >= row").select(F.col("row").alias("g_row"), F.col("col").alias("g_col"), F.col("val").alias("g_val"))
     # what separators eliminate with: interior rows don't change, so their copies are made once
-    wanted = written(outer.where("col < row").select(F.col("block").alias("g_block"), F.col("col").alias("g_row")).distinct(), "need")
+    wanted = written(outer.where("col < row").select(F.col("block").alias("g_block"), F.col("col").alias("g_row")).distinct(), "need", folder)
     remote = wanted.where(F.col("g_row") < first_row("g_block", n, num_blocks))
-    still = written(as_ghosts(inner).join(wanted, "g_row").select("g_block", "g_row", "g_col", "g_val"), "pivots")
+    still = written(as_ghosts(inner).join(wanted, "g_row").select("g_block", "g_row", "g_col", "g_val"), "pivots", folder)
     separators, sweeps = outer.limit(1).count(), 0
     while True:
         sweeps += 1
         if separators:
             moving = as_ghosts(outer).join(remote, "g_row").select("g_block", "g_row", "g_col", "g_val")
             ghosts = still.unionByName(moving)
-            outer = written(outer.groupBy("block").cogroup(ghosts.groupBy("g_block")).applyInArrow(_sweep, LU), "sweep")
+            outer = written(outer.groupBy("block").cogroup(ghosts.groupBy("g_block")).applyInArrow(_sweep, LU), "sweep", folder)
         change = outer.agg(F.max(F.abs(F.col("val") - F.col("before")))).first()[0]
         if not separators or not change or change < tol:
             break
@@ -203,4 +221,4 @@ def factorize(matrix: SparseMatrix, num_blocks: int = 1, tol: float = 1e-12, cla
     bad, skipped = lu.agg(F.max((F.isnan("val") | (F.abs("val") == float("inf"))).cast("int")), F.sum("skipped")).first()
     if bad:
         raise FloatingPointError("the factors hold values that aren't finite")
-    return Factorization(n, num_blocks, inner, outer, perm, sweeps, int(skipped or 0), missing_diag)
+    return Factorization(n, num_blocks, inner, outer, perm, sweeps, int(skipped or 0), folder, missing_diag)

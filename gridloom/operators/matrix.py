@@ -4,10 +4,17 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def wrong_entry(n: int) -> Column:
+    """Whether (row, col, val) is null, outside n x n or not finite."""
+    inside = F.col("row").between(0, n - 1) & F.col("col").between(0, n - 1)
+    finite = ~(F.isnan("val") | (F.abs("val") == float("inf")))
+    return ~F.coalesce(inside & finite, F.lit(False))
+
+
 @dataclass(frozen=True)
 class SparseMatrix:
     """A square matrix: entries (row long, col long, val double), no place twice."""
@@ -25,8 +32,7 @@ class SparseMatrix:
         """
         rows = entries.select(F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), F.col("val").cast("double").alias("val"))
         if check:
-            bad = F.col("row").isNull() | F.col("col").isNull() | F.col("val").isNull() | ~F.col("row").between(0, n - 1) | ~F.col("col").between(0, n - 1) | F.isnan("val") | (F.abs("val") == float("inf"))
-            if wrong := rows.where(bad).head(1):
+            if wrong := rows.where(wrong_entry(n)).head(1):
                 raise ValueError(f"entry outside the matrix or not finite: {wrong[0]}")
         summed = rows.groupBy("row", "col").agg(F.sum("val").alias("val"), F.count("*").alias("n"))
         if duplicates == "error" and (twice := summed.where("n > 1").head(1)):

@@ -118,6 +118,17 @@ def issues(log_lines: DataFrame) -> DataFrame:
     return failures.unionByName(states).unionByName(duplicates).unionByName(unlike)
 
 
+def repetitions(sample_rows: DataFrame) -> DataFrame:
+    """(matrix, phase, workers, mean_time_s, slowest_time_s, n_samples): mean and slowest of all repetitions."""
+    known = sample_rows.where("workers is not null")
+    return known.groupBy("matrix", "phase", "workers").agg(F.avg("time_s").alias("mean_time_s"), F.max("time_s").alias("slowest_time_s"), F.count("*").alias("n_samples"))
+
+
+def worker_counts(summary_rows: DataFrame) -> DataFrame:
+    """(matrix, workers): the distinct worker counts of each matrix over its phases, in order."""
+    return summary_rows.select("matrix", "workers").distinct().orderBy("matrix", "workers")
+
+
 def speedup(summary_rows: DataFrame, baseline: int = 1, phases: Sequence[str] | None = PHASES) -> DataFrame:
     """summary with base_workers, base_time_s, speedup and efficiency.
 

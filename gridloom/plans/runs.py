@@ -44,6 +44,11 @@ def perf(spark: SparkSession, name: str, matrix: SparseMatrix, num_blocks: Itera
     return spark.createDataFrame(rows, SAMPLES)
 
 
+def append(samples: DataFrame, path: str) -> None:
+    """Add samples to a results table (Parquet); each call is committed as a whole."""
+    samples.write.mode("append").parquet(path)
+
+
 def correctness(spark: SparkSession, name: str, matrix: SparseMatrix, num_blocks: Iterable[int] = (1,), checks: Iterable[str] = ("reconstruct", "vector", "sanity"), trials: int = 3, seed: int = 42) -> DataFrame:
     """One row for each check: its largest error and whether it passes."""
     rows, wanted = [], tuple(checks)
@@ -61,12 +66,15 @@ def correctness(spark: SparkSession, name: str, matrix: SparseMatrix, num_blocks
     return spark.createDataFrame(rows, CHECKS)
 
 
-def offset_sweep(spark: SparkSession, n: int, offsets: Iterable[int], num_blocks: Iterable[int] = (16,), reps: int = 3) -> DataFrame:
-    """perf over band matrices of growing largest offset, named so that reports order them."""
-    found: DataFrame | None = None
+def offset_sweep(spark: SparkSession, n: int, offsets: Iterable[int], num_blocks: Iterable[int] = (16,), reps: int = 3, results: DataFrame | None = None) -> DataFrame:
+    """perf over band matrices of growing largest offset, named so that reports order them.
+
+    Offsets and block counts that `results` (earlier samples) has are left out.
+    """
+    found = spark.createDataFrame([], SAMPLES)
+    done = set() if results is None else {tuple(r) for r in results.select("matrix", "workers").distinct().collect()}  # a row a run
     for m in offsets:
-        rows = perf(spark, f"band_n{n}_m{m}.mtx", generators.banded(spark, n, m), num_blocks, reps)
-        found = rows if found is None else found.unionByName(rows)
-    if found is None:
-        raise ValueError("no offsets")
+        name = f"band_n{n}_m{m}.mtx"
+        if left := [p for p in num_blocks if (name, p) not in done]:
+            found = found.unionByName(perf(spark, name, generators.banded(spark, n, m), left, reps))
     return found

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from .operators import blocks, verify
 from .operators.factor import factorize
 from .operators.matrix import SparseMatrix
-from .plans import logs
+from .plans import logs, runs
 from .sources import generators
-from .sources.shared import table, written
+from .sources.mtx import read_mtx, write_mtx
+from .sources.shared import new_path, table, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -228,6 +229,55 @@ def tridiag_pivots(spark, sf_dir):
     return fact.pivots().select("id", F.round(F.col("pivot") * 1e9).cast("long").alias("pivot_e9"))
 
 
+@query("ilu_round_trip", "SELECT p_partkey AS id, p_partkey % 100 AS x FROM part")
+def ilu_round_trip(spark, sf_dir):
+    """As many blocks as the entries ask for."""
+    return _round_trip(spark, sf_dir, None)
+
+
+@query("tridiag_factor_p4", f"""WITH RECURSIVE size AS (SELECT count(*) AS n FROM part), p AS (
+  SELECT p_partkey AS id, CAST(4 + p_size % 3 AS DOUBLE) AS a, ((p_partkey + 1) * {_P} - 1) // n AS block, p_partkey > 0 AND p_partkey = ((((p_partkey + 1) * {_P} - 1) // n) * n) // {_P} AS is_sep FROM part, size
+), inner_ AS (
+  SELECT id, a, row_number() OVER (ORDER BY id) = 1 OR lag(is_sep) OVER (ORDER BY id) AS head, is_sep FROM p
+), u AS (
+  SELECT id, a AS d FROM inner_ WHERE head AND NOT is_sep
+  UNION ALL SELECT i.id, i.a - 1.0 / u.d FROM u JOIN inner_ i ON i.id = u.id + 1 AND NOT i.is_sep AND NOT i.head
+), pivots AS (
+  SELECT id, d FROM u UNION ALL SELECT p.id, p.a - 1.0 / l.d - 1.0 / r.d FROM p JOIN u l ON l.id = p.id - 1 JOIN u r ON r.id = p.id + 1 WHERE is_sep
+), entries AS (
+  SELECT id AS r, id AS c, d AS v FROM pivots
+  UNION ALL SELECT p.id, p.id - 1, CASE WHEN q.is_sep THEN -1.0 ELSE -1.0 / d END FROM p JOIN p q ON q.id = p.id - 1 JOIN pivots ON pivots.id = q.id
+  UNION ALL SELECT p.id, p.id + 1, CASE WHEN p.is_sep THEN -1.0 / d ELSE -1.0 END FROM p JOIN pivots ON pivots.id = p.id + 1)
+  SELECT r, c, CAST(round(v * 1e9) AS BIGINT) AS v_e9 FROM entries""")
+def tridiag_factor_p4(spark, sf_dir):
+    """Raw factors over blocks: separators (a block's first rows) are eliminated by both neighbours."""
+    found = factorize(generators.part_chain(spark, sf_dir), _P).unpermuted()
+    return found.select(F.col("row").alias("r"), F.col("col").alias("c"), F.round(F.col("val") * 1e9).cast("long").alias("v_e9"))
+
+
+_CHAIN = """size AS (SELECT count(*) AS n FROM part), adj AS (
+  SELECT p_partkey AS r, p_partkey + d AS c FROM part, (VALUES (-1), (0), (1)) s(d), size WHERE p_partkey + d BETWEEN 0 AND n - 1
+)"""
+
+
+@query("ilu_sweep_count", f"""WITH RECURSIVE {_CHAIN}, {_BLOCKS}, deps AS (
+  SELECT DISTINCT a.block AS block, b.block AS lower FROM adj JOIN classes a ON a.r = adj.r JOIN classes b ON b.r = adj.c WHERE a.is_sep AND b.is_sep AND b.block < a.block
+), depth AS (
+  SELECT DISTINCT block, 1 AS d FROM classes WHERE is_sep UNION SELECT deps.block, d + 1 FROM depth JOIN deps ON deps.lower = depth.block)
+  SELECT {_P} AS num_blocks, CAST(coalesce(max(d), 0) + 1 AS INTEGER) AS sweeps FROM depth""")
+def ilu_sweep_count(spark, sf_dir):
+    """Of the chain: a sweep for each step of the longest chain of separators over blocks, and one that changes nothing."""
+    sweeps = factorize(generators.part_chain(spark, sf_dir), _P).sweeps
+    return spark.range(1).select(F.lit(_P).alias("num_blocks"), F.lit(sweeps).alias("sweeps"))
+
+
+@query("ilu_split_p4", f"WITH {_ADJ}, {_BLOCKS} SELECT pr.new_id AS r, pc.new_id AS c, pc.new_id < pr.new_id AS lower FROM adj JOIN perm pr ON pr.old_id = adj.r JOIN perm pc ON pc.old_id = adj.c")
+def ilu_split_p4(spark, sf_dir):
+    """The pattern of the two triangular factors, in new ids."""
+    low, up = factorize(_adj(spark, sf_dir), _P).split()
+    return low.withColumn("lower", F.lit(True)).unionByName(up.withColumn("lower", F.lit(False))).select(F.col("row").alias("r"), F.col("col").alias("c"), "lower")
+
+
 @query("ilu_sweeps")
 def ilu_sweeps(spark, sf_dir):
     a = _adj(spark, sf_dir)
@@ -249,12 +299,16 @@ def _side(spark: SparkSession, sf_dir: str, axes: int) -> int:
     return max(3, int(round(table(spark, sf_dir, "part").count() ** (1 / axes))))
 
 
-_SIDE2 = "(SELECT greatest(3, CAST(round(sqrt(count(*))) AS BIGINT)) AS k FROM part)"
-_SIDE3 = "(SELECT greatest(3, CAST(round(pow(count(*), 1.0 / 3)) AS BIGINT)) AS k FROM part)"
+def _grid(axes: int) -> str:
+    """A row for each point of the grid, as many as there are."""
+    side = "sqrt(count(*))" if axes == 2 else "pow(count(*), 1.0 / 3)"
+    return f"""grid AS (SELECT k, unnest(range({" * ".join("k" * axes)})) AS id FROM (SELECT greatest(3, CAST(round({side}) AS BIGINT)) AS k FROM part) t)"""
+
+
 _STEP2 = "(VALUES (-1, 0, 1.0), (1, 0, 1.0), (0, -1, 2.0), (0, 1, 2.0)) s(dy, dx, w)"
 
 
-@query("lap2d", f"""WITH g AS (SELECT k, range AS id, range // k AS y, range % k AS x FROM {_SIDE2} t, range(0, 1000000) WHERE range < k * k),
+@query("lap2d", f"""WITH {_grid(2)}, g AS (SELECT k, id, id // k AS y, id % k AS x FROM grid),
   e AS (SELECT id AS r, (y + dy) * k + x + dx AS c, -1 AS v FROM g, {_STEP2} WHERE y + dy BETWEEN 0 AND k - 1 AND x + dx BETWEEN 0 AND k - 1)
   SELECT r, c, CAST(v AS BIGINT) AS v FROM e UNION ALL SELECT r, r, count(*) + 1 FROM e GROUP BY r""")
 def lap2d(spark, sf_dir):
@@ -262,7 +316,7 @@ def lap2d(spark, sf_dir):
     return _out(generators.laplacian(spark, (k, k), diag_shift=1.0).entries)
 
 
-@query("lap3d", f"""WITH g AS (SELECT k, range AS id, range // (k * k) AS z, range // k % k AS y, range % k AS x FROM {_SIDE3} t, range(0, 1000000) WHERE range < k * k * k),
+@query("lap3d", f"""WITH {_grid(3)}, g AS (SELECT k, id, id // (k * k) AS z, id // k % k AS y, id % k AS x FROM grid),
   s(dz, dy, dx) AS (VALUES (-1, 0, 0), (1, 0, 0), (0, -1, 0), (0, 1, 0), (0, 0, -1), (0, 0, 1)),
   e AS (SELECT id AS r, ((z + dz) * k + y + dy) * k + x + dx AS c, -1 AS v FROM g, s WHERE z + dz BETWEEN 0 AND k - 1 AND y + dy BETWEEN 0 AND k - 1 AND x + dx BETWEEN 0 AND k - 1)
   SELECT r, c, CAST(v AS BIGINT) AS v FROM e UNION ALL SELECT r, r, count(*) FROM e GROUP BY r""")
@@ -271,7 +325,7 @@ def lap3d(spark, sf_dir):
     return _out(generators.laplacian(spark, (k, k, k)).entries)
 
 
-@query("lap_periodic", f"""WITH g AS (SELECT k, range AS id, range // k AS y, range % k AS x FROM {_SIDE2} t, range(0, 1000000) WHERE range < k * k),
+@query("lap_periodic", f"""WITH {_grid(2)}, g AS (SELECT k, id, id // k AS y, id % k AS x FROM grid),
   e AS (SELECT id AS r, (y + dy + k) % k * k + (x + dx + k) % k AS c FROM g, {_STEP2})
   SELECT r, c, CAST(-count(*) AS BIGINT) AS v FROM e GROUP BY r, c UNION ALL SELECT r, r, count(*) FROM e GROUP BY r""")
 def lap_periodic(spark, sf_dir):
@@ -279,7 +333,7 @@ def lap_periodic(spark, sf_dir):
     return _out(generators.laplacian(spark, (k, k), periodic=True).entries)
 
 
-@query("lap_aniso", f"""WITH g AS (SELECT k, range AS id, range % k AS y, range // k AS x FROM {_SIDE2} t, range(0, 1000000) WHERE range < k * k),
+@query("lap_aniso", f"""WITH {_grid(2)}, g AS (SELECT k, id, id % k AS y, id // k AS x FROM grid),
   e AS (SELECT id AS r, y + dy + (x + dx) * k AS c, -w AS v FROM g, {_STEP2} WHERE y + dy BETWEEN 0 AND k - 1 AND x + dx BETWEEN 0 AND k - 1)
   SELECT r, c, CAST(v AS BIGINT) AS v FROM e UNION ALL SELECT r, r, CAST(sum(-v) AS BIGINT) FROM e GROUP BY r""")
 def lap_aniso(spark, sf_dir):
@@ -301,6 +355,41 @@ def random_dominant(spark, sf_dir):
     return generators.random_dominant(spark, n, 8.0 / n, seed=7).entries.select(F.col("row").alias("r"), F.col("col").alias("c"), F.col("val").alias("v"))
 
 
+@query("random_dominant_rows", "SELECT p_partkey AS r, true AS inside, true AS few, true AS dominated, true AS again FROM part")
+def random_dominant_rows(spark, sf_dir):
+    """Of each row: values within bounds, at most 9 entries, a diagonal above the others' sum, and the same matrix again."""
+    n = table(spark, sf_dir, "part").count()
+    one, two = (generators.random_dominant(spark, n, 8.0 / n, seed=7).entries for _ in range(2))
+    off = F.col("row") != F.col("col")
+    rows = one.groupBy("row").agg(
+        (F.max(F.when(off, F.abs("val")).otherwise(0.0)) < 100).alias("inside"), (F.count("*") <= 9).alias("few"),
+        (F.sum(F.when(~off, F.col("val"))) > F.sum(F.when(off, F.abs("val")).otherwise(0.0))).alias("dominated"),
+        F.bit_xor(F.xxhash64("col", "val")).alias("hash"),
+    )
+    same = two.groupBy("row").agg(F.bit_xor(F.xxhash64("col", "val")).alias("other"))
+    return rows.join(same, "row").select(F.col("row").alias("r"), "inside", "few", "dominated", (F.col("hash") == F.col("other")).alias("again"))
+
+
+# ---- files -----------------------------------------------------------------------------
+
+
+@query("mtx_round_trip", f"WITH {_ADJ} SELECT r, c, CAST(v AS BIGINT) AS v FROM adj")
+def mtx_round_trip(spark, sf_dir):
+    """The part graph written as a MatrixMarket file of several parts and read back."""
+    path = new_path(spark, "adj.mtx")
+    write_mtx(_adj(spark, sf_dir), path)
+    return _out(read_mtx(spark, path).entries)
+
+
+@query("mtx_lines", f"""WITH {_ADJ} SELECT CAST(r + 1 AS VARCHAR) || ' ' || (c + 1) || ' ' || CAST(v AS BIGINT) || '.0' AS line FROM adj
+  UNION ALL SELECT '%%MatrixMarket matrix coordinate real general' UNION ALL SELECT CAST(n AS VARCHAR) || ' ' || n || ' ' || (SELECT count(*) FROM adj) FROM size""")
+def mtx_lines(spark, sf_dir):
+    """The lines of that file."""
+    path = new_path(spark, "adj.mtx")
+    write_mtx(_adj(spark, sf_dir), path)
+    return spark.read.text(path).withColumnRenamed("value", "line")
+
+
 # ---- benchmark logs: events as log lines -----------------------------------------------
 
 
@@ -383,3 +472,117 @@ def log_issues(spark, sf_dir):
   FROM samples WHERE matrix <> '<unknown>' GROUP BY matrix, phase, workers""")
 def strict_summary(spark, sf_dir):
     return logs.strict_summary(event_lines(spark, sf_dir)).select("matrix", "phase", "ranks", "n", "median_time", "n_samples")
+
+
+# ---- reports ---------------------------------------------------------------------------
+
+#: Phases that reports have columns for.
+PHASES = ("click", "purchase", "signup")
+
+
+def _summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return logs.summary(logs.samples(event_lines(spark, sf_dir)))
+
+
+def _cell_sql(phase: str) -> str:
+    return f"coalesce(max(CASE WHEN phase = '{phase}' THEN printf('%.4f', median_time_s) || CASE WHEN n_repeats < 3 THEN '~' || n_repeats ELSE '' END END), '-')"
+
+
+@query("report_by_matrix", f"""WITH {_SAMPLES} SELECT workers, matrix, CAST(nullif(regexp_extract(matrix, '_m(\\d+)\\.mtx$', 1), '') AS BIGINT) AS off,
+  coalesce(nullif(regexp_extract(matrix, '_m(\\d+)\\.mtx$', 1), ''), matrix) AS label, {", ".join(f"{_cell_sql(p)} AS {p}" for p in PHASES)}
+  FROM summary WHERE phase IN {PHASES} GROUP BY workers, matrix""")
+def report_by_matrix(spark, sf_dir):
+    """A row for each worker count and matrix; times of fewer than three repeats are marked."""
+    return logs.by_matrix(_summary(spark, sf_dir), PHASES).select("workers", "matrix", F.col("offset").alias("off"), "label", *PHASES)
+
+
+_REPORT_COLUMNS = ", ".join(
+    f"coalesce(max(CASE WHEN phase = '{p}' THEN printf('%.4f', median_time_s) || CASE WHEN n_repeats < 3 THEN '~' || n_repeats ELSE '' END END), '-') AS {p}_time, "
+    f"coalesce(max(CASE WHEN phase = '{p}' THEN printf('%.2fx', s) END), '-') AS {p}_speedup, coalesce(max(CASE WHEN phase = '{p}' THEN printf('%.0f%%', 100 * s / (CAST(workers AS DOUBLE) / base_workers)) END), '-') AS {p}_eff"
+    for p in PHASES
+)
+
+
+@query("report_by_workers", f"""WITH {_SAMPLES}, chosen AS (SELECT * FROM summary WHERE phase IN {PHASES}), base AS (
+  SELECT matrix, CASE WHEN bool_or(workers = 1) THEN 1 ELSE min(workers) END AS base_workers FROM chosen GROUP BY matrix
+), gains AS (
+  SELECT s.*, base_workers, b.median_time_s / s.median_time_s AS s FROM chosen s JOIN base ON base.matrix = s.matrix
+  LEFT JOIN chosen b ON b.matrix = s.matrix AND b.phase = s.phase AND b.workers = base_workers
+) SELECT matrix, workers, {_REPORT_COLUMNS} FROM gains GROUP BY matrix, workers""")
+def report_by_workers(spark, sf_dir):
+    """A row for each matrix and worker count: time, speedup and efficiency of each phase."""
+    return logs.by_workers(_summary(spark, sf_dir), 1, PHASES)
+
+
+@query("worker_counts", f"WITH {_SAMPLES} SELECT DISTINCT matrix, workers FROM summary")
+def worker_counts(spark, sf_dir):
+    return logs.worker_counts(_summary(spark, sf_dir))
+
+
+@query("repetition_means", f"""WITH {_SAMPLES} SELECT matrix, phase, workers, CAST(round(avg(time_s) * 1e6) AS BIGINT) AS mean_e6, max(time_s) AS slowest_time_s, count(*) AS n_samples
+  FROM samples GROUP BY ALL""")
+def repetition_means(spark, sf_dir):
+    """Mean and slowest of all repetitions."""
+    rows = logs.repetitions(logs.samples(event_lines(spark, sf_dir)))
+    return rows.select("matrix", "phase", "workers", F.round(F.col("mean_time_s") * 1e6).cast("long").alias("mean_e6"), "slowest_time_s", "n_samples")
+
+
+@query("results_table", f"WITH {_SAMPLES} SELECT file, matrix, phase, workers, time_s FROM samples UNION ALL SELECT file, matrix, phase, workers, time_s FROM samples")
+def results_table(spark, sf_dir):
+    """Samples appended to a results table twice."""
+    rows = logs.samples(event_lines(spark, sf_dir)).select("file", "matrix", "phase", "workers", "nodes", "n", "nnz", "time_s")
+    path = new_path(spark, "results")
+    for _ in range(2):
+        runs.append(rows, path)
+    return spark.read.parquet(path).select("file", "matrix", "phase", "workers", "time_s")
+
+
+@query("strict_times", f"""WITH {_SAMPLES.replace("SELECT user_id, event_type, value, event_id,", "SELECT user_id, ts, event_type, value, event_id,").replace("value AS time_s FROM filled", "value AS time_s, ts, event_id FROM filled")}
+  SELECT matrix, phase, workers AS ranks, string_agg(printf('%.6f', time_s), ';' ORDER BY file, ts, event_id) AS all_times FROM samples WHERE matrix <> '<unknown>' GROUP BY matrix, phase, workers""")
+def strict_times(spark, sf_dir):
+    """All times of a configuration in order of file and line."""
+    return logs.strict_summary(event_lines(spark, sf_dir)).select("matrix", "phase", "ranks", "all_times")
+
+
+def runtime_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's events as a log of runtimes: clicks are reconstructions, purchases vector times, signups other lines."""
+    events = table(spark, sf_dir, "events").where(F.col("event_type").isin("click", "purchase", "signup"))
+    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    tail = F.concat(F.lit("_"), F.col("event_id") % 2 * 90 + 10, F.lit("_0.1="), F.format_string("%.2f", "value"))
+    line = F.when(F.col("event_type") == "click", F.concat(F.lit("RUNTIME_RECONSTRUCT"), tail)).when(F.col("event_type") == "purchase", F.concat(F.lit("RUNTIME_VECTOR"), tail)).otherwise("noise")
+    file = F.concat(F.lit("u"), F.col("user_id"), F.lit(".out"))
+    body = events.select(file.alias("file"), F.row_number().over(order).alias("line_no"), line.alias("value"))
+    head = events.select(file.alias("file"), F.lit(0).alias("line_no"), F.concat(F.lit("Workers (MPI Ranks): "), F.col("user_id") % 4 + 1).alias("value")).distinct()
+    return body.unionByName(head)
+
+
+_RUNTIMES = """timed AS (
+  SELECT user_id, event_type, event_id % 2 * 90 + 10 AS size, value, lag(event_type) OVER w AS last_type, lag(event_id % 2 * 90 + 10) OVER w AS last_size, lag(value) OVER w AS last_value
+  FROM events WHERE event_type IN ('click', 'purchase') WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)
+), runtimes AS (
+  SELECT CAST(user_id % 4 + 1 AS INTEGER) AS workers, CAST(size AS INTEGER) AS size, CAST(0.1 AS DOUBLE) AS density, CAST(round((value + last_value) * 1e6) AS BIGINT) AS runtime_e6
+  FROM timed WHERE event_type = 'purchase' AND last_type = 'click' AND size = last_size
+)"""
+
+
+@query("runtime_pairs", f"WITH {_RUNTIMES} SELECT workers, size, density, runtime_e6 FROM runtimes")
+def runtime_pairs(spark, sf_dir):
+    """Reconstruction and vector times of neighbouring timing lines."""
+    return logs.runtimes(runtime_lines(spark, sf_dir)).select("workers", "size", "density", F.round(F.col("runtime") * 1e6).cast("long").alias("runtime_e6"))
+
+
+@query("runtime_means", f"WITH {_RUNTIMES} SELECT workers, size, density, CAST(round(avg(runtime_e6)) AS BIGINT) AS mean_e6, count(*) AS completed_tests FROM runtimes GROUP BY workers, size, density")
+def runtime_means(spark, sf_dir):
+    """Mean runtime and number of tests by size, density and workers."""
+    rows = logs.runtime_summary(logs.runtimes(runtime_lines(spark, sf_dir)))
+    return rows.select("workers", "size", "density", F.round(F.col("mean_runtime") * 1e6).cast("long").alias("mean_e6"), "completed_tests")
+
+
+@query("test_vectors", """SELECT p_partkey AS id, CAST((p_partkey * a + 42) % n AS DOUBLE) AS permuted, CAST(p_partkey = 3 AS DOUBLE) AS unit, CAST(round((1 + 0.5 * sin(0.01 * p_partkey)) * 1e9) AS BIGINT) AS wave_e9
+  FROM part, (SELECT n, min(a) AS a FROM (SELECT count(*) AS n FROM part) s, (SELECT unnest(range(1, 2 * count(*) + 9)) AS a FROM part) c WHERE a >= n // 2 + 1 AND gcd(a, n) = 1 GROUP BY n) t""")
+def test_vectors(spark, sf_dir):
+    """The vectors that checks use, side by side."""
+    n = table(spark, sf_dir, "part").count()
+    one, two, three = (generators.test_vector(spark, n, kind, unit=3) for kind in ("permutation", "unit", "wave"))
+    both = one.withColumnRenamed("x", "permuted").join(two.withColumnRenamed("x", "unit"), "id").join(three, "id")
+    return both.select("id", "permuted", "unit", F.round(F.col("x") * 1e9).cast("long").alias("wave_e9"))

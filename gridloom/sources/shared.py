@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from pathlib import Path
@@ -19,21 +20,38 @@ def use_package(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """`spark.checkpoint.dir`; only a session without it gets a temporary folder."""
+    """`spark.checkpoint.dir`; only a session on one machine may lack it and gets a temporary folder."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors see")
         found = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """`df` written to the shared folder and read back: lineage ends there."""
-    path = f"{shared_dir(df.sparkSession)}/gridloom-{uuid.uuid4().hex}/{name}"
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing uses yet."""
+    return f"{shared_dir(spark)}/gridloom-{uuid.uuid4().hex}/{name}"
+
+
+def written(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
+    """`df` written to the shared folder (or a folder there) and read back: lineage ends there.
+
+    Spark's commit protocol makes the table whole or absent, so lost executors
+    only repeat tasks; later stages start from the table.
+    """
+    path = f"{folder}/{name}-{uuid.uuid4().hex}" if folder else new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder, in whatever store it is."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     use_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 
 from gridloom.operators import blocks, verify
+from gridloom.operators import factor
 from gridloom.operators.factor import factorize
 from gridloom.operators.matrix import SparseMatrix
 from gridloom.sources import generators as g
@@ -123,3 +124,23 @@ def test_missing_diagonal(spark):
 def test_tiny_pivots_are_counted(spark):
     m = SparseMatrix.of(entries(spark, [(0, 0, 0.0), (1, 0, 1.0), (1, 1, 2.0)]), 2)
     assert factorize(m).skipped == 1
+
+
+def test_plans_are_kept_until_freed(spark):
+    import os
+
+    m = g.laplacian(spark, (8, 8), diag_shift=0.1)
+    fact = factorize(m, 4)
+    x = g.test_vector(spark, m.n)
+    first = [r["x"] for r in fact.solve(x).orderBy("id").collect()]
+    kept = dict(fact._plans)
+    assert [r["x"] for r in fact.solve(x).orderBy("id").collect()] == first and fact._plans == kept and len(kept) == 2
+    folder = fact.folder.removeprefix("file://")
+    assert os.path.isdir(folder)
+    fact.free()
+    assert not os.path.exists(folder)
+
+
+def test_blocks_by_entries(spark):
+    m = g.laplacian(spark, (6, 6), diag_shift=0.1)
+    assert factor.blocks_for(m, 50) == 4 and factor.blocks_for(m) == 1 and factorize(m, None).num_blocks == 1

@@ -102,3 +102,36 @@ def test_matrix_market(spark, tmp_path):
         (tmp_path / "bad.mtx").write_text(text)
         with pytest.raises(ValueError):
             read_mtx(spark, str(tmp_path / "bad.mtx"))
+
+
+def test_files_of_many_parts(spark, tmp_path):
+    """The part with the size line is the smallest, so that Spark reads it last."""
+    path = tmp_path / "many.mtx"
+    path.mkdir()
+    n, rows = 300, [(i, i, 1.5 + i) for i in range(300)] + [(i, 0, -1.0) for i in range(1, 300)]
+    lines = [f"{r + 1} {c + 1} {v!r}" for r, c, v in rows]
+    (path / "part-00000.txt").write_text(f"%%MatrixMarket matrix coordinate real general\n% a comment\n{n} {n} {len(rows)}\n{lines[0]}\n")
+    for k in range(3):
+        (path / f"part-0000{k + 1}.txt").write_text("\n".join(lines[1 + k :: 3]) + "\n% more\n")
+    assert np.array_equal(dense(read_mtx(spark, str(path))), dense(SparseMatrix(entries(spark, rows), n)))
+    m = g.random_dominant(spark, 3000, 0.002, 5)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    write_mtx(m, str(tmp_path / "own.mtx"))
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    back = read_mtx(spark, str(tmp_path / "own.mtx"))
+    assert back.entries.join(m.entries, ["row", "col", "val"]).count() == m.entries.count() == back.entries.count()
+    (tmp_path / "bad.mtx").write_text("2 2 2\n1 1 1\n3 1 1\n")
+    with pytest.raises(ValueError):
+        read_mtx(spark, str(tmp_path / "bad.mtx"))
+
+
+def test_shared_folder_is_asked_for_on_a_cluster():
+    from types import SimpleNamespace
+
+    from gridloom.sources.shared import shared_dir
+
+    conf = SimpleNamespace(get=lambda k, d: d)
+    context = SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077")
+    with pytest.raises(RuntimeError):
+        shared_dir(SimpleNamespace(conf=conf, sparkContext=context))

@@ -31,3 +31,16 @@ def test_log_cli(spark, tmp_path, capsys):
     said = capsys.readouterr().out
     assert "0.5000 ~1" in said and "no PASSED line seen" in said
     assert spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == 1
+
+
+def test_results_table_and_sweeps_that_go_on(spark, tmp_path):
+    rows = runs.offset_sweep(spark, 20, (4, 5), (1,), reps=1)
+    runs.append(rows, str(tmp_path / "results"))
+    kept = spark.read.parquet(str(tmp_path / "results"))
+    more = runs.offset_sweep(spark, 20, (4, 5, 6), (1,), reps=1, results=kept)
+    assert {r["matrix"] for r in more.collect()} == {"band_n20_m6.mtx"}
+    runs.append(more, str(tmp_path / "results"))
+    both = spark.read.parquet(str(tmp_path / "results"))
+    found = logs.repetitions(both).collect()
+    assert len(found) == 9 and all(r["n_samples"] == 1 and r["mean_time_s"] == r["slowest_time_s"] for r in found)
+    assert runs.offset_sweep(spark, 20, (4,), (1,), results=both).count() == 0
