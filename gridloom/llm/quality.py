@@ -1,9 +1,11 @@
 """Quality rules and an isolation forest on their statistics.
 
-Every document gets rule statistics; fixed rules reject some documents outright.  An
-isolation forest is grown on the statistics of a bounded sample of the others:
-documents with few random splits between them and the root lie apart and are
-anomalous.  The score at which a document goes is calibrated on all labelled rows.
+Every document gets rule statistics; fixed rules reject some documents outright.  The
+forest sees by how far each statistic lies outside the range that labelled good
+documents have (all but RANGE_TAIL of them at either end), so that it isn't common
+variation that is isolated.  It is grown on a bounded sample of labelled documents:
+those with few random splits between them and the root lie apart and are anomalous.
+The score at which a document goes is calibrated on all labelled rows.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import columns, use_package, written
@@ -24,19 +26,19 @@ MAX_REPEAT_PERCENT = 30
 SYMBOLS = "#*$%&|<>"
 _WHITE = " \t\n\v\f\r"
 
-#: The forest: trees, rows a tree, and the documents (those with the least hashes) it is grown on.
+#: The forest: trees, rows a tree, and the labelled documents (those with the least hashes) it is grown on.
 TREES, TREE_ROWS, SAMPLE_ROWS = 100, 256, 25_600
+#: Share of the labelled good documents beyond each end of a feature's range.
+RANGE_TAIL = 0.001
 #: No threshold takes more than this share of the labelled good documents.
 MAX_GOOD_LOSS = 0.005
 #: Scores are compared in steps of 1 / SCORE_STEPS.
 SCORE_STEPS = 1000
 
 STATISTICS = "doc_id long, text_hash long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_stutters long"
-#: What the forest sees: by how much a statistic exceeds what ordinary text has.  Below the
-#: allowance all documents are alike, so that common, harmless variation isn't isolated.
-FEATURES = ("symbols_per_word", "symbol_share", "stutter_share", "duplicate_line_share", "short_words", "long_words")
-ALLOWED_SYMBOLS_PER_WORD, ALLOWED_SYMBOL_SHARE, ALLOWED_STUTTERS, ALLOWED_DUPLICATE_LINES = 0.1, 0.02, 0.1, 0.5
-MIN_WORD_LENGTH, MAX_WORD_LENGTH = 3.0, 10.0
+#: The statistics in relation to each other, in whole steps of a thousandth (length: of a binary logarithm).
+FEATURES = ("symbols_per_word", "symbol_share", "stutter_share", "duplicate_line_share", "repeat_share", "word_length", "length")
+FEATURE_STEPS, MOST_STEPS = 1000, 50_000
 
 
 def _repeat_words(words: Sequence[bytes], hashes: np.ndarray) -> int:
@@ -91,24 +93,41 @@ def rule_statistics(docs: DataFrame, id_column: str = "doc_id", text_column: str
     return rows.mapInArrow(run, STATISTICS)
 
 
-def base_failed():
+def base_failed() -> Column:
     """The fixed rules, as a column over STATISTICS."""
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
 
 
 def features(stats: DataFrame) -> DataFrame:
+    """`stats` with FEATURES, whole numbers from 0 to MOST_STEPS."""
     share = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0)).cast("double")
-    over = lambda x, allowed: F.greatest(x - F.lit(allowed), F.lit(0.0))
-    length = share("word_chars", "n_words")
     made = [
-        over(share("n_symbols", "n_words"), ALLOWED_SYMBOLS_PER_WORD),
-        over(share("n_symbols", "word_chars"), ALLOWED_SYMBOL_SHARE),
-        over(share("n_stutters", "n_words"), ALLOWED_STUTTERS),
-        over(share("n_dup_lines", "n_lines"), ALLOWED_DUPLICATE_LINES),
-        F.greatest(F.lit(MIN_WORD_LENGTH) - length, F.lit(0.0)),
-        over(length, MAX_WORD_LENGTH),
-    ]
-    return stats.withColumns(dict(zip(FEATURES, made, strict=True)))
+        share("n_symbols", "n_words"), share("n_symbols", "word_chars"), share("n_stutters", "n_words"), share("n_dup_lines", "n_lines"),
+        share("n_repeat_words", "n_words"), share("word_chars", "n_words"), F.log2(F.col("n_words") + 1.0),
+    ]
+    step = lambda x: F.least(F.round(x * FEATURE_STEPS), F.lit(float(MOST_STEPS))).cast("int")
+    return stats.withColumns({n: step(x) for n, x in zip(FEATURES, made, strict=True)})
+
+
+def ranges(good: DataFrame, tail: float = RANGE_TAIL) -> np.ndarray:
+    """Least and most usual value of each feature (two rows) among documents with FEATURES.
+
+    Counts cover all of them; a row for each feature and value comes to the driver, at
+    most len(FEATURES) * (MOST_STEPS + 1).  Without documents everything is usual.
+    """
+    each = good.select(F.posexplode(F.array(*FEATURES)).alias("feature", "value")).groupBy("feature", "value").agg(F.count("*").alias("n"))
+    counts = np.zeros((len(FEATURES), MOST_STEPS + 1), np.int64)
+    for r in each.collect():
+        counts[r.feature, r.value] = r.n
+    upto, total = counts.cumsum(axis=1), counts.sum(axis=1, keepdims=True)
+    if not total.any():
+        return np.array([[0] * len(FEATURES), [MOST_STEPS] * len(FEATURES)])
+    return np.stack([(upto <= tail * total).sum(axis=1), (upto < (1 - tail) * total).sum(axis=1)])
+
+
+def outside(values: np.ndarray, usual: np.ndarray) -> np.ndarray:
+    """How far values lie outside their range, in steps."""
+    return np.maximum(np.maximum(usual[0] - values, values - usual[1]), 0)
 
 
 @dataclass(frozen=True)
@@ -168,33 +187,26 @@ def grow(rows: np.ndarray, trees: int = TREES, tree_rows: int = TREE_ROWS, seed:
     return Forest(feature, value, left, path, max(_usual_path(size), 1e-9))
 
 
-def scored(stats: DataFrame, forest: Forest) -> DataFrame:
+def scored(stats: DataFrame, forest: Forest, usual: np.ndarray) -> DataFrame:
     """STATISTICS and score_step, the forest's score in steps (an int)."""
     names = [x.split()[0] for x in STATISTICS.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = np.stack([batch.column(f).to_numpy(zero_copy_only=False) for f in FEATURES], axis=1)
-            steps = np.rint(forest.scores(rows) * SCORE_STEPS).astype(np.int32)
+            steps = np.rint(forest.scores(outside(rows, usual)) * SCORE_STEPS).astype(np.int32)
             yield pa.record_batch([*(batch.column(n) for n in names), pa.array(steps)], [*names, "score_step"])
 
     return features(stats).mapInArrow(run, STATISTICS + ", score_step int")
 
 
-def threshold(scored_rows: DataFrame, labels: DataFrame, max_good_loss: float = MAX_GOOD_LOSS) -> int:
-    """The step from which documents go: it best separates labelled good and bad documents.
+def threshold(counts: np.ndarray, max_good_loss: float = MAX_GOOD_LOSS) -> int:
+    """The step from which documents go: it best separates labelled bad (row 0) and good (row 1) documents.
 
     That is, the share of bad ones that go less the share of good ones is largest, of
     steps at which at most `max_good_loss` of the good ones go; of equal steps the
-    middle one.  Counts cover all labelled documents that pass the fixed rules, by step
-    and label: at most 2 * (SCORE_STEPS + 1) rows come to the driver.  A document with
-    several labels is bad if one says so.  Without labels of both kinds nothing goes.
+    middle one.  Without labels of both kinds nothing goes.
     """
-    marks = labels.groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    rows = scored_rows.where(~base_failed()).join(marks, "doc_id").where("quality is not null")
-    counts = np.zeros((2, SCORE_STEPS + 2))
-    for r in rows.groupBy("score_step", (F.col("quality") > 0).cast("int").alias("good")).agg(F.count("*").alias("n")).collect():
-        counts[r.good, r.score_step] = r.n
     bad, good = counts.sum(axis=1)
     if not bad or not good:
         return SCORE_STEPS + 1
@@ -204,29 +216,44 @@ def threshold(scored_rows: DataFrame, labels: DataFrame, max_good_loss: float =
     return int(best[(len(best) - 1) // 2])
 
 
-def sample(stats: DataFrame, size: int = SAMPLE_ROWS) -> np.ndarray:
-    """The forest's features of `size` documents, or all if there are fewer.
+def label_counts(rows: DataFrame) -> np.ndarray:
+    """Documents of each score step (columns), bad and good (rows), of all labelled ones."""
+    counts = np.zeros((2, SCORE_STEPS + 2))
+    for r in rows.groupBy("score_step", "good").agg(F.count("*").alias("n")).collect():
+        counts[r.good, r.score_step] = r.n
+    return counts
+
+
+def sample(rows: DataFrame, usual: np.ndarray, size: int = SAMPLE_ROWS) -> np.ndarray:
+    """The forest's view of `size` documents with FEATURES, or of all if there are fewer.
 
     Those with the least hashes: a bound on the hash first leaves about `size` rows and
     a tenth, whatever the corpus, and only these are sorted and sent to the driver.
     """
-    total, spread = stats.count(), 1 << 50
+    total, spread = rows.count(), 1 << 50
     draw = F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(spread))
     bound = spread if total <= size else int(spread * min(1.0, 1.1 * (size + 100) / total))
-    few = features(stats.where(draw < bound)).orderBy(draw, *FEATURES).limit(size)
-    return np.array([[r[f] for f in FEATURES] for r in few.select(*FEATURES).collect()]).reshape(-1, len(FEATURES))
+    few = rows.where(draw < bound).orderBy(draw, *FEATURES).limit(size)
+    return outside(np.array([[r[f] for f in FEATURES] for r in few.select(*FEATURES).collect()]).reshape(-1, len(FEATURES)), usual)
 
 
 def judge(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """STATISTICS, base_failed, score and kept for every document.
 
     Null and empty texts have no words and fail; equal rows come out each, with the
-    same verdict; a null doc_id has no label.  An empty table gives an empty result.
+    same verdict; a null doc_id has no label.  A document with several labels is bad if
+    one says so.  Documents that fail the fixed rules count neither for the ranges nor for
+    the forest or threshold.  An empty table gives an empty result.
     """
     stats = written(rule_statistics(docs, id_column, text_column), "statistics")
-    rows = sample(stats.where(~base_failed()))
-    found = scored(stats, grow(rows))
-    limit = threshold(found, columns(labels, doc_id="doc_id", quality="quality"))
+    marks = columns(labels, doc_id="doc_id", quality="quality").groupBy("doc_id").agg((F.min("quality") > 0).cast("int").alias("good"))
+    labelled = written(features(stats.where(~base_failed())).join(marks, "doc_id").where("good is not null"), "labelled")
+    usual = ranges(labelled.where("good = 1"))
+    forest = grow(sample(labelled, usual))
+    found = scored(stats, forest, usual)
+    names = [x.split()[0] for x in STATISTICS.split(", ")]
+    known = scored(labelled.select(*names), forest, usual).join(marks, "doc_id")
+    limit = threshold(label_counts(known))
     verdict = ~base_failed() & (F.col("score_step") < limit)
     return found.select("*", base_failed().alias("base_failed"), (F.col("score_step") / SCORE_STEPS).alias("score"), verdict.alias("kept"))
 
