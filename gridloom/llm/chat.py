@@ -1,8 +1,8 @@
 """Conversations as marked-up training text, with loss flags and turn-order checks.
 
-All of it is DataFrame functions.  A conversation is handled in parts of PART_TURNS
-turn numbers, so that no task gathers a conversation of unbounded length to format
-it.  The finite-state machine over roles composes: a part maps every state at its
+All of it is DataFrame functions.  Turns are sorted over the cluster and handled in parts
+of up to PART_TURNS rows, whatever their numbers, so that no task gathers a conversation
+of unbounded length to format it.  The finite-state machine over roles composes: a part maps every state at its
 start to the state at its end, and a conversation's verdict chains those maps.
 """
 
@@ -78,6 +78,8 @@ def _machine(t: Template) -> tuple[list[str], list[str], list[int]]:
 def format_conversations(turns: DataFrame, template: Template = CHATML, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """One row for each part of a conversation: conv_id, part, n_turns, segments, moves.
 
+    Parts of a conversation follow each other by number; the numbers have no other
+    meaning, and hold for one evaluation: write the result before using it twice.
     segments is an array of (text, loss): what is to be tokenized, in order, and
     whether it counts for the loss; joined over parts they are the formatted text.
     moves[s] is the machine's state after the part if it was in state s before.
@@ -87,11 +89,10 @@ def format_conversations(turns: DataFrame, template: Template = CHATML, conv_id:
     t = template
     states, roles, after = _machine(t)
     rows = columns(turns, conv_id=conv_id, turn=turn, role=role, text=text)
-    rows = rows.select(
-        "conv_id",
-        F.floor(F.col("turn") / PART_TURNS).cast("long").alias("part"),
-        F.struct(F.col("turn").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("one"),
-    )
+    one = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    # the last sort key lets equal rows be dealt to several tasks
+    rows = rows.select("conv_id", one.alias("one"), F.monotonically_increasing_id().alias("tie")).orderBy("conv_id", "one", "tie")
+    rows = rows.select("conv_id", F.floor(F.monotonically_increasing_id() / PART_TURNS).alias("part"), "one")
     parts = rows.groupBy("conv_id", "part").agg(F.array_sort(F.collect_list("one")).alias("all"))
 
     def marked(x: Column) -> Column:
