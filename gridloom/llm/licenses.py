@@ -1,6 +1,8 @@
 """License phrases, and an exact set-similarity join of text blocks with templates.
 
-All of it is DataFrame functions.  A block is a line.  A template matches a block if
+All of it is DataFrame functions.  A block is a run of BLOCK_WORDS words of a text; one
+starts at every STEP_WORDS, so that a notice of up to BLOCK_WORDS - STEP_WORDS words is
+whole in one, however its lines are wrapped or marked.  A template matches a block if
 at least CONTAINMENT of its distinct words are in the block.  Words are ordered by
 the number of blocks, over the whole corpus, that hold them, rarest first.  To meet
 the threshold a block must share one of the first |T| - need + 1 words of a template
@@ -10,7 +12,7 @@ both sides (positional filter).  What passes is compared exactly.  Only words of
 template count for |B|, since others can't be shared.
 
 Templates are a small, fixed set; what the driver learns from the corpus is one
-count for each of their words.
+count for each of their words.  Texts are read and cut into words once.
 """
 
 from __future__ import annotations
@@ -31,24 +33,84 @@ PHRASES = {
     "mit license": "mit",
 }
 
-#: Notices and first sentences of public licenses, with their labels.
+#: Notices of public licenses, a paragraph each, with their labels.
 TEMPLATES = [
-    ("apache", "licensed under the apache license version 2 0"),
-    ("apache", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license"),
-    ("gpl", "this work is licensed under the gnu general public license version 3"),
-    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
-    ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files to deal in the software without restriction"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license"),
-    ("cc-by-sa", "this work is licensed under a creative commons attribution sharealike 4 0 international license"),
-    ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("apache", "Licensed under the Apache License, Version 2.0"),
+    (
+        "apache",
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. '
+        "You may obtain a copy of the License at",
+    ),
+    (
+        "apache",
+        'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, '
+        "WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions "
+        "and limitations under the License.",
+    ),
+    ("gpl", "This work is licensed under the GNU General Public License, version 3"),
+    (
+        "gpl",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by "
+        "the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ),
+    (
+        "gpl",
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of "
+        "MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+    ),
+    (
+        "lgpl",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as "
+        "published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    ),
+    (
+        "agpl",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as "
+        "published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ),
+    (
+        "mit",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files "
+        '(the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, '
+        "publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, "
+        "subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or "
+        "substantial portions of the Software.",
+    ),
+    (
+        "mit",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, "
+        "to deal in the Software without restriction",
+    ),
+    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
+    (
+        "bsd",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+        "documentation and/or other materials provided with the distribution.",
+    ),
+    (
+        "isc",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the "
+        "above copyright notice and this permission notice appear in all copies.",
+    ),
+    ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("epl", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0"),
+    ("boost", "Distributed under the Boost Software License, Version 1.0."),
+    ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
+    ("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
+    ("cc-by-nc", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
+    ("cc0", "This work has been dedicated to the public domain under the Creative Commons CC0 1.0 Universal Public Domain Dedication"),
+    (
+        "unlicense",
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or "
+        "distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    ),
 ]
+BLOCK_WORDS, STEP_WORDS = 256, 128
 CONTAINMENT = 0.9
 #: Templates are literals of the plan and their prefixes a broadcast table, up to this many words.
 MAX_TEMPLATE_WORDS = 100_000
 
-_SEPARATOR = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 _SEPARATOR_ANY_CASE = "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 
 
@@ -65,61 +127,76 @@ def _words_in(spaced: Column) -> Column:
     return F.when(F.char_length(spaced) == 0, F.lit(0)).otherwise(_count(spaced, "  ") + 1).cast("long")
 
 
-def phrase_places(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, n_words, n_base, first_word, last_word and base (an array of labels).
+def words_of(template: str) -> list[str]:
+    """A template's distinct words, in order of the alphabet."""
+    return sorted(set(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", template.lower())))
 
-    The words of a text, each with a space on both sides, are searched as a string;
-    only texts that hold a phrase's first word pay for the exact lower case.
-    """
-    any_case = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), _SEPARATOR_ANY_CASE, "  "))
-    heads = "|".join(sorted({re.escape(p.split()[0]) for p in PHRASES}))
-    rows = docs.select("doc_id", "text_hash", any_case.alias("any"))
-    rows = rows.select("doc_id", "text_hash", F.when(F.col("any") == "", F.lit(0)).otherwise(_count(F.col("any"), "  ") + 1).cast("long").alias("n_words"), F.when(F.col("any").rlike(f"(?i)(?:^| )(?:{heads})(?: |$)"), F.concat(F.lit(" "), ascii_lower(F.col("any")), F.lit(" "))).alias("s"))
+
+def _phrases(spaced: Column, n_words: Column) -> list[Column]:
+    """n_base, first_word, last_word and base (an array of labels); `spaced` words have a space on both sides."""
     n, first, last, labels = [], [], [], []
     for phrase, label in PHRASES.items():
         part, size = _spaced(phrase), len(phrase.split())
-        there = F.contains(F.col("s"), F.lit(part))
-        n.append(F.when(there, _count(F.col("s"), part)).otherwise(F.lit(0)))
-        first.append(F.when(there, _words_in(F.substring_index("s", part, 1))))
-        last.append(F.when(there, F.col("n_words") - _words_in(F.substring_index("s", part, -1)) - size))
+        there = F.contains(spaced, F.lit(part))
+        n.append(F.when(there, _count(spaced, part)).otherwise(F.lit(0)))
+        first.append(F.when(there, _words_in(F.substring_index(spaced, part, 1))))
+        last.append(F.when(there, n_words - _words_in(F.substring_index(spaced, part, -1)) - size))
         labels.append(F.when(there, F.lit(label)))
-    return rows.select(
-        "doc_id", "text_hash", "n_words", sum(n[1:], n[0]).cast("long").alias("n_base"),
-        F.least(*first).alias("first_word"), F.greatest(*last).alias("last_word"), F.array_compact(F.array(*labels)).alias("base"),
-    )
+    return [sum(n[1:], n[0]).cast("long").alias("n_base"), F.least(*first).alias("first_word"), F.greatest(*last).alias("last_word"), F.array_compact(F.array(*labels)).alias("base")]
+
+
+def _blocks(lower: Column, vocabulary: list[str], least: int) -> Column:
+    """The blocks of a text (words two spaces apart) that hold `least` words of the vocabulary: (block, words)."""
+    known = F.array(*map(F.lit, vocabulary))
+
+    def cut(words: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.size(words) - STEP_WORDS - 1, F.lit(0)), F.lit(STEP_WORDS))
+        return F.transform(starts, lambda k: F.struct(k.alias("block"), F.array_intersect(F.slice(words, k + 1, BLOCK_WORDS), known).alias("words")))
+
+    # the words are a value of a lambda, so that they are split once for all blocks
+    each = F.flatten(F.transform(F.array(F.split(lower, "  ")), cut))
+    return F.filter(each, lambda b: F.size(b["words"]) >= least)
+
 
+def read_once(docs: DataFrame, vocabulary: list[str], least: int) -> DataFrame:
+    """doc_id, text_hash, n_words, n_base, first_word, last_word, base and blocks of every text, written.
 
-def template_matches(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, containment: float = CONTAINMENT) -> DataFrame:
-    """doc_id, text_hash, line, template (its number), shared words and containment."""
-    sets = [sorted(set(words.split())) for _, words in templates]
-    need = [math.ceil(containment * len(s) - 1e-9) for s in sets]
+    The words of a text, each with a space on both sides, are searched as a string;
+    only texts that hold a phrase's first word are searched for phrases.
+    """
+    any_case = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), _SEPARATOR_ANY_CASE, "  "))
+    rows = docs.select("doc_id", "text_hash", ascii_lower(any_case).alias("words"))
+    heads = "|".join(sorted({re.escape(p.split()[0]) for p in PHRASES}))
+    count = F.when(F.col("words") == "", F.lit(0)).otherwise(_count(F.col("words"), "  ") + 1).cast("long")
+    spaced = F.when(F.col("words").rlike(f"(?:^| )(?:{heads})(?: |$)"), F.concat(F.lit(" "), "words", F.lit(" ")))
+    rows = rows.select("doc_id", "text_hash", count.alias("n_words"), spaced.alias("s"), _blocks(F.col("words"), vocabulary, least).alias("blocks"))
+    return written(rows.select("doc_id", "text_hash", "n_words", *_phrases(F.col("s"), F.col("n_words")), "blocks"), "words")
+
+
+def template_matches(read: DataFrame, sets: list[list[str]], need: list[int]) -> DataFrame:
+    """doc_id, text_hash, block (its first word), template (its number), shared words and containment."""
     vocabulary = sorted({w for s in sets for w in s})
-    if not templates or len(vocabulary) > MAX_TEMPLATE_WORDS or not all(need):
-        raise ValueError("templates must have words, and no more than MAX_TEMPLATE_WORDS different ones")
-    line = F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("line", "block")
-    own = F.array_intersect(F.split(ascii_lower(F.col("block")), _SEPARATOR), F.array(*map(F.lit, vocabulary)))
-    blocks = docs.select("doc_id", "text_hash", line).where(F.char_length("block") >= min(need)).select("doc_id", "text_hash", "line", own.alias("words"))
-    blocks = written(blocks.where(F.size("words") >= min(need)), "blocks")
+    blocks = read.select("doc_id", "text_hash", F.explode("blocks").alias("b")).select("doc_id", "text_hash", "b.block", "b.words")
     counts = blocks.select(F.explode("words").alias("word")).groupBy("word").count()
     found = {r.word: r["count"] for r in counts.collect()}  # a row for each template word at most
     order = sorted(vocabulary, key=lambda w: (found.get(w, 0), w))
     rank = {w: i for i, w in enumerate(order)}
     ranked = [sorted(rank[w] for w in s) for s in sets]
     prefixes = [(r, t, place, len(s), n) for t, (s, n) in enumerate(zip(ranked, need, strict=True)) for place, r in enumerate(s[: len(s) - n + 1])]
-    spark = docs.sparkSession
+    spark = read.sparkSession
     fields = "rank int, template int, t_place int, t_size int, need int"
     values = ", ".join(f"({', '.join(map(str, p))})" for p in prefixes)
     prefix = spark.sql(f"SELECT * FROM VALUES {values} AS t({', '.join(f.split()[0] for f in fields.split(', '))})")
     in_order = F.array_sort(F.transform("words", lambda w: F.element_at(F.create_map(*[F.lit(x) for w, r in rank.items() for x in (w, r)]), w)))
-    each = blocks.select("doc_id", "text_hash", "line", in_order.alias("ranks"))
+    each = blocks.select("doc_id", "text_hash", "block", in_order.alias("ranks"))
     probes = each.select("*", F.posexplode("ranks").alias("b_place", "rank"))
     met = probes.join(F.broadcast(prefix), "rank")
     left = F.least(F.col("t_size") - F.col("t_place"), F.size("ranks") - F.col("b_place"))
     met = met.where((F.size("ranks") >= F.col("need")) & (F.col("b_place") <= F.size("ranks") - F.col("need")) & (F.col("t_place") + left >= F.col("need")))
-    pairs = met.select("doc_id", "text_hash", "line", "ranks", "template", "need", "t_size").distinct()
+    pairs = met.select("doc_id", "text_hash", "block", "ranks", "template", "need", "t_size").distinct()
     whole = F.element_at(F.array(*[F.array(*map(F.lit, s)) for s in ranked]), F.col("template") + 1)
     shared = F.size(F.array_intersect("ranks", whole))
-    return pairs.withColumn("shared", shared).where("shared >= need").select("doc_id", "text_hash", "line", "template", "shared", (F.col("shared") / F.col("t_size")).alias("containment"))
+    return pairs.withColumn("shared", shared).where("shared >= need").select("doc_id", "text_hash", "block", "template", "shared", (F.col("shared") / F.col("t_size")).alias("containment"))
 
 
 def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, containment: float = CONTAINMENT, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -129,11 +206,16 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, containm
     empty texts have no words; equal rows come out each; rows with one id and
     different texts are judged each by its own text.
     """
+    sets = [words_of(t) for _, t in templates]
+    need = [math.ceil(containment * len(x) - 1e-9) for x in sets]
+    vocabulary = sorted({w for x in sets for w in x})
+    if not templates or len(vocabulary) > MAX_TEMPLATE_WORDS or not all(need):
+        raise ValueError("templates must have words, and no more than MAX_TEMPLATE_WORDS different ones")
     rows = columns(docs, doc_id=id_column, text=text_column).withColumn("text_hash", F.xxhash64("text"))
+    base = read_once(rows, vocabulary, min(need))
     names = F.array(*[F.lit(label) for label, _ in templates])
-    by_doc = template_matches(rows, templates, containment).groupBy("doc_id", "text_hash").agg(F.collect_set(F.element_at(names, F.col("template") + 1)).alias("own"), F.max("containment").alias("score"))
+    by_doc = template_matches(base, sets, need).groupBy("doc_id", "text_hash").agg(F.collect_set(F.element_at(names, F.col("template") + 1)).alias("own"), F.max("containment").alias("score"))
     by_doc = by_doc.select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash"), "own", "score")
-    base = phrase_places(rows)
     found = base.join(by_doc, base["doc_id"].eqNullSafe(by_doc["_doc"]) & (base["text_hash"] == by_doc["_hash"]), "left")
     joined = lambda a: F.array_join(F.array_sort(F.array_distinct(a)), ",")
     both = F.concat("base", F.coalesce("own", F.array().cast("array<string>")))

@@ -75,7 +75,7 @@ def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
-_TEMPLATE_ROWS = ", ".join(f"({i}, '{label}', '{words}')" for i, (label, words) in enumerate(licenses.TEMPLATES))
+_TEMPLATE_ROWS = ", ".join(f"({i}, '{label}', '{' '.join(licenses.words_of(text))}')" for i, (label, text) in enumerate(licenses.TEMPLATES))
 _PHRASE_ROWS = ", ".join(f"('{label}', '{phrase}', {len(phrase.split())})" for phrase, label in licenses.PHRASES.items())
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -96,12 +96,13 @@ WITH words AS (
   SELECT DISTINCT template, label, unnest(string_split(words, ' ')) AS word FROM templates
 ), sizes AS (
   SELECT template, count(*) AS size FROM template_words GROUP BY template
-), lines AS (
-  SELECT doc_id, unnest(string_split({_LOWER}, chr(10))) AS block, generate_subscripts(string_split({_LOWER}, chr(10)), 1) AS line FROM documents
-), line_words AS (
-  SELECT DISTINCT doc_id, line, unnest(regexp_extract_all(block, '{_WORD}')) AS word FROM lines
+), block_words AS (
+  SELECT DISTINCT doc_id, unnest(range(greatest(0, pos - {licenses.BLOCK_WORDS - 1} + {licenses.STEP_WORDS - 1}) // {licenses.STEP_WORDS}, pos // {licenses.STEP_WORDS} + 1)) AS block, word FROM each
+), sizes_of AS (
+  SELECT doc_id, len(w) AS n FROM words
 ), shared AS (
-  SELECT doc_id, line, t.template, any_value(t.label) AS label, count(*) AS n FROM line_words JOIN template_words t USING (word) GROUP BY doc_id, line, t.template
+  SELECT b.doc_id, block, t.template, any_value(t.label) AS label, count(*) AS n FROM block_words b JOIN template_words t USING (word) JOIN sizes_of s ON s.doc_id = b.doc_id
+  WHERE block = 0 OR block * {licenses.STEP_WORDS} <= s.n - {licenses.STEP_WORDS} - 1 GROUP BY b.doc_id, block, t.template
 ), matches AS (
   SELECT doc_id, label, n / size AS containment FROM shared JOIN sizes USING (template) WHERE n >= ceil({licenses.CONTAINMENT} * size - 1e-9)
 ), base AS (

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -11,6 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from gridloom.llm.common import written
 from gridloom.llm import chat, components, decontam, licenses, line_dedup, packing, quality, registry, sharding, simhash, suffix_dedup, token_blocks, tokens
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -83,6 +85,55 @@ def test_quality_verdicts(spark):
     assert share[1] >= 0.99 and share[0] <= 0.1
 
 
+def test_quality_verdicts_by_a_plain_forest(spark):
+    """Ranges, scores, threshold and verdicts of the small table, one document after another."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").collect()
+    labels = defaultdict(list)
+    for r in spark.read.parquet(f"{SMALL}/labels.parquet").collect():
+        labels[r.doc_id].append(r.quality)
+    rows = {}
+    for r in docs:
+        n, chars, symbols, dup, again = plain_statistics(r.text or "")
+        words = re.findall(r"[^\x20\x09-\x0D]+", r.text or "")
+        lines = sum(bool(re.search(r"[^\x20\x09-\x0D]", x)) for x in (r.text or "").split("\n"))
+        stutters = sum(a == b for a, b in zip(words, words[1:]))
+        if n >= 20 and 100 * again <= 30 * n:
+            rows[r.doc_id] = [min(50_000, int(1000 * x + 0.5)) for x in (symbols / n, symbols / chars, stutters / n, dup / lines, again / n, chars / n, np.log2(n + 1))]
+    good = [v for i, v in rows.items() if i in labels and min(labels[i])]
+    bad = [v for i, v in rows.items() if i in labels and not min(labels[i])]
+    usual = []
+    for column in zip(*good):
+        column, k = sorted(column), len(good)
+        low = next(x for x in range(50_001) if sum(v <= x for v in column) > 0.001 * k)
+        usual.append((low, next(x for x in column if sum(v <= x for v in column) >= 0.999 * k)))
+    away = lambda v: [max(lo - x, x - hi, 0) for x, (lo, hi) in zip(v, usual)]
+    stats = quality.features(quality.rule_statistics(spark.createDataFrame(docs)).where(~quality.base_failed()))
+    frame = stats.join(spark.createDataFrame([(i, min(v)) for i, v in labels.items()], "doc_id long, good int"), "doc_id")
+    assert {r.doc_id: [r[f] for f in quality.FEATURES] for r in stats.collect()} == rows
+    assert quality.ranges(frame.where("good = 1")).T.tolist() == [list(x) for x in usual]
+    grown = quality.sample(frame, np.array(usual).T)
+    assert sorted(grown.tolist()) == sorted(away(v) for v in good + bad)
+    forest = quality.grow(grown)
+
+    def score(v):
+        total = 0.0
+        for feature, value, left, path in zip(forest.feature, forest.value, forest.left, forest.path):
+            node = 0
+            while feature[node] >= 0:
+                node = left[node] + (v[feature[node]] >= value[node])
+            total += path[node]
+        return round(1000 * 2 ** -(total / len(forest.feature) / forest.usual))
+
+    best = max(range(1002), key=lambda t: (sum(score(away(v)) >= t for v in good) <= 0.005 * len(good)) * (sum(score(away(v)) >= t for v in bad) / len(bad) - sum(score(away(v)) >= t for v in good) / len(good)))
+    kept = {r.doc_id: r.kept for r in quality.judge(spark.createDataFrame(docs), spark.read.parquet(f"{SMALL}/labels.parquet")).collect()}
+    steps = sorted({score(away(v)) for v in good + bad})
+    upper = next((x for x in steps if x >= best), 1001)  # thresholds between two scores of labelled documents are alike
+    for i, v in rows.items():
+        if i in labels:
+            assert kept[i] == (score(away(v)) < upper)
+    assert not any(kept[r.doc_id] for r in docs if r.doc_id not in rows)
+
+
 def test_forest_scores_outliers_higher():
     rows = np.concatenate([np.random.default_rng(1).normal(size=(500, 2)), [[9.0, 9.0]]])
     scores = quality.grow(rows).scores(rows)
@@ -169,10 +220,11 @@ def test_packing(odd, encode, targets, length):
 def test_chat(spark):
     rows = [
         (1, 0, "system", "s"), (1, 1, "user", "<|im_start|>x<|"), (1, 2, "assistant", "<||a|>\n<|im_end|>\n"), (2, 0, "assistant", "no"), (3, 0, "user", None), (3, 1, "assistant", ""),
-        (None, 0, "user", "q"), (None, None, "user", "q"), (4, 5, "user\n%0A<|", "t"), (4, 5, None, "t"), *[(5, i, ("user", "assistant")[i % 2], f"t{i}") for i in range(600)], (6, 0, "user", "x"), (6, 0, "user", "x"),
+        (None, 0, "user", "q"), (None, None, "user", "q"), (4, 5, "user\n%0A<|", "t"), (4, 5, None, "t"), *[(5, i, ("user", "assistant")[i % 2], f"t{i}") for i in range(600)], (6, 0, "user", "x"), (6, 0, "user", "x"), *[(7, 0, "user", f"t{i % 3}") for i in range(900)],
     ]
     turns = spark.createDataFrame([(*r, "z") for r in rows], "conv_id long, turn long, role string, text string, part string").repartition(4)
-    formatted = chat.format_conversations(turns)
+    formatted = written(chat.format_conversations(turns), "formatted")
+    assert formatted.agg(F.max("n_turns")).first()[0] <= chat.PART_TURNS
     read = defaultdict(list)
     for r in chat.parsed(formatted).orderBy("part").collect():
         read[r.conv_id] += [(t.role, t.text) for t in r.turns]
@@ -183,7 +235,7 @@ def test_chat(spark):
         assert read[c] == [(r[2] or "", r[3] or "") for r in sorted((r for r in rows if r[0] == c), key=key)]
     loss = {r.conv_id: r.loss_text for r in chat.parsed(formatted).where("conv_id < 4").collect()}
     assert loss == {1: "<||a|>\n<|im_end|>\n", 2: "no", 3: ""}
-    assert {r.conv_id: r.valid for r in chat.verdicts(formatted).collect()} == {1: True, 2: False, 3: True, None: False, 4: False, 5: True, 6: False}
+    assert {r.conv_id: r.valid for r in chat.verdicts(formatted).collect()} == {1: True, 2: False, 3: True, None: False, 4: False, 5: True, 6: False, 7: False}
     assert chat.format_conversations(turns.limit(0)).count() == 0
 
 
@@ -199,11 +251,11 @@ def test_licenses(odd, none):
         words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(text))
         at = [(i, label) for p, label in licenses.PHRASES.items() for i in range(len(words)) if words[i : i + len(p.split())] == p.split()]
         base, labels, score = {x for _, x in at}, {x for _, x in at}, 0.0
-        for line in lower(text).split("\n"):
-            block = set(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", line))
+        for k in range(0, max(1, len(words) - licenses.STEP_WORDS), licenses.STEP_WORDS):
+            block = set(words[k : k + licenses.BLOCK_WORDS])
             for label, t in licenses.TEMPLATES:
-                share = len(set(t.split()) & block) / len(set(t.split()))
-                if share >= licenses.CONTAINMENT:
+                own = set(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t)))
+                if (share := len(own & block) / len(own)) >= licenses.CONTAINMENT:
                     labels, score = labels | {label}, max(score, share)
         places = [i for i, _ in at]
         return len(words), len(at), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), score
@@ -214,6 +266,17 @@ def test_licenses(odd, none):
     assert licenses.scan(none).count() == 0
 
 
+def test_wrapped_and_commented_notices(spark):
+    filler = " ".join(f"w{i}" for i in range(1000))
+    rows = []
+    for k, (label, text) in enumerate(licenses.TEMPLATES):
+        lines = textwrap.wrap(text, 60)
+        rows += [(3 * k, "/*\n * " + "\n * ".join(lines) + "\n */\ncode"), (3 * k + 1, f"{filler}\n# " + "\n# ".join(lines) + f"\n{filler}"), (3 * k + 2, filler + " " + " ".join(text.split()[::2]))]
+    got = {r.doc_id: (r.labels.split(","), r.score) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, (label, _) in enumerate(licenses.TEMPLATES):
+        assert all(label in got[3 * k + i][0] and got[3 * k + i][1] == 1.0 for i in (0, 1)) and got[3 * k + 2][1] == 0.0
+
+
 # ---- 5 --------------------------------------------------------------------------------
 
 
