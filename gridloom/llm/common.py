@@ -1,58 +1,16 @@
-"""What the corpus operators share: tables, the shared folder, worker imports."""
+"""What the corpus operators share, beside the shared folder of the library."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-from pathlib import Path
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-LOWER = "abcdefghijklmnopqrstuvwxyz"
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Table `name` of the data folder, read by Spark from any store."""
-    use_package(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+from ..sources.shared import new_path, table, use_package, written
 
+__all__ = ["ascii_lower", "columns", "fresh", "new_path", "table", "use_package", "written"]
 
-def use_package(spark: SparkSession) -> None:
-    """Let Python workers import this package when it isn't installed (tests, notebooks)."""
-    root = str(Path(__file__).resolve().parents[2])
-    env = spark.sparkContext.environment
-    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: `spark.checkpoint.dir`.
-
-    Only a session without that setting (a test on one machine) gets a temporary one.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/gridloom-{uuid.uuid4().hex}/{name}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` to the shared folder and read it back: lineage ends there.
-
-    Spark's commit protocol makes the table whole or absent, so lost executors
-    only repeat tasks; later stages start from the table.
-    """
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 
 def ascii_lower(text: Column) -> Column:

@@ -5,13 +5,15 @@ here is a stretch of text between two places at which the tokenizer always cuts.
 The tokenizer encodes each distinct unit once per worker; a text's ids are those of
 its units in order.  Texts of ASCII and Latin letters are cut on arrays of bytes, a
 chunk at a time, and their units known by two 64-bit hashes; others are cut by a
-pattern, and texts that hold a special token's string go to the tokenizer whole.
+pattern, and texts that hold a special token's string go to the tokenizer whole, as do
+all texts where the tokenizer's file has other cuts than these or changes texts first.
 """
 
 from __future__ import annotations
 
 import functools
 import itertools
+import json
 import os
 import re
 from collections.abc import Iterable, Iterator
@@ -107,10 +109,19 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.by_units = self._cuts_are_known()
         self.specials = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.cache_units = cache_units
         self._reset()
 
+    def _cuts_are_known(self) -> bool:
+        """Whether the tokenizer cuts texts into words as this module does; others get texts whole."""
+        setting = json.loads(self.tokenizer.to_str())
+        known = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+        cuts = setting["pre_tokenizer"] or {}
+        plain = not any(x["normalized"] or x["lstrip"] or x["rstrip"] or x["single_word"] for x in setting["added_tokens"])
+        return plain and not setting["normalizer"] and not setting["truncation"] and not setting["padding"] and {k: cuts.get(k) for k in known} == known
+
     def _reset(self) -> None:
         self.index = _Index()
         self.key, self.check, self.number = (np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64))
@@ -194,7 +205,7 @@ class Encoder:
         chars = 0
         for text in texts:
             text = text or ""
-            special = any(s in text for s in self.specials)
+            special = not self.by_units or any(s in text for s in self.specials)
             if not special:
                 chunk.append(text)
                 chars += len(text)

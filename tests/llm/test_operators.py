@@ -1,6 +1,7 @@
 """Every operator against a plain version, over documents with every oddity at once."""
 
 import hashlib
+import json
 import re
 import textwrap
 import zlib
@@ -161,6 +162,18 @@ def test_encoder_is_the_tokenizer(encode):
         assert [x.tolist() for x in e.encode(tricky)] == [encode(t) for t in tricky]
 
 
+@pytest.mark.parametrize("change", [None, {"add_prefix_space": True}, {"use_regex": False}, "word_bpe_49k.json"])
+def test_encoder_of_other_tokenizers(change, tmp_path):
+    setting = json.load(open(registry.tokenizer_path(change if isinstance(change, str) else registry.BYTE_BPE), encoding="utf8"))
+    if isinstance(change, dict):
+        setting["pre_tokenizer"] |= change
+    path = tmp_path / "tokenizer.json"
+    path.write_text(json.dumps(setting), encoding="utf8")
+    own, e = Tokenizer.from_file(str(path)), tokens.Encoder(str(path))
+    some = ["A b  c", "don't stop", "", "ÉÀ x"]
+    assert [x.tolist() for x in e.encode(some)] == [own.encode(t, add_special_tokens=False).ids for t in some] and e.by_units == (change is None)
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_blocks_round_trip(seed):
     r = np.random.default_rng(seed)
