@@ -6,6 +6,8 @@ run side by side.  Ids are permuted ids.
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 import numpy as np
 
 #: Pivots smaller than this don't eliminate; skipped updates are counted.
@@ -26,11 +28,13 @@ def rows_of(row: np.ndarray, col: np.ndarray, val: np.ndarray) -> dict[int, Row]
     return {r: (cols[a:b], vals[a:b]) for r, a, b in zip(row[starts].tolist(), starts.tolist(), ends, strict=True)}
 
 
-def _pivot(row: Row, k: int) -> tuple[float, list[tuple[int, float]]]:
-    """The diagonal value of row k (0 if absent) and what is right of it."""
+def _pivot(row: Row, k: int) -> tuple[float, list[int], list[float]]:
+    """The diagonal value of row k (0 if absent), and columns and values right of it."""
     cols, vals = row
-    right = [(c, v) for c, v in zip(cols, vals, strict=True) if c > k]
-    return next((v for c, v in zip(cols, vals, strict=True) if c == k), 0.0), right
+    at = bisect_left(cols, k)
+    if at < len(cols) and cols[at] == k:
+        return vals[at], cols[at + 1 :], vals[at + 1 :]
+    return 0.0, cols[at:], vals[at:]
 
 
 def eliminate(targets: dict[int, Row], ready: dict[int, Row], tiny: float = TINY) -> dict[int, int]:
@@ -40,20 +44,20 @@ def eliminate(targets: dict[int, Row], ready: dict[int, Row], tiny: float = TINY
     targets already done.  The pattern of a row never grows.
     """
     pivots = {k: _pivot(r, k) for k, r in ready.items()}
+    none: tuple[float, list[int], list[float]] = (0.0, [], [])
     skipped: dict[int, int] = {}
     for i in sorted(targets):
         cols, vals = targets[i]
-        place = {c: x for x, c in enumerate(cols)}
-        for x, k in enumerate(cols):
-            if k >= i:
-                break
-            pivot, right = pivots.get(k, (0.0, []))
+        place = None
+        for x in range(bisect_left(cols, i)):
+            pivot, right, values = pivots.get(cols[x], none)
             if abs(pivot) < tiny:
                 skipped[i] = skipped.get(i, 0) + 1
                 continue
             factor = vals[x] = vals[x] / pivot
-            for c, u in right:
-                at = place.get(c)
+            if place is None:
+                place = dict(zip(cols, range(len(cols)), strict=True)).get
+            for at, u in zip(map(place, right), values, strict=True):
                 if at is not None:
                     vals[at] -= factor * u
         pivots[i] = _pivot(targets[i], i)

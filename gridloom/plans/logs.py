@@ -65,15 +65,16 @@ def samples(log_lines: DataFrame) -> DataFrame:
 
     workers is the file's header and may be null; ranks is what the line says itself.
     """
-    perf = marked(log_lines).where(F.col("value").rlike(PERF))
+    whole = Window.partitionBy("file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    last = lambda p: F.last(_found(p, 1), ignorenulls=True).over(whole).cast("int")
+    perf = marked(log_lines).withColumn("workers", last(WORKERS)).withColumn("nodes", last(NODES)).where(F.col("value").rlike(PERF))
     pairs = F.filter(F.split(_found(PERF, 2), ","), lambda kv: F.contains(kv, F.lit("=")))
     fields = F.map_from_entries(
         F.transform(F.array_distinct(F.transform(pairs, lambda kv: F.substring_index(kv, "=", 1))), lambda k: F.struct(k, F.element_at(F.filter(pairs, lambda kv: F.substring_index(kv, "=", 1) == k), -1)))
     )
     value = lambda k: F.expr(f"substring(fields['{k}'], {len(k) + 2})")
-    rows = perf.select("file", "line_no", "matrix", _found(PERF, 1).alias("phase"), fields.alias("fields")).where("fields['time'] is not null")
-    rows = rows.select("file", "line_no", "matrix", "phase", value("N").cast("long").alias("n"), value("nnz").cast("long").alias("nnz"), value("P").cast("int").alias("ranks"), value("time").cast("double").alias("time_s"))
-    return rows.join(headers(log_lines).select("file", "workers", "nodes"), "file")
+    rows = perf.select("file", "line_no", "matrix", "workers", "nodes", _found(PERF, 1).alias("phase"), fields.alias("fields")).where("fields['time'] is not null")
+    return rows.select("file", "line_no", "matrix", "phase", "workers", "nodes", value("N").cast("long").alias("n"), value("nnz").cast("long").alias("nnz"), value("P").cast("int").alias("ranks"), value("time").cast("double").alias("time_s"))
 
 
 def file_medians(sample_rows: DataFrame) -> DataFrame:
@@ -96,6 +97,10 @@ def summary(sample_rows: DataFrame) -> DataFrame:
     return best.join(meta, "matrix").select("matrix", "n", "nnz", "phase", "workers", "median_time_s", "n_repeats")
 
 
+#: What issue lists say.
+NO_WORKERS, NO_PERF, NO_PASSED = "no WORKERS= line found", "no PERF lines found", "no PASSED line seen"
+
+
 def issues(log_lines: DataFrame) -> DataFrame:
     """(file, message): failures, missing headers, samples or verdicts, duplicates, contradictions."""
     failed = log_lines.where(F.col("value").rlike(FAILED))
@@ -105,9 +110,9 @@ def issues(log_lines: DataFrame) -> DataFrame:
     state = headers(log_lines).join(counts, "file", "left").join(failures.groupBy("file").agg(F.count("*").alias("f")), "file", "left")
     said = F.array_compact(
         F.array(
-            F.when(F.col("workers").isNull(), F.lit("no WORKERS= line found")),
-            F.when(F.col("n").isNull() & F.col("f").isNull() & F.col("workers").isNotNull(), F.lit("no PERF lines found")),
-            F.when(~F.col("passed") & F.col("n").isNotNull(), F.lit("no PASSED line seen")),
+            F.when(F.col("workers").isNull(), F.lit(NO_WORKERS)),
+            F.when(F.col("n").isNull() & F.col("f").isNull() & F.col("workers").isNotNull(), F.lit(NO_PERF)),
+            F.when(~F.col("passed") & F.col("n").isNotNull(), F.lit(NO_PASSED)),
         )
     )
     states = state.select("file", F.explode(said).alias("message"))
