@@ -48,8 +48,8 @@ PASSAGE_WORDS = 50
 WINDOW, K = 256, 32
 #: Bytes of a text looked at together, and bytes of classes sorted together.
 CHUNK_BYTES, BLOCK_BYTES = 1_000_000, 1_000_000
-#: Classes of one key that meet in a sort; more are split by ranges of so many distances.
-GROUP_CLASSES = 512
+#: Classes of one key that meet in a sort, about a block; more are split by ranges of so many distances.
+GROUP_CLASSES = 2000
 SPLITS = (16, 1)
 
 _ODD = 0x9E3779B97F4A7C15
@@ -230,56 +230,62 @@ def common_prefixes(raw: bytes, stop: np.ndarray, order: np.ndarray, least: int,
     return found
 
 
-def passage_lengths(part: bytes, n_windows: int, clipped: bool) -> np.ndarray:
-    """Bytes of the passage that starts at each of the first places: to the end of its 50th word.
+def passage_lengths(raw: bytes, starts: np.ndarray, stop: np.ndarray, clipped: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Bytes of the passage that starts at each of the places: to the end of its 50th word.
 
-    `clipped`: the text ends where the part ends, and so does its last word.
+    `starts` and `stop` are those of joined parts, one byte apart; `clipped`: the text ends
+    where the part ends, and so does its last word.
     """
-    white = _WHITE[np.frombuffer(part, np.uint8)]
-    ends = np.flatnonzero(~white[:-1] & white[1:]) + 1
-    if clipped and len(part) and not white[-1]:
-        ends = np.append(ends, len(part))
-    place = np.arange(n_windows)
-    at = np.searchsorted(ends, place, "right") + PASSAGE_WORDS - 1
-    size = np.append(ends, len(part) + LENGTH)[np.minimum(at, len(ends))] - place
-    return np.clip(size, WINDOW, LENGTH)
+    white = np.append(_WHITE[np.frombuffer(raw, np.uint8)], True)
+    white[stop] = clipped
+    word = ~white[:-1]
+    word[stop] = False
+    ends = np.flatnonzero(word & white[1:]) + 1
+    at = np.searchsorted(ends, places, "right") + PASSAGE_WORDS - 1
+    last = np.append(ends, len(raw) + LENGTH)[np.minimum(at, len(ends))]
+    last = np.where(last > stop[np.searchsorted(starts, places, "right") - 1], places + LENGTH, last)
+    return np.clip(last - places, WINDOW, LENGTH)
 
 
 def repeats(parts: list[bytes], counts: list[int], n_windows: list[int]) -> list[tuple[bytes, bytes]]:
     """For each class (its bytes, occurrences, windows): runs of repeated strings and of passages."""
     sizes = np.array([len(x) + 1 for x in parts])
-    ends = np.cumsum(sizes)
-    starts = ends - sizes
+    stop = np.cumsum(sizes) - 1
+    starts = stop + 1 - sizes
     raw = b"\0".join([*parts, b""])
     text = np.frombuffer(raw, np.uint8).astype(np.int16) + 1
-    text[ends - 1] = 0
+    text[stop] = 0
     edges = np.zeros(len(text) + 1, np.int32)
     edges[starts] += 1
     np.add.at(edges, starts + n_windows, -1)
-    order = suffix_order(text, np.cumsum(edges[:-1]) > 0)
-    stop = np.repeat(ends - 1, sizes)
-    prefix = common_prefixes(raw, stop, order, WINDOW, LENGTH)
+    wanted = np.cumsum(edges[:-1]) > 0
+    order = suffix_order(text, wanted)
+    to = np.repeat(stop, sizes)
+    prefix = common_prefixes(raw, to, order, WINDOW, LENGTH)
     longest = np.zeros(len(text), np.int64)
     longest[order] = np.maximum(prefix, np.append(prefix[1:], 0))
-    found = []
-    for part, low, n, times in zip(parts, starts.tolist(), n_windows, counts, strict=True):
-        most = longest[low : low + n]
-        room = len(part) - np.arange(n)
-        if times > 1:
-            most = np.minimum(room, LENGTH)
-        if not most.any():
-            found.append((b"", b""))
-            continue
-        size = passage_lengths(part, n, len(part) < n - 1 + LENGTH)
-        found.append((_runs(most >= LENGTH, np.full(n, LENGTH)), _runs((most >= size) & (size <= room), size)))
-    return found
-
-
-def _runs(flags: np.ndarray, size: np.ndarray) -> bytes:
-    """First byte and end of each run of marked places, as uint32 pairs; ends never fall."""
-    edges = np.flatnonzero(np.diff(np.concatenate([[0], flags.view(np.int8), [0]]))).reshape(-1, 2)
-    last = edges[:, 1] - 1
-    return np.stack([edges[:, 0], last + size[last]], axis=1).astype("<u4").tobytes()
+    several = np.repeat(np.array(counts) > 1, sizes) & wanted
+    room = to - np.arange(len(text))
+    longest[several] = np.minimum(room, LENGTH)[several]
+    places = np.flatnonzero(longest)
+    clipped = sizes - 1 < np.array(n_windows) - 1 + LENGTH
+    size = passage_lengths(raw, starts, stop, clipped, places)
+    whole = places[longest[places] >= LENGTH]
+    some = (longest[places] >= size) & (size <= room[places])
+    runs = _runs(whole, np.full(len(whole), LENGTH), starts)
+    return list(zip(runs, _runs(places[some], size[some], starts), strict=True))
+
+
+def _runs(places: np.ndarray, size: np.ndarray, starts: np.ndarray) -> list[bytes]:
+    """First byte and end of each run of places (ascending), for each part from its start, as uint32 pairs."""
+    if not len(places):
+        return [b""] * len(starts)
+    part = np.searchsorted(starts, places, "right") - 1
+    first = np.flatnonzero(np.concatenate([[True], (np.diff(places) != 1) | (np.diff(part) != 0)]))
+    last = np.append(first[1:], len(places)) - 1
+    pairs = (np.stack([places[first], places[last] + size[last]], axis=1) - starts[part[first], None]).astype("<u4").tobytes()
+    cuts = 8 * np.searchsorted(part[first], np.arange(len(starts) + 1))
+    return [pairs[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
 
 
 def _zipped(rows: DataFrame) -> DataFrame:
@@ -357,7 +363,10 @@ def _split(classes: DataFrame, size: int) -> DataFrame:
     kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
 
     def cuts(n_windows: int, at: int, part: bytes) -> Iterator[tuple]:
-        sizes = passage_lengths(part, n_windows, len(part) < n_windows - 1 + LENGTH) if size == 1 else None
+        sizes = None
+        if size == 1:
+            clipped = np.array([len(part) < n_windows - 1 + LENGTH])
+            sizes = passage_lengths(part + b"\0", np.array([0]), np.array([len(part)]), clipped, np.arange(n_windows))
         for low in range((at - n_windows + 1) // size * size, at + 1, size):
             first, last = max(0, at - low - size + 1), min(n_windows - 1, at - low)
             if first > last:
@@ -395,9 +404,9 @@ def _signed(x: int) -> int:
 
 
 def _repeating(classes: DataFrame, group_classes: int, splits: tuple[int, ...] = SPLITS) -> DataFrame:
-    """key, h, shift, runs, passages of written CLASSES; runs count from `shift`, and a class may have several rows."""
+    """key, h and list of the written CLASSES that repeat: an array of (shift, runs, passages), counted from shift."""
     fits = (F.col("n_classes") <= group_classes) if splits else F.lit(True)
-    found = _sorted_blocks(classes.where(fits)).select("key", "h", F.lit(0).alias("shift"), "runs", "passages")
+    found = _sorted_blocks(classes.where(fits)).select("key", "h", F.array(F.struct(F.lit(0).alias("shift"), "runs", "passages")).alias("list"))
     hot = classes.where(~fits)
     if not splits or not hot.limit(1).count():
         return found
@@ -405,18 +414,21 @@ def _repeating(classes: DataFrame, group_classes: int, splits: tuple[int, ...] =
     one = parts.groupBy("key", "h").agg(F.sum("n").alias("n"), F.first(F.struct("n_windows", "at", "bytes")).alias("one"))
     groups = parts.groupBy("key").agg(F.count_distinct("h").alias("n_classes"), F.sum("n").alias("total")).where("total > 1").drop("total")
     again = written(one.join(groups, "key").select("key", "h", "n", "n_classes", "one.n_windows", "one.at", "one.bytes"), "classes")
-    inner = written(_repeating(again, group_classes, splits[1:]), "inner").withColumnRenamed("shift", "more")
+    inner = written(_repeating(again, group_classes, splits[1:]), "inner")
     back = parts.select("p_key", "p_h", "shift", "key", "h").join(inner, ["key", "h"])
-    return found.unionByName(back.select(F.col("p_key").alias("key"), F.col("p_h").alias("h"), (F.col("shift") + F.col("more")).alias("shift"), "runs", "passages"))
-
-
-def spans(pairs: list[tuple[int, bytes]]) -> np.ndarray:
-    """Byte spans (first, end) that runs cover, merged; pairs: the place that runs count from, the runs."""
-    runs = np.concatenate([np.zeros((0, 2), np.int64), *(np.frombuffer(r, "<u4").reshape(-1, 2).astype(np.int64) + at for at, r in pairs)])
-    if not len(runs):
-        return runs
-    runs = runs[np.argsort(runs[:, 0], kind="stable")]
-    first, end = runs[:, 0], np.maximum.accumulate(runs[:, 1])
+    moved = F.transform("list", lambda x: F.struct((x["shift"] + F.col("shift")).alias("shift"), x["runs"].alias("runs"), x["passages"].alias("passages")))
+    whole = back.select("p_key", "p_h", moved.alias("list")).groupBy("p_key", "p_h").agg(F.flatten(F.collect_list("list")).alias("list"))
+    return found.union(whole)
+
+
+def spans(at: np.ndarray, runs: list[bytes]) -> np.ndarray:
+    """Byte spans (first, end) that runs cover, merged; `at` are the places that they count from."""
+    pairs = np.frombuffer(b"".join(runs), "<u4").reshape(-1, 2).astype(np.int64)
+    if not len(pairs):
+        return pairs
+    pairs += np.repeat(at, [len(r) // 8 for r in runs])[:, None]
+    pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
+    first, end = pairs[:, 0], np.maximum.accumulate(pairs[:, 1])
     new = np.concatenate([[True], first[1:] > end[:-1]])
     return np.stack([first[new], end[np.append(np.flatnonzero(new)[1:] - 1, len(end) - 1)]], axis=1)
 
@@ -439,19 +451,24 @@ def dedup_substrings(docs: DataFrame, id_column: str = "doc_id", text_column: st
     groups = by_class.groupBy("minimizer").agg(F.sum("n").alias("total"), F.count("*").alias("n_classes")).where("total > 1").drop("total")
     classes = written(_class_bytes(rows, by_class.join(groups, "minimizer")), "classes")
     runs = written(_repeating(classes, group_classes), "runs").withColumnRenamed("key", "minimizer")
-    at = F.struct((F.col("start") + F.col("shift")).alias("at"), "runs", "passages")
-    marked = found.join(runs, ["minimizer", "h"]).groupBy("doc_id", "text_hash").agg(F.collect_list(at).alias("list"))
+    marked = found.join(runs, ["minimizer", "h"]).groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "list")).alias("list"))
     names = [x.split()[0] for x in RESULT.split(", ")]
     lists = pa.list_(pa.list_(pa.int64()))
     kinds = [pa.int64()] * 4 + [pa.string(), pa.int64(), pa.int64(), lists, lists, pa.binary()]
 
+    none = np.zeros((0, 2), np.int64)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpacker = zstandard.ZstdDecompressor()
         for batch in batches:
             out: list[list] = [[] for _ in names]
             for doc_id, zipped, items in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
-                raw, marks = unpacker.decompress(zipped.as_py()), items.as_py() or []
-                gone, shared = (spans([(x["at"], x[c]) for x in marks]) for c in ("runs", "passages"))
+                raw, gone, shared = unpacker.decompress(zipped.as_py()), none, none
+                if items.is_valid:
+                    start, marks = items.values.flatten()
+                    shift, runs, passages = marks.flatten().flatten()
+                    at = np.repeat(start.to_numpy(), marks.value_lengths().to_numpy()) + shift.to_numpy()
+                    gone, shared = spans(at, runs.to_pylist()), spans(at, passages.to_pylist())
                 edges = [0, *gone.ravel().tolist(), len(raw)]
                 kept = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
                 row = (doc_id, len(raw), len(raw) - len(kept), len(gone), hashlib.sha256(kept).hexdigest(), len(shared), int((shared[:, 1] - shared[:, 0]).sum()), gone.tolist(), shared.tolist(), kept)

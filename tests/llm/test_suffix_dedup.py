@@ -107,7 +107,7 @@ def test_two_stage_sort(seed, monkeypatch):
     want = dict(zip(each, plain([(i, whole[i]) for i in each])))
     found = suffix_dedup.repeats(whole, counts, [len(p) - window + 1 for p in whole])
     for i, (runs, passages) in enumerate(found):
-        assert suffix_dedup.spans([(0, runs)]).tolist() == want[i][7] and suffix_dedup.spans([(0, passages)]).tolist() == want[i][8]
+        assert suffix_dedup.spans(np.array([0]), [runs]).tolist() == want[i][7] and suffix_dedup.spans(np.array([0]), [passages]).tolist() == want[i][8]
     text = np.frombuffer(b"\0".join([*whole, b""]), np.uint8).astype(np.int16) + 1
     text[np.cumsum([len(p) + 1 for p in whole]) - 1] = 0
     order = suffix_dedup.suffix_order(text, text > 0)
