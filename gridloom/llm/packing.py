@@ -39,7 +39,7 @@ UNIT_IDS = 512
 #: Weights are whole numbers of these steps, so that their sum is the same in any order.
 WEIGHT_STEPS = 1 << 20
 #: Rounds that are numbered together.
-RANGE_ROUNDS = 4096
+RANGE_ROUNDS = 512
 
 ENCODED = "part int, row long, source string, doc_id long, before long, n_tokens long, ids binary"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"

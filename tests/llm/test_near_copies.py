@@ -75,3 +75,12 @@ def test_documents_without_ids_or_with_one_id(spark):
     kept = [(x.doc_id, x.text) for x in got.collect()]
     assert len(kept) == 20 and {i for i, t in kept if t == texts[1]} == {7} and {i for i, t in kept if t == texts[9]} == {5}
     assert (5, again[4][1]) in kept and len({t for _, t in kept}) == 20 and {x for _, x in kept if x in (texts[2], again[5][1])}
+
+
+def test_agreeing_bytes(spark):
+    r = np.random.default_rng(17)
+    a = r.integers(0, 256, (50, near_copies.HASHES), np.uint8)
+    b = np.where(r.random(a.shape) < 0.5, a, a ^ r.choice([1, 128, 255], a.shape).astype(np.uint8))
+    rows = [(x.view(np.int64).tolist(), y.view(np.int64).tolist()) for x, y in zip(a, b)]
+    got = spark.createDataFrame(rows, "a array<long>, b array<long>").select(near_copies.agreeing("a", "b").alias("n")).collect()
+    assert [x.n for x in got] == (a == b).sum(axis=1).tolist()

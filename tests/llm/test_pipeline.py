@@ -9,7 +9,7 @@ import pytest
 import corpus_pipeline
 from gridloom.llm import quality, registry, simhash
 
-from test_operators import plain_components, plain_fingerprint
+from test_near_copies import plain_kept
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -40,12 +40,9 @@ def test_stages(spark):
             want[r.doc_id] = "\n".join(x for k, x in enumerate(lines) if k not in gone)
     assert {r.doc_id: r.text for r in after.collect()} == want
     before, after = results[2]
-    prints = {r.doc_id: plain_fingerprint(r.text) for r in before.collect()}
-    root = plain_components(set(prints.values()))
-    first = {}
-    for i in sorted(prints):
-        first.setdefault(root[prints[i]], i)
-    assert {r.doc_id for r in after.collect()} == set(first.values())
+    rows = [(r.doc_id, r.text) for r in sorted(before.collect(), key=lambda r: r.doc_id)]
+    _, root = plain_kept(rows)
+    assert {r.doc_id for r in after.collect()} == {rows[x][0] for x in root} and len(set(root)) < len(rows)
     before, after = results[3]
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.translate({c: c + 32 for c in range(65, 91)}))
     shingles = lambda t: {tuple(w[i : i + 5]) for w in [words(t)] for i in range(len(w) - 4)}
