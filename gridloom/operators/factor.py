@@ -201,22 +201,22 @@ def factorize(matrix: SparseMatrix, num_blocks: int | None = 1, tol: float = 1e-
     started = written(placed.groupBy("block").applyInArrow(_interior, LU), "interior", folder)
     inner, outer = started.where(~F.col("is_sep")), started.where("is_sep")
     as_ghosts = lambda lu: lu.where("col >= row").select(F.col("row").alias("g_row"), F.col("col").alias("g_col"), F.col("val").alias("g_val"))
-    # what separators eliminate with: interior rows don't change, so their copies are made once
-    wanted = written(outer.where("col < row").select(F.col("block").alias("g_block"), F.col("col").alias("g_row")).distinct(), "need", folder)
-    remote = wanted.where(F.col("g_row") < first_row("g_block", n, num_blocks))
-    still = written(as_ghosts(inner).join(wanted, "g_row").select("g_block", "g_row", "g_col", "g_val"), "pivots", folder)
-    separators, sweeps = outer.limit(1).count(), 0
-    while True:
-        sweeps += 1
-        if separators:
-            moving = as_ghosts(outer).join(remote, "g_row").select("g_block", "g_row", "g_col", "g_val")
-            ghosts = still.unionByName(moving)
-            outer = written(outer.groupBy("block").cogroup(ghosts.groupBy("g_block")).applyInArrow(_sweep, LU), "sweep", folder)
+    separators, sweeps = outer.limit(1).count(), 1
+    if separators:
+        # what separators eliminate with: interior rows don't change, so their copies are made once
+        wanted = written(outer.where("col < row").select(F.col("block").alias("g_block"), F.col("col").alias("g_row")).distinct(), "need", folder)
+        remote = wanted.where(F.col("g_row") < first_row("g_block", n, num_blocks))
+        still = written(as_ghosts(inner).join(wanted, "g_row").select("g_block", "g_row", "g_col", "g_val"), "pivots", folder)
+    while separators:
+        moving = as_ghosts(outer).join(remote, "g_row").select("g_block", "g_row", "g_col", "g_val")
+        ghosts = still.unionByName(moving)
+        outer = written(outer.groupBy("block").cogroup(ghosts.groupBy("g_block")).applyInArrow(_sweep, LU), "sweep", folder)
         change = outer.agg(F.max(F.abs(F.col("val") - F.col("before")))).first()[0]
-        if not separators or not change or change < tol:
+        if not change or change < tol:
             break
         if sweeps > num_blocks + 1:
             raise RuntimeError(f"sweeps still change values by {change} after {sweeps}")
+        sweeps += 1
     lu = inner.unionByName(outer)
     bad, skipped = lu.agg(F.max((F.isnan("val") | (F.abs("val") == float("inf"))).cast("int")), F.sum("skipped")).first()
     if bad:
