@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, licenses, line_dedup, packing, quality, sharding, simhash, suffix_dedup, token_blocks
+from . import chat, decontam, licenses, line_dedup, packing, prefix_trie, quality, rule_ensemble, sharding, simhash, suffix_dedup, token_blocks, vector_codes
 from .common import table, written
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -194,6 +194,87 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=1, temper=MIXTURE, with_ids=False)
 
 
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = rule_ensemble.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "held_out", "score", "predicted")
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
+#: A node is known by its turns' digests, one after the other; DuckDB has no CRC-32, so bits are folded.
+OP12_SQL = """
+WITH turns AS (
+  SELECT conv_id, strlen(coalesce(text, '')) AS size, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS said, turn FROM conversations WHERE conv_id IS NOT NULL
+), own AS (
+  SELECT conv_id, size, said, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, said) - 1 AS place FROM turns
+), sizes AS (
+  SELECT conv_id, conv_id - conv_id % 5 AS base, count(*) AS n,
+    xor(4294967295, list_reduce(list_concat([4294967295], list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+      lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda k, z: CASE WHEN k % 2 = 1 THEN xor(k // 2, 3988292384) ELSE k // 2 END))) % 9 AS h
+  FROM own GROUP BY conv_id
+), convs AS (
+  SELECT c.conv_id, c.base, c.h, least(c.h, coalesce(b.n, 0)) AS taken, least(c.h, coalesce(b.n, 0)) + greatest(c.n - c.h, 0) AS n_turns FROM sizes c LEFT JOIN sizes b ON b.conv_id = c.base
+), rebuilt AS (
+  SELECT c.conv_id, o.place, o.size, o.said FROM convs c JOIN own o ON o.conv_id = c.base AND o.place < c.h
+  UNION ALL SELECT c.conv_id, c.taken + o.place - c.h, o.size, o.said FROM convs c JOIN own o ON o.conv_id = c.conv_id AND o.place >= c.h
+), members AS (
+  SELECT conv_id, place + 1 AS depth, size, string_agg(said, '') OVER (PARTITION BY conv_id ORDER BY place) AS node FROM rebuilt
+  UNION ALL SELECT conv_id, 0, 0, '' FROM convs
+), nodes AS (
+  SELECT node, depth, min(m.conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(size) AS saved,
+    coalesce(string_agg(CASE WHEN depth = n_turns THEN CAST(m.conv_id AS VARCHAR) END, ',' ORDER BY m.conv_id), '') AS ends
+  FROM members m JOIN convs c ON c.conv_id = m.conv_id GROUP BY node, depth
+), kids AS (
+  SELECT left(node, CAST(32 * (depth - 1) AS BIGINT)) AS node, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY 1
+), totals AS (
+  SELECT left(n.node, CAST(32 * d AS BIGINT)) AS node, sum(saved) AS saved, sum(CASE WHEN k.n IS NULL THEN 1 ELSE 0 END) AS leaves
+  FROM (SELECT node, saved, unnest(range(depth + 1)) AS d FROM nodes) n LEFT JOIN kids k ON k.node = n.node GROUP BY 1
+)
+SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, n.n_convs, CAST(coalesce(k.n, 0) AS BIGINT) AS n_children,
+  CAST(t.leaves AS BIGINT) AS n_leaves, CAST(t.saved AS BIGINT) AS saved_tokens, sha256(n.ends) AS ends_sha256
+FROM nodes n JOIN totals t ON t.node = n.node LEFT JOIN kids k ON k.node = n.node
+LEFT JOIN nodes p ON n.depth > 0 AND p.node = left(n.node, CAST(32 * (n.depth - 1) AS BIGINT))
+"""
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.encode(table(spark, sf_dir, "embeddings"))
+
+
+def _nearest_sql(name: str, books: str) -> str:
+    """Each part's least squared distance * ENTRIES + entry: ties go to the lower entry."""
+    gap = "list_sum(list_transform(list_zip(x.part, b.part), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    return f"{name} AS MATERIALIZED (SELECT x.vec_id, x.p, min(CAST({gap} AS BIGINT) * {vector_codes.ENTRIES} + b.e) AS best FROM parts x JOIN {books} b ON b.p = x.p GROUP BY x.vec_id, x.p)"
+
+
+def _means_sql(name: str, books: str, near: str) -> str:
+    return f"""{name} AS MATERIALIZED (
+  SELECT b.p, b.e, coalesce(m.part, b.part) AS part FROM {books} b LEFT JOIN (
+    SELECT p, e, list(v ORDER BY i) AS part FROM (
+      SELECT n.p, n.best % {vector_codes.ENTRIES} AS e, i, CAST(floor(sum(x.part[i]) / count(*)) AS BIGINT) AS v
+      FROM {near} n JOIN parts x ON x.vec_id = n.vec_id AND x.p = n.p, unnest(range(1, len(x.part) + 1)) AS d(i) GROUP BY 1, 2, 3) GROUP BY p, e
+  ) m ON m.p = b.p AND m.e = b.e)"""
+
+
+OP13_SQL = f"""
+WITH kept AS MATERIALIZED (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
+), parts AS MATERIALIZED (
+  SELECT vec_id, p, v[p * (len(v) // {vector_codes.PARTS}) + 1 : (p + 1) * (len(v) // {vector_codes.PARTS})] AS part FROM kept, range({vector_codes.PARTS}) t(p)
+), book0 AS MATERIALIZED (
+  SELECT x.p, e, x.part FROM parts x JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM kept) f ON f.vec_id = x.vec_id WHERE e < {vector_codes.ENTRIES}
+), {_nearest_sql("near0", "book0")}, {_means_sql("book1", "book0", "near0")}, {_nearest_sql("near1", "book1")}, {_means_sql("book2", "book1", "near1")}, {_nearest_sql("near2", "book2")}, coded AS (
+  SELECT vec_id, string_agg(printf('%02x', CAST(best % {vector_codes.ENTRIES} AS INTEGER)), '' ORDER BY p) AS code, CAST(sum(best // {vector_codes.ENTRIES}) AS BIGINT) AS error FROM near2 GROUP BY vec_id
+), digest AS (
+  SELECT sha256(string_agg(CAST(v AS VARCHAR), ',' ORDER BY p, e, i)) AS codebooks_sha256 FROM (SELECT p, e, unnest(part) AS v, generate_subscripts(part, 1) AS i FROM book2)
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM coded JOIN kept USING (vec_id), digest
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_token_blocks": op2_token_blocks,
@@ -205,6 +286,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_decontamination": op9_decontamination,
     "op10_packing": op10_packing,
+    "op11_quality_rules": op11_quality_rules,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 SQL: dict[str, str] = {
@@ -212,4 +296,6 @@ SQL: dict[str, str] = {
     "op4_licenses": OP4_SQL,
     "op5_line_dedup": OP5_SQL,
     "op9_decontamination": OP9_SQL,
+    "op12_prefix_trie": OP12_SQL,
+    "op13_vector_codes": OP13_SQL,
 }
