@@ -13,3 +13,8 @@ def block_of(row: str, n: int, num_blocks: int) -> Column:
 
 def first_row(block: str, n: int, num_blocks: int) -> Column:
     return F.expr(f"({block} * {n}L) div {num_blocks}L")
+
+
+def piece_rows(n: int) -> int:
+    """Rows of a piece where n rows are numbered in two levels: about 1024 pieces, of 65,536 rows at most."""
+    return max(1, min(65_536, n // 1024))

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import block_of, first_row
+from ..functions.columns import block_of, first_row, piece_rows
 from ..sources.shared import use_package
 from .matrix import SparseMatrix
 
@@ -43,11 +43,14 @@ def classify(matrix: SparseMatrix, num_blocks: int, mode: str = "direct") -> Dat
 def permutation(classes: DataFrame, n: int, num_blocks: int) -> DataFrame:
     """(old_id, new_id, block, is_sep): interior rows first, then separators, both in order.
 
-    A block's rows are one group: a block is what one task eliminates anyway.
+    Rows are counted by pieces of the row order first, so no task orders a whole block.
     """
-    order = Window.partitionBy("block").orderBy("is_sep", "row")
-    new = F.row_number().over(order) - 1 + first_row("block", n, num_blocks)
-    return classes.select(F.col("row").alias("old_id"), new.alias("new_id"), "block", "is_sep")
+    piece = ["block", "is_sep", "piece"]
+    ranged = classes.withColumn("piece", F.floor(F.col("row") / piece_rows(n)))
+    before = Window.partitionBy("block").orderBy("is_sep", "piece").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = ranged.groupBy(*piece).agg(F.count("*").alias("n")).select(*piece, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    placed = ranged.withColumn("at", F.row_number().over(Window.partitionBy(*piece).orderBy("row")) - 1).join(firsts, piece)
+    return placed.select(F.col("row").alias("old_id"), (F.col("at") + F.col("base") + first_row("block", n, num_blocks)).alias("new_id"), "block", "is_sep")
 
 
 def permuted(matrix: SparseMatrix, perm: DataFrame) -> DataFrame:
@@ -62,22 +65,3 @@ def needs(entries: DataFrame, n: int, num_blocks: int, upper: bool = False) -> D
     """Distinct (block, col): ids of lower blocks that a block refers to; of higher ones with upper."""
     beyond = F.col("col") >= first_row("(block + 1)", n, num_blocks) if upper else F.col("col") < first_row("block", n, num_blocks)
     return entries.where(beyond).select("block", "col").distinct()
-
-
-def levels(need: DataFrame, count: int) -> list[list[int]]:
-    """Numbers 0 to count - 1 in rounds: each only needs (half, n_half) some of rounds before.
-
-    Distinct pairs of numbers are collected: at most the square of `count`.
-    """
-    on: dict[int, list[int]] = {}
-    for p in need.select("half", "n_half").distinct().collect():
-        on.setdefault(p["half"], []).append(p["n_half"])
-    rounds, done, left = [], set(), set(range(count))
-    while left:
-        ready = sorted(h for h in left if done.issuperset(on.get(h, ())))
-        if not ready:
-            raise ValueError("blocks need each other in a circle")
-        rounds.append(ready)
-        done.update(ready)
-        left.difference_update(ready)
-    return rounds

@@ -11,16 +11,16 @@ whose result is written to the shared folder.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.shared import new_path, remove, use_package, written
-from . import kernels
-from .blocks import classify, first_row, levels, permutation, permuted
+from . import fixed_point, kernels, substitution
+from .blocks import classify, first_row, permutation, permuted
 from .matrix import SparseMatrix
 
 LU = "row long, col long, val double, a0 double, block int, is_sep boolean, before double, skipped int"
@@ -61,15 +61,6 @@ def _sweep(table: pa.Table, ghosts: pa.Table) -> pa.Table:
     return _lu_table(rows, table, skipped, val)
 
 
-def _half(block: str, is_sep: str) -> Column:
-    """Interior rows of block b are half 2b, its separators half 2b + 1."""
-    return F.col(block) * 2 + F.col(is_sep).cast("int")
-
-
-#: Entries of a block where the number of blocks is left open.
-BLOCK_ENTRIES = 1_000_000
-
-
 @dataclass(frozen=True)
 class Factorization:
     """LU in permuted ids: left of the diagonal L (its diagonal is 1), the rest U.
@@ -87,7 +78,7 @@ class Factorization:
     skipped: int
     folder: str
     missing_diag: str = "raise"
-    _plans: dict[bool, tuple[DataFrame, DataFrame, list[list[int]]]] = field(default_factory=dict, repr=False, compare=False)
+    _plans: dict[bool, substitution.Triangle] = field(default_factory=dict, repr=False, compare=False)
 
     @property
     def lu(self) -> DataFrame:
@@ -117,52 +108,16 @@ class Factorization:
         y = t.join(low, F.col("id") == F.col("row"), "left").select("id", (F.col("x") + F.coalesce("s", F.lit(0.0))).alias("x"))
         return self._back(y)
 
-    def _plan(self, upper: bool) -> tuple[DataFrame, DataFrame, list[list[int]]]:
-        """The triangle's entries by half block, what halves need of others, and the rounds; made once."""
+    def _plan(self, upper: bool) -> substitution.Triangle:
+        """What solves with one triangle need; made at the first."""
         if upper not in self._plans:
-            half = _half("block", "is_sep")
-            halves = self.perm.select(F.col("new_id").alias("n_id"), half.alias("n_half"))
-            inside = F.col("col") >= F.col("row") if upper else F.col("col") < F.col("row")
-            triangle = written(self.lu.where(inside).select("row", "col", "val", half.alias("half")), "triangle", self.folder)
-            refers = triangle.select("half", "col").distinct().join(halves, F.col("col") == F.col("n_id"))
-            need = written(refers.where("half <> n_half").select("half", "col", "n_half"), "need", self.folder)
-            self._plans[upper] = triangle, need, levels(need, 2 * self.num_blocks)
+            self._plans[upper] = substitution.triangle(self.lu, self.perm, self.n, self.num_blocks, upper, self.missing_diag, self.folder)
         return self._plans[upper]
 
-    def _substitute(self, vector: DataFrame, upper: bool) -> DataFrame:
-        """One triangular solve, in rounds of half blocks: interior rows or separators of a block.
-
-        Interior rows of all blocks are one round; separators follow each other as far as
-        they refer to each other.  A round reads its own rows and the values they need.
-        """
-        triangle, need, rounds = self._plan(upper)
-        missing = self.missing_diag
-
-        def solve(entries: pa.Table, values: pa.Table) -> pa.Table:
-            own, ids, x = _columns(values, "own", "v_id", "v_x")
-            known = dict(zip(ids.tolist(), x.tolist(), strict=True))
-            rows = ids[own].tolist()
-            own_rows = kernels.rows_of(*_columns(entries, "row", "col", "val"))
-            found = kernels.backward(own_rows, known, rows, missing) if upper else kernels.forward(own_rows, known, rows)
-            return pa.table({"id": pa.array(list(found), pa.int64()), "x": pa.array(list(found.values()), pa.float64())})
-
-        vector = written(vector.select("id", "x", _half("block", "is_sep").alias("half")), "vector", self.folder)
-        done: DataFrame | None = None
-        for round_ in rounds:
-            mine = vector.where(F.col("half").isin(round_)).select(F.lit(True).alias("own"), F.col("id").alias("v_id"), F.col("x").alias("v_x"), F.col("half").alias("v_half"))
-            if done is not None:
-                others = need.where(F.col("half").isin(round_)).select(F.col("half").alias("v_half"), "col").join(done, F.col("col") == F.col("id"))
-                mine = mine.unionByName(others.select(F.lit(False).alias("own"), F.col("id").alias("v_id"), F.col("x").alias("v_x"), "v_half"))
-            got = triangle.where(F.col("half").isin(round_)).groupBy("half").cogroup(mine.groupBy("v_half")).applyInArrow(solve, "id long, x double")
-            got = written(got, "solved", self.folder)
-            done = got if done is None else done.unionByName(got)
-        return done
-
     def solve(self, vector: DataFrame) -> DataFrame:
         """x with L U x = b.  A missing or zero pivot is an error, or 1 with missing_diag="one"."""
-        first = self._substitute(self._moved(vector), False)
-        placed = first.join(self.perm.select(F.col("new_id").alias("id"), "block", "is_sep"), "id")
-        return self._back(self._substitute(placed, True))
+        first = self._plan(False).solve(self._moved(vector).select("id", "x"))
+        return self._back(self._plan(True).solve(first))
 
     def pivots(self) -> DataFrame:
         return self.lu.where("row = col").select(F.col("row").alias("id"), F.col("val").alias("pivot"))
@@ -176,28 +131,31 @@ class Factorization:
         remove(self.perm.sparkSession, self.folder)
 
 
-def blocks_for(matrix: SparseMatrix, entries: int = BLOCK_ENTRIES) -> int:
-    """So many blocks that each has about `entries` entries, which one task handles."""
-    return max(1, min(matrix.n, -(-matrix.entries.count() // entries)))
-
-
-def factorize(matrix: SparseMatrix, num_blocks: int | None = 1, tol: float = 1e-12, classify_mode: str = "direct", missing_diag: str = "raise") -> Factorization:
+def factorize(matrix: SparseMatrix, num_blocks: int = 1, tol: float = 1e-12, classify_mode: str = "direct", missing_diag: str = "raise", method: str = "blocks") -> Factorization:
     """ILU(0) of the matrix reordered for `num_blocks` blocks.
 
-    None makes as many blocks as `blocks_for` says.  Empty blocks (more blocks than rows) are allowed.  Values that aren't finite in the
-    result are an error.  `skipped` of the handle counts updates by tiny pivots.
+    method="blocks" eliminates a block in one task and sweeps the separators;
+    method="entries" computes all entries as a fixed point of joins, in many tasks however
+    large a block is.  The factors are the same.  `sweeps` of the handle counts sweeps
+    or rounds.  Empty blocks (more blocks than rows) are allowed.  Values that aren't
+    finite in the result are an error.  `skipped` counts updates by tiny pivots.
     """
     spark, n = matrix.entries.sparkSession, matrix.n
     use_package(spark)
-    if (num_blocks is not None and num_blocks < 1) or n < 1:
+    if num_blocks < 1 or n < 1:
         raise ValueError("a factorization needs a row and a block at least")
+    if method not in ("blocks", "entries"):
+        raise ValueError("method is blocks or entries")
     folder = new_path(spark, "factor")
     matrix = SparseMatrix(written(matrix.entries, "entries", folder), n)
     if missing_diag == "raise" and (with_diagonal := matrix.entries.where("row = col").count()) < n:
         raise ValueError(f"{n - with_diagonal} rows have no diagonal entry")
-    num_blocks = num_blocks or blocks_for(matrix)
     perm = written(permutation(classify(matrix, num_blocks, classify_mode), n, num_blocks), "perm", folder)
     placed = permuted(matrix, perm).select("row", "col", F.col("val").alias("a0"), "block", "is_sep")
+    if method == "entries":
+        settled, rounds = fixed_point.settle(placed, folder, tol)
+        lu = written(fixed_point.factors(settled).withColumn("before", F.col("val")).select(*_NAMES), "factors", folder)
+        return _checked(Factorization(n, num_blocks, lu.where(~F.col("is_sep")), lu.where("is_sep"), perm, rounds, 0, folder, missing_diag))
     started = written(placed.groupBy("block").applyInArrow(_interior, LU), "interior", folder)
     inner, outer = started.where(~F.col("is_sep")), started.where("is_sep")
     as_ghosts = lambda lu: lu.where("col >= row").select(F.col("row").alias("g_row"), F.col("col").alias("g_col"), F.col("val").alias("g_val"))
@@ -217,8 +175,12 @@ def factorize(matrix: SparseMatrix, num_blocks: int | None = 1, tol: float = 1e-
         if sweeps > num_blocks + 1:
             raise RuntimeError(f"sweeps still change values by {change} after {sweeps}")
         sweeps += 1
-    lu = inner.unionByName(outer)
-    bad, skipped = lu.agg(F.max((F.isnan("val") | (F.abs("val") == float("inf"))).cast("int")), F.sum("skipped")).first()
+    return _checked(Factorization(n, num_blocks, inner, outer, perm, sweeps, 0, folder, missing_diag))
+
+
+def _checked(fact: Factorization) -> Factorization:
+    """The handle with its count of skipped updates, once all values are known to be finite."""
+    bad, skipped = fact.lu.agg(F.max((F.isnan("val") | (F.abs("val") == float("inf"))).cast("int")), F.sum("skipped")).first()
     if bad:
         raise FloatingPointError("the factors hold values that aren't finite")
-    return Factorization(n, num_blocks, inner, outer, perm, sweeps, int(skipped or 0), folder, missing_diag)
+    return replace(fact, skipped=int(skipped or 0))

@@ -90,3 +90,28 @@ def backward(upper: dict[int, Row], x: dict[int, float], rows: list[int], missin
             raise ZeroDivisionError(f"the factors are singular: row {i} has no pivot")
         x[i] = total / diagonal
     return {i: x[i] for i in rows}
+
+
+def spread(lines: dict[int, Row], at: dict[int, int], upper: bool, missing_diag: str = "raise") -> dict[int, np.ndarray]:
+    """How rows depend on values outside: row -> its change for 1 more in each of them (columns `at`).
+
+    Rows that depend on none are left out.
+    """
+    found: dict[int, np.ndarray] = {}
+    for i in sorted(lines, reverse=upper):
+        total, diagonal = None, 1.0 if not upper or missing_diag == "one" else 0.0
+        for c, v in zip(*lines[i], strict=True):
+            if c == i:
+                diagonal = v
+            elif c in at or c in found:
+                if total is None:
+                    total = np.zeros(len(at))
+                if c in at:
+                    total[at[c]] -= v
+                else:
+                    total -= v * found[c]
+        if total is not None:
+            if not diagonal:
+                raise ZeroDivisionError(f"the factors are singular: row {i} has no pivot")
+            found[i] = total / diagonal
+    return found

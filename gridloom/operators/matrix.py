@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import piece_rows
+
 
 def wrong_entry(n: int) -> Column:
     """Whether (row, col, val) is null, outside n x n or not finite."""
@@ -82,7 +84,7 @@ class SparseMatrix:
         """
         from pyspark.sql import Window
 
-        size = max(1, self.n // 1024)
+        size = piece_rows(self.n)
         counts = self.entries.sparkSession.range(self.n).join(self.row_counts(), F.col("id") == F.col("row"), "left")
         counts = counts.select(F.col("id").alias("row"), F.coalesce("nnz", F.lit(0)).alias("nnz"), F.floor(F.col("id") / size).alias("range"))
         before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import fixed_point
 from .factor import Factorization
 from .matrix import SparseMatrix
 
@@ -12,14 +13,18 @@ from .matrix import SparseMatrix
 def reconstruct(fact: Factorization, matrix: SparseMatrix) -> DataFrame:
     """(row, col, val, made): entries of the matrix and of L U, which agree on its pattern.
 
-    One join of L with U on the inner index and one grouped sum, for all columns at once.
+    Only products that land on the pattern are made (see `masked_wedges`), so a dense row
+    or column doesn't multiply with itself.
     """
     new = fact.perm.select("old_id", "new_id")
-    low = fact.lu.where("col < row").select(F.col("row").alias("i"), F.col("col").alias("k"), F.col("val").alias("l"))
-    up = fact.lu.where("col >= row").select(F.col("row").alias("k"), F.col("col").alias("j"), F.col("val").alias("u"))
+    lu = fact.lu.select("row", "col", "val")
+    low = lu.where("col < row").select(F.col("row").alias("i"), F.col("col").alias("k"), F.col("val").alias("l"))
+    up = lu.where("col >= row").select(F.col("row").alias("k"), F.col("col").alias("j"), F.col("val").alias("u"))
+    # beside the wedges: the unit diagonal of L with U, and L with U's diagonal
     own = up.select(F.col("k").alias("i"), "j", F.col("u").alias("p"))
-    products = low.join(up, "k").select("i", "j", (F.col("l") * F.col("u")).alias("p")).unionByName(own)
-    made = products.groupBy("i", "j").agg(F.sum("p").alias("made"))
+    last = low.join(up.where("k = j"), "k").select("i", "j", (F.col("l") * F.col("u")).alias("p"))
+    products = fixed_point.masked_wedges(lu).join(low, ["i", "k"]).join(up, ["k", "j"]).select("i", "j", (F.col("l") * F.col("u")).alias("p"))
+    made = products.unionByName(own).unionByName(last).groupBy("i", "j").agg(F.sum("p").alias("made"))
     made = made.join(new.toDF("row", "i"), "i").join(new.toDF("col", "j"), "j").select("row", "col", "made")
     return matrix.entries.join(made, ["row", "col"], "left").select("row", "col", "val", F.coalesce("made", F.lit(0.0)).alias("made"))
 

@@ -1,8 +1,7 @@
 import numpy as np
 import pytest
 
-from gridloom.operators import blocks, verify
-from gridloom.operators import factor
+from gridloom.operators import blocks, fixed_point, substitution, verify
 from gridloom.operators.factor import factorize
 from gridloom.operators.matrix import SparseMatrix
 from gridloom.sources import generators as g
@@ -141,6 +140,89 @@ def test_plans_are_kept_until_freed(spark):
     assert not os.path.exists(folder)
 
 
-def test_blocks_by_entries(spark):
-    m = g.laplacian(spark, (6, 6), diag_shift=0.1)
-    assert factor.blocks_for(m, 50) == 4 and factor.blocks_for(m) == 1 and factorize(m, None).num_blocks == 1
+@pytest.mark.parametrize("p", [1, 2, 3])
+def test_entries_give_the_same_grid(spark, p):
+    fact = factorize(g.laplacian(spark, (4, 4), diag_shift=0.1), p, method="entries")
+    assert total(fact) == pytest.approx(GRID[p][0], abs=1e-9)
+    if p == 1:
+        want = [2.1, 2.6238095238, 2.7188747731, 1.7322007877, 2.6238095238, 3.3377495463, 3.4325977209, 2.2313751659, 2.7188747731, 3.4325977209, 3.5173508921, 2.3675409949, 1.7322007877, 2.2313751659, 2.3675409949, 1.2552416603]
+        assert [r["pivot"] for r in fact.pivots().orderBy("id").collect()] == pytest.approx(want, abs=1e-9)
+
+
+def test_entries_where_nothing_dominates(spark):
+    """The matrix of the column order test: values far off in early rounds come right."""
+    a = np.array([[85, 0, 0, 0, -84], [40, 41, 0, 0, 0], [0, 66, 231, -77, -86], [-45, 69, 0, 127, 12], [0, 27, 7, 70, 105.0]])
+    m = SparseMatrix.of(entries(spark, [(int(i), int(j), float(a[i, j])) for i, j in np.argwhere(a)]), 5)
+    fact = factorize(m, 3, method="entries")
+    by_place = {(r["row"], r["col"]): r["val"] for r in fact.unpermuted().collect()}
+    assert by_place[4, 1] == pytest.approx(0.609756097561) and total(fact) == pytest.approx(399.4629357094)
+
+
+def test_entries_and_blocks_agree(spark, sf_dir):
+    random = np.random.default_rng(8)
+    wild = [(int(i), int(j), float(random.normal())) for i in range(40) for j in range(40) if i == j or random.random() < 0.12]
+    for m in (g.part_adjacency(spark, sf_dir), SparseMatrix.of(entries(spark, wild), 40)):
+        one, two = (factorize(m, 4, method=x).lu.select("row", "col", "val").toDF("row", "col", x) for x in ("blocks", "entries"))
+        both = one.join(two, ["row", "col"]).collect()
+        assert len(both) == m.entries.count() and all(r["blocks"] == pytest.approx(r["entries"], rel=1e-7, abs=1e-9) for r in both)
+
+
+def test_entries_of_odd_matrices(spark):
+    m = SparseMatrix.of(entries(spark, [(0, 0, 0.0), (1, 0, 1.0), (1, 1, 2.0)]), 2)
+    assert factorize(m, method="entries").skipped == 1
+    pivots = factorize(g.laplacian(spark, (5,)), 1, method="entries").pivots().orderBy("id").collect()
+    assert [r["pivot"] for r in pivots] == pytest.approx([1, 1, 1, 1, 0])
+    m = SparseMatrix.of(entries(spark, [(0, 0, 2.0), (1, 0, 1.0)]), 2)
+    fact = factorize(m, missing_diag="one", method="entries")
+    b = spark.createDataFrame([(0, 4.0), (1, 3.0)], "id long, x double")
+    assert [r["x"] for r in fact.solve(b).orderBy("id").collect()] == [2.0, 1.0]
+
+
+def test_wedges_are_those_of_the_pattern(spark):
+    random = np.random.default_rng(2)
+    place = {(int(i), int(j)) for i, j in random.integers(0, 25, (160, 2))} | {(i, i) for i in range(25)}
+    found = fixed_point.masked_wedges(spark.createDataFrame(sorted(place), "row long, col long")).collect()
+    want = {(i, j, k) for i, j in place for k in range(min(i, j)) if (i, k) in place and (k, j) in place}
+    assert len(found) == len(want) and {tuple(r) for r in found} == want
+
+
+def test_a_dense_column_makes_no_pairs(spark):
+    """A row and column of 3,000 entries have 9,000,000 pairs; their only wedges end on the diagonal."""
+    star = spark.range(1, 3000).selectExpr("explode(array(struct(0L as row, id as col), struct(id as row, 0L as col), struct(id as row, id as col))) as e").select("e.*")
+    wedges = fixed_point.masked_wedges(star.union(spark.range(1).selectExpr("id as row", "id as col")))
+    assert wedges.count() == 2999
+
+
+@pytest.mark.parametrize("by", ["maps", "rounds"])
+def test_solves_by_maps_and_rounds(spark, sf_dir, by):
+    m = g.part_adjacency(spark, sf_dir)
+    fact = factorize(m, 4)
+    lu = np.zeros((m.n, m.n))
+    for r in fact.lu.collect():
+        lu[r["row"], r["col"]] = r["val"]
+    x = np.random.default_rng(4).normal(size=m.n)
+    for upper in (False, True):
+        t = np.triu(lu) if upper else np.tril(lu, -1) + np.eye(m.n)
+        right = spark.createDataFrame(list(enumerate((t @ x).tolist())), "id long, x double")
+        plan = substitution.triangle(fact.lu, fact.perm, m.n, 4, upper, "raise", fact.folder, by)
+        assert bool(plan.maps) == (by == "maps") and bool(plan.rounds) == (by == "rounds")
+        assert [r["x"] for r in plan.solve(right).orderBy("id").collect()] == pytest.approx(x.tolist(), abs=1e-8)
+
+
+def test_a_chain_of_64_blocks_takes_as_many_maps_as_64_has_digits(spark):
+    n = 256
+    fact = factorize(g.banded(spark, n, 4), 64, method="entries")
+    assert verify.round_trip_error(fact, g.test_vector(spark, n)) < 1e-9
+    assert all(5 <= len(fact._plans[u].maps) <= 6 for u in (False, True))
+    rounds = substitution.triangle(fact.lu, fact.perm, n, 64, True, "raise", fact.folder, "rounds").rounds
+    assert len(rounds) >= 64
+
+
+def test_rounds_found_in_spark(spark, monkeypatch):
+    m = g.laplacian(spark, (30,), diag_shift=0.5)
+    fact = factorize(m, 5)
+    monkeypatch.setattr(substitution, "DRIVER_PAIRS", 1)
+    plan = substitution.triangle(fact.lu, fact.perm, 30, 5, False, "raise", fact.folder, "rounds")
+    x = g.test_vector(spark, 30)
+    want = substitution.triangle(fact.lu, fact.perm, 30, 5, False, "raise", fact.folder, "maps").solve(x)
+    assert [r["x"] for r in plan.solve(x).orderBy("id").collect()] == pytest.approx([r["x"] for r in want.orderBy("id").collect()])
