@@ -12,6 +12,7 @@ from .operators.factor import factorize
 from .operators.matrix import SparseMatrix
 from .plans import logs, runs
 from .sources import generators
+from .sources import mtx_source as mtx_source_
 from .sources.mtx import read_mtx, write_mtx
 from .sources.shared import new_path, table, written
 
@@ -415,6 +416,16 @@ def mtx_round_trip(spark, sf_dir):
     return _out(read_mtx(spark, path).entries)
 
 
+@query("mtx_source", f"WITH {_ADJ} SELECT r, c, CAST(v AS BIGINT) AS v FROM adj, size WHERE r >= n // 4 AND c < n // 2")
+def mtx_source(spark, sf_dir):
+    """The part graph through format("mtx"): written with its entries counted at the commit, read back within bounds."""
+    mtx_source_.register(spark)
+    a, path = _adj(spark, sf_dir), new_path(spark, "adj.mtx")
+    entries = written(a.entries, "entries")
+    entries.write.format("mtx").option("n", a.n).option("entries", entries.count()).mode("append").save(path)
+    return _out(spark.read.format("mtx").load(path).where((F.col("row") >= a.n // 4) & (F.col("col") < a.n // 2)))
+
+
 @query("mtx_lines", f"""WITH {_ADJ} SELECT CAST(r + 1 AS VARCHAR) || ' ' || (c + 1) || ' ' || CAST(v AS BIGINT) || '.0' AS line FROM adj
   UNION ALL SELECT '%%MatrixMarket matrix coordinate real general' UNION ALL SELECT CAST(n AS VARCHAR) || ' ' || n || ' ' || (SELECT count(*) FROM adj) FROM size""")
 def mtx_lines(spark, sf_dir):
