@@ -29,7 +29,7 @@ def main(args: list[str] | None = None) -> int:
     one.add_argument("--mode", default="correctness")
     one.add_argument("--blocks", type=int, nargs="+", default=[1])
     one.add_argument("--trials", type=int, default=3)
-    one.add_argument("--perf-reps", type=int, default=3)
+    one.add_argument("--perf-reps", type=int, default=20)
     one.add_argument("--seed", type=int, default=42)
     two = kinds.add_parser("logs")
     two.add_argument("folder")

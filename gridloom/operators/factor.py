@@ -11,11 +11,13 @@ whose result is written to the shared folder.
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass, field, replace
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..sources.shared import new_path, remove, use_package, written
@@ -23,7 +25,7 @@ from . import fixed_point, kernels, substitution
 from .blocks import classify, first_row, permutation, permuted
 from .matrix import SparseMatrix
 
-LU = "row long, col long, val double, a0 double, block int, is_sep boolean, before double, skipped int"
+LU = "row long, col long, val double, a0 double, block int, is_sep boolean, before double, skipped int, seconds double"
 _NAMES = [x.split()[0] for x in LU.split(", ")]
 
 
@@ -31,34 +33,38 @@ def _columns(table: pa.Table, *names: str) -> list[np.ndarray]:
     return [table.column(x).to_numpy() for x in names]
 
 
-def _lu_table(rows: dict[int, kernels.Row], source: pa.Table, skipped: dict[int, int], before: np.ndarray) -> pa.Table:
-    """`source` (sorted by row and col) with values from `rows`."""
+def _lu_table(rows: dict[int, kernels.Row], source: pa.Table, skipped: dict[int, int], before: np.ndarray, began: float) -> pa.Table:
+    """`source` (sorted by row and col) with values from `rows`; its first row has the seconds since `began`."""
     row = source.column("row").to_numpy()
     val = np.concatenate([np.zeros(0), *(rows[r][1] for r in sorted(rows))])
     first = np.concatenate([[True], row[1:] != row[:-1]]) if len(row) else np.zeros(0, bool)
     skips = np.array([skipped.get(r, 0) if f else 0 for r, f in zip(row.tolist(), first, strict=True)], np.int32)
     cols = {"row": source.column("row"), "col": source.column("col"), "val": val, "a0": source.column("a0"), "block": source.column("block"), "is_sep": source.column("is_sep"), "before": before, "skipped": skips}
+    cols["seconds"] = np.zeros(len(row))
+    cols["seconds"][:1] = time.perf_counter() - began
     return pa.table([pa.chunked_array([pa.array(v)]) if isinstance(v, np.ndarray) else v for v in cols.values()], names=_NAMES)
 
 
 def _interior(table: pa.Table) -> pa.Table:
+    began = time.perf_counter()
     table = table.sort_by([("row", "ascending"), ("col", "ascending")])
     row, col, val, is_sep = _columns(table, "row", "col", "a0", "is_sep")
     inner, outer = kernels.rows_of(row[~is_sep], col[~is_sep], val[~is_sep]), kernels.rows_of(row[is_sep], col[is_sep], val[is_sep])
     skipped = kernels.eliminate(inner, {})
-    return _lu_table(inner | outer, table, skipped, val)
+    return _lu_table(inner | outer, table, skipped, val, began)
 
 
 def _sweep(table: pa.Table, ghosts: pa.Table) -> pa.Table:
     """Separator rows of a block from their original values and the pivot rows they need."""
+    began = time.perf_counter()
     if not table.num_rows:
-        kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int32(), pa.bool_(), pa.float64(), pa.int32())
+        kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int32(), pa.bool_(), pa.float64(), pa.int32(), pa.float64())
         return pa.table([pa.array([], t) for t in kinds], names=_NAMES)
     table = table.sort_by([("row", "ascending"), ("col", "ascending")])
     row, col, val, a0 = _columns(table, "row", "col", "val", "a0")
     rows = kernels.rows_of(row, col, a0)
     skipped = kernels.eliminate(rows, kernels.rows_of(*_columns(ghosts, "g_row", "g_col", "g_val")))
-    return _lu_table(rows, table, skipped, val)
+    return _lu_table(rows, table, skipped, val, began)
 
 
 @dataclass(frozen=True)
@@ -78,6 +84,7 @@ class Factorization:
     skipped: int
     folder: str
     missing_diag: str = "raise"
+    _steps: dict[str, list[DataFrame]] = field(default_factory=dict, repr=False, compare=False)
     _plans: dict[bool, substitution.Triangle] = field(default_factory=dict, repr=False, compare=False)
 
     @property
@@ -116,8 +123,22 @@ class Factorization:
 
     def solve(self, vector: DataFrame) -> DataFrame:
         """x with L U x = b.  A missing or zero pivot is an error, or 1 with missing_diag="one"."""
-        first = self._plan(False).solve(self._moved(vector).select("id", "x"))
-        return self._back(self._plan(True).solve(first))
+        first, forward = self._plan(False).solve(self._moved(vector).select("id", "x"))
+        second, backward = self._plan(True).solve(first)
+        self._steps["solve"] = forward + backward
+        return self._back(second)
+
+    def seconds(self, call: str) -> DataFrame:
+        """(step, unit, seconds): what kernels took for each block or unit in the steps of the last "factorize" or "solve".
+
+        Other calls, and factorizing by entries, run in joins: they have no rows.
+        """
+        found = [x.groupBy("unit").agg(F.sum("seconds").alias("seconds")).select(F.lit(k).alias("step"), "unit", "seconds") for k, x in enumerate(self._steps.get(call, []))]
+        return reduce(DataFrame.unionByName, found) if found else self.perm.sparkSession.createDataFrame([], "step int, unit long, seconds double")
+
+    def slowest(self, call: str) -> float | None:
+        """The seconds of the slowest block or unit over all steps of a call."""
+        return self.seconds(call).groupBy("unit").agg(F.sum("seconds").alias("s")).agg(F.max("s")).first()[0]
 
     def pivots(self) -> DataFrame:
         return self.lu.where("row = col").select(F.col("row").alias("id"), F.col("val").alias("pivot"))
@@ -154,12 +175,12 @@ def factorize(matrix: SparseMatrix, num_blocks: int = 1, tol: float = 1e-12, cla
     placed = permuted(matrix, perm).select("row", "col", F.col("val").alias("a0"), "block", "is_sep")
     if method == "entries":
         settled, rounds = fixed_point.settle(placed, folder, tol)
-        lu = written(fixed_point.factors(settled).withColumn("before", F.col("val")).select(*_NAMES), "factors", folder)
+        lu = written(fixed_point.factors(settled).withColumns({"before": F.col("val"), "seconds": F.lit(0.0)}).select(*_NAMES), "factors", folder)
         return _checked(Factorization(n, num_blocks, lu.where(~F.col("is_sep")), lu.where("is_sep"), perm, rounds, 0, folder, missing_diag))
     started = written(placed.groupBy("block").applyInArrow(_interior, LU), "interior", folder)
     inner, outer = started.where(~F.col("is_sep")), started.where("is_sep")
     as_ghosts = lambda lu: lu.where("col >= row").select(F.col("row").alias("g_row"), F.col("col").alias("g_col"), F.col("val").alias("g_val"))
-    separators, sweeps = outer.limit(1).count(), 1
+    separators, sweeps, steps = outer.limit(1).count(), 1, [started]
     if separators:
         # what separators eliminate with: interior rows don't change, so their copies are made once
         wanted = written(outer.where("col < row").select(F.col("block").alias("g_block"), F.col("col").alias("g_row")).distinct(), "need", folder)
@@ -168,14 +189,19 @@ def factorize(matrix: SparseMatrix, num_blocks: int = 1, tol: float = 1e-12, cla
     while separators:
         moving = as_ghosts(outer).join(remote, "g_row").select("g_block", "g_row", "g_col", "g_val")
         ghosts = still.unionByName(moving)
-        outer = written(outer.groupBy("block").cogroup(ghosts.groupBy("g_block")).applyInArrow(_sweep, LU), "sweep", folder)
-        change = outer.agg(F.max(F.abs(F.col("val") - F.col("before")))).first()[0]
+        seen = Observation()
+        swept = outer.groupBy("block").cogroup(ghosts.groupBy("g_block")).applyInArrow(_sweep, LU)
+        outer = written(swept.observe(seen, F.max(F.abs(F.col("val") - F.col("before"))).alias("change")), "sweep", folder)
+        steps.append(outer)
+        change = seen.get["change"]
         if not change or change < tol:
             break
         if sweeps > num_blocks + 1:
             raise RuntimeError(f"sweeps still change values by {change} after {sweeps}")
         sweeps += 1
-    return _checked(Factorization(n, num_blocks, inner, outer, perm, sweeps, 0, folder, missing_diag))
+    fact = Factorization(n, num_blocks, inner, outer, perm, sweeps, 0, folder, missing_diag)
+    fact._steps["factorize"] = [x.select(F.col("block").cast("long").alias("unit"), "seconds") for x in steps]
+    return _checked(fact)
 
 
 def _checked(fact: Factorization) -> Factorization:

@@ -13,6 +13,8 @@ all units whose needs are there.  Both give the solution of the same triangle.
 
 from __future__ import annotations
 
+import time
+import uuid
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -30,6 +32,7 @@ MOST_ROWS, LEAST_ROWS, UNITS = 65_536, 1024, 8
 MAP_VALUES, SPREAD_VALUES = 4_000_000, 20_000_000
 #: Pairs of units that the driver orders itself; beyond, rounds are found in Spark.
 DRIVER_PAIRS = 100_000
+SOLVED = "id long, x double, unit long, seconds double"
 
 
 def _pairs_of(entries: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -55,16 +58,17 @@ class Triangle:
     maps: tuple[DataFrame, ...] = ()
     rounds: tuple[tuple[DataFrame, tuple[int, ...]], ...] = ()
 
-    def solve(self, vector: DataFrame) -> DataFrame:
-        """(id, x) of every row for right sides (id, x)."""
+    def solve(self, vector: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+        """(id, x) of every row for right sides (id, x), and the steps' tables (unit, seconds and more)."""
         right = written(vector.join(self.rows, "id").select("unit", "id", "x"), "right", self.folder)
         return self._by_maps(right) if self.interface is not None else self._by_rounds(right)
 
     def _pass(self, right: DataFrame, known: DataFrame | None) -> DataFrame:
-        """(id, x, unit) of the units of `right`, given the values (unit, id, x) they need (None: all are 0)."""
+        """(id, x, unit, seconds) of the units of `right`, given the values (unit, id, x) they need (None: all are 0)."""
         upper, missing, zero = self.upper, self.missing_diag, known is None
 
         def run(entries: pa.Table, values: pa.Table) -> pa.Table:
+            began = time.perf_counter()
             own, ids, x = (values.column(c).to_numpy(zero_copy_only=False) for c in ("own", "v_id", "v_x"))
             rows = ids[own].tolist()
             have = dict(zip(ids.tolist(), x.tolist(), strict=True))
@@ -75,19 +79,21 @@ class Triangle:
             lines = kernels.rows_of(row, col, val)
             found = kernels.backward(lines, have, rows, missing) if upper else kernels.forward(lines, have, rows)
             unit = values.column("v_unit")[0].as_py() if values.num_rows else 0
-            return pa.table({"id": pa.array(list(found), pa.int64()), "x": pa.array(list(found.values()), pa.float64()), "unit": pa.array([unit] * len(found), pa.int64())})
+            took = np.zeros(len(found))
+            took[:1] = time.perf_counter() - began
+            return pa.table({"id": pa.array(list(found), pa.int64()), "x": pa.array(list(found.values()), pa.float64()), "unit": pa.array([unit] * len(found), pa.int64()), "seconds": took})
 
         mine = right.select(F.lit(True).alias("own"), F.col("id").alias("v_id"), F.col("x").alias("v_x"), F.col("unit").alias("v_unit"))
         if known is not None:
             mine = mine.unionByName(known.select(F.lit(False).alias("own"), F.col("id").alias("v_id"), F.col("x").alias("v_x"), F.col("unit").alias("v_unit")))
         units = right.select(F.col("unit").alias("u")).distinct()
         entries = self.entries.join(units, F.col("unit") == F.col("u"), "left_semi")
-        return entries.groupBy("unit").cogroup(mine.groupBy("v_unit")).applyInArrow(run, "id long, x double, unit long")
+        return entries.groupBy("unit").cogroup(mine.groupBy("v_unit")).applyInArrow(run, SOLVED)
 
-    def _by_maps(self, right: DataFrame) -> DataFrame:
-        if not self.linked:
-            return written(self._pass(right, None), "solved", self.folder).select("id", "x")
+    def _by_maps(self, right: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
         alone = written(self._pass(right, None), "alone", self.folder)
+        if not self.linked:
+            return alone.select("id", "x"), [alone]
         place = self.interface.select("unit", F.posexplode("ids").alias("at", "id"))
         seen = place.join(alone.select("id", "x"), "id").groupBy("unit").agg(F.array_sort(F.collect_list(F.struct("at", "x"))).alias("v"))
         q = written(seen.select("unit", F.col("v.x").alias("x")), "interface-values", self.folder)
@@ -97,20 +103,22 @@ class Triangle:
             q = written(both.groupBy("unit").applyInArrow(_applied, "unit long, x array<double>"), "interface-values", self.folder)
         pairs = q.join(self.interface, "unit").select(F.explode(F.arrays_zip("ids", q["x"].alias("x"))).alias("p")).select(F.col("p.ids").alias("id"), F.col("p.x").alias("x"))
         known = self.need.select("unit", F.col("col").alias("id")).join(pairs, "id")
-        return self._pass(right, known).select("id", "x")
+        solved = written(self._pass(right, known), "solved", self.folder)
+        return solved.select("id", "x"), [alone, solved]
 
-    def _by_rounds(self, right: DataFrame) -> DataFrame:
-        spark, paths = right.sparkSession, []
+    def _by_rounds(self, right: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+        spark, paths, call = right.sparkSession, [], uuid.uuid4().hex
         for units, before in self.rounds:
             mine = right.join(units, "unit", "left_semi")
             known = None
             if before:
-                done = spark.read.schema("id long, x double, unit long").parquet(*[paths[r] for r in before])
+                done = spark.read.schema(SOLVED).parquet(*[paths[r] for r in before])
                 known = self.need.join(units, "unit", "left_semi").select("unit", F.col("col").alias("id")).join(done.select("id", "x"), "id")
             got = self._pass(mine, known)
-            paths.append(f"{self.folder}/solved-{id(right)}-{len(paths)}")
-            got.write.mode("overwrite").parquet(paths[-1])
-        return spark.read.schema("id long, x double, unit long").parquet(*paths).select("id", "x")
+            paths.append(f"{self.folder}/solved-{call}/{len(paths)}")
+            got.write.parquet(paths[-1])
+        solved = spark.read.schema(SOLVED).parquet(*paths)
+        return solved.select("id", "x"), [solved]
 
 
 def _applied(table: pa.Table) -> pa.Table:

@@ -12,7 +12,7 @@ from ..operators.factor import factorize
 from ..operators.matrix import SparseMatrix
 from ..sources import generators
 
-SAMPLES = "file string, matrix string, phase string, workers int, nodes int, n long, nnz long, time_s double"
+SAMPLES = "file string, matrix string, phase string, workers int, nodes int, n long, nnz long, time_s double, slowest_s double"
 CHECKS = "matrix string, workers int, check string, error double, passed boolean"
 #: Largest differences that pass.
 RECONSTRUCT_TOLERANCE, VECTOR_TOLERANCE, SANITY_TOLERANCE = 1e-4, 1e-3, 1e-4
@@ -28,19 +28,23 @@ def _whole(df: DataFrame) -> None:
     df.write.format("noop").mode("overwrite").save()
 
 
-def perf(spark: SparkSession, name: str, matrix: SparseMatrix, num_blocks: Iterable[int] = (1,), reps: int = 3, nodes: int = 1) -> DataFrame:
+def perf(spark: SparkSession, name: str, matrix: SparseMatrix, num_blocks: Iterable[int] = (1,), reps: int = 20, nodes: int = 1) -> DataFrame:
     """Samples of factorize (once), multiply and solve (`reps` times each) for each block count.
 
-    Workers are blocks here.  `logs.summary` and `logs.speedup` take these rows.
+    Workers are blocks here.  time_s is the driver's, slowest_s what kernels took in the
+    slowest block of the call (null where joins do the work).  `logs.summary` and
+    `logs.speedup` take these rows.
     """
     nnz, rows = matrix.entries.count(), []
     x = generators.test_vector(spark, matrix.n, "uniform", seed=1234)
     for p in num_blocks:
         made: list = []
-        took = {"factorize": [_timed(lambda p=p: made.append(factorize(matrix, p)))]}
-        took["multiply"] = [_timed(lambda: _whole(made[0].multiply(x))) for _ in range(reps)]
-        took["solve"] = [_timed(lambda: _whole(made[0].solve(x))) for _ in range(reps)]
-        rows += [(f"{name}.p{p}", name, phase, p, nodes, matrix.n, nnz if phase == "factorize" else None, t) for phase, ts in took.items() for t in ts]
+        took = [("factorize", _timed(lambda p=p: made.append(factorize(matrix, p))))]
+        took[0] += (made[0].slowest("factorize"),)
+        took += [("multiply", _timed(lambda: _whole(made[0].multiply(x))), None) for _ in range(reps)]
+        took += [("solve", _timed(lambda: _whole(made[0].solve(x))), made[0].slowest("solve")) for _ in range(reps)]
+        rows += [(f"{name}.p{p}", name, phase, p, nodes, matrix.n, nnz if phase == "factorize" else None, t, slowest) for phase, t, slowest in took]
+        made[0].free()
     return spark.createDataFrame(rows, SAMPLES)
 
 
@@ -66,7 +70,7 @@ def correctness(spark: SparkSession, name: str, matrix: SparseMatrix, num_blocks
     return spark.createDataFrame(rows, CHECKS)
 
 
-def offset_sweep(spark: SparkSession, n: int, offsets: Iterable[int], num_blocks: Iterable[int] = (16,), reps: int = 3, results: DataFrame | None = None) -> DataFrame:
+def offset_sweep(spark: SparkSession, n: int, offsets: Iterable[int], num_blocks: Iterable[int] = (16,), reps: int = 20, results: DataFrame | None = None) -> DataFrame:
     """perf over band matrices of growing largest offset, named so that reports order them.
 
     Offsets and block counts that `results` (earlier samples) has are left out.

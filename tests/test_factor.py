@@ -206,7 +206,7 @@ def test_solves_by_maps_and_rounds(spark, sf_dir, by):
         right = spark.createDataFrame(list(enumerate((t @ x).tolist())), "id long, x double")
         plan = substitution.triangle(fact.lu, fact.perm, m.n, 4, upper, "raise", fact.folder, by)
         assert bool(plan.maps) == (by == "maps") and bool(plan.rounds) == (by == "rounds")
-        assert [r["x"] for r in plan.solve(right).orderBy("id").collect()] == pytest.approx(x.tolist(), abs=1e-8)
+        assert [r["x"] for r in plan.solve(right)[0].orderBy("id").collect()] == pytest.approx(x.tolist(), abs=1e-8)
 
 
 def test_a_chain_of_64_blocks_takes_as_many_maps_as_64_has_digits(spark):
@@ -224,5 +224,24 @@ def test_rounds_found_in_spark(spark, monkeypatch):
     monkeypatch.setattr(substitution, "DRIVER_PAIRS", 1)
     plan = substitution.triangle(fact.lu, fact.perm, 30, 5, False, "raise", fact.folder, "rounds")
     x = g.test_vector(spark, 30)
-    want = substitution.triangle(fact.lu, fact.perm, 30, 5, False, "raise", fact.folder, "maps").solve(x)
-    assert [r["x"] for r in plan.solve(x).orderBy("id").collect()] == pytest.approx([r["x"] for r in want.orderBy("id").collect()])
+    want = substitution.triangle(fact.lu, fact.perm, 30, 5, False, "raise", fact.folder, "maps").solve(x)[0]
+    assert [r["x"] for r in plan.solve(x)[0].orderBy("id").collect()] == pytest.approx([r["x"] for r in want.orderBy("id").collect()])
+
+
+@pytest.mark.parametrize("p", [4])
+def test_the_slowest_block_shows(spark, p):
+    """One of four blocks is dense, the others are diagonal."""
+    n = 600
+    dense_block = [(i, j, 400.0 if i == j else 1.0) for i in range(150, 300) for j in range(150, 300)]
+    m = SparseMatrix.of(entries(spark, dense_block + [(i, i, 2.0) for i in range(n) if not 150 <= i < 300]), n)
+    fact = factorize(m, p)
+    fact.solve(g.test_vector(spark, n)).count()
+    for call in ("factorize", "solve"):
+        took = {}
+        for r in fact.seconds(call).collect():
+            took[r["unit"]] = took.get(r["unit"], 0.0) + r["seconds"]
+        assert len(took) == p or call == "solve"
+        assert fact.slowest(call) == pytest.approx(max(took.values()))
+        if call == "factorize":
+            assert max(took, key=took.get) == 1 and took[1] > 3 * max(t for u, t in took.items() if u != 1)
+    assert fact.slowest("multiply") is None

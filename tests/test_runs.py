@@ -12,6 +12,8 @@ def test_perf_feeds_reports(spark):
     found = {(r["phase"], r["workers"]): r for r in logs.speedup(summary).collect()}
     assert len(found) == 6 and found["solve", 2]["n_repeats"] == 2 and found["factorize", 1]["speedup"] == 1.0
     assert found["multiply", 1]["nnz"] == 64
+    slowest = {(r["phase"], r["workers"]): r["slowest_s"] for r in rows.collect()}
+    assert slowest["multiply", 1] is None and all(0 < slowest[x, p] < 60 for x in ("factorize", "solve") for p in (1, 2))
 
 
 def test_checks_and_cli(spark, tmp_path, capsys):
