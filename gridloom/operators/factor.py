@@ -123,7 +123,7 @@ class Factorization:
 
     def solve(self, vector: DataFrame) -> DataFrame:
         """x with L U x = b.  A missing or zero pivot is an error, or 1 with missing_diag="one"."""
-        first, forward = self._plan(False).solve(self._moved(vector).select("id", "x"))
+        first, forward = self._plan(False).solve(written(self._moved(vector).select("id", "x"), "vector", self.folder))
         second, backward = self._plan(True).solve(first)
         self._steps["solve"] = forward + backward
         return self._back(second)

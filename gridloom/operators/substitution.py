@@ -5,7 +5,8 @@ interface counts between units, the values that others refer to: q = c + M q, wh
 what a unit finds if all it needs were 0, and M holds a dense map for each pair of units.
 M maps lower units to higher ones (or the reverse), so q = ... (I + M^4)(I + M^2)(I + M) c:
 maps are composed pairwise once, and a solve takes as many steps as the longest chain
-of units has binary digits, between two passes over the triangle.
+of units has binary digits, between two passes over the triangle; where interfaces are
+small in all, the sum of all powers of M is made once and a solve takes one step.
 
 Where maps would be large (`MAP_VALUES`) units are solved in rounds instead: a round solves
 all units whose needs are there.  Both give the solution of the same triangle.
@@ -15,14 +16,15 @@ from __future__ import annotations
 
 import time
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import first_row
+from ..functions.columns import block_of, first_row
 from ..sources.shared import written
 from . import kernels
 
@@ -30,9 +32,12 @@ from . import kernels
 MOST_ROWS, LEAST_ROWS, UNITS = 65_536, 1024, 8
 #: Values of a map between two units, and of a unit's rows by the values it needs, that a task may hold.
 MAP_VALUES, SPREAD_VALUES = 4_000_000, 20_000_000
+#: Interface values in all up to which one task makes the sum of all powers (at most half the square of this).
+CLOSED = 4000
 #: Pairs of units that the driver orders itself; beyond, rounds are found in Spark.
 DRIVER_PAIRS = 100_000
-SOLVED = "id long, x double, unit long, seconds double"
+MAPS = "unit long, of_unit long, inner int, values array<double>"
+SOLVED = "unit long, ids array<long>, x array<double>, seconds double"
 
 
 def _pairs_of(entries: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -41,84 +46,97 @@ def _pairs_of(entries: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 @dataclass(frozen=True)
 class Triangle:
-    """Entries (unit, row, col, val), needs (unit, col, of_unit), and maps or rounds.
+    """Entries (unit, row, col, val) of a triangle, cut in units, and what leads from unit to unit.
 
-    maps: powers 1, 2, 4, ... of M as (unit, of_unit, values), with the interface ids of
-    each unit in `interface` (unit, ids); linked: whether any unit needs another.  rounds: unit numbers and the rounds they need.
+    unit_of gives the unit of an id; links are the pairs (unit, of_unit) of units that need
+    others.  With maps: interface has (unit, ids, places), the ids of a unit that others
+    refer to and their places in it; maps are the powers 1, 2, 4, ... of M as (unit,
+    of_unit, values); closure is the sum of all powers, where that is small.  With rounds:
+    units and numbers of the rounds they need, and need (unit, col).
     """
 
     upper: bool
     missing_diag: str
     folder: str
-    rows: DataFrame
+    unit_of: Callable[[DataFrame], DataFrame]
     entries: DataFrame
-    need: DataFrame
+    links: DataFrame | None = None
     interface: DataFrame | None = None
-    linked: bool = True
     maps: tuple[DataFrame, ...] = ()
+    closure: DataFrame | None = None
+    need: DataFrame | None = None
     rounds: tuple[tuple[DataFrame, tuple[int, ...]], ...] = ()
 
     def solve(self, vector: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
-        """(id, x) of every row for right sides (id, x), and the steps' tables (unit, seconds and more)."""
-        right = written(vector.join(self.rows, "id").select("unit", "id", "x"), "right", self.folder)
-        return self._by_maps(right) if self.interface is not None else self._by_rounds(right)
+        """(id, x) of every row for right sides (id, x), and the steps' tables (unit, seconds and more).
 
-    def _pass(self, right: DataFrame, known: DataFrame | None) -> DataFrame:
-        """(id, x, unit, seconds) of the units of `right`, given the values (unit, id, x) they need (None: all are 0)."""
+        `vector` is read more than once: it should be a table.
+        """
+        right = self.unit_of(vector).select("unit", "id", "x")
+        return self._by_rounds(right) if self.rounds else self._by_maps(right)
+
+    def _pass(self, right: DataFrame, known: DataFrame | None, entries: DataFrame) -> DataFrame:
+        """SOLVED rows, one for each unit of `right`, given the values (unit, ids, x) it needs (None: all are 0)."""
         upper, missing, zero = self.upper, self.missing_diag, known is None
 
         def run(entries: pa.Table, values: pa.Table) -> pa.Table:
             began = time.perf_counter()
-            own, ids, x = (values.column(c).to_numpy(zero_copy_only=False) for c in ("own", "v_id", "v_x"))
-            rows = ids[own].tolist()
-            have = dict(zip(ids.tolist(), x.tolist(), strict=True))
+            unit = values.column("v_unit")[0].as_py()
+            own = values.filter(values.column("v_id").is_valid())
+            order = np.argsort(ids := own.column("v_id").to_numpy())
+            rows, x = ids[order].tolist(), own.column("v_x").to_numpy()[order].tolist()
+            have = dict(zip(rows, x, strict=True))
+            for others, y in zip(values.column("ids"), values.column("y"), strict=True):
+                if others.is_valid:
+                    have.update(zip(others.as_py(), y.as_py(), strict=True))
             row, col, val = _pairs_of(entries)
             if zero:  # what the unit needs of others counts as 0
                 inside = np.isin(col, ids)
                 row, col, val = row[inside], col[inside], val[inside]
             lines = kernels.rows_of(row, col, val)
             found = kernels.backward(lines, have, rows, missing) if upper else kernels.forward(lines, have, rows)
-            unit = values.column("v_unit")[0].as_py() if values.num_rows else 0
-            took = np.zeros(len(found))
-            took[:1] = time.perf_counter() - began
-            return pa.table({"id": pa.array(list(found), pa.int64()), "x": pa.array(list(found.values()), pa.float64()), "unit": pa.array([unit] * len(found), pa.int64()), "seconds": took})
+            return pa.table({"unit": pa.array([unit], pa.int64()), "ids": [rows], "x": [[found[i] for i in rows]], "seconds": [time.perf_counter() - began]})
 
-        mine = right.select(F.lit(True).alias("own"), F.col("id").alias("v_id"), F.col("x").alias("v_x"), F.col("unit").alias("v_unit"))
+        none = lambda kind: F.lit(None).cast(kind)
+        mine = right.select(F.col("unit").alias("v_unit"), F.col("id").alias("v_id"), F.col("x").alias("v_x"), none("array<long>").alias("ids"), none("array<double>").alias("y"))
         if known is not None:
-            mine = mine.unionByName(known.select(F.lit(False).alias("own"), F.col("id").alias("v_id"), F.col("x").alias("v_x"), F.col("unit").alias("v_unit")))
-        units = right.select(F.col("unit").alias("u")).distinct()
-        entries = self.entries.join(units, F.col("unit") == F.col("u"), "left_semi")
+            mine = mine.unionByName(known.select(F.col("unit").alias("v_unit"), none("long").alias("v_id"), none("double").alias("v_x"), "ids", F.col("x").alias("y")))
         return entries.groupBy("unit").cogroup(mine.groupBy("v_unit")).applyInArrow(run, SOLVED)
 
     def _by_maps(self, right: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
-        alone = written(self._pass(right, None), "alone", self.folder)
-        if not self.linked:
-            return alone.select("id", "x"), [alone]
-        place = self.interface.select("unit", F.posexplode("ids").alias("at", "id"))
-        seen = place.join(alone.select("id", "x"), "id").groupBy("unit").agg(F.array_sort(F.collect_list(F.struct("at", "x"))).alias("v"))
-        q = written(seen.select("unit", F.col("v.x").alias("x")), "interface-values", self.folder)
-        for power in self.maps:
+        alone = written(self._pass(right, None, self.entries), "alone", self.folder)
+        if self.interface is None:
+            return _values(alone), [alone]
+        picked = F.transform("places", lambda i: F.get("x", i.cast("int")))
+        q = alone.join(self.interface.select("unit", "places"), "unit").select("unit", picked.alias("x"))
+        for k, power in enumerate((self.closure,) if self.closure is not None else self.maps):
+            if k:
+                q = written(q, "interface-values", self.folder)
             met = power.join(q.select(F.col("unit").alias("of_unit"), "x"), "of_unit").select("unit", "values", "x")
-            both = met.unionByName(q.select("unit", F.when(F.lit(False), F.array(F.lit(0.0))).alias("values"), "x"))
-            q = written(both.groupBy("unit").applyInArrow(_applied, "unit long, x array<double>"), "interface-values", self.folder)
-        pairs = q.join(self.interface, "unit").select(F.explode(F.arrays_zip("ids", q["x"].alias("x"))).alias("p")).select(F.col("p.ids").alias("id"), F.col("p.x").alias("x"))
-        known = self.need.select("unit", F.col("col").alias("id")).join(pairs, "id")
-        solved = written(self._pass(right, known), "solved", self.folder)
-        return solved.select("id", "x"), [alone, solved]
+            both = met.unionByName(q.select("unit", F.lit(None).cast("array<double>").alias("values"), "x"))
+            q = both.groupBy("unit").applyInArrow(_applied, "unit long, x array<double>")
+        told = self.interface.select(F.col("unit").alias("of_unit"), "ids").join(q.select(F.col("unit").alias("of_unit"), "x"), "of_unit")
+        solved = written(self._pass(right, self.links.join(told, "of_unit"), self.entries), "solved", self.folder)
+        return _values(solved), [alone, solved]
 
     def _by_rounds(self, right: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
         spark, paths, call = right.sparkSession, [], uuid.uuid4().hex
+        right = written(right, "right", self.folder)
         for units, before in self.rounds:
-            mine = right.join(units, "unit", "left_semi")
             known = None
             if before:
-                done = spark.read.schema(SOLVED).parquet(*[paths[r] for r in before])
-                known = self.need.join(units, "unit", "left_semi").select("unit", F.col("col").alias("id")).join(done.select("id", "x"), "id")
-            got = self._pass(mine, known)
+                done = _values(spark.read.schema(SOLVED).parquet(*[paths[r] for r in before]))
+                met = self.need.join(units, "unit", "left_semi").select("unit", F.col("col").alias("id")).join(done, "id")
+                known = met.select("unit", F.array("id").alias("ids"), F.array("x").alias("x"))
+            got = self._pass(right.join(units, "unit", "left_semi"), known, self.entries.join(units, "unit", "left_semi"))
             paths.append(f"{self.folder}/solved-{call}/{len(paths)}")
             got.write.parquet(paths[-1])
         solved = spark.read.schema(SOLVED).parquet(*paths)
-        return solved.select("id", "x"), [solved]
+        return _values(solved), [solved]
+
+
+def _values(solved: DataFrame) -> DataFrame:
+    return solved.select(F.explode(F.arrays_zip("ids", "x")).alias("v")).select(F.col("v.ids").alias("id"), F.col("v.x").alias("x"))
 
 
 def _applied(table: pa.Table) -> pa.Table:
@@ -131,61 +149,93 @@ def _applied(table: pa.Table) -> pa.Table:
     return pa.table({"unit": table.column("unit").slice(0, 1).cast(pa.int64()), "x": pa.array([total], pa.list_(pa.float64()))})
 
 
+def _map_table(found: dict[tuple[int, int], tuple[int, np.ndarray]]) -> pa.Table:
+    """Maps by (unit, of_unit), each with the number of its columns."""
+    return pa.table(
+        {
+            "unit": pa.array([u for u, _ in found], pa.int64()), "of_unit": pa.array([v for _, v in found], pa.int64()), "inner": pa.array([n for n, _ in found.values()], pa.int32()),
+            "values": pa.array([m.reshape(-1) for _, m in found.values()], pa.list_(pa.float64())),
+        }
+    )
+
+
 def _composed(table: pa.Table) -> pa.Table:
     """The sum of products of maps that lead from one unit to another."""
-    total, inner = None, table.column("inner").to_pylist()
-    for one, two, n in zip(table.column("one"), table.column("two"), inner, strict=True):
-        made = np.array(one.values).reshape(-1, n) @ np.array(two.values).reshape(n, -1)
-        total = made if total is None else total + made
-    head = [table.column(c).slice(0, 1).cast(pa.int64()) for c in ("unit", "of_unit")]
-    return pa.table({"unit": head[0], "of_unit": head[1], "values": pa.array([total.reshape(-1)], pa.list_(pa.float64()))})
+    total = 0.0
+    mid, inner = table.column("mid_inner").to_pylist(), table.column("inner")[0].as_py()
+    for one, two, n in zip(table.column("one"), table.column("two"), mid, strict=True):
+        total = total + np.array(one.values).reshape(-1, n) @ np.array(two.values).reshape(n, -1)
+    unit, of_unit = (table.column(c)[0].as_py() for c in ("unit", "of_unit"))
+    return _map_table({(unit, of_unit): (inner, total)})
+
+
+def _closed(upper: bool) -> Callable[[pa.Table], pa.Table]:
+    """The sum of all powers: a unit's map of another, and what leads there by units between."""
+
+    def run(table: pa.Table) -> pa.Table:
+        maps: dict[int, dict[int, np.ndarray]] = {}
+        for u, v, n, m in zip(*(table.column(c).to_pylist() for c in ("unit", "of_unit", "inner")), table.column("values"), strict=True):
+            maps.setdefault(u, {})[v] = np.array(m.values).reshape(-1, n)
+        for u in sorted(maps, reverse=upper):  # all that a unit refers to is done
+            whole = dict(maps[u])
+            for w, m in maps[u].items():
+                for v, rest in maps.get(w, {}).items():
+                    whole[v] = m @ rest + (whole[v] if v in whole else 0.0)
+            maps[u] = whole
+        return _map_table({(u, v): (m.shape[1], m) for u, row in maps.items() for v, m in row.items()})
+
+    return run
+
+
+def _cut(n: int, num_blocks: int) -> tuple[Column, int]:
+    """The unit of a permuted id, pieces of a block in order, and how many unit numbers there are."""
+    size = max(LEAST_ROWS, min(MOST_ROWS, -(-n // UNITS)))
+    pieces = -(-(-(-n // num_blocks)) // size)
+    block = block_of("id", n, num_blocks).cast("long")
+    start = F.expr(f"(cast((((id + 1) * {num_blocks}L - 1) div {n}L) as long) * {n}L) div {num_blocks}L")
+    return block * pieces + F.floor((F.col("id") - start) / size), num_blocks * pieces
 
 
-def _units(perm: DataFrame, n: int, num_blocks: int, halves: bool) -> DataFrame:
-    """(id, unit): units follow the order of permuted ids; with halves no unit has interior rows and separators."""
+def _first_id(n: int, num_blocks: int) -> Column:
+    """The first permuted id of a unit."""
     size = max(LEAST_ROWS, min(MOST_ROWS, -(-n // UNITS)))
-    pieces = -(-n // size) + 1
-    piece = F.floor((F.col("new_id") - first_row("block", n, num_blocks)) / size)
-    half = F.col("block") * 2 + F.col("is_sep").cast("int") if halves else F.col("block")
-    return perm.select(F.col("new_id").alias("id"), (half * pieces + piece).cast("long").alias("unit"))
+    pieces = -(-(-(-n // num_blocks)) // size)
+    return F.expr(f"((unit div {pieces}L) * {n}L) div {num_blocks}L + (unit % {pieces}L) * {size}L")
 
 
-def _maps(triangle: Triangle) -> Triangle:
-    """The triangle with its interface and the powers of its maps."""
-    upper, missing = triangle.upper, triangle.missing_diag
-    ids = triangle.need.select("of_unit", "col").distinct().groupBy(F.col("of_unit").alias("unit")).agg(F.array_sort(F.collect_list("col")).alias("ids"))
-    interface = written(ids, "interface", triangle.folder)
+def _maps(triangle: Triangle, interface: DataFrame, links: DataFrame, count: int, total: int) -> Triangle:
+    """The triangle with the powers of its maps or their sum; `total` ids are in interfaces."""
+    upper, missing, folder = triangle.upper, triangle.missing_diag, triangle.folder
     # beside its entries a unit gets its own interface ids, and those of units that it needs
     own = interface.select(F.col("unit").alias("to"), F.col("unit").alias("of"), "ids")
-    others = triangle.need.select(F.col("unit").alias("to"), F.col("of_unit").alias("of")).distinct().join(interface.withColumnRenamed("unit", "of"), "of").select("to", "of", "ids")
+    others = links.toDF("to", "of").join(interface.select(F.col("unit").alias("of"), "ids"), "of").select("to", "of", "ids")
 
     def spread(entries: pa.Table, sets: pa.Table) -> pa.Table:
         unit = sets.column("to")[0].as_py() if sets.num_rows else -1
         known = dict(zip(sets.column("of").to_pylist(), sets.column("ids").to_pylist(), strict=True))
         mine, needed = known.pop(unit, []), sorted(known)
-        found: dict[str, list] = {"unit": [], "of_unit": [], "values": []}
+        found: dict[tuple[int, int], tuple[int, np.ndarray]] = {}
         if mine and needed:
             at = {c: i for i, c in enumerate(c for v in needed for c in known[v])}
             lines = kernels.spread(kernels.rows_of(*_pairs_of(entries)), at, upper, missing)
             whole = np.stack([lines.get(i, np.zeros(len(at))) for i in mine])
             for v, part in zip(needed, np.split(whole, np.cumsum([len(known[v]) for v in needed])[:-1], axis=1), strict=True):
                 if part.any():
-                    found["unit"].append(unit)
-                    found["of_unit"].append(v)
-                    found["values"].append(part.reshape(-1))
-        return pa.table({"unit": pa.array(found["unit"], pa.int64()), "of_unit": pa.array(found["of_unit"], pa.int64()), "values": pa.array(found["values"], pa.list_(pa.float64()))})
-
-    kind = "unit long, of_unit long, values array<double>"
-    first = triangle.entries.groupBy("unit").cogroup(own.unionByName(others).groupBy("to")).applyInArrow(spread, kind)
-    powers, latest = [], written(first, "maps", triangle.folder)
-    sizes = interface.select(F.col("unit").alias("mid"), F.size("ids").alias("inner"))
-    while latest.limit(1).count():
+                    found[unit, v] = part.shape[1], part
+        return _map_table(found)
+
+    latest = written(triangle.entries.groupBy("unit").cogroup(own.unionByName(others).groupBy("to")).applyInArrow(spread, MAPS), "maps", folder)
+    made = replace(triangle, links=links, interface=interface)
+    if total <= CLOSED:
+        return replace(made, closure=written(latest.groupBy().applyInArrow(_closed(upper), MAPS), "closure", folder))
+    powers: list[DataFrame] = []
+    while 2 ** len(powers) < count and latest.limit(1).count():  # units are strictly ordered: the power of their number is 0
         powers.append(latest)
-        one = latest.select("unit", F.col("of_unit").alias("mid"), F.col("values").alias("one"))
-        two = latest.select(F.col("unit").alias("mid"), "of_unit", F.col("values").alias("two"))
-        met = one.join(two, "mid").join(sizes, "mid").select("unit", "of_unit", "inner", "one", "two")
-        latest = written(met.groupBy("unit", "of_unit").applyInArrow(_composed, kind), "maps", triangle.folder)
-    return replace(triangle, interface=interface, maps=tuple(powers))
+        if 2 ** len(powers) < count:
+            one = latest.select("unit", F.col("of_unit").alias("mid"), F.col("inner").alias("mid_inner"), F.col("values").alias("one"))
+            two = latest.select(F.col("unit").alias("mid"), "of_unit", "inner", F.col("values").alias("two"))
+            latest = written(one.join(two, "mid").groupBy("unit", "of_unit").applyInArrow(_composed, MAPS), "maps", folder)
+    return replace(made, maps=tuple(powers))
 
 
 def _rounds(units: DataFrame, need: DataFrame) -> tuple[tuple[DataFrame, tuple[int, ...]], ...]:
@@ -227,24 +277,37 @@ def _rounds(units: DataFrame, need: DataFrame) -> tuple[tuple[DataFrame, tuple[i
 def triangle(lu: DataFrame, perm: DataFrame, n: int, num_blocks: int, upper: bool, missing_diag: str, folder: str, by: str = "auto") -> Triangle:
     """What solves with one triangle of `lu` need, made once; by is "maps", "rounds" or "auto" (maps where they are small)."""
     inside = F.col("col") >= F.col("row") if upper else F.col("col") < F.col("row")
-
-    def cut(halves: bool) -> Triangle:
-        rows = written(_units(perm, n, num_blocks, halves), "units", folder)
-        side = lambda c: rows.select(F.col("id").alias(c), F.col("unit").alias(f"{c}_unit"))
-        placed = lu.where(inside).select("row", "col", "val").join(side("row"), "row").join(side("col"), "col")
-        placed = written(placed.select(F.col("row_unit").alias("unit"), "row", "col", "val", F.col("col_unit").alias("of_unit")), "triangle", folder)
-        need = written(placed.where("unit <> of_unit").select("unit", "col", "of_unit").distinct(), "need", folder)
-        return Triangle(upper, missing_diag, folder, rows, placed.drop("of_unit"), need)
-
+    own = lu.where(inside).select("row", "col", "val")
     if by != "rounds":
-        made = cut(False)
-        needed = made.need.groupBy("unit").agg(F.countDistinct("of_unit").alias("k"))
-        lent = made.need.select("of_unit", "col").distinct().groupBy(F.col("of_unit").alias("unit")).agg(F.count("*").alias("q"))
-        seen = made.need.select("unit", "of_unit").distinct().join(lent.toDF("of_unit", "q_of"), "of_unit").groupBy("unit").agg(F.sum("q_of").alias("columns"))
-        sizes = made.rows.groupBy("unit").agg(F.count("*").alias("n")).join(lent, "unit", "left").join(seen, "unit", "left").join(needed, "unit", "left")
-        q, spread = sizes.agg(F.coalesce(F.max("q"), F.lit(0)), F.coalesce(F.max(F.col("n") * F.col("columns")), F.lit(0))).first()
-        if by == "maps" or q * q <= MAP_VALUES and spread <= SPREAD_VALUES:
-            return _maps(replace(made, linked=q > 0))
-    made = cut(True)
-    units = written(made.rows.select("unit").distinct(), "unit-numbers", folder)
-    return Triangle(upper, missing_diag, folder, made.rows, made.entries, made.need, rounds=_rounds(units, made.need))
+        unit, count = _cut(n, num_blocks)
+        unit_of = lambda df: df.withColumn("unit", unit)
+        placed = unit_of(unit_of(own.withColumn("id", F.col("col"))).withColumnsRenamed({"unit": "of_unit"}).withColumn("id", F.col("row"))).drop("id")
+        made = Triangle(upper, missing_diag, folder, unit_of, placed.drop("of_unit"))
+        need = written(placed.where("unit <> of_unit").select("unit", "col", "of_unit").distinct(), "need", folder)
+        ids = need.groupBy(F.col("of_unit").alias("unit")).agg(F.array_sort(F.collect_set("col")).alias("ids"))
+        interface = written(ids.select("unit", "ids", F.transform("ids", lambda i: i - _first_id(n, num_blocks)).alias("places")), "interface", folder)
+        q, total = interface.agg(F.coalesce(F.max(F.size("ids")), F.lit(0)), F.coalesce(F.sum(F.size("ids")), F.lit(0))).first()
+        if not q:
+            return made
+        links = written(need.select("unit", "of_unit").distinct(), "links", folder)
+        rows = max(LEAST_ROWS, min(MOST_ROWS, -(-n // UNITS)))
+        small = q * q <= MAP_VALUES
+        if small and rows * (count - 1) * q > SPREAD_VALUES:
+            small = rows * q * links.groupBy("unit").agg(F.count("*").alias("k")).agg(F.max("k")).first()[0] <= SPREAD_VALUES
+        if by == "maps" or small:
+            return _maps(made, interface, links, count, total)
+    return _in_rounds(own, perm, n, num_blocks, upper, missing_diag, folder)
+
+
+def _in_rounds(own: DataFrame, perm: DataFrame, n: int, num_blocks: int, upper: bool, missing_diag: str, folder: str) -> Triangle:
+    """Units of interior rows or separators only: interior rows of all blocks are one round."""
+    size = max(LEAST_ROWS, min(MOST_ROWS, -(-n // UNITS)))
+    pieces = -(-n // size) + 1
+    piece = F.floor((F.col("new_id") - first_row("block", n, num_blocks)) / size)
+    rows = written(perm.select(F.col("new_id").alias("id"), ((F.col("block") * 2 + F.col("is_sep").cast("int")) * pieces + piece).cast("long").alias("unit")), "units", folder)
+    side = lambda c: rows.select(F.col("id").alias(c), F.col("unit").alias(f"{c}_unit"))
+    placed = own.join(side("row"), "row").join(side("col"), "col")
+    placed = written(placed.select(F.col("row_unit").alias("unit"), "row", "col", "val", F.col("col_unit").alias("of_unit")), "triangle", folder)
+    need = written(placed.where("unit <> of_unit").select("unit", "col", "of_unit").distinct(), "need", folder)
+    units = written(rows.select("unit").distinct(), "unit-numbers", folder)
+    return Triangle(upper, missing_diag, folder, lambda df: df.join(rows, "id"), placed.drop("of_unit"), need=need, rounds=_rounds(units, need))

@@ -193,8 +193,10 @@ def test_a_dense_column_makes_no_pairs(spark):
     assert wedges.count() == 2999
 
 
-@pytest.mark.parametrize("by", ["maps", "rounds"])
-def test_solves_by_maps_and_rounds(spark, sf_dir, by):
+@pytest.mark.parametrize("by", ["maps", "closure", "rounds"])
+def test_solves_by_maps_and_rounds(spark, sf_dir, by, monkeypatch):
+    monkeypatch.setattr(substitution, "LEAST_ROWS", 16)
+    monkeypatch.setattr(substitution, "CLOSED", 4000 if by == "closure" else 0)
     m = g.part_adjacency(spark, sf_dir)
     fact = factorize(m, 4)
     lu = np.zeros((m.n, m.n))
@@ -204,12 +206,13 @@ def test_solves_by_maps_and_rounds(spark, sf_dir, by):
     for upper in (False, True):
         t = np.triu(lu) if upper else np.tril(lu, -1) + np.eye(m.n)
         right = spark.createDataFrame(list(enumerate((t @ x).tolist())), "id long, x double")
-        plan = substitution.triangle(fact.lu, fact.perm, m.n, 4, upper, "raise", fact.folder, by)
-        assert bool(plan.maps) == (by == "maps") and bool(plan.rounds) == (by == "rounds")
+        plan = substitution.triangle(fact.lu, fact.perm, m.n, 4, upper, "raise", fact.folder, "rounds" if by == "rounds" else "maps")
+        assert bool(plan.maps) == (by == "maps") and bool(plan.rounds) == (by == "rounds") and (plan.closure is not None) == (by == "closure")
         assert [r["x"] for r in plan.solve(right)[0].orderBy("id").collect()] == pytest.approx(x.tolist(), abs=1e-8)
 
 
-def test_a_chain_of_64_blocks_takes_as_many_maps_as_64_has_digits(spark):
+def test_a_chain_of_64_blocks_takes_as_many_maps_as_64_has_digits(spark, monkeypatch):
+    monkeypatch.setattr(substitution, "CLOSED", 0)
     n = 256
     fact = factorize(g.banded(spark, n, 4), 64, method="entries")
     assert verify.round_trip_error(fact, g.test_vector(spark, n)) < 1e-9
