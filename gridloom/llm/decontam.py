@@ -151,7 +151,9 @@ def find_items(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", tex
     held = written(_shingles(rows, filters).distinct().withColumn("doc", own), "held")
     met = held.select("doc", "hash").distinct().join(signed, "hash").groupBy("doc", "item", "n_item", "least").agg(F.count_distinct("hash").alias("n"))
     pairs = met.where("n >= least").select("doc", "item", "n_item")
-    shared = held.join(pairs, "doc").join(known.select("item", "item_id", "shingle"), ["item", "shingle"])
+    # a pair looks for its item's own shingles, not for every shingle of its document
+    wanted = pairs.join(known.select("item", "item_id", "hash", "shingle"), "item")
+    shared = held.join(wanted, ["doc", "hash", "shingle"])
     counts = shared.groupBy("doc_id", "text_hash", "item_id", "n_item").agg(F.count("*").alias("n_shared"))
     enough = counts.where(F.col("n_shared") * DENOMINATOR >= F.col("n_item") * NUMERATOR)
     return enough.select("doc_id", "text_hash", "item_id", "n_shared", "n_item", (F.col("n_shared") / F.col("n_item")).alias("containment"))
