@@ -75,7 +75,7 @@ def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
-_TEMPLATE_ROWS = ", ".join(f"({i}, '{label}', '{' '.join(licenses.words_of(text))}')" for i, (label, text) in enumerate(licenses.TEMPLATES))
+_TEMPLATE_ROWS = ", ".join(f"({i}, '{label}', {licenses.step_of(text)}, '{' '.join(licenses.words_of(text))}')" for i, (label, text) in enumerate(licenses.TEMPLATES))
 _PHRASE_ROWS = ", ".join(f"('{label}', '{phrase}', {len(phrase.split())})" for phrase, label in licenses.PHRASES.items())
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -91,18 +91,15 @@ WITH words AS (
 ), phrases(label, phrase, size) AS (VALUES {_PHRASE_ROWS}
 ), places AS (
   SELECT doc_id, pos, label FROM runs JOIN phrases ON phrase = CASE size WHEN 2 THEN r2 WHEN 4 THEN r4 END
-), templates(template, label, words) AS (VALUES {_TEMPLATE_ROWS}
+), templates(template, label, step, words) AS (VALUES {_TEMPLATE_ROWS}
 ), template_words AS (
-  SELECT DISTINCT template, label, unnest(string_split(words, ' ')) AS word FROM templates
+  SELECT DISTINCT template, label, step, unnest(string_split(words, ' ')) AS word FROM templates
 ), sizes AS (
   SELECT template, count(*) AS size FROM template_words GROUP BY template
 ), block_words AS (
-  SELECT DISTINCT doc_id, unnest(range(greatest(0, pos - {licenses.BLOCK_WORDS - 1} + {licenses.STEP_WORDS - 1}) // {licenses.STEP_WORDS}, pos // {licenses.STEP_WORDS} + 1)) AS block, word FROM each
-), sizes_of AS (
-  SELECT doc_id, len(w) AS n FROM words
+  SELECT DISTINCT doc_id, template, label, pos // step - back AS block, word FROM each JOIN template_words USING (word), (VALUES (0), (1)) b(back) WHERE pos // step >= back
 ), shared AS (
-  SELECT b.doc_id, block, t.template, any_value(t.label) AS label, count(*) AS n FROM block_words b JOIN template_words t USING (word) JOIN sizes_of s ON s.doc_id = b.doc_id
-  WHERE block = 0 OR block * {licenses.STEP_WORDS} <= s.n - {licenses.STEP_WORDS} - 1 GROUP BY b.doc_id, block, t.template
+  SELECT doc_id, block, template, any_value(label) AS label, count(*) AS n FROM block_words GROUP BY doc_id, block, template
 ), matches AS (
   SELECT doc_id, label, n / size AS containment FROM shared JOIN sizes USING (template) WHERE n >= ceil({licenses.CONTAINMENT} * size - 1e-9)
 ), base AS (

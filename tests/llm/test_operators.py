@@ -264,11 +264,11 @@ def test_licenses(odd, none):
         words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(text))
         at = [(i, label) for p, label in licenses.PHRASES.items() for i in range(len(words)) if words[i : i + len(p.split())] == p.split()]
         base, labels, score = {x for _, x in at}, {x for _, x in at}, 0.0
-        for k in range(0, max(1, len(words) - licenses.STEP_WORDS), licenses.STEP_WORDS):
-            block = set(words[k : k + licenses.BLOCK_WORDS])
-            for label, t in licenses.TEMPLATES:
-                own = set(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t)))
-                if (share := len(own & block) / len(own)) >= licenses.CONTAINMENT:
+        for label, t in licenses.TEMPLATES:
+            whole = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t))
+            own, step = set(whole), max(8, len(whole))
+            for k in range(0, len(words), step):
+                if (share := len(own.intersection(words[k : k + 2 * step])) / len(own)) >= licenses.CONTAINMENT:
                     labels, score = labels | {label}, max(score, share)
         places = [i for i, _ in at]
         return len(words), len(at), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), score
@@ -290,6 +290,25 @@ def test_wrapped_and_commented_notices(spark):
         assert all(label in got[3 * k + i][0] and got[3 * k + i][1] == 1.0 for i in (0, 1)) and got[3 * k + 2][1] == 0.0
 
 
+def test_long_templates_are_found_anywhere(spark):
+    filler = lambda n: " ".join(f"f{i % 700}" for i in range(n))
+    for size in (300, 5000):
+        long = " ".join(f"t{i}" for i in range(size))
+        rows = [(k, f"{filler(k)} {long}\n{filler(9)}") for k in (0, 1, 37, 255, 511, 700, 8191)] + [(-1, " ".join(long.split()[: size * 4 // 5]))]
+        got = {r.doc_id: (r.labels, r.score) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), [("long", long)]).collect()}
+        assert got.pop(-1) == ("", 0.0) and len(got) == 7 and set(got.values()) == {("long", 1.0)}
+
+
+def test_scattered_words_are_no_notice(spark):
+    rows = [
+        (1, "the quarterly review of the version listed under item 2 says that apache helicopters were licensed in 1990 and a driving license costs 0 euros"),
+        (2, "the stores got a boost from version 1 of the software, and parts are distributed under a plan that leaves 0 to chance; a license isn't needed"),
+        (3, "Licensed under the Apache License, Version 2.0"), (4, "Distributed under the Boost Software License, Version 1.0."),
+    ]
+    got = {r.doc_id: r.labels for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: "", 2: "", 3: "apache", 4: "boost"}
+
+
 # ---- 5 --------------------------------------------------------------------------------
 
 
