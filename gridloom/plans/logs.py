@@ -29,19 +29,46 @@ PHASES = ("factorize", "multiply", "solve")
 UNKNOWN = "<unknown>"
 
 
+#: Lines of a segment where line numbers are plain; of a split's rows where they come from files.
+SEGMENT_LINES = 8192
+
+
 def lines(spark: SparkSession, path: str, pattern: str = "*.out") -> DataFrame:
-    """(file, line_no, value) of every log line.
+    """(file, line_no, value) of every log line, however long a log is.
 
-    A log is read whole, which keeps the order of its lines; it is as long as one run
-    of a benchmark prints.
+    Logs are read in splits like any text.  line_no is where the line's split begins in
+    the file and the line's row in the task that read it: it orders the lines of a file.
     """
-    whole = spark.read.option("pathGlobFilter", pattern).text(path, wholetext=True)
-    return numbered(whole.select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file"), "value"))
+    text = spark.read.option("pathGlobFilter", pattern).option("lineSep", "\n").text(path)
+    file = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
+    place = F.struct(F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("row"))
+    return text.select(file.alias("file"), place.alias("line_no"), F.rtrim(F.col("value"), F.lit("\r")).alias("value"))
+
 
+def _segment(log_lines: DataFrame) -> Column:
+    """What cuts a file in runs of lines: part of each split, or a range of line numbers."""
+    if dict(log_lines.dtypes)["line_no"].startswith("struct"):
+        return F.struct("line_no.split", F.floor(F.col("line_no.row") / SEGMENT_LINES).alias("rows"))
+    return F.floor(F.col("line_no") / SEGMENT_LINES)
 
-def numbered(files: DataFrame) -> DataFrame:
-    """(file, value) of whole files, as lines."""
-    return files.select("file", F.posexplode(F.split("value", "\r?\n")).alias("line_no", "value"))
+
+def filled(rows: DataFrame, upto: dict[str, Column] | None = None, before: dict[str, Column] | None = None) -> DataFrame:
+    """`rows` (file, line_no, ...) with the latest value of each marker that isn't null: up to the line, or `before` it.
+
+    Files are cut in segments.  A window fills each of them; the last markers of the
+    segments, one row each, are carried over the file's segments; the two are put
+    together.  So the lines of a file are worked on by as many tasks as it has segments.
+    """
+    upto, before = upto or {}, before or {}
+    raw = {f"_{name}": marker for name, marker in (upto | before).items()}
+    cut = rows.withColumns({"_segment": _segment(rows), **raw})
+    inside = Window.partitionBy("file", "_segment").orderBy("line_no")
+    here = {n: F.last(f"_{n}", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow if n in upto else -1)) for n in (*upto, *before)}
+    ends = cut.groupBy("file", "_segment").agg(*[F.max_by(f"_{n}", F.when(F.col(f"_{n}").isNotNull(), F.col("line_no"))).alias(f"_{n}") for n in here])
+    ahead = Window.partitionBy("file").orderBy("_segment").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select("file", "_segment", *[F.last(f"_{n}", ignorenulls=True).over(ahead).alias(f"_c_{n}") for n in here])
+    both = cut.withColumns(here).join(carried, ["file", "_segment"])
+    return both.withColumns({n: F.coalesce(n, f"_c_{n}") for n in here}).drop("_segment", *raw, *[f"_c_{n}" for n in here])
 
 
 def _found(pattern: str, group: int) -> Column:
@@ -49,9 +76,9 @@ def _found(pattern: str, group: int) -> Column:
 
 
 def marked(log_lines: DataFrame) -> DataFrame:
-    """Lines with the matrix that the latest marker before them names."""
-    before = Window.partitionBy("file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return log_lines.withColumn("matrix", F.coalesce(F.last(_found(MATRIX, 1), ignorenulls=True).over(before), F.lit(UNKNOWN)))
+    """Lines with the matrix that the latest marker before them names; of the lines only markers and samples are kept."""
+    told = log_lines.where(F.col("value").rlike(MATRIX) | F.col("value").contains("PERF,phase="))
+    return filled(told, {"matrix": _found(MATRIX, 1)}).withColumn("matrix", F.coalesce("matrix", F.lit(UNKNOWN)))
 
 
 def headers(log_lines: DataFrame) -> DataFrame:
@@ -65,9 +92,9 @@ def samples(log_lines: DataFrame) -> DataFrame:
 
     workers is the file's header and may be null; ranks is what the line says itself.
     """
-    whole = Window.partitionBy("file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    last = lambda p: F.last(_found(p, 1), ignorenulls=True).over(whole).cast("int")
-    perf = marked(log_lines).withColumn("workers", last(WORKERS)).withColumn("nodes", last(NODES)).where(F.col("value").rlike(PERF))
+    # a row a file: what joins it may be many lines of one file, which adaptive execution splits
+    top = log_lines.where(F.col("value").rlike(WORKERS) | F.col("value").rlike(NODES))
+    perf = marked(log_lines).where(F.col("value").rlike(PERF)).join(headers(top).select("file", "workers", "nodes"), "file", "left")
     pairs = F.filter(F.split(_found(PERF, 2), ","), lambda kv: F.contains(kv, F.lit("=")))
     fields = F.map_from_entries(
         F.transform(F.array_distinct(F.transform(pairs, lambda kv: F.substring_index(kv, "=", 1))), lambda k: F.struct(k, F.element_at(F.filter(pairs, lambda kv: F.substring_index(kv, "=", 1) == k), -1)))
@@ -203,15 +230,15 @@ def runtimes(log_lines: DataFrame) -> DataFrame:
     "RUNTIME_VECTOR_100_0.1=0.5"; a vector line counts if the last timing line before
     it is a reconstruction of the same size and density.
     """
-    order = Window.partitionBy("file").orderBy("line_no")
-    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = log_lines.withColumn("workers", F.last(_found(RANKS, 1), ignorenulls=True).over(so_far).cast("int"))
     is_made = F.col("value").rlike(MADE)
-    timed = rows.where((is_made | F.col("value").rlike(VECTOR)) & F.col("workers").isNotNull())
+    is_timed = is_made | F.col("value").rlike(VECTOR)
     part = lambda i: F.when(is_made, F.regexp_extract("value", MADE, i)).otherwise(F.regexp_extract("value", VECTOR, i))
-    timed = timed.select("file", "line_no", "workers", is_made.alias("is_made"), part(1).cast("int").alias("size"), part(2).cast("double").alias("density"), part(3).cast("double").alias("time"))
-    last = F.lag(F.struct("is_made", "size", "density", "time")).over(order)
-    pairs = timed.withColumn("last", last).where("not is_made and last.is_made and last.size = size and last.density = density")
+    this = F.struct(is_made.alias("is_made"), part(1).cast("int").alias("size"), part(2).cast("double").alias("density"), part(3).cast("double").alias("time"))
+    told = log_lines.where(is_timed | F.col("value").rlike(RANKS))
+    # timing lines ahead of the first worker count don't count: they are told apart by the workers that the last of them had
+    rows = filled(told, {"workers": _found(RANKS, 1).cast("int")}).withColumn("this", F.when(is_timed & F.col("workers").isNotNull(), this))
+    timed = filled(rows, before={"last": F.col("this")}).where("this is not null").select("workers", "this.*", "last")
+    pairs = timed.where("not is_made and last.is_made and last.size = size and last.density = density")
     return pairs.select("workers", "size", "density", (F.col("time") + F.col("last.time")).alias("runtime"))
 
 

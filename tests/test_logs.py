@@ -77,3 +77,46 @@ def test_stream(spark, folder):
     rows = {(r["phase"], r["workers"]): r for r in spark.sql("SELECT * FROM log_means").collect()}
     assert rows["solve", 4]["n"] == 2 and rows["solve", 4]["mean_time_s"] == pytest.approx(0.03)
     assert rows["solve", 4]["matrix"] == "band_n100_m16.mtx"
+
+
+@pytest.fixture()
+def splits(spark):
+    """Text in splits of 4 KB, segments of 16 lines."""
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    yield spark
+    for k, v in kept.items():
+        spark.conf.set(k, v)
+
+
+def test_one_long_log_over_many_tasks(splits, tmp_path, monkeypatch):
+    monkeypatch.setattr(logs, "SEGMENT_LINES", 16)
+    text, want, matrix = [], [], "<unknown>"
+    for i in range(3000):
+        if i in (40, 41, 700, 2200):  # markers far apart: most segments have none
+            matrix = f"band_m{i}.mtx"
+            text.append(f">> RUNNING_MATRIX={matrix}")
+        elif i == 2900:
+            text.append("WORKERS=6")
+        elif i % 3:
+            text.append(f"PERF,phase=solve,N=9,P=6,time={i}.5" + "\r" * (i % 2))
+            want.append((matrix, i + 0.5))
+        else:
+            text.append(f"noise {i}")
+    (tmp_path / "a.out").write_text("\n".join(text) + "\n")
+    read = logs.lines(splits, str(tmp_path))
+    assert read.rdd.getNumPartitions() > 5
+    rows = logs.samples(read).orderBy("line_no").collect()
+    assert [(r["matrix"], r["time_s"]) for r in rows] == want and {r["workers"] for r in rows} == {6}
+    assert read.select(logs._segment(read)).distinct().count() > 100
+    by = {r["matrix"]: r["n_samples"] for r in logs.strict_summary(read).collect()}
+    assert by == {m: sum(x == m for x, _ in want) for m in {x for x, _ in want} - {"<unknown>"}}
+
+
+def test_runtimes_over_segments(splits, tmp_path, monkeypatch):
+    monkeypatch.setattr(logs, "SEGMENT_LINES", 4)
+    text = ["RUNTIME_RECONSTRUCT_10_0.1=9", "Workers (MPI Ranks): 3", "RUNTIME_VECTOR_10_0.1=1", "RUNTIME_RECONSTRUCT_10_0.1=2"] + ["noise"] * 600 + ["RUNTIME_VECTOR_10_0.1=1", "RUNTIME_RECONSTRUCT_10_0.1=4"] + ["noise"] * 900
+    text += ["RUNTIME_VECTOR_20_0.1=1", "RUNTIME_VECTOR_10_0.1=1"]
+    (tmp_path / "r.out").write_text("\n".join(text))
+    assert [tuple(r) for r in logs.runtimes(logs.lines(splits, str(tmp_path))).collect()] == [(3, 10, 0.1, 3.0)]
