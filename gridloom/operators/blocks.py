@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import block_of, first_row, piece_rows
-from ..sources.shared import use_package
+from ..sources.shared import new_path, use_package, written
 from .matrix import SparseMatrix
 
 
@@ -25,19 +25,45 @@ def classify(matrix: SparseMatrix, num_blocks: int, mode: str = "direct") -> Dat
         return direct
     if mode != "closure":
         raise ValueError("mode is direct or closure")
-    use_package(every.sparkSession)
-    local = matrix.entries.where("col < row").join(direct, "row").where(F.col("col") >= first_row("block", n, num_blocks))
-    before = local.groupBy("row").agg(F.collect_list("col").alias("cols"))
-
-    def close(table: pa.Table) -> pa.Table:
-        separators: set[int] = set()
-        rows = sorted(table.to_pylist(), key=lambda r: r["row"])
-        for r in rows:  # columns are smaller, so one ascending pass reaches the fixpoint
-            if r["is_sep"] or separators.intersection(r["cols"] or ()):
-                separators.add(r["row"])
-        return pa.table({"row": [r["row"] for r in rows], "block": pa.array([r["block"] for r in rows], pa.int32()), "is_sep": [r["row"] in separators for r in rows]})
-
-    return direct.join(before, "row", "left").groupBy("block").applyInArrow(close, "row long, block int, is_sep boolean")
+    return _closed(direct, matrix, num_blocks)
+
+
+#: Rows of a piece that a task of the closure works through, at most.
+CLOSURE_ROWS = 65_536
+
+
+def _closed(direct: DataFrame, matrix: SparseMatrix, num_blocks: int) -> DataFrame:
+    """`direct` with all rows that depend on a separator of their block, however far.
+
+    Only new separators go on: rows that refer to them, and what depends on those inside
+    the same piece of rows, are the next ones.  So rounds count steps from piece to piece.
+    """
+    spark, n = direct.sparkSession, matrix.n
+    use_package(spark)
+    folder = new_path(spark, "closure")
+    size = max(1, min(CLOSURE_ROWS, n // 8))
+    piece = lambda c: F.floor(F.col(c) / size)
+    blocks = direct.select("row", "block")
+    edges = matrix.entries.where("col < row").select("row", "col").join(blocks, "row").where(F.col("col") >= first_row("block", n, num_blocks))
+    edges = written(edges.select("row", "col", piece("row").alias("piece"), (piece("row") == piece("col")).alias("inside")), "edges", folder)
+
+    def grow(table: pa.Table, hits: pa.Table) -> pa.Table:
+        found = set(hits.column("hit").to_pylist())
+        order = np.argsort(rows := table.column("row").to_numpy(), kind="stable")
+        for r, c in zip(rows[order].tolist(), table.column("col").to_numpy()[order].tolist(), strict=True):
+            if c in found:  # columns are smaller, so one ascending pass is enough
+                found.add(r)
+        return pa.table({"row": pa.array(sorted(found), pa.int64())})
+
+    reached = new = written(direct.where("is_sep").select("row"), "reached", folder)
+    while new.limit(1).count():
+        hits = edges.join(new.withColumnRenamed("row", "col"), "col", "left_semi").select("row").distinct().join(reached, "row", "left_anti")
+        hits = hits.select(F.col("row").alias("hit"), piece("row").alias("of"))
+        near = edges.where("inside").join(hits.select(F.col("of").alias("piece")).distinct(), "piece", "left_semi")
+        grown = near.groupBy("piece").cogroup(hits.groupBy("of")).applyInArrow(grow, "row long")
+        new = written(grown.join(reached, "row", "left_anti"), "new", folder)
+        reached = reached.unionByName(new)
+    return direct.join(reached.select("row", F.lit(True).alias("far")), "row", "left").select("row", "block", F.coalesce("far", F.lit(False)).alias("is_sep"))
 
 
 def permutation(classes: DataFrame, n: int, num_blocks: int) -> DataFrame:

@@ -17,6 +17,33 @@ def wrong_entry(n: int) -> Column:
     return ~F.coalesce(inside & finite, F.lit(False))
 
 
+#: Binary digits of exponents that share a bin, and of the lower part of a number in its bin.
+BIN, LOW = 32, 44
+
+
+def exact_sums(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, value): sums of doubles that don't depend on order, partitions or partial sums.
+
+    A number is an integer times the unit of its bin of exponents; the integers are added
+    exactly, in two parts, and the at most 70 bins of a key are put together from the
+    largest down.  Partial sums are made before the shuffle; no task gathers a key's numbers.
+    """
+    x = F.col(value)
+    scaled = lambda v, k: v * F.pow(F.lit(2.0), F.floor(k / 2)) * F.pow(F.lit(2.0), k - F.floor(k / 2))
+    finite = ~(F.isnan(x) | (F.abs(x) == float("inf")))
+    cut = rows.select(key, x.alias("x"), F.when(finite & (x != 0), F.floor(F.log2(F.abs(x)) / BIN)).alias("bin"))
+    whole = cut.withColumn("i", scaled(F.col("x"), F.lit(54) - F.col("bin") * BIN))
+    parts = whole.withColumn("hi", F.floor(F.col("i") / float(1 << LOW)).cast("long")).withColumn("lo", (F.col("i") - F.col("hi").cast("double") * float(1 << LOW)).cast("long"))
+    total = lambda c: F.sum(F.col(c).cast("decimal(20,0)"))
+    bins = parts.groupBy(key, "bin").agg(total("hi").alias("hi"), total("lo").alias("lo"), F.sum(F.when(F.col("bin").isNull(), F.col("x"))).alias("odd"))
+    # both parts as one integer, split anew so that each half is exact as a double
+    carry = F.floor(F.col("lo") / F.lit(1 << LOW).cast("decimal(20,0)"))
+    high, low = (F.col("hi") + carry).cast("double"), (F.col("lo") - carry * F.lit(1 << LOW).cast("decimal(20,0)")).cast("double")
+    made = scaled(high * float(1 << LOW) + low, F.col("bin") * BIN - 54)
+    each = bins.select(key, F.struct(F.coalesce(-F.col("bin"), F.lit(-9999)).alias("at"), F.coalesce(made, "odd", F.lit(0.0)).alias("v")).alias("b"))
+    return each.groupBy(key).agg(F.array_sort(F.collect_list("b")).alias("b")).select(key, F.aggregate("b.v", F.lit(0.0), lambda s, v: s + v).alias(value))
+
+
 @dataclass(frozen=True)
 class SparseMatrix:
     """A square matrix: entries (row long, col long, val double), no place twice."""
@@ -56,16 +83,12 @@ class SparseMatrix:
     def times(self, vector: DataFrame, ordered: bool = False) -> DataFrame:
         """A x for a vector (id, x): rows without entries have 0.
 
-        ordered=True adds each row's products in column order, so that the last bit
-        doesn't depend on how rows were dealt.
+        ordered=True adds exactly and rounds once a bin (`exact_sums`), so that no bit
+        depends on how rows were dealt.
         """
-        products = self.entries.join(vector, F.col("col") == F.col("id")).select("row", "col", (F.col("val") * F.col("x")).alias("p"))
-        if ordered:
-            items = F.array_sort(F.collect_list(F.struct("col", "p")))
-            total = F.aggregate(items, F.lit(0.0), lambda s, i: s + i["p"])
-        else:
-            total = F.sum("p")
-        sums = products.groupBy("row").agg(total.alias("x")).select(F.col("row").alias("id"), "x")
+        products = self.entries.join(vector, F.col("col") == F.col("id")).select("row", (F.col("val") * F.col("x")).alias("p"))
+        sums = exact_sums(products, "row", "p") if ordered else products.groupBy("row").agg(F.sum("p").alias("p"))
+        sums = sums.select(F.col("row").alias("id"), F.col("p").alias("x"))
         every = self.entries.sparkSession.range(self.n)
         return every.join(sums, "id", "left").select("id", F.coalesce("x", F.lit(0.0)).alias("x"))
 

@@ -390,14 +390,29 @@ def random_dominant(spark, sf_dir):
     return generators.random_dominant(spark, n, 8.0 / n, seed=7).entries.select(F.col("row").alias("r"), F.col("col").alias("c"), F.col("val").alias("v"))
 
 
+@query("random_cells", "SELECT 8 * count(*) AS cells, 8 * count(*) AS different, true AS inside FROM part")
+def random_cells(spark, sf_dir):
+    """Cells drawn without repeats: exactly 8 for each part."""
+    n = table(spark, sf_dir, "part").count()
+    cells = generators.random_cells(spark, n, 8 * n, seed=7).groupBy("row", "col").agg(F.count("*").alias("k"))
+    inside = F.min((F.col("row").between(0, n - 1) & F.col("col").between(0, n - 1)).cast("int")) == 1
+    return cells.agg(F.sum("k").alias("cells"), F.count("*").alias("different"), inside.alias("inside"))
+
+
+@query("row_class_closure_p1", "SELECT p_partkey AS r, CAST(0 AS INTEGER) AS block, false AS is_sep FROM part")
+def row_class_closure_p1(spark, sf_dir):
+    """One block has no row before it, so nothing depends on a separator."""
+    return blocks.classify(_adj(spark, sf_dir), 1, "closure").withColumnRenamed("row", "r")
+
+
 @query("random_dominant_rows", "SELECT p_partkey AS r, true AS inside, true AS few, true AS dominated, true AS again FROM part")
 def random_dominant_rows(spark, sf_dir):
-    """Of each row: values within bounds, at most 9 entries, a diagonal above the others' sum, and the same matrix again."""
+    """Of each row: values within bounds, few entries, a diagonal above the others' sum, and the same matrix again."""
     n = table(spark, sf_dir, "part").count()
     one, two = (generators.random_dominant(spark, n, 8.0 / n, seed=7).entries for _ in range(2))
     off = F.col("row") != F.col("col")
     rows = one.groupBy("row").agg(
-        (F.max(F.when(off, F.abs("val")).otherwise(0.0)) < 100).alias("inside"), (F.count("*") <= 9).alias("few"),
+        (F.max(F.when(off, F.abs("val")).otherwise(0.0)) < 100).alias("inside"), (F.count("*") <= 64).alias("few"),
         (F.sum(F.when(~off, F.col("val"))) > F.sum(F.when(off, F.abs("val")).otherwise(0.0))).alias("dominated"),
         F.bit_xor(F.xxhash64("col", "val")).alias("hash"),
     )

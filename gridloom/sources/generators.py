@@ -67,23 +67,47 @@ def banded(spark: SparkSession, n: int, m: int, near: Iterable[int] = (1, 2), of
     return SparseMatrix(each.where(F.col("col").between(0, n - 1)).select("row", "col", value.alias("val")), n)
 
 
+#: Rounds of the permutation that random cells are drawn by.
+MIXING_ROUNDS = 6
+
+
+def random_cells(spark: SparkSession, n: int, count: int, seed: int = 0) -> DataFrame:
+    """`count` different cells (row, col) of an n x n matrix.
+
+    Cell numbers 0 .. n^2 - 1 are permuted by a keyed Feistel network over pairs of
+    numbers below n, and the first `count` are taken: exactly as many as asked for,
+    without repeats, and the same on any cluster.
+    """
+    if not 0 <= count <= n * n:
+        raise ValueError(f"an {n} x {n} matrix has no {count} cells")
+    pairs = spark.range(count).select(F.expr(f"id div {n}L").alias("row"), F.expr(f"id % {n}L").alias("col"))
+    for k in range(MIXING_ROUNDS):
+        pairs = pairs.select(F.col("col").alias("row"), F.pmod(F.col("row") + F.pmod(F.xxhash64(F.lit(seed), F.lit(k), "col"), F.lit(n)), F.lit(n)).alias("col"))
+    return pairs
+
+
 def random_dominant(spark: SparkSession, n: int, density: float, seed: int = 0, largest: float = 100.0) -> SparseMatrix:
-    """Random entries in (-largest, largest), their row's absolute sum and 1 added on the diagonal.
+    """round(density n^2) random entries in (-largest, largest), their row's absolute sum and 1 added on the diagonal.
 
-    Each row draws density * n columns by hash (repeats fall together), so the work is
-    that of the entries, and the same arguments give the same matrix on any cluster.
+    The work is that of the entries, and the same arguments give the same matrix on any cluster.
     """
-    per_row = density * n
     chance = lambda *k: F.pmod(F.xxhash64(F.lit(seed), *k), F.lit(1 << 40)) / float(1 << 40)
-    draws = F.lit(int(per_row)) + F.when(chance(F.lit("n"), F.col("id")) < per_row % 1, 1).otherwise(0)
-    slots = spark.range(n).select(F.col("id").alias("row"), draws.alias("k")).where("k > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("k"))).alias("slot"))
-    places = slots.select("row", F.pmod(F.xxhash64(F.lit(seed), F.lit("col"), "row", "slot"), F.lit(n)).alias("col")).distinct()
-    drawn = places.withColumn("val", (chance(F.lit("val"), F.col("row"), F.col("col")) * 2 - 1) * largest)
+    drawn = random_cells(spark, n, round(density * n * n), seed).withColumn("val", (chance(F.lit("val"), F.col("row"), F.col("col")) * 2 - 1) * largest)
     sums = drawn.groupBy("row").agg(F.sum(F.abs("val")).alias("s"))
     boost = spark.range(n).join(sums, F.col("id") == F.col("row"), "left").select(F.col("id").alias("row"), F.col("id").alias("col"), (F.coalesce("s", F.lit(0.0)) + 1).alias("val"))
     return SparseMatrix.of(drawn.unionByName(boost), n, check=False)
 
 
+def write_banded(spark: SparkSession, path: str, n: int, m: int, near: Iterable[int] = (1, 2), off_diagonal: float = -1.0, margin: float = 0.1) -> None:
+    """A band matrix as a MatrixMarket folder, whose commit fails unless it has `banded_nnz` entries."""
+    from .mtx_source import register
+
+    register(spark)
+    near = list(near)
+    matrix = banded(spark, n, m, near, off_diagonal, margin)
+    matrix.entries.write.format("mtx").option("n", n).option("entries", banded_nnz(n, offsets(near, m))).mode("append").save(path)
+
+
 def dominant(edges: DataFrame, nodes: DataFrame, n: int) -> SparseMatrix:
     """Off-diagonal entries (row, col, val) with a diagonal of the row's absolute sum and 1."""
     sums = edges.groupBy("row").agg(F.sum(F.abs("val")).alias("s"))

@@ -1,7 +1,8 @@
 import numpy as np
 import pytest
 
-from gridloom.operators.matrix import SparseMatrix
+from gridloom.operators import blocks
+from gridloom.operators.matrix import SparseMatrix, exact_sums
 from gridloom.sources import generators as g
 from gridloom.sources.mtx import read_mtx, write_mtx
 
@@ -135,3 +136,52 @@ def test_shared_folder_is_asked_for_on_a_cluster():
     context = SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077")
     with pytest.raises(RuntimeError):
         shared_dir(SimpleNamespace(conf=conf, sparkContext=context))
+
+
+@pytest.mark.parametrize("n,count", [(1, 1), (7, 49), (10, 37), (300, 2400)])
+def test_random_cells_are_as_many_as_asked_and_different(spark, n, count):
+    found = [tuple(r) for r in g.random_cells(spark, n, count, 5).collect()]
+    assert len(found) == len(set(found)) == count and all(0 <= x < n for c in found for x in c)
+    assert set(found) == {tuple(r) for r in g.random_cells(spark, n, count, 5).repartition(7).collect()}
+    if count == 2400:  # spread over rows and columns alike, and otherwise for another seed
+        rows = np.bincount([r for r, _ in found], minlength=n)
+        assert 3 < rows.var() < 14 and len({r // 30 * 10 + c // 30 for r, c in found}) == 100
+        assert len(set(found) & {tuple(r) for r in g.random_cells(spark, n, count, 6).collect()}) < 200
+    with pytest.raises(ValueError):
+        g.random_cells(spark, n, n * n + 1)
+
+
+def test_exact_sums_are_the_same_for_any_dealing(spark):
+    from math import fsum
+
+    random = np.random.default_rng(9)
+    rows = [(int(k), float(x)) for k, x in zip(random.integers(0, 5, 4000), random.normal(size=4000) * 10.0 ** random.integers(-30, 30, 4000), strict=True)]
+    rows += [(7, 1e300), (7, 1.0), (7, -1e300), (8, 0.0), (9, 5e-324), (9, 5e-324), (10, float("inf")), (10, 1.0), (11, 0.1), (11, 0.2), (11, -0.3), (12, 1.7e308), (12, -1.7e308), (12, 3.0)]
+    frame = spark.createDataFrame(rows, "k long, x double")
+    got = [{r["k"]: r["x"] for r in exact_sums(frame.repartition(p), "k", "x").collect()} for p in (1, 8, 200)]
+    assert got[0] == got[1] == got[2]
+    for k in (*range(5), 7, 8, 9, 11, 12):
+        assert got[0][k] == pytest.approx(fsum(x for i, x in rows if i == k), rel=1e-15, abs=0)
+    assert got[0][10] == float("inf")
+
+
+def test_ordered_products_are_bit_equal(spark):
+    m = g.random_dominant(spark, 60, 0.4, 3)
+    x = g.test_vector(spark, 60, "uniform")
+    one, two = ({r["id"]: r["x"] for r in SparseMatrix(m.entries.repartition(p), 60).times(x, ordered=True).collect()} for p in (1, 50))
+    assert one == two and len(one) == 60
+
+
+def test_closure_goes_from_piece_to_piece(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "CLOSURE_ROWS", 3)
+    # one block begins at row 12; row 12 refers before it, and each later row to the one two before
+    e = [(i, i, 4.0) for i in range(24)] + [(12, 3, 1.0)] + [(i, i - 2, 1.0) for i in range(14, 24)] + [(5, 4, 1.0)]
+    m = SparseMatrix.of(entries(spark, e), 24)
+    found = {r["row"] for r in blocks.classify(m, 2, "closure").where("is_sep").collect()}
+    assert found == set(range(12, 24, 2))
+    assert blocks.classify(m, 1, "closure").where("is_sep").count() == 0
+
+
+def test_banded_files_are_counted(spark, tmp_path):
+    g.write_banded(spark, str(tmp_path / "band.mtx"), 40, 7)
+    assert spark.read.format("mtx").load(str(tmp_path / "band.mtx")).count() == g.banded_nnz(40, g.offsets((1, 2), 7))

@@ -3,7 +3,7 @@ import pytest
 from gridloom import cli
 from gridloom.plans import logs, runs
 from gridloom.sources import generators as g
-from gridloom.sources.mtx import write_mtx
+from gridloom.sources.mtx import read_mtx, write_mtx
 
 
 def test_perf_feeds_reports(spark):
@@ -46,3 +46,16 @@ def test_results_table_and_sweeps_that_go_on(spark, tmp_path):
     found = logs.repetitions(both).collect()
     assert len(found) == 9 and all(r["n_samples"] == 1 and r["mean_time_s"] == r["slowest_time_s"] for r in found)
     assert runs.offset_sweep(spark, 20, (4,), (1,), results=both).count() == 0
+
+
+def test_generator_and_summary_commands(spark, tmp_path, capsys):
+    out = lambda x: str(tmp_path / x)
+    assert cli.main(["laplacian", out("grid"), "--shape", "4", "5", "--shift", "0.1", "--order", "1", "0"]) == 0
+    assert cli.main(["banded", out("band"), "--n", "30", "--m", "7"]) == 0
+    assert cli.main(["random", out("drawn"), "--n", "20", "--density", "0.1"]) == 0
+    sizes = [read_mtx(spark, out(x)).entries.count() for x in ("grid", "band", "drawn")]
+    assert sizes[:2] == [20 + 2 * (15 + 16), g.banded_nnz(30, g.offsets((1, 2), 7))] and 20 <= sizes[2] <= 60
+    (tmp_path / "a.out").write_text(">> RUNNING_MATRIX=x.mtx\nPERF,phase=solve,N=9,P=2,time=0.5\nWorkers (MPI Ranks): 2\nRUNTIME_RECONSTRUCT_10_0.1=2\nRUNTIME_VECTOR_10_0.1=1\n")
+    assert cli.main(["strict", out("a.out")]) == 0 and cli.main(["runtimes", out("a.out"), "--csv", out("csv")]) == 0
+    said = capsys.readouterr().out
+    assert "0.500000" in said and "3.0" in said
