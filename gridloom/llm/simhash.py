@@ -23,7 +23,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import columns, fresh, use_package, written
@@ -112,8 +112,8 @@ def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     return columns(docs, doc_id=id_column, text=text_column).mapInArrow(run, "doc_id long, print long")
 
 
-def links(prints: DataFrame) -> DataFrame:
-    """All pairs (a, b), a < b, of distinct fingerprints (print) at MAX_BITS or less."""
+def _keyed(prints: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(key, a) and (key, b): prints at MAX_BITS or less of each other meet in a key as a and b."""
     use_package(prints.sparkSession)
 
     def side(left: bool) -> DataFrame:
@@ -128,8 +128,33 @@ def links(prints: DataFrame) -> DataFrame:
         name = "a" if left else "b"
         return prints.select("print").mapInArrow(run, f"key int, {name} long")
 
-    near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_BITS
-    return side(True).join(side(False), "key").where((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
+    return side(True), side(False)
+
+
+def _near(x: str, y: str) -> Column:
+    return F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= MAX_BITS
+
+
+def links(prints: DataFrame) -> DataFrame:
+    """All pairs (a, b), a < b, of distinct fingerprints (print) at MAX_BITS or less."""
+    left, right = _keyed(prints)
+    return left.join(right, "key").where((F.col("a") < F.col("b")) & _near("a", "b")).select("a", "b").distinct()
+
+
+def connecting_links(prints: DataFrame) -> DataFrame:
+    """Pairs (a, b) of distinct fingerprints (print) at MAX_BITS or less that connect all that `links` connects.
+
+    The fingerprints that meet in a key are first linked to the least of them, where they
+    are near it.  Pairs of which both are near it are connected by that and aren't
+    made; all others are.  So links of a dense cluster grow as its members.
+    """
+    left, right = _keyed(prints)
+    least = left.groupBy("key").agg(F.min("a").alias("top"))
+    left = left.join(least, "key").select("key", "a", F.when(_near("a", "top"), F.col("top")).alias("a_top"))
+    right = right.join(least, "key").select("key", "b", F.when(_near("b", "top"), F.col("top")).alias("b_top"))
+    stars = left.where("a <> a_top").select("a", F.col("a_top").alias("b")).union(right.where("b <> b_top").select("b", F.col("b_top").alias("a")))
+    open_ = left.where("a_top is null").join(right, "key").union(left.where("a_top is not null").join(right.where("b_top is null"), "key"))
+    return stars.union(open_.where((F.col("a") != F.col("b")) & _near("a", "b")).select("a", "b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -141,7 +166,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     """
     each = written(fingerprints(docs, id_column, text_column), "fingerprints")
     classes = written(each.groupBy("print").agg(F.min("doc_id").alias("least")), "classes")
-    roots = written(components(links(classes)), "roots")
+    roots = written(components(connecting_links(classes)), "roots")
     linked = classes.join(roots, classes["print"] == roots["node"]).select("print", "least", "root")
     names = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     named = linked.join(names, "root").select("print", "component_id")

@@ -209,3 +209,23 @@ def test_tree_search_is_exact_and_looks_at_less(high):
     every = ((queries[:, None] - points[None]) ** 2).sum(2)
     assert (entry == every.argmin(1)).all() and (squared == every.min(1)).all()
     assert looked < (0.75 if high > 2 else 1) * every.size
+
+
+# ---- links of a dense cluster of fingerprints ---------------------------------------------
+
+
+def test_links_of_a_dense_cluster_are_few(spark):
+    """All fingerprints within two bits of one are within four of each other: 2,081 of them have 2,164,240 pairs."""
+    from itertools import combinations
+
+    from gridloom.llm import components, simhash
+
+    base = 0x0123456789ABCDEF
+    cluster = [base] + [base ^ (1 << i) for i in range(64)] + [base ^ (1 << i) ^ (1 << j) for i, j in combinations(range(64), 2)]
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    chain = [(0x5555 << 40) ^ ((1 << 3 * k) - 1) for k in range(6)]  # each three bits from the one before
+    prints = spark.createDataFrame([(signed(x),) for x in cluster + chain], "print long")
+    found = simhash.connecting_links(prints).collect()
+    assert len(found) < 30 * len(cluster) and all(((a ^ b) & (1 << 64) - 1).bit_count() <= 4 for a, b in found)
+    roots = {r.node: r.root for r in components.components(spark.createDataFrame(found, "a long, b long")).collect()}
+    assert len({roots[signed(x)] for x in cluster}) == 1 and len({roots[signed(x)] for x in chain}) == 1 and len(set(roots.values())) == 2
