@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .functions.selection import medians
 from .operators import blocks, verify
 from .operators.factor import factorize
 from .operators.matrix import SparseMatrix
@@ -488,6 +489,14 @@ def phase_median(spark, sf_dir):
     return rows.select("matrix", "phase", "workers", "median_time_s", "n_repeats")
 
 
+@query("file_medians", f"WITH {_SAMPLES} SELECT file, matrix, phase, workers, t AS median_time_s, k AS n_repeats FROM files")
+def file_medians(spark, sf_dir):
+    """Exact medians by order over the cluster: a configuration may have any number of samples."""
+    keys = ["file", "matrix", "phase", "workers"]
+    found = medians(logs.samples(event_lines(spark, sf_dir)), keys, "time_s", "median_time_s")
+    return found.withColumnRenamed("n", "n_repeats")
+
+
 _SPEEDUP = f"""{_SAMPLES}, base AS (
   SELECT matrix, CASE WHEN bool_or(workers = 1) THEN 1 ELSE min(workers) END AS base_workers FROM summary GROUP BY matrix
 ), gains AS (

@@ -120,3 +120,21 @@ def test_runtimes_over_segments(splits, tmp_path, monkeypatch):
     text += ["RUNTIME_VECTOR_20_0.1=1", "RUNTIME_VECTOR_10_0.1=1"]
     (tmp_path / "r.out").write_text("\n".join(text))
     assert [tuple(r) for r in logs.runtimes(logs.lines(splits, str(tmp_path))).collect()] == [(3, 10, 0.1, 3.0)]
+
+
+def test_medians_of_a_hot_group(splits):
+    """Nine tenths of the rows are one group, with many equal values, over many tasks."""
+    import numpy as np
+
+    from gridloom.functions.selection import medians
+
+    random = np.random.default_rng(1)
+    rows = [("hot" if i % 10 else f"g{i % 70}", float(x)) for i, x in enumerate(np.round(random.normal(size=30_000), 2))] + [("one", 4.0), ("two", 1.0), ("two", 2.0), ("none", None), (None, 3.0)]
+    frame = splits.createDataFrame(rows, "k string, x double").repartition(9)
+    got = {r["k"]: (r["m"], r["n"]) for r in medians(frame, ["k"], "x", "m").collect()}
+    by = {}
+    for k, x in rows:
+        if x is not None:
+            by.setdefault(k, []).append(x)
+    assert got == {k: (pytest.approx(float(np.median(v)), abs=1e-12), len(v)) for k, v in by.items()}
+    assert medians(frame.limit(0), ["k"], "x").count() == 0
