@@ -21,6 +21,7 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +30,7 @@ from ..sources.shared import written
 from . import kernels
 
 #: Rows of a unit: at most, and at least where that makes more than UNITS of them.
-MOST_ROWS, LEAST_ROWS, UNITS = 65_536, 1024, 8
+MOST_ROWS, LEAST_ROWS, UNITS = 65_536, 1024, 4
 #: Values of a map between two units, and of a unit's rows by the values it needs, that a task may hold.
 MAP_VALUES, SPREAD_VALUES = 4_000_000, 20_000_000
 #: Interface values in all up to which one task makes the sum of all powers (at most half the square of this).
@@ -76,19 +77,20 @@ class Triangle:
         return self._by_rounds(right) if self.rounds else self._by_maps(right)
 
     def _pass(self, right: DataFrame, known: DataFrame | None, entries: DataFrame) -> DataFrame:
-        """SOLVED rows, one for each unit of `right`, given the values (unit, ids, x) it needs (None: all are 0)."""
+        """SOLVED rows, one for each unit of `right`, given the values it needs: (unit, ids, x) or (unit, id, x); None: all are 0."""
         upper, missing, zero = self.upper, self.missing_diag, known is None
 
         def run(entries: pa.Table, values: pa.Table) -> pa.Table:
             began = time.perf_counter()
             unit = values.column("v_unit")[0].as_py()
-            own = values.filter(values.column("v_id").is_valid())
+            own, told = values.filter(pc.field("own")), values.filter(pc.field("v_id").is_valid() & ~pc.field("own"))
             order = np.argsort(ids := own.column("v_id").to_numpy())
             rows, x = ids[order].tolist(), own.column("v_x").to_numpy()[order].tolist()
             have = dict(zip(rows, x, strict=True))
-            for others, y in zip(values.column("ids"), values.column("y"), strict=True):
-                if others.is_valid:
-                    have.update(zip(others.as_py(), y.as_py(), strict=True))
+            have.update(zip(told.column("v_id").to_pylist(), told.column("v_x").to_pylist(), strict=True))
+            whole = values.filter(pc.field("ids").is_valid())
+            for others, y in zip(whole.column("ids").to_pylist(), whole.column("y").to_pylist(), strict=True):
+                have.update(zip(others, y, strict=True))
             row, col, val = _pairs_of(entries)
             if zero:  # what the unit needs of others counts as 0
                 inside = np.isin(col, ids)
@@ -98,9 +100,11 @@ class Triangle:
             return pa.table({"unit": pa.array([unit], pa.int64()), "ids": [rows], "x": [[found[i] for i in rows]], "seconds": [time.perf_counter() - began]})
 
         none = lambda kind: F.lit(None).cast(kind)
-        mine = right.select(F.col("unit").alias("v_unit"), F.col("id").alias("v_id"), F.col("x").alias("v_x"), none("array<long>").alias("ids"), none("array<double>").alias("y"))
+        single = lambda df, own: df.select(F.col("unit").alias("v_unit"), F.lit(own).alias("own"), F.col("id").alias("v_id"), F.col("x").alias("v_x"), none("array<long>").alias("ids"), none("array<double>").alias("y"))
+        mine = single(right, True)
         if known is not None:
-            mine = mine.unionByName(known.select(F.col("unit").alias("v_unit"), none("long").alias("v_id"), none("double").alias("v_x"), "ids", F.col("x").alias("y")))
+            lists = known.select(F.col("unit").alias("v_unit"), F.lit(False).alias("own"), none("long").alias("v_id"), none("double").alias("v_x"), "ids", F.col("x").alias("y")) if "ids" in known.columns else single(known, False)
+            mine = mine.unionByName(lists)
         return entries.groupBy("unit").cogroup(mine.groupBy("v_unit")).applyInArrow(run, SOLVED)
 
     def _by_maps(self, right: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
@@ -126,8 +130,7 @@ class Triangle:
             known = None
             if before:
                 done = _values(spark.read.schema(SOLVED).parquet(*[paths[r] for r in before]))
-                met = self.need.join(units, "unit", "left_semi").select("unit", F.col("col").alias("id")).join(done, "id")
-                known = met.select("unit", F.array("id").alias("ids"), F.array("x").alias("x"))
+                known = self.need.join(units, "unit", "left_semi").select("unit", F.col("col").alias("id")).join(done, "id")
             got = self._pass(right.join(units, "unit", "left_semi"), known, self.entries.join(units, "unit", "left_semi"))
             paths.append(f"{self.folder}/solved-{call}/{len(paths)}")
             got.write.parquet(paths[-1])

@@ -238,9 +238,9 @@ def tridiag_pivots(spark, sf_dir):
 
 @query("ilu_round_trip", "SELECT p_partkey AS id, p_partkey % 100 AS x FROM part")
 def ilu_round_trip(spark, sf_dir):
-    """Eight blocks, by entries: the factors don't depend on the size of the data or the cluster."""
+    """Four blocks, by entries: the factors don't depend on the size of the data or the cluster."""
     a = _adj(spark, sf_dir)
-    found = verify.round_trip(factorize(a, 8, method="entries"), _hundreds(spark, a.n))
+    found = verify.round_trip(factorize(a, _P, method="entries"), _hundreds(spark, a.n))
     return found.select("id", F.round("back").cast("long").alias("x"))
 
 
