@@ -154,7 +154,8 @@ def connecting_links(prints: DataFrame) -> DataFrame:
     right = right.join(least, "key").select("key", "b", F.when(_near("b", "top"), F.col("top")).alias("b_top"))
     stars = left.where("a <> a_top").select("a", F.col("a_top").alias("b")).union(right.where("b <> b_top").select("b", F.col("b_top").alias("a")))
     open_ = left.where("a_top is null").join(right, "key").union(left.where("a_top is not null").join(right.where("b_top is null"), "key"))
-    return stars.union(open_.where((F.col("a") != F.col("b")) & _near("a", "b")).select("a", "b")).distinct()
+    # near prints meet with either of them on the left: one order is enough
+    return stars.union(open_.where((F.col("a") < F.col("b")) & _near("a", "b")).select("a", "b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
