@@ -1,11 +1,12 @@
 """Quality rules and an isolation forest on their statistics.
 
 Every document gets rule statistics; fixed rules reject some documents outright.  The
-forest sees by how far each statistic lies outside the range that labelled good
-documents have (all but RANGE_TAIL of them at either end), so that it isn't common
-variation that is isolated.  It is grown on a bounded sample of labelled documents:
-those with few random splits between them and the root lie apart and are anomalous.
-The score at which a document goes is calibrated on all labelled rows.
+forest sees the statistics' ratios themselves, on a logarithmic scale.  Its random
+splits go through all of the space that labelled documents take up, and a path ends
+where at most one good document is left: documents in parts of the space where good
+ones are rare or absent have short paths and are anomalous.  It is grown on a bounded
+sample of labelled documents; the score at which a document goes is calibrated on all
+labelled rows.
 """
 
 from __future__ import annotations
@@ -28,8 +29,6 @@ _WHITE = " \t\n\v\f\r"
 
 #: The forest: trees, rows a tree, and the labelled documents (those with the least hashes) it is grown on.
 TREES, TREE_ROWS, SAMPLE_ROWS = 100, 256, 25_600
-#: Share of the labelled good documents beyond each end of a feature's range.
-RANGE_TAIL = 0.001
 #: No threshold takes more than this share of the labelled good documents.
 MAX_GOOD_LOSS = 0.005
 #: Scores are compared in steps of 1 / SCORE_STEPS.
@@ -109,25 +108,9 @@ def features(stats: DataFrame) -> DataFrame:
     return stats.withColumns({n: step(x) for n, x in zip(FEATURES, made, strict=True)})
 
 
-def ranges(good: DataFrame, tail: float = RANGE_TAIL) -> np.ndarray:
-    """Least and most usual value of each feature (two rows) among documents with FEATURES.
-
-    Counts cover all of them; a row for each feature and value comes to the driver, at
-    most len(FEATURES) * (MOST_STEPS + 1).  Without documents everything is usual.
-    """
-    each = good.select(F.posexplode(F.array(*FEATURES)).alias("feature", "value")).groupBy("feature", "value").agg(F.count("*").alias("n"))
-    counts = np.zeros((len(FEATURES), MOST_STEPS + 1), np.int64)
-    for r in each.collect():
-        counts[r.feature, r.value] = r.n
-    upto, total = counts.cumsum(axis=1), counts.sum(axis=1, keepdims=True)
-    if not total.any():
-        return np.array([[0] * len(FEATURES), [MOST_STEPS] * len(FEATURES)])
-    return np.stack([(upto <= tail * total).sum(axis=1), (upto < (1 - tail) * total).sum(axis=1)])
-
-
-def outside(values: np.ndarray, usual: np.ndarray) -> np.ndarray:
-    """How far values lie outside their range, in steps."""
-    return np.maximum(np.maximum(usual[0] - values, values - usual[1]), 0)
+def view(values: np.ndarray) -> np.ndarray:
+    """FEATURES as the forest sees them: logarithms, so that small ratios are as far apart as large ones."""
+    return np.log1p(values.astype(float))
 
 
 @dataclass(frozen=True)
@@ -162,39 +145,49 @@ def _usual_path(n: int) -> float:
     return 0.0 if n < 2 else 2 * (np.log(n - 1) + np.euler_gamma) - 2 * (n - 1) / n if n > 2 else 1.0
 
 
-def grow(rows: np.ndarray, trees: int = TREES, tree_rows: int = TREE_ROWS, seed: int = 7) -> Forest:
-    """An isolation forest on sample rows (one column a feature)."""
+def grow(rows: np.ndarray, good: np.ndarray, trees: int = TREES, tree_rows: int = TREE_ROWS, seed: int = 7) -> Forest:
+    """An isolation forest on sample rows (one column a feature), of which those marked `good` are the crowd.
+
+    A tree draws `tree_rows` of all rows, whose least and greatest values bound its splits,
+    and as many of the crowd, which its paths isolate: a part of the space without crowd
+    ends a path at once.
+    """
     random = np.random.default_rng(seed)
-    size = min(tree_rows, len(rows))
+    crowd = rows[good > 0]
+    size = min(tree_rows, len(crowd))
     deepest = max(1, int(np.ceil(np.log2(max(2, size)))))
     shape = (trees, 2 ** (deepest + 1))
     feature, value = np.full(shape, -1), np.zeros(shape)
     left, path = np.zeros(shape, np.int64), np.zeros(shape)
-    for tree in range(trees):
-        waiting, used = [(0, rows[random.choice(len(rows), size, replace=False)] if size else rows, 0)], 1
+    for tree in range(trees if size else 0):
+        seen = rows[random.choice(len(rows), min(tree_rows, len(rows)), replace=False)]
+        own = crowd[random.choice(len(crowd), size, replace=False)]
+        both = np.concatenate([seen, own])
+        waiting, used = [(0, own, both.min(axis=0), both.max(axis=0), 0)], 1
         while waiting:
-            node, own, depth = waiting.pop()
-            spread = np.flatnonzero(own.max(axis=0) > own.min(axis=0)) if len(own) > 1 else []
-            if depth == deepest or not len(spread):
+            node, own, least, most, depth = waiting.pop()
+            spread = np.flatnonzero(most > least)
+            if depth == deepest or len(own) < 2 or not len(spread):
                 path[tree, node] = depth + _usual_path(len(own))
                 continue
             f = random.choice(spread)
-            cut = random.uniform(own[:, f].min(), own[:, f].max())
+            cut = random.uniform(least[f], most[f])
             feature[tree, node], value[tree, node], left[tree, node] = f, cut, used
-            right = own[:, f] >= cut
-            waiting += [(used, own[~right], depth + 1), (used + 1, own[right], depth + 1)]
+            right, below, above = own[:, f] >= cut, most.copy(), least.copy()
+            below[f] = above[f] = cut
+            waiting += [(used, own[~right], least, below, depth + 1), (used + 1, own[right], above, most, depth + 1)]
             used += 2
     return Forest(feature, value, left, path, max(_usual_path(size), 1e-9))
 
 
-def scored(stats: DataFrame, forest: Forest, usual: np.ndarray) -> DataFrame:
+def scored(stats: DataFrame, forest: Forest) -> DataFrame:
     """STATISTICS and score_step, the forest's score in steps (an int)."""
     names = [x.split()[0] for x in STATISTICS.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = np.stack([batch.column(f).to_numpy(zero_copy_only=False) for f in FEATURES], axis=1)
-            steps = np.rint(forest.scores(outside(rows, usual)) * SCORE_STEPS).astype(np.int32)
+            steps = np.rint(forest.scores(view(rows)) * SCORE_STEPS).astype(np.int32)
             yield pa.record_batch([*(batch.column(n) for n in names), pa.array(steps)], [*names, "score_step"])
 
     return features(stats).mapInArrow(run, STATISTICS + ", score_step int")
@@ -224,8 +217,8 @@ def label_counts(rows: DataFrame) -> np.ndarray:
     return counts
 
 
-def sample(rows: DataFrame, usual: np.ndarray, size: int = SAMPLE_ROWS) -> np.ndarray:
-    """The forest's view of `size` documents with FEATURES, or of all if there are fewer.
+def sample(rows: DataFrame, size: int = SAMPLE_ROWS) -> tuple[np.ndarray, np.ndarray]:
+    """The forest's view of `size` documents with FEATURES, or of all if there are fewer, and which are good.
 
     Those with the least hashes: a bound on the hash first leaves about `size` rows and
     a tenth, whatever the corpus, and only these are sorted and sent to the driver.
@@ -233,8 +226,9 @@ def sample(rows: DataFrame, usual: np.ndarray, size: int = SAMPLE_ROWS) -> np.nd
     total, spread = rows.count(), 1 << 50
     draw = F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(spread))
     bound = spread if total <= size else int(spread * min(1.0, 1.1 * (size + 100) / total))
-    few = rows.where(draw < bound).orderBy(draw, *FEATURES).limit(size)
-    return outside(np.array([[r[f] for f in FEATURES] for r in few.select(*FEATURES).collect()]).reshape(-1, len(FEATURES)), usual)
+    few = rows.where(draw < bound).orderBy(draw, *FEATURES, "good").limit(size).select(*FEATURES, "good").collect()
+    values = np.array([tuple(r) for r in few], np.int64).reshape(-1, len(FEATURES) + 1)
+    return view(values[:, :-1]), values[:, -1]
 
 
 def judge(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -242,17 +236,16 @@ def judge(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
 
     Null and empty texts have no words and fail; equal rows come out each, with the
     same verdict; a null doc_id has no label.  A document with several labels is bad if
-    one says so.  Documents that fail the fixed rules count neither for the ranges nor for
-    the forest or threshold.  An empty table gives an empty result.
+    one says so.  Documents that fail the fixed rules count neither for the forest nor
+    for the threshold.  An empty table gives an empty result.
     """
     stats = written(rule_statistics(docs, id_column, text_column), "statistics")
     marks = columns(labels, doc_id="doc_id", quality="quality").groupBy("doc_id").agg((F.min("quality") > 0).cast("int").alias("good"))
     labelled = written(features(stats.where(~base_failed())).join(marks, "doc_id").where("good is not null"), "labelled")
-    usual = ranges(labelled.where("good = 1"))
-    forest = grow(sample(labelled, usual))
-    found = scored(stats, forest, usual)
+    forest = grow(*sample(labelled))
+    found = scored(stats, forest)
     names = [x.split()[0] for x in STATISTICS.split(", ")]
-    known = scored(labelled.select(*names), forest, usual).join(marks, "doc_id")
+    known = scored(labelled.select(*names), forest).join(marks, "doc_id")
     limit = threshold(label_counts(known))
     verdict = ~base_failed() & (F.col("score_step") < limit)
     return found.select("*", base_failed().alias("base_failed"), (F.col("score_step") / SCORE_STEPS).alias("score"), verdict.alias("kept"))

@@ -87,7 +87,7 @@ def test_quality_verdicts(spark):
 
 
 def test_quality_verdicts_by_a_plain_forest(spark):
-    """Ranges, scores, threshold and verdicts of the small table, one document after another."""
+    """Scores, threshold and verdicts of the small table, one document after another."""
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").collect()
     labels = defaultdict(list)
     for r in spark.read.parquet(f"{SMALL}/labels.parquet").collect():
@@ -102,44 +102,64 @@ def test_quality_verdicts_by_a_plain_forest(spark):
             rows[r.doc_id] = [min(50_000, int(1000 * x + 0.5)) for x in (symbols / n, symbols / chars, stutters / n, dup / lines, again / n, chars / n, np.log2(n + 1))]
     good = [v for i, v in rows.items() if i in labels and min(labels[i])]
     bad = [v for i, v in rows.items() if i in labels and not min(labels[i])]
-    usual = []
-    for column in zip(*good):
-        column, k = sorted(column), len(good)
-        low = next(x for x in range(50_001) if sum(v <= x for v in column) > 0.001 * k)
-        usual.append((low, next(x for x in column if sum(v <= x for v in column) >= 0.999 * k)))
-    away = lambda v: [max(lo - x, x - hi, 0) for x, (lo, hi) in zip(v, usual)]
     stats = quality.features(quality.rule_statistics(spark.createDataFrame(docs)).where(~quality.base_failed()))
     frame = stats.join(spark.createDataFrame([(i, min(v)) for i, v in labels.items()], "doc_id long, good int"), "doc_id")
     assert {r.doc_id: [r[f] for f in quality.FEATURES] for r in stats.collect()} == rows
-    assert quality.ranges(frame.where("good = 1")).T.tolist() == [list(x) for x in usual]
-    grown = quality.sample(frame, np.array(usual).T)
-    assert sorted(grown.tolist()) == sorted(away(v) for v in good + bad)
-    forest = quality.grow(grown)
+    grown, marks = quality.sample(frame)
+    assert sorted([*x, g] for x, g in zip(grown.tolist(), marks)) == sorted([*np.log1p(v), g] for g, rows_ in ((1, good), (0, bad)) for v in rows_)
+    forest = quality.grow(grown, marks)
 
     def score(v):
-        total = 0.0
-        for feature, value, left, path in zip(forest.feature, forest.value, forest.left, forest.path):
+        total, v = 0.0, [float(np.log1p(x)) for x in v]
+        for feature, value, left, path in zip(*(x.tolist() for x in (forest.feature, forest.value, forest.left, forest.path))):
             node = 0
             while feature[node] >= 0:
                 node = left[node] + (v[feature[node]] >= value[node])
             total += path[node]
         return round(1000 * 2 ** -(total / len(forest.feature) / forest.usual))
 
-    best = max(range(1002), key=lambda t: (sum(score(away(v)) >= t for v in good) <= 0.005 * len(good)) * (sum(score(away(v)) >= t for v in bad) / len(bad) - sum(score(away(v)) >= t for v in good) / len(good)))
+    scores = {i: score(v) for i, v in rows.items() if i in labels}
+    fine, poor = ([scores[i] for i in scores if bool(min(labels[i])) is kind] for kind in (True, False))
+    share = lambda of, t: sum(x >= t for x in of) / len(of)
+    best = max(range(1002), key=lambda t: (share(fine, t) <= 0.005) * (share(poor, t) - share(fine, t)))
     kept = {r.doc_id: r.kept for r in quality.judge(spark.createDataFrame(docs), spark.read.parquet(f"{SMALL}/labels.parquet")).collect()}
-    steps = sorted({score(away(v)) for v in good + bad})
-    upper = next((x for x in steps if x >= best), 1001)  # thresholds between two scores of labelled documents are alike
-    for i, v in rows.items():
-        if i in labels:
-            assert kept[i] == (score(away(v)) < upper)
+    upper = next((x for x in sorted(set(scores.values())) if x >= best), 1001)  # thresholds between two scores of labelled documents are alike
+    assert len(fine) == len(good) and len(poor) == len(bad)
+    for i, x in scores.items():
+        assert kept[i] == (x < upper)
     assert not any(kept[r.doc_id] for r in docs if r.doc_id not in rows)
 
 
 def test_forest_scores_outliers_higher():
     rows = np.concatenate([np.random.default_rng(1).normal(size=(500, 2)), [[9.0, 9.0]]])
-    scores = quality.grow(rows).scores(rows)
+    scores = quality.grow(rows, np.ones(501)).scores(rows)
     assert scores.argmax() == 500 and np.median(scores) < 0.55 < scores[500]
-    assert len(quality.grow(np.zeros((0, 2))).scores(np.zeros((3, 2)))) == 3
+    none = np.zeros((0, 2))
+    assert len(quality.grow(none, np.zeros(0)).scores(np.zeros((3, 2)))) == 3
+    assert len(quality.grow(rows, np.zeros(501)).scores(rows)) == 501  # no crowd
+
+
+def test_forest_isolates_what_lies_between_usual_values():
+    """Good documents crowd at 0 to 1 and 9 to 10 of a feature; a bad one at 5 is inside their range, yet isolated."""
+    random = np.random.default_rng(3)
+    good = np.concatenate([random.uniform(0, 1, (400, 2)), random.uniform(9, 10, (400, 2))])
+    odd = np.array([[5.0, 5.0], [0.5, 9.5]])
+    rows, marks = np.concatenate([good, odd]), np.r_[np.ones(800), 0, 0]
+    scores = quality.grow(rows, marks).scores(rows)
+    assert scores[800:].min() > scores[:800].max()
+
+
+def test_forest_and_a_range_rule(spark):
+    """Verdicts come from the forest: they keep good documents that ranges of single statistics (all but 1 % at either end) would reject."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    stats = quality.features(quality.rule_statistics(docs).where(~quality.base_failed())).join(labels.select("doc_id", "quality"), "doc_id")
+    ends = stats.where("quality = 1").agg(*[F.percentile_approx(f, F.array(F.lit(0.01), F.lit(0.99)), F.lit(100_000)).alias(f) for f in quality.FEATURES]).first()
+    usual = F.lit(True)
+    for f in quality.FEATURES:
+        usual &= F.col(f).between(*ends[f])
+    kept = quality.judge(docs, labels).where("kept").select("doc_id")
+    saved = stats.where("quality = 1").where(~usual).join(kept, "doc_id", "left_semi")
+    assert saved.count() > 0
 
 
 # ---- 2, 10 ------------------------------------------------------------------------------
