@@ -58,7 +58,7 @@ def test_stages(spark):
 def test_against_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
-    for table in ("documents", "conversations", "benchmark"):
+    for table in ("documents", "embeddings", "pages", "benchmark", "labels", "conversations"):
         con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{SMALL}/{table}.parquet'")
     rows = lambda f: sorted(map(repr, f[sorted(f.columns)].astype({c: "float64" for c in f.columns if f[c].dtype.kind in "iuf"}).astype(object).where(f[sorted(f.columns)].notna(), None).values.tolist()))
     assert rows(registry.QUERIES[name](spark, SMALL).toPandas()) == rows(con.sql(registry.SQL[name]).df())
