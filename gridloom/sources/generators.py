@@ -147,7 +147,7 @@ def test_vector(spark: SparkSession, n: int, kind: str = "permutation", unit: in
     elif kind == "unit":
         x = (i == unit).cast("double")
     elif kind == "wave":
-        x = 1 + 0.5 * F.sin(0.01 * i)
+        x = 1 + 0.5 * F.sin(i / 100)  # the quotient is rounded once; 0.01 * i is rounded twice
     elif kind == "uniform":
         x = F.pmod(F.xxhash64(F.lit(seed), i), F.lit(1 << 40)) / float(1 << 39) - 1
     else:
