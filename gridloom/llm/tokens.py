@@ -29,6 +29,8 @@ _UNITS = re.compile(rf" ?[{_LETTERS}]++(?![^\W\d_])| ?[^{_WS}]+|[{_WS}]+(?![^{_W
 _ODD = re.compile(rb"[\xc2\xc4-\xff]|\xc3[\x97\xb7]")
 #: Distinct units that a worker keeps; beyond it the cache starts anew.
 CACHE_UNITS = 1_500_000
+#: Units of bytes that are noted beside the large table before they go there at once.
+LATE_UNITS = 65_536
 #: Characters encoded at a time, and new units that the tokenizer gets at a time.
 CHUNK_CHARS, NEW_UNITS = 400_000, 4096
 
@@ -86,6 +88,12 @@ def _unit_keys(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nda
     return keys[0], keys[1]
 
 
+def _merged(table: tuple[np.ndarray, ...], rows: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+    """Two tables, each in order of its first array, as one."""
+    at = np.searchsorted(table[0], rows[0])
+    return tuple(np.insert(x, at, y) for x, y in zip(table, rows, strict=True))
+
+
 class _Index(dict):
     """Unit -> its number; unknown units get the next number and are noted."""
 
@@ -124,7 +132,7 @@ class Encoder:
 
     def _reset(self) -> None:
         self.index = _Index()
-        self.key, self.check, self.number = (np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64))
+        self.early, self.late = (tuple(np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64)) for _ in range(2))
         self.flat = np.zeros(1 << 16, np.uint32)
         self.start = np.zeros(1 << 14, np.int64)
         self.n_flat = self.n_units = 0
@@ -160,6 +168,16 @@ class Encoder:
         self._learn(new)
         return self._ids(number, np.array(list(map(len, units))))
 
+    def _known(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The number of each key, -1 for unknown ones, and its other hash."""
+        number, check = np.full(len(keys), -1), np.zeros(len(keys), np.uint64)
+        for key, other, numbers in (self.early, self.late):
+            at = np.searchsorted(key, keys)
+            hit = at < len(key)
+            hit[hit] = key[at[hit]] == keys[hit]
+            number[hit], check[hit] = numbers[at[hit]], other[at[hit]]
+        return number, check
+
     def _by_bytes(self, texts: list[bytes]) -> list[np.ndarray] | None:
         """None if two units of the chunk or cache share one hash and not the other."""
         raw = b"".join(texts)
@@ -171,19 +189,19 @@ class Encoder:
         distinct, which = np.unique(key, return_inverse=True)
         one = np.zeros(len(distinct), np.int64)
         one[which] = np.arange(len(which))
-        at = np.searchsorted(self.key, distinct)
-        known = at < len(self.key)
-        known[known] = self.key[at[known]] == distinct[known]
-        if (check[one][which] != check).any() or (self.check[at[known]] != check[one[known]]).any():
+        number, seen = self._known(distinct)
+        known = number >= 0
+        if (check[one][which] != check).any() or (seen[known] != check[one[known]]).any():
             return None
         fresh = ~known
         low, high = starts[one[fresh]].tolist(), np.append(starts[1:], len(raw))[one[fresh]].tolist()
         numbers = self.n_units + np.arange(len(low))
         self._learn([raw[a:b].decode() for a, b in zip(low, high, strict=True)])
-        self.key = np.insert(self.key, at[fresh], distinct[fresh])
-        self.check = np.insert(self.check, at[fresh], check[one[fresh]])
-        self.number = np.insert(self.number, at[fresh], numbers)
-        number = self.number[np.searchsorted(self.key, distinct)][which]
+        number[fresh] = numbers
+        self.late = _merged(self.late, (distinct[fresh], check[one[fresh]], numbers))
+        if len(self.late[0]) > LATE_UNITS:
+            self.early, self.late = _merged(self.early, self.late), tuple(x[:0] for x in self.late)
+        number = number[which]
         return self._ids(number, np.diff(np.append(np.searchsorted(starts, places), len(starts))))
 
     def _chunk(self, texts: list[str]) -> list[np.ndarray]:
