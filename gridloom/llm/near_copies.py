@@ -19,7 +19,7 @@ sets of a large group that each have rare shingles of their own don't meet each
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -180,10 +180,12 @@ def _prefixes(sets: DataFrame, wanted: DataFrame) -> DataFrame:
     return each.where(F.col("place") <= F.col("size") - least + 1).select("set", "root", "size", "element", "place")
 
 
-def near_copies(docs: DataFrame) -> DataFrame:
+def near_copies(docs: DataFrame, met_sets: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> DataFrame:
     """doc_id, text_hash and root, which names the component of near copies and is never null.
 
-    Texts without words are copies of each other.
+    `met_sets` gives pairs (a, b) of sets that have met elsewhere (documents, sets by text
+    hash -> pairs): they are verified beside those of bands, and bands only look on where
+    sets aren't one component yet.  Texts without words are copies of each other.
     """
     use_package(docs.sparkSession)
     each = written(_sets(docs), "sets")
@@ -193,14 +195,21 @@ def near_copies(docs: DataFrame) -> DataFrame:
     place = F.col("set").bitwiseXOR(mask)  # its place in the band's order
     buckets = met.groupBy("band").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last")
     members = written(met.join(buckets.select("band", F.col("first").bitwiseXOR(mask).alias("leader")), "band"), "members")
-    wanted = classes.join(members.select("set").distinct(), "set", "left_semi").select("set", "doc_id", "text_hash")
+    pairs = written(met_sets(docs, each), "met-sets") if met_sets else None
+    looked = members.select("set")
+    if pairs is not None:
+        looked = looked.union(pairs.select(F.explode(F.array("a", "b"))))
+    wanted = classes.join(looked.distinct(), "set", "left_semi").select("set", "doc_id", "text_hash")
     sets = written(_hashes(docs, wanted), "hashes")
 
     likely = _sizes_allow() & (agreeing("a_low", "b_low") >= LEAST_AGREE)
     told = classes.join(members.select("set").distinct(), "set", "left_semi").select("set", "size", "low")
     a, b = (told.select(*[F.col(c).alias(f"{n}_{c}" if c != "set" else n) for c in told.columns]) for n in "ab")
     stars = members.where("set <> leader").select(F.col("leader").alias("a"), F.col("set").alias("b")).distinct()
-    links = written(_verified(stars.join(a, "a").join(b, "b").where(likely).select("a", "b"), sets), "star-links")
+    to_verify = stars.join(a, "a").join(b, "b").where(likely).select("a", "b")
+    if pairs is not None:
+        to_verify = to_verify.union(pairs).distinct()
+    links = written(_verified(to_verify, sets), "star-links")
     roots = written(components(links), "star-roots")
     placed = members.join(roots.select(F.col("node").alias("set"), "root"), "set", "left").withColumn("root", F.coalesce("root", "set"))
     open_ = placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band")

@@ -176,15 +176,28 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     return found.select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def met_sets(docs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of shingle sets (text_hash, set) of `docs` whose fingerprints link: least sets of linked prints, and those of one print."""
+    hash_ = fresh(docs, "_hash")
+    prints = fingerprints(docs.withColumn(hash_, text_hash()), hash_).withColumnRenamed("doc_id", "text_hash").distinct()
+    each = written(prints.join(sets.select("text_hash", "set").distinct(), "text_hash").select("print", "set").distinct(), "set-prints")
+    classes = written(each.groupBy("print").agg(F.min("set").alias("least")), "prints")
+    least = lambda n: classes.select(F.col("print").alias(n), F.col("least").alias(f"{n}_set"))
+    apart = connecting_links(classes).join(least("a"), "a").join(least("b"), "b").select("a_set", "b_set")
+    same = each.join(classes, "print").select("set", "least")
+    return apart.union(same).toDF("a", "b").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each component of near copies (five words, similarity 0.8), with its columns.
 
-    The one with the least id stays, null last; of rows that share that id but not the
+    Fingerprints that link by their Golay keys are compared first, as whole sets; MinHash
+    finds the near copies whose fingerprints differ in more bits.  The one with the least id stays, null last; of rows that share that id but not the
     text the one with the least text hash, of equal rows one.  Rows that only share an
     id, or have none, are different documents.
     """
     hash_ = fresh(docs, "_hash")
-    found = written(near_copies(docs), "near-copies")
+    found = written(near_copies(docs, met_sets), "near-copies")
     first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first"))
     first = written(first.select(F.col("first.doc_id").alias("_first_id"), F.col("first.text_hash").alias("_first_hash")), "first")
     same = F.col("doc_id").eqNullSafe(F.col("_first_id"))
