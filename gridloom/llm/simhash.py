@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns, fresh, use_package, written
+from .common import columns, fresh, shuffled, use_package, written
 from .components import components
 from .near_copies import near_copies, text_hash
 
@@ -138,7 +138,7 @@ def _near(x: str, y: str) -> Column:
 def links(prints: DataFrame) -> DataFrame:
     """All pairs (a, b), a < b, of distinct fingerprints (print) at MAX_BITS or less."""
     left, right = _keyed(prints)
-    return left.join(right, "key").where((F.col("a") < F.col("b")) & _near("a", "b")).select("a", "b").distinct()
+    return shuffled(left).join(right, "key").where((F.col("a") < F.col("b")) & _near("a", "b")).select("a", "b").distinct()
 
 
 def connecting_links(prints: DataFrame) -> DataFrame:
@@ -150,10 +150,10 @@ def connecting_links(prints: DataFrame) -> DataFrame:
     """
     left, right = _keyed(prints)
     least = left.groupBy("key").agg(F.min("a").alias("top"))
-    left = left.join(least, "key").select("key", "a", F.when(_near("a", "top"), F.col("top")).alias("a_top"))
-    right = right.join(least, "key").select("key", "b", F.when(_near("b", "top"), F.col("top")).alias("b_top"))
+    left = shuffled(left).join(least, "key").select("key", "a", F.when(_near("a", "top"), F.col("top")).alias("a_top"))
+    right = shuffled(right).join(least, "key").select("key", "b", F.when(_near("b", "top"), F.col("top")).alias("b_top"))
     stars = left.where("a <> a_top").select("a", F.col("a_top").alias("b")).union(right.where("b <> b_top").select("b", F.col("b_top").alias("a")))
-    open_ = left.where("a_top is null").join(right, "key").union(left.where("a_top is not null").join(right.where("b_top is null"), "key"))
+    open_ = shuffled(left.where("a_top is null")).join(right, "key").union(shuffled(left.where("a_top is not null")).join(right.where("b_top is null"), "key"))
     # near prints meet with either of them on the left: one order is enough
     return stars.union(open_.where((F.col("a") < F.col("b")) & _near("a", "b")).select("a", "b")).distinct()
 
@@ -201,7 +201,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first"))
     first = written(first.select(F.col("first.doc_id").alias("_first_id"), F.col("first.text_hash").alias("_first_hash")), "first")
     same = F.col("doc_id").eqNullSafe(F.col("_first_id"))
-    again = found.join(first, same & (F.col("text_hash") == F.col("_first_hash"))).groupBy("_first_id", "_first_hash").count().where("count > 1").limit(1).count()
+    again = shuffled(found).join(first, same & (F.col("text_hash") == F.col("_first_hash"))).groupBy("_first_id", "_first_hash").count().where("count > 1").limit(1).count()
     hashed = docs.withColumn(hash_, text_hash())
-    kept = hashed.join(first, hashed["doc_id"].eqNullSafe(first["_first_id"]) & (hashed[hash_] == first["_first_hash"]), "left_semi")
+    kept = shuffled(hashed).join(first, hashed["doc_id"].eqNullSafe(first["_first_id"]) & (hashed[hash_] == first["_first_hash"]), "left_semi")
     return (kept.dropDuplicates(["doc_id", hash_]) if again else kept).drop(hash_)
