@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import columns, use_package, written
+from .common import columns, shuffled, use_package, written
 
 SHINGLE_WORDS = 5
 #: Containment as a fraction, so that thresholds are whole numbers.
@@ -153,7 +153,7 @@ def find_items(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", tex
     pairs = met.where("n >= least").select("doc", "item", "n_item")
     # a pair looks for its item's own shingles, not for every shingle of its document
     wanted = pairs.join(known.select("item", "item_id", "hash", "shingle"), "item")
-    shared = held.join(wanted, ["doc", "hash", "shingle"])
+    shared = shuffled(held).join(wanted, ["doc", "hash", "shingle"])
     counts = shared.groupBy("doc_id", "text_hash", "item_id", "n_item").agg(F.count("*").alias("n_shared"))
     enough = counts.where(F.col("n_shared") * DENOMINATOR >= F.col("n_item") * NUMERATOR)
     return enough.select("doc_id", "text_hash", "item_id", "n_shared", "n_item", (F.col("n_shared") / F.col("n_item")).alias("containment"))

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns, fresh
+from .common import columns, fresh, shuffled
 
 WINDOW_LINES = 3
 
@@ -35,7 +35,7 @@ def covered_lines(docs: DataFrame) -> DataFrame:
     windows = split.select("doc_id", "text_hash", F.explode(F.transform(places, hashes)).alias("w"))
     windows = windows.select("w.h1", "w.h2", F.struct("doc_id", "text_hash", "w.line").alias("place"))
     repeated = windows.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.max("place").alias("last")).where("first < last").drop("last")
-    later = windows.join(repeated, ["h1", "h2"]).where("place > first")
+    later = shuffled(windows).join(repeated, ["h1", "h2"]).where("place > first")
     by_doc = later.groupBy("place.doc_id", "place.text_hash").agg(F.collect_set("place.line").alias("starts"))
     covered = F.array_distinct(F.flatten(F.transform("starts", lambda s: F.array(*[s + k for k in range(WINDOW_LINES)]))))
     return by_doc.select("doc_id", "text_hash", covered.alias("covered"))

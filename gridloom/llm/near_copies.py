@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import columns, use_package, written
+from .common import columns, shuffled, use_package, written
 from .components import components
 
 SHINGLE_WORDS = 5
@@ -175,7 +175,7 @@ def _prefixes(sets: DataFrame, wanted: DataFrame) -> DataFrame:
     several = rows.groupBy("element").agg(F.count("*").alias("n")).where("n > 1")
     inside = Window.partitionBy("set")
     alone = F.col("size") - F.count("*").over(inside)
-    each = rows.join(several, "element").withColumn("place", alone + F.row_number().over(inside.orderBy("n", "element")))
+    each = shuffled(rows).join(several, "element").withColumn("place", alone + F.row_number().over(inside.orderBy("n", "element")))
     least = F.ceil(F.col("size") * LEAST[0] / LEAST[1])
     return each.where(F.col("place") <= F.col("size") - least + 1).select("set", "root", "size", "element", "place")
 
@@ -194,7 +194,7 @@ def near_copies(docs: DataFrame, met_sets: Callable[[DataFrame, DataFrame], Data
     mask = F.element_at(F.array(*map(F.lit, _MASKS)), (F.pmod("band", F.lit(ORDERS)) + 1).cast("int"))
     place = F.col("set").bitwiseXOR(mask)  # its place in the band's order
     buckets = met.groupBy("band").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last")
-    members = written(met.join(buckets.select("band", F.col("first").bitwiseXOR(mask).alias("leader")), "band"), "members")
+    members = written(shuffled(met).join(buckets.select("band", F.col("first").bitwiseXOR(mask).alias("leader")), "band"), "members")
     pairs = written(met_sets(docs, each), "met-sets") if met_sets else None
     looked = members.select("set")
     if pairs is not None:
@@ -220,7 +220,7 @@ def near_copies(docs: DataFrame, met_sets: Callable[[DataFrame, DataFrame], Data
     smaller = (F.col("a_size") < F.col("b_size")) | ((F.col("a_size") == F.col("b_size")) & (F.col("a_set") < F.col("b_set")))
     enough = F.least(F.col("a_size") - F.col("a_place"), F.col("b_size") - F.col("b_place")) + 1 >= _shared("a_size", "b_size")
     unlike = (x["element"] == y["element"]) & smaller & (F.col("a_root") != F.col("b_root")) & _sizes_allow() & enough
-    others = x.join(y, unlike).select(F.col("a_set").alias("a"), F.col("b_set").alias("b")).distinct()
+    others = shuffled(x).join(y, unlike).select(F.col("a_set").alias("a"), F.col("b_set").alias("b")).distinct()
     others = others.join(a, "a").join(b, "b").where(likely).select("a", "b")
     links = links.union(written(_verified(others, sets), "links"))
     roots = written(components(links), "roots").select(F.col("node").alias("set"), "root")

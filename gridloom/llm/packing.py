@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import columns, use_package, written
+from .common import columns, shuffled, use_package, written
 from .token_blocks import in_order
 from .tokens import encoder
 
@@ -122,7 +122,8 @@ def served(table: DataFrame, length: int, targets: dict[str, float] | None, temp
     order = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = totals.withColumn("base", F.coalesce(F.sum("n").over(order), F.lit(0))).drop("n")
     bases = bases.join(quanta(totals, length, targets, temper), "source")
-    docs = table.select("part", "source", "row", "before", "n_tokens").join(bases, ["part", "source"])
+    docs = table.select("part", "source", "row", "before", "n_tokens")
+    docs = shuffled(docs).join(bases, ["part", "source"])
     starts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_tokens") - 1, F.lit(unit_ids).cast("long"))).alias("start")
     units = docs.select("row", "source", "quantum", "first", "n_tokens", (F.col("base") + F.col("before")).alias("low"), starts)
     part_of_unit = F.pmod(F.xxhash64("source"), F.lit(1 << 20)) / float(1 << 20)
@@ -188,7 +189,7 @@ def pack(
         kinds = [pa.int64()] * 7 + [pa.list_(pa.int32())] * with_ids
         return pa.record_batch([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], [*(x.split()[0] for x in PIECES.split(", ")), "ids"][: len(out)])
 
-    placed = table.select("row", "doc_id", "n_tokens", "ids").join(units, "row").select("doc_id", "n_tokens", "ids", "units")
+    placed = shuffled(table.select("row", "doc_id", "n_tokens", "ids")).join(units, "row").select("doc_id", "n_tokens", "ids", "units")
     return placed.mapInArrow(cut, PIECES + ", ids array<int>" * with_ids)
 
 

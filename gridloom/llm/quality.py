@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns, use_package, written
+from .common import columns, shuffled, use_package, written
 
 WINDOW_WORDS = 8
 MIN_WORDS = 20
@@ -255,4 +255,4 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that `judge` keeps, with their columns; found again by id and text hash."""
     good = judge(docs, labels).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
     same = docs["doc_id"].eqNullSafe(good["_id"]) & (F.xxhash64(docs["text"]) == good["_hash"])
-    return docs.join(good, same, "left_semi")
+    return shuffled(docs).join(good, same, "left_semi")
