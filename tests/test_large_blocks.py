@@ -69,3 +69,16 @@ def test_steps_without_a_pivot(spark, monkeypatch):
     fact = factorize(g.laplacian(spark, (5,)), 1)
     with pytest.raises(ZeroDivisionError, match="singular"):
         fact.solve(g.test_vector(spark, 5)).collect()
+
+
+@pytest.mark.parametrize("units", [8, 7])
+def test_few_units_are_solved_in_rounds(spark, sf_dir, units, monkeypatch):
+    """Four blocks of two units; one unit more than allowed is solved in steps."""
+    for name, x in (("MAP_VALUES", 0), ("LEAST_ROWS", 16), ("ROUND_ROWS", 16), ("FEW_UNITS", units)):
+        monkeypatch.setattr(substitution, name, x, raising=False)
+    m = g.part_adjacency(spark, sf_dir)
+    fact = factorize(m, 4)
+    assert verify.round_trip_error(fact, g.test_vector(spark, m.n)) < 1e-6
+    plans = [fact._plans[u] for u in (False, True)]
+    assert all((t.step is None and 0 < len(t.rounds) <= 8) == (units == 8) for t in plans)
+    fact.free()
